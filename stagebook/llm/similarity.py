@@ -7,8 +7,9 @@
 3. ``rare_prefixes``: of survivors, the n - T + 1 shingles rarest among survivors (T: the least overlap of a linked set). Two
    linked sets have one of them in common. The lists of these shingles are the short lists; the rest are the long ones.
 4. Links. In each short list, sets of about one size are first paired with the list's smallest alone. After components of
-   these links are known, only lists that still hold several components give their pairs across components.
-   Every pair is decided by DivideSkip (``divide_skip``) in blocks of one query and some hundred candidates.
+   these links are known, only lists that still hold several components give pairs across components: first of each set with
+   the nearest of another component, then all that are left. Pairs that cannot link by their sizes or by their bitmaps
+   (``may_link``, a bound without false negatives) are never made. Every pair is decided by DivideSkip (``divide_skip``) in blocks of one query and some hundred candidates.
 """
 
 from __future__ import annotations
@@ -54,6 +55,17 @@ def pair_overlap(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the hashes that fall on it."""
+    return np.packbits((np.bincount((hashes >> np.uint64(23)).astype(np.int64) & 511, minlength=512) & 1).astype(np.uint8))
+
+
+def may_link(bits: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sets may link, and how many bits differ: never more than the elements that only one of two sets has."""
+    apart = np.bitwise_count(others ^ bits).sum(axis=1, dtype=np.int64)
+    return (apart <= n + sizes - 2 * pair_overlap(n, sizes)) & (np.minimum(n, sizes) >= least_overlap(np.maximum(n, sizes))), apart
+
+
 def _blobs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 
@@ -88,7 +100,7 @@ def _spread(rows: DataFrame, blob: str, buckets: int, numbers: list[str]) -> Dat
             arrays = [np.frombuffer(b, dtype=np.uint64) for b in batch.column(batch.schema.get_field_index(blob)).to_pylist()]
             size = np.fromiter(map(len, arrays), dtype=np.int64, count=len(arrays))
             h = np.concatenate([np.zeros(0, dtype=np.uint64), *arrays])
-            columns = [np.repeat(np.asarray(batch.column(batch.schema.get_field_index(c))), size) for c in numbers]
+            columns = [np.repeat(_numbers(batch.column(batch.schema.get_field_index(c))), size, axis=0) for c in numbers]
             order = np.lexsort((columns[0], h))
             h, columns = h[order], [c[order] for c in columns]
             new = np.ones(len(h), dtype=bool)
@@ -102,6 +114,13 @@ def _spread(rows: DataFrame, blob: str, buckets: int, numbers: list[str]) -> Dat
     return rows.mapInArrow(run, ", ".join(["bucket int, hashes binary", *[f"{c} binary" for c in numbers]]))
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """A column of numbers, or of bitmaps as rows of eight words."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, 8)
+    return np.asarray(column)
+
+
 def _buckets(rows: DataFrame, blob: str) -> int:
     total = rows.agg(F.sum(F.octet_length(blob))).first()[0] or 0
     return max(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // 8 // 500_000)
@@ -110,7 +129,8 @@ def _buckets(rows: DataFrame, blob: str) -> int:
 def _entries(table: pa.Table, numbers: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """A bucket's distinct entries, sorted by hash and first number."""
     read = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind)
-    h, columns = read("hashes", np.uint64), [read(c, np.int64) for c in numbers]
+    h = read("hashes", np.uint64)
+    columns = [read(c, np.uint64).reshape(-1, 8) if c == "bits" else read(c, np.int64) for c in numbers]
     order = np.lexsort((columns[0], h))
     h, columns = h[order], [c[order] for c in columns]
     new = np.ones(len(h), dtype=bool)
@@ -141,7 +161,7 @@ def survivors(signed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def survivor_sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
-    """``s1, n, hashes``: whole sets of surviving classes, from the texts of their first documents."""
+    """``s1, n, bits, hashes``: whole sets of surviving classes, from the texts of their first documents."""
     reps = alive.select(F.col("rep").alias("doc_id"), F.col("s1").alias("of"))
 
     def run(batches):
@@ -150,79 +170,89 @@ def survivor_sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
                 sets = shingle_sets(data, at, WIDTH)
                 s1 = np.fromiter((mix(s).sum(dtype=np.uint64) for s in sets), dtype=np.uint64, count=len(sets)).view(np.int64)
                 same = np.nonzero(s1 == np.asarray(part.column(1)))[0].tolist()  # other rows with that id go
-                yield pa.RecordBatch.from_arrays([pa.array(s1[same]), pa.array([len(sets[k]) for k in same], pa.int64()), _blobs([sets[k] for k in same])], ["s1", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(s1[same]), pa.array([len(sets[k]) for k in same], pa.int64()), _blobs([bitmap(sets[k]) for k in same]), _blobs([sets[k] for k in same])], ["s1", "n", "bits", "hashes"])
 
     texts = docs.select("doc_id", text_of().alias("text")).join(bounded(reps), "doc_id")
-    return texts.select("doc_id", "of", "text").mapInArrow(run, "s1 long, n long, hashes binary")
+    return texts.select("doc_id", "of", "text").mapInArrow(run, "s1 long, n long, bits binary, hashes binary")
 
 
 def rare_prefixes(sets: DataFrame) -> DataFrame:
-    """``s1, n, prefix``: of the n - T + 1 shingles rarest among the sets, those that more than one set has."""
-    groups = max(2 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    """``s1, n, bits, prefix``: of the n - T + 1 shingles rarest among the sets, those that more than one set has."""
+    groups = _buckets(sets, "hashes")
 
     def lists(table: pa.Table) -> pa.Table:
+        """The bucket's entries of lists of two and more, sent back by groups of sets."""
         h, (sid, n) = _entries(table, ["s1", "n"])
         _, length = _runs(h)
         many = length > 1
-        h, sid, n, length = h[many], sid[many], n[many], length[many]
-        order = np.argsort(sid, kind="stable")
-        h, sid, n, length = h[order], sid[order], n[order], length[order]
-        begin, _ = _runs(sid)
-        end = np.concatenate([begin[1:], [len(sid)]]) if len(begin) else begin
-        cut = list(zip(begin.tolist(), end.tolist(), strict=True))
-        return pa.table([pa.array(sid[begin]), pa.array(n[begin]), _blobs([h[a:b] for a, b in cut]), _blobs([length[a:b] for a, b in cut])], names=["s1", "n", "hashes", "lengths"])
+        columns = [sid[many], n[many], h[many], length[many]]
+        group = (mix(columns[0].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        group, columns = group[order], [c[order] for c in columns]
+        begin, _ = _runs(group)
+        cut = list(zip(begin.tolist(), [*begin[1:].tolist(), len(group)], strict=False))
+        return pa.table([pa.array(group[begin]), *[_blobs([c[a:b] for a, b in cut]) for c in columns]], names=["group", "s1", "n", "hashes", "lengths"])
 
     def choose(table: pa.Table) -> pa.Table:
-        out, held = [], {}
-        for s, n, h, f in zip(*(table.column(c).to_pylist() for c in ("s1", "n", "hashes", "lengths")), strict=True):
-            held.setdefault((s, n), []).append((h, f))
-        for (s, n), blobs in held.items():
-            h = np.frombuffer(b"".join(x for x, _ in blobs), dtype=np.uint64)
-            f = np.frombuffer(b"".join(x for _, x in blobs), dtype=np.int64)
-            need = n - least_overlap(n) + 1 - (n - len(h))  # shingles of no other set come first
-            if need > 0 and len(h) >= least_overlap(n):
-                out.append((s, n, h[np.lexsort((h, f))[:need]]))
-        return pa.table([pa.array([s for s, _, _ in out], pa.int64()), pa.array([n for _, n, _ in out], pa.int64()), _blobs([p for _, _, p in out])], names=["s1", "n", "prefix"])
-
-    spread = _spread(sets.select("s1", "n", "hashes"), "hashes", _buckets(sets, "hashes"), ["s1", "n"])
-    found = spread.groupBy("bucket").applyInArrow(lists, "s1 long, n long, hashes binary, lengths binary")
-    return found.groupBy(F.pmod(F.xxhash64("s1"), F.lit(groups)).alias("group")).applyInArrow(choose, "s1 long, n long, prefix binary")
-
-
-def _pairs(table_rows: DataFrame, across: bool) -> DataFrame:
-    """Candidate pairs ``a, b`` (a the smaller set, ties by id) from the short lists, each once.
-
-    First each set with the smallest of its list that it may link with by size; later (``across``) all pairs by size in lists
-    that hold several components, but for pairs within a component.
+        read = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind)
+        sid, n, h, length = read("s1", np.int64), read("n", np.int64), read("hashes", np.uint64), read("lengths", np.int64)
+        order = np.lexsort((h, length, sid))
+        sid, n, h = sid[order], n[order], h[order]
+        begin, many = _runs(sid)
+        # shingles of no other set come first; a set of which too few are shared links with nothing
+        many, size = many[begin], n[begin]
+        need = np.where(many >= least_overlap(size), many - least_overlap(size) + 1, 0)
+        keep = np.nonzero(need > 0)[0]
+        cut = [(begin[k], begin[k] + need[k]) for k in keep]
+        return pa.table([pa.array(sid[begin[keep]]), pa.array(size[keep]), _blobs([h[a:b] for a, b in cut])], names=["s1", "n", "prefix"])
+
+    spread = _spread(sets.select("s1", "n", "hashes"), "hashes", groups, ["s1", "n"])
+    found = spread.groupBy("bucket").applyInArrow(lists, "group long, s1 binary, n binary, hashes binary, lengths binary")
+    chosen = found.groupBy("group").applyInArrow(choose, "s1 long, n long, prefix binary")
+    return chosen.join(sets.select("s1", "bits").dropDuplicates(["s1"]), "s1").select("s1", "n", "bits", "prefix")
+
+
+def _pairs(rows: DataFrame, step: str) -> DataFrame:
+    """Candidate pairs ``a, b`` from the short lists, each once, that may link by sizes and bitmaps.
+
+    ``lead``: each set with the smallest of its list that it may link with by size. ``near``: in lists of several components,
+    each set with the nearest of another component. ``rest``: in such lists, all pairs across components.
     """
-    numbers = ["s1", "n", "comp"] if across else ["s1", "n"]
+    numbers = ["s1", "n", "bits"] if step == "lead" else ["s1", "n", "bits", "comp"]
 
     def find(table: pa.Table) -> pa.Table:
         h, columns = _entries(table, numbers)
-        sid, n = columns[:2]
-        order = np.lexsort((sid, n, h))
-        h, sid, n = h[order], sid[order], n[order]
-        comp = columns[2][order] if across else None
+        order = np.lexsort((columns[0], columns[1], h))
+        h, columns = h[order], [c[order] for c in columns]
+        sid, n, bits = columns[:3]
         begin, _ = _runs(h)
         pairs = set()
-        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(h)], strict=True):
-            if b - a < 2:
-                continue
-            if not across:
+
+        def add(k: int, others: np.ndarray, nearest: bool) -> None:
+            if len(others):
+                fit, apart = may_link(bits[k], n[k], bits[others], n[others])
+                others, apart = others[fit], apart[fit]
+                if nearest and len(others):
+                    others = others[[apart.argmin()]]
+                pairs.update((int(min(sid[k], sid[o])), int(max(sid[k], sid[o]))) for o in others)
+
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(h)], strict=False):
+            if step == "lead":
                 lead = a
-                for k in range(a + 1, b):
-                    if n[lead] < least_overlap(n[k]):
-                        lead = k
-                    else:
-                        pairs.add((int(sid[lead]), int(sid[k])))
-            elif (comp[a:b] != comp[a]).any():
-                for k in range(a, b - 1):
-                    other = np.nonzero((comp[k + 1 : b] != comp[k]) & (-(-PERCENT * n[k + 1 : b] // 100) <= n[k]))[0] + k + 1
-                    pairs.update((int(sid[k]), int(sid[o])) for o in other.tolist())
+                while lead < b - 1:
+                    far = np.nonzero(n[lead] < least_overlap(n[lead + 1 : b]))[0]
+                    end = lead + 1 + int(far[0]) if len(far) else b
+                    add(lead, np.arange(lead + 1, end), False)
+                    lead = end
+            elif (columns[3][a:b] != columns[3][a]).any():
+                comp = columns[3]
+                for k in range(a, b):
+                    first = a if step == "near" else k + 1
+                    add(k, np.nonzero(comp[first:b] != comp[k])[0] + first, step == "near")
         ab = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
         return pa.table([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
-    spread = _spread(table_rows.select("prefix", *numbers), "prefix", _buckets(table_rows, "prefix"), numbers)
+    spread = _spread(rows.select("prefix", *numbers), "prefix", _buckets(rows, "prefix"), numbers)
     return spread.groupBy("bucket").applyInArrow(find, "a long, b long").distinct()
 
 
@@ -324,11 +354,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     alive = materialize(survivors(signed, classes), "survivors")
     sets = materialize(survivor_sets(docs, alive), "sets")
     lists = materialize(rare_prefixes(sets), "lists")
-    links = materialize(_links(materialize(_pairs(lists, False), "pairs"), sets), "links")
+    links = materialize(_links(materialize(_pairs(lists, "lead"), "pairs"), sets), "links")
     comps = components(links)
-    labelled = lists.join(bounded(comps), "s1", "left").withColumn("comp", F.coalesce("comp", "s1"))
-    more = materialize(_pairs(materialize(labelled, "lists"), True), "pairs")
-    if not more.isEmpty():
+    for step in ("near", "rest"):
+        labelled = lists.join(bounded(comps), "s1", "left").withColumn("comp", F.coalesce("comp", "s1"))
+        more = materialize(_pairs(materialize(labelled, "lists"), step), "pairs")
+        if more.isEmpty():
+            break
         links = links.unionByName(materialize(_links(more, sets), "links"))
         comps = components(links)
     reps = comps.join(alive.select("s1", "s2", "n", "rep"), "s1")
