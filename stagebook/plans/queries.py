@@ -1,9 +1,516 @@
-"""Queries over the ledger."""
+"""Queries over the ledger that the driver's tables map to, each with its SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import expressions as X
+from ..operators import changes as C
+from ..operators import status as S
+from ..sources.fixtures import Ledger, oracle_prefix
+from ..streaming import folds
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+STATUS_SQL = """
+status AS (SELECT work_item_id, stage_execution_id, stage_key, stage_index, state FROM (
+  SELECT *, row_number() OVER (PARTITION BY work_item_id ORDER BY CASE state WHEN 'failed' THEN 0 WHEN 'cancelled' THEN 1 WHEN 'admitted' THEN 2 WHEN 'ready' THEN 3 ELSE 4 END,
+    CASE WHEN state = 'succeeded' THEN -stage_index ELSE stage_index END, stage_execution_id) AS nth FROM stage_executions) WHERE nth = 1),
+gate AS (SELECT *, coalesce(max(CASE WHEN state <> 'succeeded' THEN 1 ELSE 0 END) OVER (PARTITION BY work_item_id ORDER BY stage_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS blocked FROM stage_executions),
+current AS (SELECT e.stage_execution_id, a.terminal_summary, a.evidence_reference, a.workflow_id FROM stage_executions e JOIN stage_attempts a ON a.stage_execution_id = e.stage_execution_id AND a.attempt_number = e.current_attempt),
+arows AS (SELECT e.*, w.campaign_key, w.work_key, w.segment, w.urgency, w.priority, w.origin_run_key, w.input_reference AS item_input, r.pipeline_key, r.pipeline_version FROM stage_executions e JOIN work_items w ON w.work_item_id = e.work_item_id JOIN pipeline_runs r ON r.run_key = w.origin_run_key),
+occupancy AS (SELECT c.stage_control_id, count(a.stage_execution_id) AS occupied FROM stage_controls c LEFT JOIN arows a ON a.pipeline_key = c.pipeline_key AND a.pipeline_version = c.pipeline_version AND a.stage_key = c.stage_key AND a.state = 'admitted'
+  AND (c.label_key IS NULL OR (c.label_key = 'segment' AND a.segment = c.label_value) OR (c.label_key = 'priority' AND a.urgency = c.label_value)) GROUP BY c.stage_control_id),
+eligible AS (SELECT r.* FROM pipeline_runs r WHERE r.registration_closed_at IS NOT NULL AND r.run_completion_key IS NOT NULL AND r.released_at IS NULL
+  AND r.run_key NOT IN (SELECT m.run_key FROM run_memberships m JOIN stage_executions e ON e.work_item_id = m.work_item_id WHERE e.state IN ('ready', 'admitted')))
+"""
+RANK_SQL = """(('0x' || substr(sha256('{{"campaign_key":"' || {c} || '","work_key":"' || {w} || '"}}'), 1, 16))::UBIGINT % 9223372036854775807 + 1)::BIGINT"""
+
+
+def query(sql: str | None = None):
+    """Register a query under its name; its SQL follows the ledger's common table expressions."""
+
+    def register(f: Callable[[Ledger], DataFrame]) -> Callable[[Ledger], DataFrame]:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Ledger(spark, sf_dir))
+        if sql is not None:
+            _SQL[f.__name__] = f"{oracle_prefix()},{STATUS_SQL} {sql}"
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _keys(t: Ledger) -> DataFrame:
+    """Requested (campaign, work): every fifth item, and as many that are not there."""
+    known = t.work_items.where("(work_item_id - 1) % 5 = 0").select("campaign_key", "work_key")
+    return known.unionByName(known.select("campaign_key", F.concat("work_key", F.lit("-none")).alias("work_key")))
+
+
+_KEYS_SQL = "SELECT campaign_key, work_key FROM work_items WHERE (work_item_id - 1) % 5 = 0 UNION ALL SELECT campaign_key, concat(work_key, '-none') FROM work_items WHERE (work_item_id - 1) % 5 = 0"
+_FOUND_SQL = f"(SELECT k.campaign_key, k.work_key, f.stage_execution_id IS NOT NULL AS present, f.work_item_id, f.stage_execution_id, f.stage_key, f.stage_index, f.state, c.terminal_summary, c.evidence_reference FROM ({_KEYS_SQL}) k LEFT JOIN (SELECT w.campaign_key, w.work_key, s.* FROM work_items w JOIN status s ON s.work_item_id = w.work_item_id) f ON f.campaign_key = k.campaign_key AND f.work_key = k.work_key LEFT JOIN current c ON c.stage_execution_id = f.stage_execution_id)"
+
+
+# ---------------------------------------------------------------- status and counts
+
+
+@query("SELECT * FROM status")
+def work_item_status(t):
+    return S.work_item_status(t.stage_executions)
+
+
+@query("SELECT campaign_key, state, count(*) AS n FROM work_items JOIN status USING (work_item_id) GROUP BY ALL")
+def campaign_state_counts(t):
+    return S.campaign_state_counts(t.work_items, t.stage_executions)
+
+
+@query("SELECT run_key, state, count(*) AS n FROM run_memberships JOIN status USING (work_item_id) GROUP BY ALL")
+def run_state_counts(t):
+    return S.run_state_counts(t.run_memberships, t.stage_executions)
+
+
+@query("""SELECT k.run_key, r.run_key IS NOT NULL AS present, c.state, coalesce(c.n, 0) AS n
+FROM (SELECT concat('run-', c_custkey * 3) AS run_key FROM customer) k LEFT JOIN pipeline_runs r ON r.run_key = k.run_key
+LEFT JOIN (SELECT run_key, state, count(*) AS n FROM run_memberships JOIN status USING (work_item_id) GROUP BY ALL) c ON c.run_key = k.run_key""")
+def bulk_run_state_counts(t):
+    keys = t.customer.select(F.concat(F.lit("run-"), (F.col("c_custkey") * 3).cast("string")).alias("run_key"))
+    return S.bulk_run_state_counts(keys, t.pipeline_runs, t.run_memberships, t.stage_executions)
+
+
+@query(f"SELECT campaign_key, work_key, present, work_item_id, stage_key AS current_stage_key, stage_index AS current_stage_index, state FROM {_FOUND_SQL}")
+def bulk_work_statuses(t):
+    return S.bulk_work_statuses(_keys(t), t.work_items, t.stage_executions)
+
+
+@query(f"SELECT * FROM {_FOUND_SQL}")
+def bulk_terminal_statuses(t):
+    return S.bulk_terminal_statuses(_keys(t), t.work_items, t.stage_executions, t.stage_attempts)
+
+
+@query(f"SELECT * FROM {_FOUND_SQL} WHERE NOT present OR (json_extract_string(terminal_summary, '$.producer') = 'application_failure' AND state = 'failed' AND evidence_reference IS NOT NULL)")
+def bulk_terminal_statuses_filtered(t):
+    condition = X.terminal_filter(producer="application_failure", state="failed", has_evidence=True)
+    return S.bulk_terminal_statuses(_keys(t), t.work_items, t.stage_executions, t.stage_attempts, condition)
+
+
+_CAMPAIGNS_SQL = "(SELECT r.campaign_key, CAST(r.created AS VARCHAR) AS created_at, r.n AS run_count, coalesce(w.n, 0) AS work_item_count FROM (SELECT campaign_key, min(created_at) AS created, count(*) AS n FROM pipeline_runs GROUP BY 1) r LEFT JOIN (SELECT campaign_key, count(*) AS n FROM work_items GROUP BY 1) w USING (campaign_key))"
+
+
+@query(f"SELECT * FROM {_CAMPAIGNS_SQL}")
+def campaign_summaries(t):
+    return S.campaign_summaries(t.pipeline_runs, t.work_items).withColumn("created_at", F.col("created_at").cast("string"))
+
+
+@query(f"SELECT * FROM {_CAMPAIGNS_SQL} WHERE campaign_key > 'campaign-12' ORDER BY campaign_key LIMIT 5")
+def list_campaigns_page(t):
+    rows = S.campaign_summaries(t.pipeline_runs, t.work_items).withColumn("created_at", F.col("created_at").cast("string"))
+    return S.page(rows, ["campaign_key"], ["campaign-12"], 5)
+
+
+@query("""SELECT r.run_key, CAST(r.created_at AS VARCHAR) AS created_at, CASE WHEN r.registration_closed_at IS NOT NULL THEN r.registered_member_count ELSE coalesce(m.n, 0) END::BIGINT AS member_count
+FROM pipeline_runs r LEFT JOIN (SELECT run_key, count(*) AS n FROM run_memberships GROUP BY 1) m USING (run_key)
+WHERE campaign_key = 'campaign-7' AND (r.created_at, r.run_key) > (TIMESTAMP '2026-01-05', 'run-1') ORDER BY r.created_at, r.run_key LIMIT 10""")
+def list_runs_page(t):
+    cursor = [F.to_timestamp(F.lit("2026-01-05")), "run-1"]
+    rows = S.list_runs(t.pipeline_runs, t.run_memberships, "campaign-7", cursor, 10)
+    return rows.select("run_key", F.col("created_at").cast("string").alias("created_at"), "member_count")
+
+
+@query("SELECT work_item_id, work_key, s.stage_key AS current_stage_key, s.stage_index AS current_stage_index, s.state FROM work_items JOIN status s USING (work_item_id) WHERE campaign_key = 'campaign-7' AND work_item_id > 100 AND s.state = 'succeeded' ORDER BY work_item_id LIMIT 25")
+def list_work_items_page(t):
+    rows = S.list_work_items(t.work_items, t.stage_executions, "campaign-7", "succeeded", 100, 25)
+    return rows.select("work_item_id", "work_key", F.col("stage_key").alias("current_stage_key"), F.col("stage_index").alias("current_stage_index"), "state")
+
+
+_MEMBERS_SQL = "SELECT m.member_ordinal, w.work_key, m.work_item_id, w.input_reference, s.stage_execution_id, s.stage_key, s.stage_index, s.state FROM run_memberships m JOIN work_items w USING (work_item_id) LEFT JOIN status s USING (work_item_id) WHERE m.run_key = 'run-all-7'"
+
+
+@query(f"{_MEMBERS_SQL} AND m.member_ordinal > 10 ORDER BY m.member_ordinal LIMIT 40")
+def run_members_page(t):
+    rows = S.run_members(t.run_memberships, t.work_items, t.stage_executions, "run-all-7").drop("run_key")
+    return S.page(rows, ["member_ordinal"], [10], 40)
+
+
+@query(f"SELECT m.*, c.terminal_summary, c.evidence_reference FROM ({_MEMBERS_SQL}) m LEFT JOIN current c USING (stage_execution_id) WHERE json_extract_string(c.terminal_summary, '$.producer') = 'cancellation' ORDER BY member_ordinal LIMIT 40")
+def run_members_filtered(t):
+    rows = S.run_members(t.run_memberships, t.work_items, t.stage_executions, "run-all-7").drop("run_key")
+    rows = S.with_current_attempt(rows, t.stage_executions, t.stage_attempts).where(X.terminal_filter(producer="cancellation"))
+    return S.page(rows, ["member_ordinal"], None, 40)
+
+
+@query("SELECT e.stage_execution_id, e.work_item_id, e.stage_index, e.state, coalesce(string_agg(a.attempt_number || ':' || a.workflow_id, ',' ORDER BY a.attempt_number), '') AS history FROM stage_executions e LEFT JOIN stage_attempts a USING (stage_execution_id) GROUP BY 1, 2, 3, 4")
+def stage_history(t):
+    rows = S.stage_history(t.stage_executions, t.stage_attempts)
+    history = F.array_join(F.transform("attempts", lambda a: F.concat(a["attempt_number"].cast("string"), F.lit(":"), a["workflow_id"])), ",")
+    return rows.select("stage_execution_id", "work_item_id", "stage_index", "state", F.coalesce(history, F.lit("")).alias("history"))
+
+
+@query("SELECT stage_execution_id, work_item_id, stage_index FROM stage_executions WHERE stage_key = 'eval_row' AND stage_index > 1 AND stage_index < 5 AND state = 'succeeded'")
+def stage_executions_filtered(t):
+    return S.filter_executions(t.stage_executions, "eval_row", 1, 5, "succeeded").select("stage_execution_id", "work_item_id", "stage_index")
+
+
+@query("SELECT w.work_item_id, e.stage_index, e.stage_key, e.input_reference, e.output_reference FROM work_items w JOIN stage_executions e USING (work_item_id) WHERE w.work_item_id % 3 = 0 AND e.stage_index > 0 AND e.stage_index < 4 AND e.state = 'succeeded' AND e.output_reference IS NOT NULL")
+def predecessor_outputs(t):
+    wanted = t.work_items.where("work_item_id % 3 = 0").select("work_item_id", F.lit(0).alias("above"), F.lit(4).alias("below"))
+    return S.predecessor_outputs(wanted, t.stage_executions).select("work_item_id", "stage_index", "stage_key", "input_reference", "output_reference")
+
+
+_CLUSTER_SQL = """(SELECT f.work_item_id, f.stage_execution_id AS fanin_id, f.stage_index AS fanin_index, o.i AS optim_index,
+  (SELECT count(*) FROM stage_executions b WHERE b.work_item_id = f.work_item_id AND b.stage_index > o.i AND b.stage_index < f.stage_index) AS eval_count
+FROM stage_executions f LEFT JOIN (SELECT work_item_id, max(stage_index) AS i FROM stage_executions WHERE stage_key = 'optim_step' GROUP BY 1) o USING (work_item_id) WHERE f.barrier)"""
+
+
+@query(f"SELECT c.work_item_id, c.fanin_index, e.stage_index, e.output_reference FROM {_CLUSTER_SQL} c JOIN stage_executions e ON e.work_item_id = c.work_item_id AND e.stage_index > c.optim_index AND e.stage_index < c.fanin_index AND e.state = 'succeeded'")
+def episode_predecessors(t):
+    clusters = S.barrier_clusters(t.stage_executions).select("work_item_id", "fanin_index", F.col("optim_index").alias("above"), F.col("fanin_index").alias("below"))
+    return S.predecessor_outputs(clusters, t.stage_executions).select("work_item_id", "fanin_index", "stage_index", "output_reference")
+
+
+@query(f"SELECT *, CAST(NULL AS VARCHAR) AS problem FROM {_CLUSTER_SQL}")
+def barrier_clusters(t):
+    return S.barrier_clusters(t.stage_executions)
+
+
+@query("""SELECT f.work_item_id, f.stage_index AS fanin_index, CASE WHEN o.i IS NULL THEN 'no_optim' ELSE 'gap' END AS problem
+FROM (SELECT * FROM stage_executions WHERE stage_execution_id % 11 <> 0) f LEFT JOIN (SELECT work_item_id, max(stage_index) AS i FROM stage_executions WHERE stage_key = 'optim_step' AND stage_execution_id % 11 <> 0 GROUP BY 1) o USING (work_item_id)
+WHERE f.barrier AND (o.i IS NULL OR (SELECT count(*) FROM stage_executions b WHERE b.work_item_id = f.work_item_id AND b.stage_execution_id % 11 <> 0 AND b.stage_index > o.i AND b.stage_index < f.stage_index) <> f.stage_index - o.i - 1)""")
+def barrier_cluster_problems(t):
+    return S.barrier_clusters(t.stage_executions.where("stage_execution_id % 11 <> 0")).where("problem IS NOT NULL").select("work_item_id", "fanin_index", "problem")
+
+
+@query("SELECT stage_execution_id, state, blocked FROM gate WHERE barrier")
+def barrier_gate(t):
+    return S.barrier_gate(t.stage_executions).where("barrier").select("stage_execution_id", "state", "blocked")
+
+
+# ---------------------------------------------------------------- identities
+
+
+@query(f"SELECT work_item_id, {RANK_SQL.format(c='campaign_key', w='work_key')} AS rank FROM work_items")
+def stable_rank(t):
+    return t.work_items.select("work_item_id", X.stable_rank("campaign_key", "work_key").alias("rank"))
+
+
+@query("""SELECT stage_execution_id, a.attempt_number, 'drp-' || sha256('{"campaign_key":"' || campaign_key || '","pipeline_key":"' || pipeline_key || '","pipeline_version":' || pipeline_version || ',"stage_index":' || stage_index || ',"stage_key":"' || stage_key || '","work_key":"' || work_key || '"}') || '-a' || a.attempt_number AS workflow_id
+FROM arows JOIN stage_attempts a USING (stage_execution_id)""")
+def stage_workflow_ids(t):
+    rows = C.admission_rows(t.stage_executions, t.work_items, t.pipeline_runs).join(t.stage_attempts.select("stage_execution_id", "attempt_number"), "stage_execution_id")
+    return rows.select("stage_execution_id", "attempt_number", X.stage_workflow_id("campaign_key", "work_key", "pipeline_key", "pipeline_version", "stage_key", "stage_index", "attempt_number").alias("workflow_id"))
+
+
+@query("""SELECT run_key, 'drp-run-' || sha256('{"pipeline_key":"' || pipeline_key || '","pipeline_version":' || pipeline_version || ',"run_completion_key":"' || run_completion_key || '","run_key":"' || run_key || '"}') || '-a1' AS workflow_id FROM pipeline_runs WHERE run_completion_key IS NOT NULL""")
+def completion_workflow_ids(t):
+    runs = t.pipeline_runs.where("run_completion_key IS NOT NULL")
+    return runs.select("run_key", X.completion_workflow_id("run_key", "pipeline_key", "pipeline_version", "run_completion_key", F.lit(1)).alias("workflow_id"))
+
+
+@query("""SELECT run_key, sha256('{"entries":[' || string_agg('{"input_reference":"' || input_reference || '","ordinal":' || member_ordinal || ',"work_key":"' || work_key || '"}', ',' ORDER BY member_ordinal) || '],"expected_member_count":' || count(*) || ',"schema":"run-membership/v1"}') AS membership_digest FROM run_memberships JOIN work_items USING (work_item_id) GROUP BY run_key""")
+def membership_digest(t):
+    return C.membership_digests(t.run_memberships, t.work_items, "run-membership/v1")
+
+
+# ---------------------------------------------------------------- admission
+
+_LABEL_SQL = "(c.label_key IS NULL OR (c.label_key = 'segment' AND w.segment = c.label_value) OR (c.label_key = 'priority' AND w.urgency = c.label_value))"
+
+
+def _controls(t: Ledger) -> DataFrame:
+    """The controls, with those that have placeholder capacities set a little above what is admitted now."""
+    occupied = C.control_occupancy(_rows(t), t.stage_controls)
+    spare = F.create_map(F.lit(2), F.lit(40), F.lit(3), F.lit(15), F.lit(4), F.lit(15))
+    return occupied.withColumn("capacity", F.coalesce(F.col("occupied") + F.element_at(spare, F.col("stage_control_id")), F.col("capacity").cast("long")))
+
+
+def _rows(t: Ledger) -> DataFrame:
+    return C.admission_rows(t.stage_executions, t.work_items, t.pipeline_runs).withColumn("rank", X.stable_rank("campaign_key", "work_key"))
+
+
+_PAUSE_SQL = "EXISTS (SELECT 1 FROM stage_controls c WHERE c.paused AND c.pipeline_key = w.pipeline_key AND c.pipeline_version = w.pipeline_version AND c.stage_key = w.stage_key AND " + _LABEL_SQL + ")"
+_CONFIGURED_SQL = "EXISTS (SELECT 1 FROM stage_controls c WHERE c.label_key IS NULL AND c.pipeline_key = w.pipeline_key AND c.pipeline_version = w.pipeline_version AND c.stage_key = w.stage_key)"
+_CANDIDATES_SQL = f"(SELECT w.* FROM arows w JOIN gate g USING (stage_execution_id) WHERE w.state = 'ready' AND NOT (g.barrier AND g.blocked) AND {_CONFIGURED_SQL} AND NOT {_PAUSE_SQL})"
+
+
+@query(f"SELECT w.work_item_id, c.stage_control_id FROM work_items w CROSS JOIN stage_controls c WHERE {_LABEL_SQL} AND c.label_key IS NOT NULL")
+def label_controls(t):
+    some = F.broadcast(t.stage_controls.where(F.size("selector") > 0).select("stage_control_id", "selector"))
+    return t.work_items.join(some, X.contains("labels", "selector")).select("work_item_id", "stage_control_id")
+
+
+@query("SELECT work_item_id, CASE WHEN segment = 'BUILDING' AND urgency = '1-URGENT' THEN 'fast' WHEN urgency = '1-URGENT' THEN 'urgent' ELSE 'default' END AS queue_name FROM work_items")
+def queue_routes(t):
+    routes = [({"segment": "BUILDING", "priority": "1-URGENT"}, "fast"), ({"priority": "1-URGENT"}, "urgent")]
+    first = F.coalesce(*[F.when(X.contains("labels", F.create_map(*[F.lit(x) for kv in sel.items() for x in kv])), name) for sel, name in routes], F.lit("default"))
+    return t.work_items.select("work_item_id", first.alias("queue_name"))
+
+
+@query("SELECT stage_control_id, occupied FROM occupancy")
+def control_occupancy(t):
+    return C.control_occupancy(_rows(t), t.stage_controls).select("stage_control_id", "occupied")
+
+
+@query(f"SELECT pipeline_version, stage_key, count(*) AS n FROM arows w WHERE state = 'ready' AND NOT {_CONFIGURED_SQL} GROUP BY 1, 2")
+def unconfigured_stages(t):
+    plain = F.broadcast(t.stage_controls.where(F.size("selector") == 0).select(*C.STAGE).distinct())
+    return _rows(t).where("state = 'ready'").join(plain, C.STAGE, "left_anti").groupBy("pipeline_version", "stage_key").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT stage_execution_id FROM arows w WHERE state = 'ready' AND {_PAUSE_SQL}")
+def paused_candidates(t):
+    paused = F.broadcast(t.stage_controls.where("paused").select(*C.STAGE, "selector"))
+    ready = _rows(t).where("state = 'ready'")
+    return ready.alias("r").join(paused.alias("p"), [*[F.col(f"r.{k}") == F.col(f"p.{k}") for k in C.STAGE], X.contains("r.labels", "p.selector")], "left_semi").select("stage_execution_id")
+
+
+@query(f"SELECT stage_execution_id, priority, {RANK_SQL.format(c='campaign_key', w='work_key')} AS rank FROM {_CANDIDATES_SQL} ORDER BY priority, rank, stage_execution_id LIMIT 100")
+def ready_order(t):
+    rows = C.ready_candidates(t.stage_executions, _rows(t), t.stage_controls)
+    return S.page(rows.select("stage_execution_id", "priority", "rank"), ["priority", "rank", "stage_execution_id"], None, 100)
+
+
+@query()
+def admission_plan(t):
+    controls = _controls(t)
+    return C.plan_admission(C.ready_candidates(t.stage_executions, _rows(t), controls), controls)
+
+
+@query()
+def admission_summary(t):
+    return admission_plan(t).groupBy(*C.STAGE).agg(F.count("*").alias("admitted"))
+
+
+@query(f"SELECT stage_execution_id, current_attempt + 1 AS attempt_number FROM {_CANDIDATES_SQL}")
+def attempts_to_admit(t):
+    return C.attempts_to_admit(C.ready_candidates(t.stage_executions, _rows(t), t.stage_controls), t.stage_executions)
+
+
+@query("""SELECT stage_execution_id, '{"campaign_key":"' || campaign_key || '","work_key":"' || work_key || '","stage_key":"' || stage_key || '","stage_index":' || stage_index || ',"input_reference":"' || coalesce(input_reference, item_input) || '"}' AS payload, nullif(priority, 0) AS queue_priority FROM arows WHERE state = 'ready'""")
+def admission_payloads(t):
+    rows = _rows(t).where("state = 'ready'")
+    payload = F.to_json(F.struct("campaign_key", "work_key", "stage_key", "stage_index", F.coalesce("input_reference", "item_input").alias("input_reference")))
+    return rows.select("stage_execution_id", payload.alias("payload"), F.nullif(F.col("priority"), F.lit(0)).alias("queue_priority"))
+
+
+# ---------------------------------------------------------------- registration
+
+_CLASSIFY_SQL = "(SELECT m.*, w.work_item_id, CASE WHEN w.work_item_id IS NULL THEN 'new' WHEN w.input_reference <> m.input_reference THEN 'conflict' WHEN w.priority <> m.priority THEN 'priority_change' ELSE 'same' END AS kind FROM members m LEFT JOIN work_items w ON w.campaign_key = m.campaign_key AND w.work_key = m.work_key)"
+
+
+@query(f"SELECT run_key, kind, count(*) AS n FROM {_CLASSIFY_SQL} GROUP BY 1, 2")
+def registration_classify(t):
+    return C.classify_members(t.members, t.work_items).groupBy("run_key", "kind").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT run_key, member_ordinal, work_key, input_reference FROM {_CLASSIFY_SQL} WHERE kind = 'conflict'")
+def registration_conflicts(t):
+    return C.classify_members(t.members, t.work_items).where("kind = 'conflict'").select("run_key", "member_ordinal", "work_key", "input_reference")
+
+
+@query(f"SELECT campaign_key, work_key, 0 AS stage_index, 'ready' AS state, {RANK_SQL.format(c='campaign_key', w='work_key')} AS rank FROM {_CLASSIFY_SQL} WHERE kind = 'new'")
+def registration_seed(t):
+    new = C.classify_members(t.members, t.work_items).where("kind = 'new'").dropDuplicates(["campaign_key", "work_key"])
+    return new.select("campaign_key", "work_key", F.lit(0).alias("stage_index"), F.lit("ready").alias("state"), X.stable_rank("campaign_key", "work_key").alias("rank"))
+
+
+@query("""SELECT r.run_key, coalesce(m.n, 0) AS members, coalesce(m.ok, true) AS contiguous, coalesce(m.n, 0) = r.expected_member_count AS complete, coalesce(m.created, 0) AS created, coalesce(m.n, 0) - coalesce(m.created, 0) AS reused
+FROM pipeline_runs r LEFT JOIN (SELECT x.run_key, count(*) AS n, min(member_ordinal) = 0 AND max(member_ordinal) = count(*) - 1 AND count(DISTINCT member_ordinal) = count(*) AS ok, count(*) FILTER (origin_run_key = x.run_key) AS created FROM run_memberships x JOIN work_items USING (work_item_id) GROUP BY 1) m USING (run_key)""")
+def closure_check(t):
+    return C.closure_check(t.pipeline_runs, t.run_memberships, t.work_items)
+
+
+# ---------------------------------------------------------------- outcomes and completion
+
+_OUTCOME_SQL = """(SELECT o.workflow_id, e.stage_execution_id, e.work_item_id, e.stage_index, CASE WHEN e.stage_key <> o.expected_stage_key THEN 'mismatch' WHEN a.attempt_number = e.current_attempt AND e.state = 'cancelled' THEN 'ignored'
+  WHEN a.attempt_number <> e.current_attempt OR e.state <> 'admitted' THEN 'mismatch' WHEN o.succeeded <> (o.output_reference IS NOT NULL) THEN 'rejected' ELSE 'apply' END AS kind, o.succeeded
+FROM stage_outcomes o JOIN stage_attempts a USING (workflow_id) JOIN stage_executions e USING (stage_execution_id))"""
+
+
+@query(f"SELECT workflow_id, kind FROM {_OUTCOME_SQL}")
+def outcome_classify(t):
+    return C.classify_outcomes(t.stage_outcomes, t.stage_attempts, t.stage_executions).select("workflow_id", "kind")
+
+
+@query(f"SELECT c.work_item_id, c.stage_index + 1 AS stage_index, 'ready' AS state, e.output_reference AS input_reference FROM {_OUTCOME_SQL} c JOIN stage_outcomes e USING (workflow_id) WHERE c.kind = 'apply' AND c.succeeded AND NOT EXISTS (SELECT 1 FROM stage_executions x WHERE x.work_item_id = c.work_item_id AND x.stage_index = c.stage_index + 1)")
+def successor_rows(t):
+    done = C.classify_outcomes(t.stage_outcomes, t.stage_attempts, t.stage_executions.drop("output_reference")).where("kind = 'apply' AND succeeded")
+    new = done.select("work_item_id", (F.col("stage_index") + 1).alias("stage_index"), F.lit("ready").alias("state"), F.col("output_reference").alias("input_reference"))
+    return new.join(t.stage_executions.select("work_item_id", "stage_index"), ["work_item_id", "stage_index"], "left_anti")
+
+
+@query("SELECT stage_execution_id, state AS old_state, CASE WHEN stage_execution_id % 2 = 0 THEN 'succeeded' ELSE 'cancelled' END AS new_state FROM stage_executions WHERE NOT ((state = 'admitted') OR (state IN ('ready', 'failed') AND stage_execution_id % 2 = 1))")
+def transition_violations(t):
+    new = F.when(F.col("stage_execution_id") % 2 == 0, "succeeded").otherwise("cancelled")
+    return C.illegal_moves(t.stage_executions.select("stage_execution_id", F.col("state").alias("old_state"), new.alias("new_state")))
+
+
+_COUNTS_SQL = "(SELECT run_key, count(*) FILTER (state = 'succeeded') AS succeeded, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'cancelled') AS cancelled FROM run_memberships JOIN status USING (work_item_id) GROUP BY 1)"
+_RELEASE_SQL = f"(SELECT r.run_key, r.expected_member_count, coalesce(succeeded, 0) AS succeeded, coalesce(failed, 0) AS failed, coalesce(cancelled, 0) AS cancelled, coalesce(succeeded + failed + cancelled, 0) = expected_member_count AS covered FROM eligible r LEFT JOIN {_COUNTS_SQL} USING (run_key))"
+
+
+def _releases(t: Ledger) -> DataFrame:
+    eligible = C.eligible_runs(t.pipeline_runs, t.run_memberships, t.stage_executions)
+    return C.releases(eligible.select("run_key", "expected_member_count"), t.run_memberships, S.work_item_status(t.stage_executions))
+
+
+@query("SELECT run_key FROM eligible")
+def completion_eligible(t):
+    return C.eligible_runs(t.pipeline_runs, t.run_memberships, t.stage_executions).select("run_key")
+
+
+@query(f"SELECT r.run_key, coalesce(succeeded, 0) AS succeeded, coalesce(failed, 0) AS failed, coalesce(cancelled, 0) AS cancelled FROM pipeline_runs r LEFT JOIN {_COUNTS_SQL} USING (run_key)")
+def completion_terminal_counts(t):
+    return C.terminal_counts(t.pipeline_runs.select("run_key"), t.run_memberships, S.work_item_status(t.stage_executions))
+
+
+@query(f"SELECT run_key, succeeded, failed, cancelled FROM {_RELEASE_SQL} WHERE covered")
+def completion_releases(t):
+    return _releases(t).where("covered").select("run_key", "succeeded", "failed", "cancelled")
+
+
+@query(f"SELECT run_key, expected_member_count, succeeded + failed + cancelled AS counted FROM {_RELEASE_SQL} WHERE NOT covered")
+def completion_failures(t):
+    return _releases(t).where("NOT covered").select("run_key", "expected_member_count", (F.col("succeeded") + F.col("failed") + F.col("cancelled")).alias("counted"))
+
+
+@query("SELECT run_key, wrapped FROM (SELECT run_key, run_key <= 'run-5' AS wrapped FROM eligible) ORDER BY wrapped, run_key LIMIT 20")
+def completion_cursor_page(t):
+    return C.rotate(C.eligible_runs(t.pipeline_runs, t.run_memberships, t.stage_executions), "run-5", 20).select("run_key", "wrapped")
+
+
+@query("SELECT e.run_key, e.current_attempt, a.workflow_id, e.state, e.output_reference, e.error_summary FROM run_completion_executions e JOIN run_completion_attempts a ON a.run_completion_execution_id = e.run_completion_execution_id AND a.attempt_number = e.current_attempt")
+def completion_inspect(t):
+    attempts = t.run_completion_attempts.select("run_completion_execution_id", F.col("attempt_number").alias("current_attempt"), "workflow_id")
+    return t.run_completion_executions.join(attempts, ["run_completion_execution_id", "current_attempt"]).select("run_key", "current_attempt", "workflow_id", "state", "output_reference", "error_summary")
+
+
+# ---------------------------------------------------------------- recovery
+
+
+def _sweep_sql(rows: str, feed: str, key: str, cancellable: bool) -> str:
+    cancelled = "WHEN f.status = 'CANCELLED' THEN 'workflow_cancelled'" if cancellable else ""
+    return f"""SELECT {key}, workflow_id, CASE WHEN reason = 'workflow_cancelled' THEN 'cancelled' ELSE 'failed' END AS new_state, reason FROM (
+SELECT x.{key}, x.workflow_id, CASE {cancelled} WHEN f.status IN ('ERROR', 'MAX_RECOVERY_ATTEMPTS_EXCEEDED') THEN 'workflow_error'
+  WHEN f.status = 'PENDING' AND nullif(trim(f.app_version), '') IS NOT NULL AND f.executor_id IS NOT NULL THEN CASE WHEN trim(f.app_version) <> 'v2' THEN 'stale_app_version' WHEN f.executor_id NOT IN ('worker-0', 'worker-1', 'worker-2') THEN 'dead_executor' END END AS reason
+FROM {rows} x LEFT JOIN {feed} f ON f.workflow_id = x.workflow_id) WHERE reason IS NOT NULL"""
+
+
+def _live(t: Ledger) -> DataFrame:
+    return t.spark.range(3).select(F.concat(F.lit("worker-"), F.col("id").cast("string")).alias("executor_id"))
+
+
+@query(_sweep_sql("(SELECT e.stage_execution_id, c.workflow_id FROM stage_executions e JOIN current c USING (stage_execution_id) WHERE e.state = 'admitted')", "workflow_status", "stage_execution_id", True))
+def sweep_stages(t):
+    current = t.stage_attempts.select("stage_execution_id", F.col("attempt_number").alias("current_attempt"), "workflow_id")
+    admitted = t.stage_executions.where("state = 'admitted'").join(current, ["stage_execution_id", "current_attempt"])
+    return C.sweep(admitted, t.workflow_status, "v2", _live(t)).where("reason IS NOT NULL").select("stage_execution_id", "workflow_id", "new_state", "reason")
+
+
+@query(_sweep_sql("(SELECT e.run_key, a.workflow_id FROM run_completion_executions e JOIN run_completion_attempts a ON a.run_completion_execution_id = e.run_completion_execution_id AND a.attempt_number = e.current_attempt WHERE e.state = 'enqueued')", "completion_status", "run_key", False))
+def sweep_completions(t):
+    current = t.run_completion_attempts.select("run_completion_execution_id", F.col("attempt_number").alias("current_attempt"), "workflow_id")
+    waiting = t.run_completion_executions.where("state = 'enqueued'").join(current, ["run_completion_execution_id", "current_attempt"])
+    return C.sweep(waiting, t.completion_status, "v2", _live(t), cancellable=False).where("reason IS NOT NULL").select("run_key", "workflow_id", "new_state", "reason")
+
+
+@query("SELECT k.id AS stage_execution_id, CASE WHEN e.state = 'failed' THEN 'retry' WHEN e.state IS NULL THEN 'unknown' ELSE 'not_failed' END AS disposition, CASE WHEN e.state = 'failed' THEN e.current_attempt + 1 END AS attempt_number FROM (SELECT DISTINCT stage_execution_id + CASE WHEN stage_index = 0 THEN 50 ELSE 0 END AS id FROM stage_executions WHERE work_item_id % 4 = 0) k LEFT JOIN stage_executions e ON e.stage_execution_id = k.id")
+def retry_stages(t):
+    wanted = t.stage_executions.where("work_item_id % 4 = 0").selectExpr("stage_execution_id + CASE WHEN stage_index = 0 THEN 50 ELSE 0 END AS stage_execution_id")
+    return C.retries(t.stage_executions, wanted)
+
+
+@query("SELECT run_key, current_attempt + 1 AS attempt_number, 'enqueued' AS state FROM run_completion_executions WHERE state = 'failed'")
+def retry_completions(t):
+    return t.run_completion_executions.where("state = 'failed'").select("run_key", (F.col("current_attempt") + 1).alias("attempt_number"), F.lit("enqueued").alias("state"))
+
+
+@query("SELECT e.work_item_id, e.stage_execution_id, CASE WHEN e.state = 'admitted' THEN 'delegated' ELSE 'cancelled' END AS disposition, CASE WHEN e.state = 'admitted' THEN c.workflow_id END AS delegated_workflow_id FROM stage_executions e LEFT JOIN current c USING (stage_execution_id) WHERE e.work_item_id % 6 = 0 AND e.state IN ('ready', 'admitted', 'failed')")
+def cancel_work(t):
+    return C.cancellations(t.stage_executions, t.work_items.where("work_item_id % 6 = 0"), t.stage_attempts)
+
+
+@query("SELECT DISTINCT e.work_item_id, c.workflow_id FROM stage_executions e JOIN current c USING (stage_execution_id) WHERE e.work_item_id % 2 = 0 AND e.state = 'cancelled' AND e.work_item_id NOT IN (SELECT work_item_id FROM stage_executions WHERE state IN ('ready', 'admitted', 'failed'))")
+def cancel_redelegate(t):
+    return C.redelegations(t.stage_executions, t.work_items.where("work_item_id % 2 = 0"), t.stage_attempts)
+
+
+@query("SELECT e.stage_execution_id, 7 AS priority, CASE WHEN e.state = 'admitted' THEN c.workflow_id END AS workflow_id FROM stage_executions e LEFT JOIN current c USING (stage_execution_id) WHERE e.work_item_id % 9 = 0 AND e.state IN ('ready', 'admitted', 'failed')")
+def set_priority(t):
+    rows = C.cancellations(t.stage_executions, t.work_items.where("work_item_id % 9 = 0"), t.stage_attempts)
+    return rows.select("stage_execution_id", F.lit(7).alias("priority"), F.col("delegated_workflow_id").alias("workflow_id"))
+
+
+# ---------------------------------------------------------------- integrity and merge
+
+
+@query("SELECT 'output_only_on_success' AS rule, CAST(stage_execution_id AS VARCHAR) AS key FROM stage_executions WHERE stage_execution_id % 29 = 0 AND state <> 'succeeded' UNION ALL SELECT 'ready_has_no_attempt', CAST(stage_execution_id AS VARCHAR) FROM stage_executions WHERE stage_execution_id % 31 = 0 AND state = 'ready'")
+def check_violations(t):
+    spoiled = t.stage_executions.withColumn("output_reference", F.when(F.col("stage_execution_id") % 29 == 0, "out").otherwise(F.col("output_reference"))).withColumn("current_attempt", F.when(F.col("stage_execution_id") % 31 == 0, 3).otherwise(F.col("current_attempt")))
+    rules = {"output_only_on_success": "state = 'succeeded' OR output_reference IS NULL", "ready_has_no_attempt": "state <> 'ready' OR current_attempt = 0", "index_not_negative": "stage_index >= 0"}
+    return C.violations(spoiled, "stage_execution_id", rules)
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_violations(t):
+    return C.repeated_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT stage_attempt_id, stage_execution_id FROM stage_attempts WHERE stage_execution_id % 13 = 0")
+def fk_violations(t):
+    return C.orphans(t.stage_attempts, t.stage_executions.where("stage_execution_id % 13 <> 0"), "stage_execution_id", "stage_execution_id").select("stage_attempt_id", "stage_execution_id")
+
+
+@query("SELECT run_key FROM pipeline_runs WHERE campaign_key = 'campaign-3'")
+def immutability_violations(t):
+    facts = F.struct("campaign_key", "pipeline_key", "pipeline_version", "execution_config_reference", "expected_member_count", "manifest_reference")
+    old = t.pipeline_runs.select("run_key", facts.alias("old"))
+    changed = t.pipeline_runs.withColumn("execution_config_reference", F.when(F.col("campaign_key") == "campaign-3", "config:x").otherwise(F.col("execution_config_reference")))
+    return changed.select("run_key", facts.alias("new")).join(old, "run_key").where(~F.col("old").eqNullSafe(F.col("new"))).select("run_key")
+
+
+@query("SELECT run_key, member_ordinal, work_item_id FROM run_memberships JOIN pipeline_runs USING (run_key) WHERE registration_closed_at IS NOT NULL AND work_item_id % 37 = 0")
+def frozen_membership_violations(t):
+    new = t.run_memberships.where("work_item_id % 37 <> 0")
+    moved = t.run_memberships.exceptAll(new).unionByName(new.exceptAll(t.run_memberships))
+    return moved.join(t.pipeline_runs.where("registration_closed_at IS NOT NULL").select("run_key"), "run_key", "left_semi")
+
+
+@query("SELECT stage_execution_id, CASE WHEN stage_execution_id % 3 = 0 THEN w.input_reference ELSE e.input_reference END AS input_reference, w.priority FROM stage_executions e JOIN work_items w USING (work_item_id)")
+def backfill_inputs(t):
+    holed = t.stage_executions.withColumn("input_reference", F.when(F.col("stage_execution_id") % 3 != 0, F.col("input_reference")))
+    items = t.work_items.select("work_item_id", F.col("input_reference").alias("item_input"), "priority")
+    return holed.join(items, "work_item_id").select("stage_execution_id", F.coalesce("input_reference", "item_input").alias("input_reference"), "priority")
+
+
+@query("SELECT stage_execution_id, CASE WHEN stage_execution_id % 5 = 0 AND state = 'ready' THEN 'admitted' ELSE state END AS state FROM stage_executions")
+def apply_changes(t):
+    updates = t.stage_executions.where("stage_execution_id % 5 = 0").select("stage_execution_id", F.lit("admitted").alias("state"), F.lit("ready").alias("expected"))
+    return C.apply_changes(t.stage_executions, "stage_execution_id", updates, guard="state").select("stage_execution_id", "state")
+
+
+@query("SELECT work_item_id, stage_key AS missing FROM (SELECT DISTINCT work_item_id, stage_key FROM stage_executions) WHERE stage_key NOT IN ('optim_step', 'eval_row', 'eval_fanin')")
+def registry_drift(t):
+    declared = F.broadcast(t.stage_controls.select("stage_key").distinct())
+    return t.stage_executions.select("work_item_id", F.col("stage_key").alias("missing")).distinct().join(declared.withColumnRenamed("stage_key", "missing"), "missing", "left_anti").select("work_item_id", "missing")
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query()
+def stream_current_state(t):
+    return folds.run_once(t.spark, folds.current_states(folds.read_events(t.spark, t.sf_dir)), "append").groupBy("work_item_id").agg(F.max_by(F.struct("state", "accepted", "rejected"), "accepted").alias("s")).select("work_item_id", "s.*")
+
+
+@query("""SELECT CASE event_type WHEN 'signup' THEN 'ready' WHEN 'view' THEN 'admitted' WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS state, count(*) AS n FROM events GROUP BY 1""")
+def stream_event_counts(t):
+    return folds.run_once(t.spark, folds.event_counts(folds.read_events(t.spark, t.sf_dir)), "complete")
