@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import fresh, held_out, materialize, text_of
 from .scan import parts, sums, word_hashes, words
@@ -159,5 +160,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFra
                 fields = [f for i, f in enumerate(part.schema) if i != k]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(model.value.score(statistics(data, at)))], schema=pa.schema([*fields, pa.field(score, pa.float64())]))
 
-    out = docs.withColumn(text, text_of()).mapInArrow(run, docs.schema.add(score, "double"))
+    out = docs.withColumn(text, text_of()).mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
     return out.where(F.col(score) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
