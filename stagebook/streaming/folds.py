@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.expressions import MOVES
@@ -54,7 +55,7 @@ def run_once(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/out")
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/out")
     if mode == "complete":  # the last batch has all
         out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
     return out.drop("batch")
