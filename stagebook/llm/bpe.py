@@ -20,7 +20,7 @@ import regex
 NO_PAIR = np.int32(2**31 - 1)
 WIDEST = 64
 #: Words whose matrices are held at once.
-ROWS = 20_000
+ROWS = 8_000
 #: Entries of a generation of the cache of encoded units; two generations are kept (some 200 bytes an entry).
 CACHE_ENTRIES = 250_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -265,9 +265,9 @@ class ByteBPE:
     its ids, before each single space between two other characters. The parts are encoded once and remembered.
     """
 
-    def __init__(self, ranks: Ranks, pattern: str) -> None:
+    def __init__(self, ranks: Ranks, pattern: str, entries: int = CACHE_ENTRIES) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.spaced, self.first = UnitCache(), UnitCache()
+        self.spaced, self.first = UnitCache(entries), UnitCache(entries // 4)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") if plain_spaces(t) else None for t in texts]

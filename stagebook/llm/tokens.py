@@ -42,7 +42,8 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.Recor
 @lru_cache(maxsize=2)
 def byte_encoder(path: str, pattern: str) -> ByteBPE:
     """Segment-tree merging by the ranks of a file of ``base64 rank`` lines."""
-    return ByteBPE(ranks_of_tiktoken(path), pattern)
+    # encoding and decoding run in two Python workers a task, so this one's cache is kept small
+    return ByteBPE(ranks_of_tiktoken(path), pattern, entries=100_000)
 
 
 @lru_cache(maxsize=2)
