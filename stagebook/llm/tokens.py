@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import ByteBPE, UnitCache, byte_letters, ranks_of_tiktoken
+from .bpe import CACHE_ENTRIES, ByteBPE, UnitCache, byte_letters, ranks_of_tiktoken
 from .common import materialize, text_of
 
 #: Characters of text that are taken up at once within a task.
@@ -108,6 +108,13 @@ class _LibraryBytes(ByteBPE):
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Stands for the end of a word; parts of text that hold it go to the tokenizer itself.
+MARK = "\0"
+#: Ranges of characters whose classes are compared, and ranges that are letters in every version of Unicode since 5.2.
+PROBED = [(0x1, 0x3400), (0xF900, 0x10000), (0x1F000, 0x1FB00)]
+LETTERS = [(0x3400, 0x4DB6), (0x4E00, 0x9FCC), (0xAC00, 0xD7A4)]
+
+
 class _LibraryWords:
     """Ids by a tokenizer whose matches hold no white space: a text is cut at its spaces and each distinct part is encoded once."""
 
@@ -116,40 +123,87 @@ class _LibraryWords:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole, self.cache = Tokenizer.from_file(path), UnitCache()
+        self.whole, self.cache = Tokenizer.from_file(path), UnitCache(2 * CACHE_ENTRIES)
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"]
         first = pre["pretokenizers"][0] if pre["type"] == "Sequence" else pre
         # proven for this shape: a split that keeps matches of a pattern without white space or lookaround, then bytes to letters
         self.direct = pre["type"] == "Sequence" and [p["type"] for p in pre["pretokenizers"]] == ["Split", "ByteLevel"] and first["behavior"] == "Removed" and first["invert"] and not pre["pretokenizers"][1]["use_regex"] and not pre["pretokenizers"][1]["add_prefix_space"] and not re.search(r"\(\?|\\s[+*?]|\. | ", first["pattern"].get("Regex", "(?"))
         self.direct = self.direct and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.direct = self.direct and self._ranked(spec["model"])
         if self.direct:
             self.pattern = regex.compile(first["pattern"]["Regex"])
-            self.letters, self.words = byte_letters(), UnitCache(2 * UnitCache().entries)
+            self.odd = self._unlike()
+
+    def _unlike(self) -> re.Pattern:
+        """Characters that the two libraries' Unicode tables may put in other classes; parts of text with them go to the tokenizer itself."""
+        known = [chr(c) for low, high in PROBED for c in range(low, high) if not chr(c).isspace()]
+        probe = " ".join(f"{c}{c}a" for c in known)  # a letter gives one match, a number three, others two
+        theirs = np.array([a for _, (a, _) in self.whole.pre_tokenizer.pre_tokenize_str(probe)])
+        ours = np.array([m.start() for m in self.pattern.finditer(probe)])
+        at = np.arange(len(known) + 1) * 4
+        begins = [np.searchsorted(x, at) for x in (theirs, ours)]
+        same = np.diff(begins[0]) == np.diff(begins[1])
+        taken = "".join(f"{chr(low)}-{chr(high - 1)}" for low, high in [*PROBED[1:], *LETTERS])
+        rest = "".join(re.escape(c) for c, ok in zip(known, same.tolist(), strict=True) if not ok)
+        spaces = "".join(c for c in map(chr, range(PROBED[0][1])) if c.isspace())
+        return re.compile(rf"[{MARK}{re.escape(spaces)}{rest}]|[^\x01-{chr(PROBED[0][1] - 1)}{taken}]")
+
+    def _ranked(self, model: dict) -> bool:
+        """The same merges by a library that works on ranks of bytes; an unused byte (MARK) stands for the end of a word.
+
+        True where ids follow the order of the merges, so that ranks and merges say the same, and no merge holds that byte.
+        """
+        import tiktoken
+
+        end, letter = model.get("end_of_word_suffix"), byte_letters()
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = ["".join(m) for m in merges]
+        begins = [*map(letter.__getitem__, range(256)), *(letter[b] + (end or "") for b in range(256))]
+        vocab, mark = model["vocab"], letter[ord(MARK)]
+        if not end or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "byte_fallback")) or any(mark in m for m in made) or not all(t in vocab for t in [*begins, *made]):
+            return False
+        back = {c: bytes([b]) for b, c in letter.items()}
+        raw = [b"".join(map(back.__getitem__, t.removesuffix(end))) + (MARK.encode() if t.endswith(end) else b"") for t in [*begins, *made]]
+        if len(set(raw)) != len(raw) or [vocab[t] for t in made] != list(range(512, 512 + len(made))):
+            return False
+        self.ids = np.array([vocab[t] for t in [*begins, *made]], dtype="<u4")
+        self.core = tiktoken.Encoding("words", pat_str=f"[^{MARK} ]+{MARK}| ", mergeable_ranks=dict(zip(raw, range(len(raw)), strict=True)), special_tokens={})
+        return True
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") if self.direct and not any(s in t for s in self.special) else None for t in texts]
+        parts = [t.replace("\n", " ").replace("\t", " ").split(" ") if self.direct and not any(s in t for s in self.special) else None for t in texts]
         self._learn(set().union(*filter(None, parts)))
         get = self.cache.new.__getitem__
-        out = [b"".join(map(get, p)) if p is not None else np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for p, t in zip(parts, texts, strict=True)]
+        out = [b"".join(map(get, p)) if p is not None else self._plain(t) for p, t in zip(parts, texts, strict=True)]
         self.cache.rotate()
-        self.words.rotate() if self.direct else None
         return out
 
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def _learn(self, units: set[str]) -> None:
+        if "" in units:
+            self.cache.new[""] = b""
         todo = self.cache.missing(units)
         if not todo:
             return
-        low = self.whole.normalizer.normalize_str(" ".join(todo)).split(" ")
-        if len(low) != len(todo):  # a part holds other white space
-            low = [self.whole.normalizer.normalize_str(u) for u in todo]
-        found = [self.pattern.findall(u) for u in low]
-        tokenize, letters = self.whole.model.tokenize, self.letters
-        for m in self.words.missing({m for f in found for m in f}):
-            ids = [t.id for t in tokenize(m.encode().decode("latin-1").translate(letters))]
-            self.words.new[m] = np.array(ids, dtype="<u4").tobytes()
-        get = self.words.new.__getitem__
-        self.cache.new.update((u, b"".join(map(get, f))) for u, f in zip(todo, found, strict=True))
+        low = self.whole.normalizer.normalize_str(" ".join(todo))
+        if low.count(" ") >= len(todo) or self.odd.search(low.replace(" ", "")):
+            plain = []
+            for u, v in zip(todo, map(self.whole.normalizer.normalize_str, todo), strict=True):
+                if self.odd.search(v):
+                    self.cache.new[u] = self._plain(u)
+                else:
+                    plain.append((u, v))
+            if not plain:
+                return
+            todo, low = [u for u, _ in plain], " ".join(v for _, v in plain)
+        ranks = np.array(self.core.encode_ordinary(self.pattern.sub(rf"\g<0>{MARK}", low)), dtype=np.int64)
+        cut = np.nonzero(ranks == ord(" "))[0]  # a space between two units is a piece of its own
+        raw = self.ids[np.delete(ranks, cut)].tobytes()
+        ends = [*(4 * (cut - np.arange(len(cut)))).tolist(), len(raw)]
+        self.cache.new.update(zip(todo, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
 
 @lru_cache(maxsize=2)

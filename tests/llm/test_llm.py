@@ -206,3 +206,17 @@ def test_pipeline_stages_keep_the_columns(spark):
         out = stage(spark, out, SF)
         assert out.columns == docs.columns
     assert 0 < out.count() < docs.count()
+
+
+def test_word_ids_are_the_tokenizers():
+    """Every piece of the vocabulary, odd spaces, marks, and characters that the two libraries may class differently."""
+    encoder = tokens.library_words(P.path("word_bpe_49k.json"))
+    assert encoder.direct
+    back = {c: b for b, c in tokens.byte_letters().items()}
+    texts = [bytes(back[c] for c in v.removesuffix("</w>")).decode(errors="replace") for v in encoder.whole.get_vocab() if "|" not in v]
+    texts += [f"a{chr(c)}B" for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    draw = random.Random(3)
+    texts += ["".join(draw.choices("aAbé ’'sß́\n\t  .!?0१İ😀東\x00\x1d ՘", k=draw.randrange(40))) for _ in range(3000)]
+    texts += ["", " ", "a  b", "x<|endoftext|>y"]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.whole.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode_batch(texts) == want
