@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
 import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +24,29 @@ from .common import materialize, text_of
 BATCH_CHARS = 4_000_000
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def shares(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about BATCH_CHARS of text (one row at least), so that a task's memory is bounded."""
-    column = batch.column(batch.schema.get_field_index(text))
-    lengths = np.asarray(pc.binary_length(column).fill_null(0))
+    lengths = np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0))
     group = np.cumsum(lengths) // BATCH_CHARS
     edges = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(lengths)]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:
-            part = batch.slice(a, b - a)
-            yield part, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+            yield batch.slice(a, b - a)
+
+
+def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The same parts with their texts as strings."""
+    for part in shares(batch, text):
+        yield part, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+
+
+def spans(flat: np.ndarray, begin: np.ndarray, count: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """flat[begin : begin + count] of all spans on end, taken in blocks of spans."""
+    out = [flat[:0]]
+    for k in range(0, len(begin), block):
+        n = count[k : k + block]
+        out.append(flat[np.repeat(begin[k : k + block] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    return np.concatenate(out)
 
 
 # ---------------------------------------------------------------- encoders, one for each process and file
@@ -116,14 +129,19 @@ LETTERS = [(0x3400, 0x4DB6), (0x4E00, 0x9FCC), (0xAC00, 0xD7A4)]
 
 
 class _LibraryWords:
-    """Ids by a tokenizer whose matches hold no white space: a text is cut at its spaces and each distinct part is encoded once."""
+    """Ids by a tokenizer whose matches hold no white space: a text is cut at its spaces and each distinct part is encoded once.
+
+    Parts are told apart by Arrow's dictionary encoding. The ids of parts lie on end in one array (``flat``), where
+    ``begin`` and ``count`` say those of each; ``slot`` has the place of a part. A full pool keeps what the last batch used.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole, self.cache = Tokenizer.from_file(path), UnitCache(2 * CACHE_ENTRIES)
+        self.whole, self.entries = Tokenizer.from_file(path), 2 * CACHE_ENTRIES
+        self._hold([], np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"]
         first = pre["pretokenizers"][0] if pre["type"] == "Sequence" else pre
@@ -171,39 +189,84 @@ class _LibraryWords:
         self.core = tiktoken.Encoding("words", pat_str=f"[^{MARK} ]+{MARK}| ", mergeable_ranks=dict(zip(raw, range(len(raw)), strict=True)), special_tokens={})
         return True
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").replace("\t", " ").split(" ") if self.direct and not any(s in t for s in self.special) else None for t in texts]
-        self._learn(set().union(*filter(None, parts)))
-        get = self.cache.new.__getitem__
-        out = [b"".join(map(get, p)) if p is not None else self._plain(t) for p, t in zip(parts, texts, strict=True)]
-        self.cache.rotate()
-        return out
+    def _hold(self, units: list[str], flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        self.slot = dict(zip(units, range(len(units)), strict=True))
+        self.flat, self.begin, self.count = flat, begin, count
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, units: set[str]) -> None:
-        if "" in units:
-            self.cache.new[""] = b""
-        todo = self.cache.missing(units)
-        if not todo:
-            return
-        low = self.whole.normalizer.normalize_str(" ".join(todo))
-        if low.count(" ") >= len(todo) or self.odd.search(low.replace(" ", "")):
-            plain = []
-            for u, v in zip(todo, map(self.whole.normalizer.normalize_str, todo), strict=True):
-                if self.odd.search(v):
-                    self.cache.new[u] = self._plain(u)
-                else:
-                    plain.append((u, v))
-            if not plain:
-                return
-            todo, low = [u for u, _ in plain], " ".join(v for _, v in plain)
-        ranks = np.array(self.core.encode_ordinary(self.pattern.sub(rf"\g<0>{MARK}", low)), dtype=np.int64)
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        flat, counts = self.encode_column(pa.array(texts, pa.string()))
+        raw, ends = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end and how many each has; a null counts as empty."""
+        texts = texts.fill_null("") if texts.null_count else texts
+        alone = np.full(len(texts), not self.direct)
+        for s in self.special:
+            alone |= np.asarray(pc.match_substring(texts, s))
+        if not alone.any():
+            return self._by_units(texts)
+        flat, counts = self._by_units(pc.if_else(pa.array(alone), pa.scalar("", texts.type), texts))
+        begin, more = np.cumsum(counts) - counts, [flat]
+        self._instead(begin, counts, more, np.nonzero(alone)[0].tolist(), texts.filter(pa.array(alone)).to_pylist())
+        return spans(np.concatenate(more), begin, counts), counts
+
+    def _instead(self, begin: np.ndarray, count: np.ndarray, more: list[np.ndarray], places: list[int], texts: list[str]) -> None:
+        """Put ids by the tokenizer itself in the given places: behind the arrays that are there."""
+        end = sum(map(len, more))
+        for k, t in zip(places, texts, strict=True):
+            ids = np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4")
+            begin[k], count[k], end = end, len(ids), end + len(ids)
+            more.append(ids)
+
+    def _by_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.cast(pa.large_string())
+        at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]].copy()
+        at = at - at[0]
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[1:] = (data == 32) | (data == 10) | (data == 9)
+        data[cut[1:]] = 32
+        cut[at] = True
+        edges = np.nonzero(cut)[0]  # a unit ends behind a space or with its text
+        units = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        words = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if len(new := np.nonzero(slots < 0)[0]):
+            todo = [words[k] for k in new.tolist()]
+            flat, begin, count = self._learn([u.removesuffix(" ") for u in todo])
+            slots[new] = np.arange(len(self.slot), len(self.slot) + len(new))
+            self.slot.update(zip(todo, slots[new].tolist(), strict=True))
+            self.begin, self.count = np.concatenate([self.begin, begin + len(self.flat)]), np.concatenate([self.count, count])
+            self.flat = np.concatenate([self.flat, flat])
+        begin, count = self.begin[slots], self.count[slots]
+        codes = np.asarray(units.indices)
+        out, n = spans(self.flat, begin[codes], count[codes]), count[codes]
+        if len(self.slot) > self.entries:
+            self._hold(words, spans(self.flat, begin, count), np.cumsum(count) - count, count)
+        return out, np.diff(np.concatenate([[0], np.cumsum(n)])[np.searchsorted(edges, at)])
+
+    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units without spaces: all on end, and where those of each begin and how many they are."""
+        joined = " ".join(units)
+        odd = [k for k, u in enumerate(units) if self.odd.search(u)] if self.odd.search(joined.replace(" ", "")) else []
+        lower = joined.lower().split(" ")  # what the normaliser does to ASCII without white space
+        if not joined.isascii():
+            wide = [k for k, u in enumerate(units) if not u.isascii()]
+            wide = sorted(set(wide).difference(odd))
+            found = self.whole.normalizer.normalize_str(" ".join(units[k] for k in wide)).split(" ")
+            for k, v in zip(wide, found if wide else [], strict=True):
+                lower[k] = v
+            if self.odd.search("".join(found)):
+                odd += [k for k in wide if self.odd.search(lower[k])]
+        for k in odd:
+            lower[k] = ""
+        ranks = np.array(self.core.encode_ordinary(self.pattern.sub(rf"\g<0>{MARK}", " ".join(lower))), dtype=np.int64)
         cut = np.nonzero(ranks == ord(" "))[0]  # a space between two units is a piece of its own
-        raw = self.ids[np.delete(ranks, cut)].tobytes()
-        ends = [*(4 * (cut - np.arange(len(cut)))).tolist(), len(raw)]
-        self.cache.new.update(zip(todo, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        count = np.diff(np.concatenate([[-1], cut, [len(ranks)]])) - 1
+        begin, more = np.cumsum(count) - count, [self.ids[np.delete(ranks, cut)]]
+        self._instead(begin, count, more, odd, [units[k] for k in odd])
+        return np.concatenate(more), begin, count
 
 
 @lru_cache(maxsize=2)
@@ -360,14 +423,14 @@ def write_token_files(docs: DataFrame, encode: Callable[[], object], path: str,
 
     def run(batches):
         encoder = encode()
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for part, texts in slices(batch):
-                raw = [r + end for r in encoder.encode_batch(texts)]
-                n = np.fromiter((len(r) // 4 for r in raw), dtype=np.int64, count=len(raw))
-                flat = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(raw))])
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array([zlib.crc32(r) for r in raw], pa.int64()), tokens], ["doc_id", "n_tokens", "ids_crc32", "tokens"])
+            for part in shares(batch):
+                ids, n = encoder.encode_column(part.column(1))
+                flat, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                edges = np.concatenate([[0], np.cumsum(n)])
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+                tokens = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(crc, pa.int64()), tokens], ["doc_id", "n_tokens", "ids_crc32", "tokens"])
 
     parts = docs.select("doc_id", text_of().alias("text")).repartitionByRange(F.col("doc_id"))
     encoded = parts.sortWithinPartitions("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, tokens array<int>")
