@@ -123,6 +123,41 @@ def classify_outcomes(outcomes: DataFrame, attempts: DataFrame, executions: Data
     return rows.withColumn("kind", kind)
 
 
+def fanout_problems(successors: DataFrame, eval_key: str, fanin_key: str) -> DataFrame:
+    """Per origin (``origin_id, origin_index``) the first thing wrong with its successors as rows to evaluate plus one fan-in; null if all is well."""
+    if eval_key == fanin_key:
+        raise ValueError("rows to evaluate and the fan-in need different stage keys")
+    row, fanin = F.col("stage_key") == eval_key, F.col("stage_key") == fanin_key
+    n = successors.groupBy("origin_id", "origin_index").agg(
+        F.count_if(~row & ~fanin).alias("foreign"), F.count_if(row).alias("rows"), F.count_if(fanin).alias("fanins"),
+        F.max(F.when(fanin, F.col("barrier"))).alias("fanin_waits"), F.max(F.when(row, F.col("barrier"))).alias("row_waits"), F.max(F.when(fanin, F.col("stage_index"))).alias("fanin_index"),
+        F.min(F.when(row, F.col("stage_index"))).alias("low"), F.max(F.when(row, F.col("stage_index"))).alias("high"), F.countDistinct(F.when(row, F.col("stage_index"))).alias("places"),
+    )
+    gapless = (F.col("low") == F.col("origin_index") + 1) & (F.col("high") == F.col("origin_index") + F.col("rows")) & (F.col("places") == F.col("rows"))
+    problem = (
+        F.when(F.col("foreign") > 0, "foreign_stage").when(F.col("rows") == 0, "no_rows").when(F.col("fanins") != 1, "not_one_fanin").when(~F.col("fanin_waits"), "fanin_without_barrier")
+        .when(F.col("row_waits"), "row_with_barrier").when(~gapless, "gap").when(F.col("fanin_index") != F.col("high") + 1, "fanin_misplaced")
+    )
+    return n.select("origin_id", "rows", problem.alias("problem"))
+
+
+def route_problems(routes: DataFrame) -> DataFrame:
+    """What is wrong with routes by label (stage identity, ``ordinal, selector, queue_name``): ``ordinal, other, problem``.
+
+    A selector must not be empty, queues of a stage differ, and two selectors must not agree on all the labels that both name
+    (selectors without a common label may stand side by side). Pairs are found by a label and value that both have.
+    """
+    empty = routes.where(F.size("selector") == 0).select(*STAGE, "ordinal", F.lit(None).cast("int").alias("other"), F.lit("empty_selector").alias("problem"))
+    later = lambda rows: rows.select(*STAGE, F.col("ordinal").alias("other"), *[F.col(c).alias(f"other_{c}") for c in rows.columns if c not in (*STAGE, "ordinal")])
+    queues = routes.select(*STAGE, "ordinal", "queue_name")
+    same = queues.join(later(queues), STAGE).where("ordinal < other AND queue_name = other_queue_name").select(*STAGE, "ordinal", "other", F.lit("repeated_queue").alias("problem"))
+    entries = routes.select(*STAGE, "ordinal", "selector", F.explode(F.map_entries("selector")).alias("entry"))
+    both = entries.alias("a").join(later(entries).alias("b"), STAGE).where("ordinal < other AND entry = other_entry")
+    agree = F.forall(F.map_entries("selector"), lambda e: F.coalesce(F.col("other_selector")[e["key"]] == e["value"], F.lit(True)))
+    overlap = both.where(agree).select(*STAGE, "ordinal", "other", F.lit("overlap").alias("problem")).distinct()
+    return empty.unionByName(same).unionByName(overlap)
+
+
 def illegal_moves(changes: DataFrame) -> DataFrame:
     """Rows (old state, new state) that the table of moves does not have."""
     return changes.where(~may_move("old_state", "new_state"))
@@ -150,6 +185,27 @@ def releases(eligible: DataFrame, memberships: DataFrame, status: DataFrame) ->
     return terminal_counts(eligible, memberships, status).withColumn("covered", F.col("succeeded") + F.col("failed") + F.col("cancelled") == F.col("expected_member_count"))
 
 
+def classify_completion_outcomes(outcomes: DataFrame, attempts: DataFrame, executions: DataFrame) -> DataFrame:
+    """Each completion outcome as unknown, stale (not the current attempt), replay or conflict (an outcome is there already), rejected or apply.
+
+    A success needs an output reference, a failure an error (canonical JSON) and no reference. ``new_state`` is set where to apply.
+    """
+    at = attempts.select("workflow_id", "run_completion_execution_id", "attempt_number")
+    held = executions.select("run_completion_execution_id", "run_key", "current_attempt", "state", F.col("output_reference").alias("old_reference"), F.col("error_summary").alias("old_error"))
+    rows = outcomes.join(at, "workflow_id", "left").join(held, "run_completion_execution_id", "left")
+    said = F.when(F.col("succeeded"), "succeeded").otherwise("failed")
+    equal = (F.col("state") == said) & F.col("old_reference").eqNullSafe(F.col("output_reference")) & (F.coalesce("old_error", F.lit("{}")) == F.coalesce("error_summary", F.lit("{}")))
+    valid = F.when(F.col("succeeded"), blank_as_absent("output_reference").isNotNull()).otherwise(F.col("output_reference").isNull() & F.col("error_summary").isNotNull())
+    kind = (
+        F.when(F.col("attempt_number").isNull() | F.col("current_attempt").isNull(), "unknown")
+        .when(F.col("attempt_number") != F.col("current_attempt"), "stale")
+        .when(F.col("state") != "enqueued", F.when(equal, "replay").otherwise("conflict"))
+        .when(~valid, "rejected")
+        .otherwise("apply")
+    )
+    return rows.withColumn("kind", kind).withColumn("new_state", F.when(F.col("kind") == "apply", said))
+
+
 def rotate(runs: DataFrame, cursor: str, budget: int) -> DataFrame:
     """The next ``budget`` candidates after the cursor, around the end."""
     return runs.withColumn("wrapped", F.col("run_key") <= cursor).orderBy("wrapped", "run_key").limit(budget)

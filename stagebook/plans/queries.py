@@ -347,6 +347,20 @@ def successor_rows(t):
     return new.join(t.stage_executions.select("work_item_id", "stage_index"), ["work_item_id", "stage_index"], "left_anti")
 
 
+#: Successors of each optimisation step, some of them lost, renamed or with the other barrier.
+_FANOUT_SQL = "SELECT e.work_item_id AS origin_id, 0 AS origin_index, CASE WHEN e.stage_execution_id % 47 = 0 THEN 'other' ELSE e.stage_key END AS stage_key, e.stage_index, CASE WHEN e.stage_execution_id % 43 = 0 THEN NOT e.barrier ELSE e.barrier END AS barrier FROM {executions} e JOIN {executions} o ON o.work_item_id = e.work_item_id AND o.stage_index = 0 AND o.stage_key = 'optim_step' WHERE e.stage_index > 0 AND e.stage_execution_id % 41 <> 0"
+
+
+@query(f"""SELECT origin_id, n AS rows, CASE WHEN alien > 0 THEN 'foreign_stage' WHEN n = 0 THEN 'no_rows' WHEN fanins <> 1 THEN 'not_one_fanin' WHEN NOT fanin_waits THEN 'fanin_without_barrier' WHEN row_waits THEN 'row_with_barrier'
+  WHEN places IS DISTINCT FROM range(origin_index + 1, origin_index + 1 + n) THEN 'gap' WHEN fanin_index <> origin_index + n + 1 THEN 'fanin_misplaced' END AS problem
+FROM (SELECT origin_id, origin_index, count(*) FILTER (stage_key = 'eval_row') AS n, count(*) FILTER (stage_key = 'eval_fanin') AS fanins, count(*) FILTER (stage_key NOT IN ('eval_row', 'eval_fanin')) AS alien,
+  bool_or(barrier) FILTER (stage_key = 'eval_fanin') AS fanin_waits, bool_or(barrier) FILTER (stage_key = 'eval_row') AS row_waits, max(stage_index) FILTER (stage_key = 'eval_fanin') AS fanin_index,
+  list(DISTINCT stage_index::BIGINT ORDER BY stage_index::BIGINT) FILTER (stage_key = 'eval_row') AS places FROM ({_FANOUT_SQL.format(executions='stage_executions')}) GROUP BY 1, 2)""")
+def fanout_problems(t):
+    successors = t.spark.sql(_FANOUT_SQL, executions=t.stage_executions)
+    return C.fanout_problems(successors, "eval_row", "eval_fanin")
+
+
 @query("SELECT stage_execution_id, state AS old_state, CASE WHEN stage_execution_id % 2 = 0 THEN 'succeeded' ELSE 'cancelled' END AS new_state FROM stage_executions WHERE NOT ((state = 'admitted') OR (state IN ('ready', 'failed') AND stage_execution_id % 2 = 1))")
 def transition_violations(t):
     new = F.when(F.col("stage_execution_id") % 2 == 0, "succeeded").otherwise("cancelled")
@@ -387,6 +401,14 @@ def completion_cursor_page(t):
     return C.rotate(C.eligible_runs(t.pipeline_runs, t.run_memberships, t.stage_executions), "run-5", 20).select("run_key", "wrapped")
 
 
+@query("""SELECT o.workflow_id, e.run_key, CASE WHEN a.workflow_id IS NULL THEN 'unknown' WHEN a.attempt_number <> e.current_attempt THEN 'stale'
+  WHEN e.state <> 'enqueued' THEN CASE WHEN e.state = CASE WHEN o.succeeded THEN 'succeeded' ELSE 'failed' END AND e.output_reference IS NOT DISTINCT FROM o.output_reference AND coalesce(e.error_summary, '{}') = coalesce(o.error_summary, '{}') THEN 'replay' ELSE 'conflict' END
+  WHEN (o.succeeded AND coalesce(trim(o.output_reference), '') = '') OR (NOT o.succeeded AND (o.output_reference IS NOT NULL OR o.error_summary IS NULL)) THEN 'rejected' ELSE 'apply' END AS kind
+FROM completion_outcomes o LEFT JOIN run_completion_attempts a ON a.workflow_id = o.workflow_id LEFT JOIN run_completion_executions e ON e.run_completion_execution_id = a.run_completion_execution_id""")
+def completion_outcomes(t):
+    return C.classify_completion_outcomes(t.completion_outcomes, t.run_completion_attempts, t.run_completion_executions).select("workflow_id", "run_key", "kind")
+
+
 @query("SELECT e.run_key, e.current_attempt, a.workflow_id, e.state, e.output_reference, e.error_summary FROM run_completion_executions e JOIN run_completion_attempts a ON a.run_completion_execution_id = e.run_completion_execution_id AND a.attempt_number = e.current_attempt")
 def completion_inspect(t):
     attempts = t.run_completion_attempts.select("run_completion_execution_id", F.col("attempt_number").alias("current_attempt"), "workflow_id")

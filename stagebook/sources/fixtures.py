@@ -79,6 +79,13 @@ FROM run_completion_executions CROSS JOIN (SELECT 1 AS a UNION ALL SELECT 2) AS
 SELECT workflow_id, CASE run_completion_execution_id % 8 WHEN 0 THEN 'ERROR' WHEN 2 THEN 'PENDING' WHEN 4 THEN 'PENDING' ELSE 'ENQUEUED' END AS status,
        CASE WHEN run_completion_execution_id % 3 = 0 THEN 'v1' ELSE 'v2' END AS app_version, 'worker-0' AS executor_id
 FROM run_completion_attempts""",
+    "completion_outcomes": """
+SELECT a.workflow_id, e.run_completion_execution_id % 4 <> 0 AS succeeded,
+       CASE WHEN e.run_completion_execution_id % 4 <> 0 AND e.run_completion_execution_id % 7 <> 0 THEN concat('aggregate:', e.run_key) END AS output_reference,
+       CASE WHEN e.run_completion_execution_id % 4 = 0 THEN '{{"error_type":"builtins.ValueError","message":"broken"}}' END AS error_summary
+FROM run_completion_attempts AS a JOIN run_completion_executions AS e ON e.run_completion_execution_id = a.run_completion_execution_id
+UNION ALL
+SELECT concat(workflow_id, '-lost'), true, 'aggregate:lost', NULL FROM run_completion_attempts WHERE run_completion_execution_id % 40 = 2""",
     "members": """
 SELECT m.run_key, w.campaign_key, m.member_ordinal, w.input_reference AS known_input,
        CASE WHEN o % 3 = 0 THEN concat(w.work_key, '-new') ELSE w.work_key END AS work_key,

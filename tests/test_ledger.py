@@ -65,3 +65,30 @@ def test_fold_keeps_legal_moves(spark):
 def test_status_needs_no_sort(spark):
     plan = plans.queries()["campaign_state_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "Cartesian" not in plan
+
+
+def test_fanout_needs_rows_in_place_and_one_waiting_fanin(spark):
+    good = [("row", 3, False), ("row", 4, False), ("join", 5, True)]
+    cases = {
+        1: (good, None), 2: ([*good, ("x", 6, False)], "foreign_stage"), 3: (good[2:], "no_rows"), 4: (good[:2], "not_one_fanin"), 5: ([*good[:2], ("join", 5, False)], "fanin_without_barrier"),
+        6: ([("row", 3, True), *good[1:]], "row_with_barrier"), 7: (good[1:], "gap"), 8: ([good[0], *good], "gap"), 9: ([*good[:2], ("join", 6, True)], "fanin_misplaced"),
+    }
+    rows = [(k, 2, *x) for k, (of, _) in cases.items() for x in of]
+    got = C.fanout_problems(spark.createDataFrame(rows, "origin_id long, origin_index int, stage_key string, stage_index int, barrier boolean"), "row", "join").collect()
+    assert {r["origin_id"]: r["problem"] for r in got} == {k: want for k, (_, want) in cases.items()}
+    with pytest.raises(ValueError):
+        C.fanout_problems(spark.range(1), "row", "row")
+
+
+def test_routes_overlap_only_where_all_common_labels_agree(spark):
+    rows = [("p", 1, "a", k, sel, q) for k, (sel, q) in enumerate([({"c": "x"}, "q0"), ({"c": "y"}, "q1"), ({"z": "s"}, "q2"), ({"c": "x", "z": "l"}, "q3"), ({}, "q4"), ({"z": "m"}, "q1")])]
+    got = C.route_problems(spark.createDataFrame(rows, "pipeline_key string, pipeline_version int, stage_key string, ordinal int, selector map<string,string>, queue_name string")).collect()
+    assert {(r["ordinal"], r["other"], r["problem"]) for r in got} == {(0, 3, "overlap"), (1, 5, "repeated_queue"), (4, None, "empty_selector")}
+
+
+def test_completion_outcomes(spark):
+    attempts = spark.createDataFrame([("w1", 1, 1), ("w2", 2, 1), ("w2b", 2, 2), ("w3", 3, 1), ("w4", 4, 1)], "workflow_id string, run_completion_execution_id int, attempt_number int")
+    held = spark.createDataFrame([(1, "r1", 1, "enqueued", None, None), (2, "r2", 2, "enqueued", None, None), (3, "r3", 1, "succeeded", "out", None), (4, "r4", 1, "failed", None, "{}")], "run_completion_execution_id int, run_key string, current_attempt int, state string, output_reference string, error_summary string")
+    said = [("w1", True, "out", None, "apply"), ("w1", True, " ", None, "rejected"), ("w1", False, None, None, "rejected"), ("w1", False, "out", "{}", "rejected"), ("w2", True, "out", None, "stale"), ("w2b", False, None, "{}", "apply"), ("w3", True, "out", None, "replay"), ("w3", True, "other", None, "conflict"), ("w4", False, None, "{}", "replay"), ("w0", True, "out", None, "unknown")]
+    got = C.classify_completion_outcomes(spark.createDataFrame(said, "workflow_id string, succeeded boolean, output_reference string, error_summary string, want string"), attempts, held).collect()
+    assert len(got) == len(said) and all(r["kind"] == r["want"] for r in got)
