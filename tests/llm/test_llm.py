@@ -220,3 +220,17 @@ def test_word_ids_are_the_tokenizers():
     texts += ["", " ", "a  b", "x<|endoftext|>y"]
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.whole.encode_batch(texts, add_special_tokens=False)]
     assert encoder.encode_batch(texts) == want
+
+
+def test_word_encoder_with_a_small_pool_special_strings_and_wide_spaces():
+    encoder = tokens._LibraryWords(P.path("word_bpe_49k.json"))
+    encoder.entries = 8  # the pool turns over with each batch
+    batches = [
+        ["", " ", "one two  three\n", "one"], ["caf\u00e9 \u00a0 x\u00a0y z", "\u00c9t\u00e9\u3000a \u0130stanbul", "e\u0301 \u0301 q"], ["a <|endoftext|> b", "one two", "<|startoftext|>"],
+        ["one\ttwo\x00 \x1c three", "\u4e2d\u6587 \U0001f600", ""], ["<|endoftext|>"], ["word " * 5000 + "x" * 300],
+    ]
+    for texts in batches:
+        want = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.whole.encode_batch(texts, add_special_tokens=False)]
+        assert encoder.encode_batch(texts) == want
+    flat, counts = encoder.encode_column(tokens.pa.array([None, "one two", None], tokens.pa.string()).slice(1))
+    assert counts.tolist() == [2, 0] and len(flat) == 2
