@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expressions import blank_as_absent, contains, may_move
+from ..functions.expressions import blank_as_absent, contains, may_move, stable_rank
 from .status import barrier_gate
 
 STAGE = ["pipeline_key", "pipeline_version", "stage_key"]
@@ -79,11 +79,22 @@ def attempts_to_admit(planned: DataFrame, executions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- registration
 
 
-def classify_members(members: DataFrame, items: DataFrame) -> DataFrame:
-    """Each member as new, conflict (another input), priority_change or same."""
-    known = items.select("campaign_key", "work_key", "work_item_id", F.col("input_reference").alias("old_input"), F.col("priority").alias("old_priority"))
-    kind = F.when(F.col("work_item_id").isNull(), "new").when(F.col("old_input") != F.col("input_reference"), "conflict").when(F.col("old_priority") != F.col("priority"), "priority_change").otherwise("same")
-    return members.join(known, ["campaign_key", "work_key"], "left").withColumn("kind", kind)
+def classify_members(members: DataFrame, items: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each member as new, conflict, priority_change or same.
+
+    A known item is a conflict if its input, labels or rank differ from the member's, or if its origin run has another pipeline,
+    version or execution config than the submitting run; nulls are compared as values.
+    """
+    entries = lambda labels: F.array_sort(F.map_entries(labels))
+    provenance = F.struct("pipeline_key", "pipeline_version", "execution_config_reference")
+    origin = runs.select(F.col("run_key").alias("origin_run_key"), provenance.alias("old_provenance"))
+    held = items.select("campaign_key", "work_key", "work_item_id", "origin_run_key", F.col("input_reference").alias("old_input"), F.col("labels").alias("old_labels"), F.col("rank").alias("old_rank"), F.col("priority").alias("old_priority"))
+    known = held.join(origin, "origin_run_key", "left").drop("origin_run_key")
+    rows = members.join(known, ["campaign_key", "work_key"], "left").join(runs.select("run_key", provenance.alias("provenance")), "run_key", "left")
+    facts = F.col("old_input").eqNullSafe(F.col("input_reference")) & entries("old_labels").eqNullSafe(entries("labels")) & F.col("old_rank").eqNullSafe(stable_rank("campaign_key", "work_key"))
+    equal = facts & F.col("old_provenance").eqNullSafe(F.col("provenance"))
+    kind = F.when(F.col("work_item_id").isNull(), "new").when(~equal, "conflict").when(~F.col("old_priority").eqNullSafe(F.col("priority")), "priority_change").otherwise("same")
+    return rows.withColumn("kind", kind).drop("provenance", "old_provenance")
 
 
 def closure_check(runs: DataFrame, memberships: DataFrame, items: DataFrame) -> DataFrame:

@@ -306,19 +306,24 @@ def admission_payloads(t):
 _CLASSIFY_SQL = "(SELECT m.*, w.work_item_id, CASE WHEN w.work_item_id IS NULL THEN 'new' WHEN w.input_reference <> m.input_reference THEN 'conflict' WHEN w.priority <> m.priority THEN 'priority_change' ELSE 'same' END AS kind FROM members m LEFT JOIN work_items w ON w.campaign_key = m.campaign_key AND w.work_key = m.work_key)"
 
 
+def _classified(t: Ledger) -> DataFrame:
+    items = t.work_items.withColumn("rank", X.stable_rank("campaign_key", "work_key"))
+    return C.classify_members(t.members, items, t.pipeline_runs)
+
+
 @query(f"SELECT run_key, kind, count(*) AS n FROM {_CLASSIFY_SQL} GROUP BY 1, 2")
 def registration_classify(t):
-    return C.classify_members(t.members, t.work_items).groupBy("run_key", "kind").agg(F.count("*").alias("n"))
+    return _classified(t).groupBy("run_key", "kind").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT run_key, member_ordinal, work_key, input_reference FROM {_CLASSIFY_SQL} WHERE kind = 'conflict'")
 def registration_conflicts(t):
-    return C.classify_members(t.members, t.work_items).where("kind = 'conflict'").select("run_key", "member_ordinal", "work_key", "input_reference")
+    return _classified(t).where("kind = 'conflict'").select("run_key", "member_ordinal", "work_key", "input_reference")
 
 
 @query(f"SELECT campaign_key, work_key, 0 AS stage_index, 'ready' AS state, {RANK_SQL.format(c='campaign_key', w='work_key')} AS rank FROM {_CLASSIFY_SQL} WHERE kind = 'new'")
 def registration_seed(t):
-    new = C.classify_members(t.members, t.work_items).where("kind = 'new'").dropDuplicates(["campaign_key", "work_key"])
+    new = _classified(t).where("kind = 'new'").dropDuplicates(["campaign_key", "work_key"])
     return new.select("campaign_key", "work_key", F.lit(0).alias("stage_index"), F.lit("ready").alias("state"), X.stable_rank("campaign_key", "work_key").alias("rank"))
 
 

@@ -92,3 +92,19 @@ def test_completion_outcomes(spark):
     said = [("w1", True, "out", None, "apply"), ("w1", True, " ", None, "rejected"), ("w1", False, None, None, "rejected"), ("w1", False, "out", "{}", "rejected"), ("w2", True, "out", None, "stale"), ("w2b", False, None, "{}", "apply"), ("w3", True, "out", None, "replay"), ("w3", True, "other", None, "conflict"), ("w4", False, None, "{}", "replay"), ("w0", True, "out", None, "unknown")]
     got = C.classify_completion_outcomes(spark.createDataFrame(said, "workflow_id string, succeeded boolean, output_reference string, error_summary string, want string"), attempts, held).collect()
     assert len(got) == len(said) and all(r["kind"] == r["want"] for r in got)
+
+
+def test_members_conflict_by_labels_rank_and_provenance(spark):
+    runs = spark.createDataFrame([("a", "p", 1, "x"), ("b", "p", 1, "x"), ("q", "q", 1, "x"), ("v", "p", 2, "x"), ("c", "p", 1, "y"), ("n", "p", 1, None)], "run_key string, pipeline_key string, pipeline_version int, execution_config_reference string")
+    items = spark.createDataFrame([("w", "a"), ("ranked", "a"), ("null", "n")], "work_key string, origin_run_key string").select(
+        F.lit("k").alias("campaign_key"), "work_key", F.xxhash64("work_key").alias("work_item_id"), "origin_run_key", F.lit("in").alias("input_reference"), F.expr("map('s', '1', 't', '2')").alias("labels"),
+        (X.stable_rank(F.lit("k"), "work_key") + F.when(F.col("work_key") == "ranked", 1).otherwise(0)).alias("rank"), F.lit(0).alias("priority"),
+    )
+    labels, turned = {"s": "1", "t": "2"}, {"t": "2", "s": "1"}
+    said = [
+        ("b", "w", "in", labels, 0, "same"), ("b", "w", "in", turned, 0, "same"), ("b", "w", "in", labels, 3, "priority_change"), ("b", "other", "in", labels, 0, "new"), ("b", "w", "else", labels, 0, "conflict"), ("b", "w", "in", {"s": "1"}, 3, "conflict"),
+        ("b", "ranked", "in", labels, 0, "conflict"), ("q", "w", "in", labels, 0, "conflict"), ("v", "w", "in", labels, 0, "conflict"), ("c", "w", "in", labels, 0, "conflict"), ("n", "w", "in", labels, 0, "conflict"), ("n", "null", "in", labels, 0, "same"),
+    ]
+    members = spark.createDataFrame(said, "run_key string, work_key string, input_reference string, labels map<string,string>, priority int, want string").withColumn("campaign_key", F.lit("k"))
+    got = C.classify_members(members, items, runs).collect()
+    assert len(got) == len(said) and all(r["kind"] == r["want"] for r in got)
