@@ -71,9 +71,11 @@ def plan_admission(candidates: DataFrame, occupancy: DataFrame, batch: int = 10_
     return flat.groupBy(*STAGE).applyInPandas(admit, schema).orderBy("priority", "rank", "stage_execution_id").limit(batch)
 
 
-def attempts_to_admit(planned: DataFrame, executions: DataFrame) -> DataFrame:
-    """The next attempt number of each planned row."""
-    return planned.select("stage_execution_id").join(executions.select("stage_execution_id", "current_attempt"), "stage_execution_id").select("stage_execution_id", (F.col("current_attempt") + 1).alias("attempt_number"))
+def attempts_to_admit(planned: DataFrame, executions: DataFrame, attempts: DataFrame) -> DataFrame:
+    """The attempt number of each planned row: its current attempt if that is prepared (neither admitted nor terminal), else the next one."""
+    held = attempts.select("stage_execution_id", F.col("attempt_number").alias("current_attempt"), (F.col("admitted_at").isNull() & F.col("terminal_at").isNull()).alias("prepared"))
+    rows = planned.select("stage_execution_id").join(executions.select("stage_execution_id", "current_attempt"), "stage_execution_id").join(held, ["stage_execution_id", "current_attempt"], "left")
+    return rows.select("stage_execution_id", F.when(F.col("prepared"), F.col("current_attempt")).otherwise(F.col("current_attempt") + 1).alias("attempt_number"))
 
 
 # ---------------------------------------------------------------- registration

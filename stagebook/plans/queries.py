@@ -289,9 +289,25 @@ def admission_summary(t):
     return admission_plan(t).groupBy(*C.STAGE).agg(F.count("*").alias("admitted"))
 
 
+def _attempts(t: Ledger) -> DataFrame:
+    """The attempts with their times: all were admitted, and those with a summary are terminal."""
+    at = F.to_timestamp(F.lit("2026-07-17 12:00:00"))
+    return t.stage_attempts.select("stage_execution_id", "attempt_number", at.alias("admitted_at"), F.when(F.col("terminal_summary").isNotNull(), at).alias("terminal_at"))
+
+
 @query(f"SELECT stage_execution_id, current_attempt + 1 AS attempt_number FROM {_CANDIDATES_SQL}")
 def attempts_to_admit(t):
-    return C.attempts_to_admit(C.ready_candidates(t.stage_executions, _rows(t), t.stage_controls), t.stage_executions)
+    return C.attempts_to_admit(C.ready_candidates(t.stage_executions, _rows(t), t.stage_controls), t.stage_executions, _attempts(t))
+
+
+@query("SELECT stage_execution_id, current_attempt + 1 AS attempt_number FROM stage_executions WHERE state IN ('ready', 'failed')")
+def attempts_to_admit_retried(t):
+    """All ready rows after every failed stage was retried: those hold their next attempt already."""
+    retried = C.retries(t.stage_executions, t.stage_executions.where("state = 'failed'")).where("disposition = 'retry'")
+    updates = retried.select("stage_execution_id", F.lit("ready").alias("state"), F.col("attempt_number").alias("current_attempt"))
+    executions = C.apply_changes(t.stage_executions, "stage_execution_id", updates)
+    prepared = retried.select("stage_execution_id", "attempt_number", F.lit(None).cast("timestamp").alias("admitted_at"), F.lit(None).cast("timestamp").alias("terminal_at"))
+    return C.attempts_to_admit(executions.where("state = 'ready'"), executions, _attempts(t).unionByName(prepared))
 
 
 @query("""SELECT stage_execution_id, '{"campaign_key":"' || campaign_key || '","work_key":"' || work_key || '","stage_key":"' || stage_key || '","stage_index":' || stage_index || ',"input_reference":"' || coalesce(input_reference, item_input) || '"}' AS payload, nullif(priority, 0) AS queue_priority FROM arows WHERE state = 'ready'""")

@@ -108,3 +108,11 @@ def test_members_conflict_by_labels_rank_and_provenance(spark):
     members = spark.createDataFrame(said, "run_key string, work_key string, input_reference string, labels map<string,string>, priority int, want string").withColumn("campaign_key", F.lit("k"))
     got = C.classify_members(members, items, runs).collect()
     assert len(got) == len(said) and all(r["kind"] == r["want"] for r in got)
+
+
+def test_a_prepared_attempt_is_admitted_itself(spark):
+    cases = [(1, 0, None, None, 1), (2, 2, None, None, 2), (3, 1, "2026-07-17", None, 2), (4, 1, None, "2026-07-17", 2), (5, 3, "2026-07-17", "2026-07-17", 4)]
+    rows = spark.createDataFrame(cases, "stage_execution_id long, current_attempt int, admitted_at string, terminal_at string, want int")
+    attempts = rows.where("current_attempt > 0").selectExpr("stage_execution_id", "explode(sequence(1, current_attempt)) AS attempt_number", "cast(admitted_at AS timestamp) AS admitted_at", "cast(terminal_at AS timestamp) AS terminal_at")
+    got = {r["stage_execution_id"]: r["attempt_number"] for r in C.attempts_to_admit(rows, rows, attempts).collect()}
+    assert got == {c[0]: c[4] for c in cases}
