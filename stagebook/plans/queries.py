@@ -546,6 +546,83 @@ def registry_drift(t):
     return t.stage_executions.select("work_item_id", F.col("stage_key").alias("missing")).distinct().join(declared.withColumnRenamed("stage_key", "missing"), "missing", "left_anti").select("work_item_id", "missing")
 
 
+# ---------------------------------------------------------------- whole request sets
+
+
+def _absent(items: DataFrame) -> DataFrame:
+    """All items, and as many ids that are not there."""
+    return items.select("work_item_id").unionByName(items.select((-F.col("work_item_id")).alias("work_item_id")))
+
+
+def _all_keys(t: Ledger) -> DataFrame:
+    """Requested (campaign, work): every item, and as many that are not there."""
+    known = t.work_items.select("campaign_key", "work_key")
+    return known.unionByName(known.select("campaign_key", F.concat("work_key", F.lit("-none")).alias("work_key")))
+
+
+_ALL_FOUND_SQL = _FOUND_SQL.replace(_KEYS_SQL, "SELECT campaign_key, work_key FROM work_items UNION ALL SELECT campaign_key, concat(work_key, '-none') FROM work_items")
+
+
+@query("""SELECT k.run_key, r.run_key IS NOT NULL AS present, c.state, coalesce(c.n, 0) AS n
+FROM (SELECT run_key FROM pipeline_runs UNION ALL SELECT concat(run_key, '-none') FROM pipeline_runs) k LEFT JOIN pipeline_runs r ON r.run_key = k.run_key
+LEFT JOIN (SELECT run_key, state, count(*) AS n FROM run_memberships JOIN status USING (work_item_id) GROUP BY ALL) c ON c.run_key = k.run_key""")
+def bulk_run_state_counts_all(t):
+    runs = t.pipeline_runs.select("run_key")
+    keys = runs.unionByName(runs.select(F.concat("run_key", F.lit("-none")).alias("run_key")))
+    return S.bulk_run_state_counts(keys, t.pipeline_runs, t.run_memberships, t.stage_executions)
+
+
+@query(f"SELECT campaign_key, work_key, present, work_item_id, stage_key AS current_stage_key, stage_index AS current_stage_index, state FROM {_ALL_FOUND_SQL}")
+def bulk_work_statuses_all(t):
+    return S.bulk_work_statuses(_all_keys(t), t.work_items, t.stage_executions)
+
+
+@query(f"SELECT * FROM {_ALL_FOUND_SQL}")
+def bulk_terminal_statuses_all(t):
+    return S.bulk_terminal_statuses(_all_keys(t), t.work_items, t.stage_executions, t.stage_attempts)
+
+
+@query(f"SELECT * FROM {_ALL_FOUND_SQL} WHERE NOT present OR (json_extract_string(terminal_summary, '$.producer') = 'application_failure' AND state = 'failed' AND evidence_reference IS NOT NULL)")
+def bulk_terminal_statuses_filtered_all(t):
+    condition = X.terminal_filter(producer="application_failure", state="failed", has_evidence=True)
+    return S.bulk_terminal_statuses(_all_keys(t), t.work_items, t.stage_executions, t.stage_attempts, condition)
+
+
+@query("SELECT w.work_item_id, e.stage_index, e.stage_key, e.input_reference, e.output_reference FROM work_items w JOIN stage_executions e USING (work_item_id) WHERE e.state = 'succeeded' AND e.output_reference IS NOT NULL")
+def predecessor_outputs_all(t):
+    last = t.stage_executions.groupBy("work_item_id").agg((F.max("stage_index") + 1).alias("below"))
+    wanted = _absent(t.work_items).join(last, "work_item_id", "left").select("work_item_id", F.lit(None).cast("int").alias("above"), F.coalesce("below", F.lit(0)).alias("below"))
+    return S.predecessor_outputs(wanted, t.stage_executions).select("work_item_id", "stage_index", "stage_key", "input_reference", "output_reference")
+
+
+@query(f"SELECT stage_execution_id, priority, {RANK_SQL.format(c='campaign_key', w='work_key')} AS rank FROM {_CANDIDATES_SQL} ORDER BY priority, rank, stage_execution_id")
+def ready_order_all(t):
+    rows = C.ready_candidates(t.stage_executions, _rows(t), t.stage_controls)
+    return rows.select("stage_execution_id", "priority", "rank").orderBy("priority", "rank", "stage_execution_id")
+
+
+@query("SELECT k.id AS stage_execution_id, CASE WHEN e.state = 'failed' THEN 'retry' WHEN e.state IS NULL THEN 'unknown' ELSE 'not_failed' END AS disposition, CASE WHEN e.state = 'failed' THEN e.current_attempt + 1 END AS attempt_number FROM (SELECT stage_execution_id AS id FROM stage_executions UNION ALL SELECT -stage_execution_id FROM stage_executions) k LEFT JOIN stage_executions e ON e.stage_execution_id = k.id")
+def retry_stages_all(t):
+    known = t.stage_executions.select("stage_execution_id")
+    return C.retries(t.stage_executions, known.unionByName(known.select((-F.col("stage_execution_id")).alias("stage_execution_id"))))
+
+
+@query("SELECT e.work_item_id, e.stage_execution_id, CASE WHEN e.state = 'admitted' THEN 'delegated' ELSE 'cancelled' END AS disposition, CASE WHEN e.state = 'admitted' THEN c.workflow_id END AS delegated_workflow_id FROM stage_executions e LEFT JOIN current c USING (stage_execution_id) WHERE e.state IN ('ready', 'admitted', 'failed')")
+def cancel_work_all(t):
+    return C.cancellations(t.stage_executions, _absent(t.work_items), t.stage_attempts)
+
+
+@query("SELECT DISTINCT e.work_item_id, c.workflow_id FROM stage_executions e JOIN current c USING (stage_execution_id) WHERE e.state = 'cancelled' AND e.work_item_id NOT IN (SELECT work_item_id FROM stage_executions WHERE state IN ('ready', 'admitted', 'failed'))")
+def cancel_redelegate_all(t):
+    return C.redelegations(t.stage_executions, _absent(t.work_items), t.stage_attempts)
+
+
+@query("SELECT e.stage_execution_id, 7 AS priority, CASE WHEN e.state = 'admitted' THEN c.workflow_id END AS workflow_id FROM stage_executions e LEFT JOIN current c USING (stage_execution_id) WHERE e.state IN ('ready', 'admitted', 'failed')")
+def set_priority_all(t):
+    rows = C.cancellations(t.stage_executions, _absent(t.work_items), t.stage_attempts)
+    return rows.select("stage_execution_id", F.lit(7).alias("priority"), F.col("delegated_workflow_id").alias("workflow_id"))
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -116,3 +116,13 @@ def test_a_prepared_attempt_is_admitted_itself(spark):
     attempts = rows.where("current_attempt > 0").selectExpr("stage_execution_id", "explode(sequence(1, current_attempt)) AS attempt_number", "cast(admitted_at AS timestamp) AS admitted_at", "cast(terminal_at AS timestamp) AS terminal_at")
     got = {r["stage_execution_id"]: r["attempt_number"] for r in C.attempts_to_admit(rows, rows, attempts).collect()}
     assert got == {c[0]: c[4] for c in cases}
+
+
+def test_whole_request_sets_leave_nothing_out(spark):
+    known = plans.queries()
+    items = duckdb.sql(f"SELECT count(*) FROM '{SF}/orders.parquet' JOIN '{SF}/customer.parquet' ON o_custkey = c_custkey").fetchall()[0][0]
+    stages = duckdb.sql(f"SELECT count(*) FROM '{SF}/lineitem.parquet' JOIN '{SF}/orders.parquet' ON l_orderkey = o_orderkey").fetchall()[0][0]
+    assert known["bulk_work_statuses_all"](spark, SF).count() == 2 * items
+    assert known["retry_stages_all"](spark, SF).count() == 2 * stages
+    order = [tuple(r) for r in known["ready_order_all"](spark, SF).select("priority", "rank", "stage_execution_id").collect()]
+    assert len(order) == known["attempts_to_admit"](spark, SF).count() and order == sorted(order)
