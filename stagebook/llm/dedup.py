@@ -28,14 +28,19 @@ class Refined:
     groups: DataFrame
 
 
-def _with_keys(docs: DataFrame, norm: str, size: str, prefix: str) -> DataFrame:
-    return docs.withColumn(norm, normalised(text_of())).withColumn(size, F.octet_length(norm)).withColumn(prefix, F.xxhash64(F.substring(norm, 1, PREFIX)))
+def _prefix_hash(norm: str) -> Column:
+    return F.xxhash64(F.substring(norm, 1, PREFIX))
 
 
 def _digested(docs: DataFrame, survivors: DataFrame, everywhere: bool, names: list[str]) -> DataFrame:
-    """Add the digest of the whole normalised text for rows whose length and prefix others share (or ``everywhere``)."""
+    """Add the digest of the whole normalised text for rows whose length and prefix others share (or ``everywhere``).
+
+    Prefixes are hashed for rows whose length is among the survivors alone.
+    """
     norm, size, prefix, mark, digest = names
-    keyed = _with_keys(docs, norm, size, prefix)
+    keyed = docs.withColumn(norm, normalised(text_of())).withColumn(size, F.octet_length(norm))
+    lengths = survivors.select(F.col("n_bytes").alias(size), F.lit(True).alias(mark)).distinct()
+    keyed = keyed.join(bounded(lengths), size, "left").withColumn(prefix, F.when(F.col(mark), _prefix_hash(norm))).drop(mark)
     known = survivors.select(F.col("n_bytes").alias(size), F.col("prefix_hash").alias(prefix), F.lit(True).alias(mark))
     keyed = keyed.join(bounded(known), [size, prefix], "left")
     full = F.sha2(F.col(norm).cast("binary"), 256)
@@ -48,10 +53,11 @@ def refine(docs: DataFrame, everywhere: bool = False) -> Refined:
     Counts are pre-aggregated before each shuffle; only lengths, hashes and ids are shuffled, never texts (if the surviving
     keys outgrow a broadcast, the texts of rows are joined to them by a shuffle that can split hot keys).
     """
-    key = docs.select(normalised(text_of()).alias("norm")).select(F.octet_length("norm").alias("n_bytes"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix_hash"))
-    by_prefix = materialize(key.groupBy("n_bytes", "prefix_hash").agg(F.count("*").alias("n")), "prefixes")
-    lengths = by_prefix.groupBy("n_bytes").agg(F.sum("n").alias("n")).where("n > 1").select("n_bytes")
-    survivors = materialize(by_prefix.where("n > 1").join(lengths, "n_bytes", "left_semi").select("n_bytes", "prefix_hash"), "survivors")
+    sized = docs.select(normalised(text_of()).alias("norm")).withColumn("n_bytes", F.octet_length("norm"))
+    lengths = materialize(sized.groupBy("n_bytes").agg(F.count("*").alias("n")).where("n > 1").select("n_bytes"), "lengths")
+    key = sized.join(bounded(lengths), "n_bytes", "left_semi").select("n_bytes", _prefix_hash("norm").alias("prefix_hash"))
+    by_prefix = key.groupBy("n_bytes", "prefix_hash").agg(F.count("*").alias("n"))
+    survivors = materialize(by_prefix.where("n > 1").select("n_bytes", "prefix_hash"), "survivors")
     base = docs.select("doc_id", "text", F.char_length(text_of()).alias("n_points"))
     rows = _digested(base, survivors, everywhere, ["norm", "n_bytes", "prefix_hash", "shared", "digest"])
     rows = materialize(rows.select("doc_id", "n_points", "digest", F.coalesce("shared", F.lit(False)).alias("shared")), "digests")

@@ -130,6 +130,23 @@ def test_exact_dedup(docs, none):
     assert dedup.duplicate_report(none).count() == 0
 
 
+def test_prefixes_are_hashed_for_repeated_lengths_alone(spark, monkeypatch):
+    seen, steps, write = spark.sparkContext.accumulator(0), {}, dedup.materialize
+    hashed = F.udf(lambda x: seen.add(1) or zlib.crc32(x.encode()), "long")
+
+    def noted(df, tag):
+        out = write(df, tag)
+        steps[tag] = seen.value
+        return out
+
+    monkeypatch.setattr(dedup.F, "xxhash64", hashed)
+    monkeypatch.setattr(dedup, "materialize", noted)
+    docs = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "ccc"), (4, "ddd"), (5, "c cc"), (6, "eeeee")], "doc_id long, text string")
+    got = dedup.refine(docs)
+    assert steps["lengths"] == 0 and steps["survivors"] == 3
+    assert [(r["group_size"], r["best"]["doc_id"]) for r in got.groups.collect()] == [(2, 5)]
+
+
 def test_chat_reads_back(spark):
     rows = [(1, 2, "assistant", r"a \e <b> ### c </turn>"), (1, 1, "user", "hi\n"), (1, 3, "assistant", None), (2, 1, None, "x"), (2, 1, "sys:tem\n", "y"), (-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
     got = {r["conv_id"]: r for r in chat.read_conversations(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
