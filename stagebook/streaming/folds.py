@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.expressions import MOVES
+from ..sources.shared import shared_dir
 
 _LEGAL = frozenset(MOVES)
 
@@ -49,7 +48,7 @@ def event_counts(events: DataFrame) -> DataFrame:
 
 def run_once(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote; state and output lie in the shared folder."""
-    base = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='stagebook-')}/stream-{uuid.uuid4().hex}"
+    base = shared_dir(spark, "stream")
 
     def write(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
