@@ -1,39 +1,45 @@
-"""Shared pieces of the training-data operators: places for intermediate tables and column helpers."""
+"""Shared pieces of the training-data operators: bounded broadcasts, marks, and column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of at most so many narrow rows (keys and numbers, under 100 bytes each) may be broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
-
+from ..sources.shared import materialize, shared_dir
 
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="stagebook-")
+__all__ = ["BROADCAST_ROWS", "bounded", "fresh", "held_out", "id_of", "marked", "materialize", "shared_dir", "text_of"]
 
+#: A side of at most so many narrow rows (keys and numbers, under 100 bytes each) may be broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 200_000
+#: Words of 64 bits in the largest table of marks: some 40 MB when broadcast, whatever the number of keys.
+MARK_WORDS = 1 << 19
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where the session sets none (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir()
-    return f"{base}/stagebook/{tag}-{uuid.uuid4().hex}"
 
+def bounded(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hint a broadcast of a materialised ``df`` if it is counted to be small; else leave the join to a shuffle."""
+    limit = BROADCAST_ROWS if limit is None else limit
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on an executor."""
-    path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def marked(rows: DataFrame, key: Column, keys: DataFrame, mark: str) -> DataFrame:
+    """Add ``mark``: whether the 64-bit ``key`` may be among ``keys`` (a materialised column of longs). It is never false for one that is.
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a materialised ``df`` if it is counted to be small; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    Rows stay where they are. Up to BROADCAST_ROWS keys are broadcast themselves; more of them set bits in a table of bounded
+    size, 16 a key up to MARK_WORDS words, so that some other rows are marked too: an exact join of the marked rows follows.
+    """
+    at, bits = fresh(rows, "_marked_key", "_marked_bits")
+    (name,) = keys.columns
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        known = F.broadcast(keys.select(F.col(name).alias(at), F.lit(True).alias(mark)).distinct())
+        return rows.withColumn(at, key).join(known, at, "left").withColumn(mark, F.coalesce(mark, F.lit(False))).drop(at)
+    words = min(MARK_WORDS, 1 << (n // 4).bit_length())
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(64 * words))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), (place(k) % 64).cast("int"))
+    word = lambda k: F.floor(place(k) / 64)
+    table = keys.groupBy(word(F.col(name)).alias(at)).agg(F.bit_or(bit(F.col(name))).alias(bits))
+    out = rows.withColumn(at, word(key)).join(F.broadcast(table), at, "left")
+    return out.withColumn(mark, F.coalesce(F.col(bits).bitwiseAND(bit(key)) != 0, F.lit(False))).drop(at, bits)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -51,6 +57,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def id_of(column: str = "doc_id") -> Column:
+    """Ids of any whole type as long."""
+    return F.col(column).cast("long").alias(column)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept out of training: crc32 of its id as text is divisible by five (null ids are held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
