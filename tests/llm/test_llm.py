@@ -139,7 +139,7 @@ def test_prefixes_are_hashed_for_repeated_lengths_alone(spark, monkeypatch):
         steps[tag] = seen.value
         return out
 
-    monkeypatch.setattr(dedup.F, "xxhash64", hashed)
+    monkeypatch.setattr(dedup, "_prefix_hash", lambda norm: hashed(F.substring(norm, 1, dedup.PREFIX)))
     monkeypatch.setattr(dedup, "materialize", noted)
     docs = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "ccc"), (4, "ddd"), (5, "c cc"), (6, "eeeee")], "doc_id long, text string")
     got = dedup.refine(docs)
@@ -156,12 +156,13 @@ def test_chat_reads_back(spark):
         assert r["loss_texts"] == [x for _, a, x in turns if a == "assistant"]
 
 
-def test_jaccard_links(docs, none):
+def jaccard_components(rows):
+    """Brute force: (id as text, size of the set, smallest id of the component) of every row."""
     import re
 
     lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = []
-    for r in corpus():
+    for r in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", plain(r[1]).translate(lower))
         sets.append((r[0], {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())))
     label = list(range(len(sets)))
@@ -170,20 +171,74 @@ def test_jaccard_links(docs, none):
             for j, (_, b) in enumerate(sets):
                 if a and b and 100 * len(a & b) >= 80 * len(a | b):
                     label[i] = label[j] = min(label[i], label[j])
-    got = sorted((str(r[0]), r[1], r[2]) for r in similarity.similar_documents(docs).collect())
     first = {k: min((sets[i][0] for i in range(len(sets)) if label[i] == k and sets[i][0] is not None), default=None) for k in set(label)}
-    assert got == sorted((str(d), len(s), first[label[i]]) for i, (d, s) in enumerate(sets))
-    assert similarity.similar_documents(none).count() == 0
+    return [(str(d), len(s), first[label[i]]) for i, (d, s) in enumerate(sets)]
+
+
+def found_components(docs, **kw):
+    return sorted(((str(r[0]), r[1], r[2]) for r in similarity.similar_documents(docs, **kw).collect()), key=lambda r: (r[0], r[1], str(r[2])))
+
+
+def same(got, want):
+    return got == sorted(want, key=lambda r: (r[0], r[1], str(r[2])))
+
+
+def test_jaccard_links(docs, none):
+    assert same(found_components(docs.withColumn("doc_id", F.col("doc_id").cast("int"))), jaccard_components(corpus()))
+    assert similarity.similar_documents(none).count() == 0 and similarity.drop_similar(none).count() == 0
     out = similarity.drop_similar(docs)
     assert out.columns == docs.columns and out.where("doc_id = 6").count() == 1
 
 
+def chain(n, step, rng):
+    """Texts of which neighbours alone are similar: each replaces some words of the last."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    out = []
+    for k in range(n):
+        for j in range(step):
+            words[(k * step + j) * 7 % 150] = f"n{k}x{j}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_rows_without_ids_link_and_bridge(spark):
+    a, b, c = chain(3, 2, random.Random(4))
+    rows = [(1, a), (None, b), (2, c), (None, "alone without any id at all here"), (7, "x y"), (None, "x y"), (None, "p q r"), (None, "p q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert same(found_components(docs), jaccard_components(rows))
+    assert any(r[0] == "None" and r[2] == 1 for r in jaccard_components(rows))
+    kept = sorted((str(r[0]), r[1]) for r in similarity.drop_similar(docs).collect())
+    assert kept == sorted([("1", a), ("None", "alone without any id at all here"), ("7", "x y"), ("None", "p q r")])
+
+
+def test_a_hot_shingle_and_long_lists_in_pieces(spark):
+    """A passage that all share is most of each text; lists are split so small that every step works on pieces."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, f"{passage} {' '.join(f'q{rng.randrange(40)}' for _ in range(10 + k % 5))}") for k in range(60)]
+    rows += [(100 + k, t) for k, t in enumerate(chain(12, 3, rng))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = jaccard_components(rows)
+    assert len({r[2] for r in want}) < len(rows)
+    assert same(found_components(docs, split=3), want)
+
+
+def test_similar_rows_of_one_id(spark):
+    """Copies under one id are one; a text that is like no other stays, whatever else has its id."""
+    a, b, *_ = chain(3, 2, random.Random(8))
+    rows = [(5, a, "s1"), (5, a, "s2"), (5, "like nothing else that is here", "s3"), (9, b, "s4"), (9, "nor is this one like any", "s5"), (11, "", "s6"), (11, "", "s7")]
+    out = sorted(r["source"] for r in similarity.drop_similar(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert out == ["s1", "s3", "s5", "s6", "s7"]
+
+
 def test_divide_skip_against_counting():
     rng = np.random.default_rng(1)
     query = np.unique(rng.integers(0, 400, 150, dtype=np.uint64))
     sets = [np.unique(np.concatenate([rng.choice(query, k, replace=False), rng.integers(400, 900, 20, dtype=np.uint64)])) for k in range(60, len(query), 3)]
     want = [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(query, s)) >= 80 * len(np.union1d(query, s))]
-    assert sorted(similarity.divide_skip(query, sets)) == want and want
+    for weight in (0.0, 0.0085, 1.0, 100.0):  # from all long lists that T allows to none
+        assert sorted(similarity.divide_skip(query, similarity.Lists(sets), weight)) == want and want
+    assert similarity.divide_skip(query, similarity.Lists([])) == [] and similarity.divide_skip(query[:0], similarity.Lists(sets)) == []
 
 
 def test_neighbours(spark):
