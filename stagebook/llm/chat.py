@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 OPEN, HEAD, PART, CLOSE = "### ", ":\n", "</part>", "</turn>\n"
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("#", "\\h"))
 TRAINED = "assistant"
+#: Turns whose positions are summed up together.
+BLOCK = 256
 
 
 def escape(text: Column, more: tuple = ()) -> Column:
@@ -34,6 +36,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Turns are sorted by turn number, then role, then text (repeated rows stay); a null number comes first, a null role or text
     counts as empty, a null conv_id is a conversation of its own. Spans cover each text of an assistant, without markers.
+    Other columns play no part. An empty table gives no rows.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
@@ -47,7 +50,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         return F.struct(F.when(same, F.lit(PART)).otherwise(head).alias("lead"), escape(t["text"]).alias("body"), (t["role"] == TRAINED).alias("trained"))
 
     pieces = sorted_turns.select("conv_id", F.transform("turns", marked).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    # positions are summed up within blocks of turns, from where each block begins, so that long conversations stay cheap
+    last_block = F.floor((F.size("pieces") - 1) / F.lit(BLOCK)).cast("int")
+    blocks = pieces.withColumn("blocks", F.transform(F.sequence(F.lit(0), last_block), lambda k: F.slice("pieces", k * BLOCK + 1, BLOCK)))
+    length = lambda p: (F.char_length(p["lead"]) + F.char_length(p["body"])).cast("long")
+    totals = F.transform("blocks", lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda acc, p: acc + length(p)))
+    sized = blocks.withColumn("begins", F.aggregate(totals, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))))
 
     def add(acc: Column, p: Column) -> Column:
         begin = acc["at"] + F.char_length(p["lead"])
@@ -55,8 +63,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         span = F.array(F.struct(begin.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(p["trained"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
+    def spans(block: Column, k: Column) -> Column:
+        start = F.struct(F.get(F.col("begins"), k).alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+        return F.aggregate(block, start, add, lambda acc: acc["spans"])
+
     formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(CLOSE))
-    return pieces.select("conv_id", formatted.alias("formatted"), F.aggregate("pieces", start, add, lambda acc: acc["spans"]).alias("loss_spans"))
+    return sized.select("conv_id", formatted.alias("formatted"), F.flatten(F.transform("blocks", spans)).alias("loss_spans"))
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:

@@ -110,7 +110,8 @@ def _machine(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 12
 def fit_languages(docs: DataFrame, sample: int = 800, features: int = 2048) -> LanguageModel:
     """Learn from rows with a language that are not held out: about ``sample`` of each language, chosen by a hash.
 
-    The sample bounds what is sent to the driver; it is the only part of the corpus that the model is fitted on.
+    The sample bounds what is sent to the driver: the pair shares of ``sample`` texts for each language (some 3 MB each). It is
+    the only part of the corpus that the model is fitted on. Machines are fitted one pair of names after another.
     """
     rows = docs.select("doc_id", text_of().alias("text"), "lang").where(F.col("lang").isNotNull() & ~held_out() & (F.col("lang") != UNKNOWN))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -137,11 +138,20 @@ def fit_languages(docs: DataFrame, sample: int = 800, features: int = 2048) -> L
     frequent = np.argsort(-np.bincount(pair, minlength=65536), kind="stable")[:features]
     place = np.full(65536, -1)
     place[frequent] = np.arange(len(frequent))
-    x = np.zeros((len(langs), len(frequent)), dtype=np.float32)
     known = place[pair] >= 0
-    x[np.repeat(np.arange(len(langs)), size)[known], place[pair[known]]] = value[known]
-    scale = 1 / (np.sqrt((x**2).mean(axis=0)) + 1e-4) / np.sqrt(len(frequent) / 16)
-    x *= scale.astype(np.float32)
+    row, column, value = np.repeat(np.arange(len(langs)), size)[known], place[pair[known]], value[known]
+    begin = np.searchsorted(row, np.arange(len(langs) + 1))
+    square = np.bincount(column, weights=value.astype(np.float64) ** 2, minlength=len(frequent)) / max(1, len(langs))
+    scale = 1 / (np.sqrt(square) + 1e-4) / np.sqrt(len(frequent) / 16)
+    value = value * scale[column].astype(np.float32)
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        """The rows of one pair of names alone, so that memory does not follow the number of languages."""
+        x = np.zeros((len(rows), len(frequent)), dtype=np.float32)
+        for k, r in enumerate(rows.tolist()):
+            x[k, column[begin[r] : begin[r + 1]]] = value[begin[r] : begin[r + 1]]
+        return x
+
     languages: dict[str, list[str]] = {}
     for lang in sorted(set(langs.tolist())):
         languages.setdefault(family(lang), []).append(lang)
@@ -149,7 +159,7 @@ def fit_languages(docs: DataFrame, sample: int = 800, features: int = 2048) -> L
 
     def learn(names: np.ndarray, one: str, other: str) -> None:
         rows = np.nonzero((names == one) | (names == other))[0]
-        w, bias = _machine(x[rows], np.where(names[rows] == one, 1.0, -1.0))
+        w, bias = _machine(dense(rows), np.where(names[rows] == one, 1.0, -1.0))
         full = np.zeros(65536)
         full[frequent] = w * scale
         machines[one, other] = (full, bias)
@@ -189,7 +199,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], pr
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
-    """Fit on the documents' own languages, then predict all: ``doc_id, held_out, lang_pred, score``."""
+    """Fit on the documents' own languages, then predict all: ``doc_id, held_out, lang_pred, score``.
+
+    Null and empty texts, and any without a letter, are und with a score of 0, as are all texts where no row teaches a language.
+    Texts are read whole. Repeated rows and null ids (held out) pass through; ids keep their type, other columns play no part.
+    An empty table gives no rows.
+    """
     model = fit_languages(docs)
     out = predict_languages(docs, model, ["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

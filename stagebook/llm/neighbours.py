@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Queries of a wave: with 64 components, some 20 MB in each task.
-WAVE = 32_768
+#: Queries and candidates of a cell of the grid at most: with 64 components, 17 and 34 MB.
+QUERIES, CANDIDATES = 32_768, 65_536
 TILE = 2_048
 
 
@@ -55,7 +54,7 @@ class _Best:
 
 
 def _tile(best: _Best, q: tuple, ids: np.ndarray, x: np.ndarray) -> None:
-    """Offer one tile of candidates to all queries of the wave.
+    """Offer one tile of candidates to all queries of the cell.
 
     With q = a*Q + r and x = b*X + s, where no component of r or s is over half of a or b, the product differs from
     a*b*(Q.X) by at most |q|_1 * b/2 + |x|_1 * a/2 + d*a*b/4. Pairs whose upper bound misses the query's k-th best lower
@@ -86,79 +85,72 @@ def _tile(best: _Best, q: tuple, ids: np.ndarray, x: np.ndarray) -> None:
 def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
     """The k nearest of every ``every``-th id's vector: ``query_id, rank, vec_id, score``, ties to the smaller id.
 
-    Queries go out in waves of bounded size; in each, candidates are scanned where they lie, without a shuffle, and a task
-    keeps k per query. The tasks' lists are merged by heaps in two steps, so that what meets in a task stays bounded.
-    A row whose vector takes no part is neither query nor candidate. With a repeated id, each row is a candidate for other
-    ids' queries; its queries are answered once for each row. An empty table gives no rows.
+    Queries and candidates are dealt into blocks of bounded size, and each block of queries meets each block of candidates in
+    a cell of its own; vectors go there by a shuffle and never through the driver. A cell gives k for each of its queries, and
+    heaps merge the cells' lists. A row whose vector takes no part is neither query nor candidate. With a repeated id, each
+    row is a candidate for other ids' queries, and its queries are answered once for each row. Ids of any whole type come
+    back as long, other columns play no part. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector_column)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    d = sizes[0]["d"] if sizes else 1
-    rows = materialize(rows.where(F.size("v") == d), "vectors")
-    queries = rows.where(F.col("id") % every == 0)
-    total = queries.count()
-    waves = max(1, -(-total // WAVE))
-    edges = queries.stat.approxQuantile("id", [i / waves for i in range(1, waves)], 0.0) if waves > 1 else []
-    limits = [None, *map(int, edges), None]
-    parts = [_wave(spark, rows, queries, low, high, k) for low, high in zip(limits, limits[1:], strict=False)] if total else []
-    out = parts[0] if parts else spark.createDataFrame([], "query_id long, copy int, vec_id long, score double")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _merged(out, k)
-
-
-def _wave(spark, rows: DataFrame, queries: DataFrame, low: int | None, high: int | None, k: int) -> DataFrame:
-    for bound, keep in ((low, F.col("id") > F.lit(low)), (high, F.col("id") <= F.lit(high))):
-        queries = queries.where(keep) if bound is not None else queries
-    table = queries.orderBy("id").toArrow()  # a wave is bounded
-    qid = np.array(table.column("id").to_pylist(), dtype=np.int64)
-    qx = np.concatenate([_matrix(c, -1 if len(c) == 0 else len(c[0])) for c in table.column("v").chunks if len(c)]) if len(qid) else np.zeros((0, 1))
-    shared = spark.sparkContext.broadcast((qid, qx, *_quantised(qx)))
-
-    def tiles(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, xs, n = [], [], 0
-        for batch in batches:
-            if len(batch):
-                ids.append(np.asarray(batch.column(0)))
-                xs.append(_matrix(batch.column(1), qx.shape[1]))
-                n += len(batch)
-            if n >= TILE:
-                yield np.concatenate(ids), np.concatenate(xs)
-                ids, xs, n = [], [], 0
-        if n:
-            yield np.concatenate(ids), np.concatenate(xs)
-
-    def run(batches):
-        q = shared.value
-        best = _Best(len(q[0]), k)
-        for ids, x in tiles(batches):
-            for lo in range(0, len(ids), TILE):
-                _tile(best, q, ids[lo : lo + TILE], x[lo : lo + TILE])
-        copy = np.arange(len(q[0])) - np.searchsorted(q[0], q[0])
-        for lo in range(0, len(q[0]), 4096):
-            got = [(int(q[0][i]), int(copy[i]), -v, s) for i in range(lo, min(lo + 4096, len(q[0]))) for s, v in best.heaps[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "copy", "vec_id", "score"])
-
-    return rows.select("id", "v").mapInArrow(run, "query_id long, copy int, vec_id long, score double")
-
-
-def _merged(lists: DataFrame, k: int, ways: int = 16) -> DataFrame:
-    """Heaps over the tasks' lists: first within (query block, way), then over the ways of a block."""
+    d, total = (sizes[0]["d"], sizes[0]["count"]) if sizes else (1, 0)
+    # numbers of rows are dealt out, not ids: they are even whatever repeats, and fixed by the files
+    numbered = materialize(rows.where(F.size("v") == d), "vectors").withColumn("row", F.monotonically_increasing_id())
+    queries = numbered.where(F.col("id") % every == 0)
+    asked = queries.count()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    down = max(1, -(-asked // QUERIES))
+    across = max(1, -(-total // CANDIDATES), min(-(-partitions // down), -(-total // (2 * TILE))))
+    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ask = queries.select(block(down).alias("down"), every_block(across).alias("across"), F.col("row").alias("query"), "id", "v")
+    offer = numbered.select(every_block(down).alias("down"), block(across).alias("across"), F.lit(None).cast("long").alias("query"), "id", "v")
+    cells = ask.unionByName(offer).repartition(max(partitions, down * across), "down", "across")
+    lists = cells.groupBy("down", "across").applyInArrow(_cell(d, k), "query long, query_id long, vec_id long, score double")
+    return _merged(lists, k, max(1, asked * across * k // 200_000))
+
+
+def _cell(d: int, k: int):
+    """The k best candidates of each query within a block of queries and a block of candidates."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        asks = np.asarray(table.column("query").is_valid())
+        ids, x = np.asarray(table.column("id")), _matrix(table.column("v").chunk(0), d) if len(table) else np.zeros((0, d))
+        row, qid, qx = np.asarray(table.column("query").drop_null()), ids[asks], x[asks]
+        q, best = (qid, qx, *_quantised(qx)), _Best(len(qid), k)
+        ids, x = ids[~asks], x[~asks]
+        for lo in range(0, len(ids) if len(qid) else 0, TILE):
+            _tile(best, q, ids[lo : lo + TILE], x[lo : lo + TILE])
+        count = [len(heap) for heap in best.heaps]
+        flat = [item for heap in best.heaps for item in heap]
+        return pa.table(
+            [pa.array(np.repeat(row, count), pa.int64()), pa.array(np.repeat(qid, count), pa.int64()), pa.array([-v for _, v in flat], pa.int64()), pa.array([s for s, _ in flat], pa.float64())],
+            names=["query", "query_id", "vec_id", "score"],
+        )
+
+    return run
+
+
+def _merged(lists: DataFrame, k: int, groups: int) -> DataFrame:
+    """Heaps over the cells' lists: ``query_id, rank, vec_id, score``; a group has the lists of some queries, at most some 200,000 rows."""
 
     def merge(table: pa.Table) -> pa.Table:
-        heaps: dict[tuple[int, int], list] = {}
-        for q, c, v, s in zip(*(table.column(n).to_pylist() for n in ("query_id", "copy", "vec_id", "score")), strict=True):
-            heap = heaps.setdefault((q, c), [])
+        heaps: dict[int, list] = {}
+        names: dict[int, int] = {}
+        for q, name, v, s in zip(*(table.column(n).to_pylist() for n in ("query", "query_id", "vec_id", "score")), strict=True):
+            heap = heaps.setdefault(q, [])
+            names[q] = name
             if len(heap) < k:
                 heapq.heappush(heap, (s, -v))
             elif (s, -v) > heap[0]:
                 heapq.heapreplace(heap, (s, -v))
-        rows = [(q, c, i + 1, -v, s) for (q, c), heap in heaps.items() for i, (s, v) in enumerate(sorted(heap, reverse=True))]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
-        return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["query_id", "copy", "rank", "vec_id", "score"])
-
-    schema = "query_id long, copy int, rank int, vec_id long, score double"
-    block = F.pmod(F.xxhash64("query_id"), F.lit(4096))
-    first = lists.groupBy(block.alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(ways)).alias("way")).applyInArrow(merge, schema)
-    return first.groupBy(block.alias("block")).applyInArrow(merge, schema).select("query_id", "rank", "vec_id", "score")
+        rows = [(names[q], i + 1, -v, s) for q, heap in heaps.items() for i, (s, v) in enumerate(sorted(heap, reverse=True))]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+        return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["query_id", "rank", "vec_id", "score"])
+
+    partitions = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(groups, partitions)
+    dealt = lists.withColumn("group", F.pmod(F.xxhash64("query"), F.lit(groups))).repartition(groups, "group")
+    return dealt.groupBy("group").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")

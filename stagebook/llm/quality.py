@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fresh, held_out, materialize, text_of
+from .common import fresh, held_out, id_of, materialize, text_of
 from .scan import parts, sums, word_hashes, words
 
 STATISTICS = ("n_words", "word_length", "upper", "symbols", "marks", "digits", "beyond_ascii", "line_words", "stops", "commas", "bare_symbols", "distinct", "twice", "odd_ends", "long_words", "repeats")
@@ -42,7 +42,9 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     h = word_hashes(data, begin, end)
     # distinct words and distinct pairs of words, by sorting the hashes within each text
     text = np.repeat(np.arange(len(n_words)), np.diff(first))
-    distinct, twice = (_distinct(x, text[: len(x)], len(n_words)) for x in (h, h[:-1] * np.uint64(3) + h[1:]))
+    inside = text[1:] == text[:-1]  # a pair of words never reaches into the next text
+    distinct = _distinct(h, text, len(n_words))
+    twice = _distinct((h[:-1] * np.uint64(3) + h[1:])[inside], text[:-1][inside], len(n_words)) + (n_words > 0)
     again = np.concatenate([(h[1:] == h[:-1]) & (text[1:] == text[:-1]), np.zeros(min(1, len(h)), dtype=bool)])
     share = lambda x: np.log(0.002 + x)
     return np.column_stack([
@@ -87,13 +89,13 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "x"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(id_of(), text_of().alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, shrink: float = 0.2, ridge: float = 1e-3, temper: float = 0.25) -> QualityModel:
     """Fit on all labelled documents that are not held out: sums, products and counts by class are added up in the tasks.
 
-    A class's covariance is drawn by ``shrink`` toward the pooled one, which keeps a diagonal ``ridge``. Statistics of a text
+    Of labels that contradict each other for one document the higher one holds. A class's covariance is drawn by ``shrink`` toward the pooled one, which keeps a diagonal ``ridge``. Statistics of a text
     depend on each other, so log densities are scaled by ``temper``. With one class only its share is the score, with none 1.
     """
     d = len(STATISTICS)
@@ -140,7 +142,11 @@ def _scored(stats: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every document; empty texts are scored too, repeated rows alike."""
+    """``doc_id, held_out, score, predicted`` for every document.
+
+    Null and empty texts are scored as texts without words, repeated rows alike; rows with a null id are scored and held out.
+    Ids of any whole type come back as long, other columns play no part. An empty table gives no rows.
+    """
     stats = materialize(document_statistics(docs), "statistics")
     scored = _scored(stats, fit_quality(stats, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

@@ -28,10 +28,9 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = tokenizer_path("byte_bpe_50k.tiktoken")
-    encoded = tokens.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    decoded = tokens.decode_documents(encoded, path)
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = tokens.recode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import CACHE_ENTRIES, ByteBPE, UnitCache, byte_letters, ranks_of_tiktoken
-from .common import materialize, text_of
+from .common import bounded, id_of, materialize, text_of
 
 #: Characters of text that are taken up at once within a task.
 BATCH_CHARS = 4_000_000
@@ -55,7 +55,6 @@ def spans(flat: np.ndarray, begin: np.ndarray, count: np.ndarray, block: int = 1
 @lru_cache(maxsize=2)
 def byte_encoder(path: str, pattern: str) -> ByteBPE:
     """Segment-tree merging by the ranks of a file of ``base64 rank`` lines."""
-    # encoding and decoding run in two Python workers a task, so this one's cache is kept small
     return ByteBPE(ranks_of_tiktoken(path), pattern, entries=100_000)
 
 
@@ -285,7 +284,8 @@ def library_words(path: str) -> _LibraryWords:
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Byte-level BPE ids of whole texts: ``doc_id, ids`` (little-endian uint32 in one binary).
 
-    A null text counts as empty and has no ids. Rows are independent: repeated rows, ties and null ids pass through.
+    A null text counts as empty and has no ids. Rows are independent: repeated rows, ties and null ids pass through. Ids of any
+    whole type come back as long, other columns play no part. An empty table gives no rows.
     """
 
     def run(batches):
@@ -294,21 +294,37 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for part, texts in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.encode_batch(texts), pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(id_of(), text_of().alias("text")).mapInArrow(run, "doc_id long, ids binary")
+
+
+def _decoded(ids: list[bytes], path: str) -> pa.Array:
+    piece = decoder_table(path).__getitem__
+    return pa.array([b"".join(map(piece, np.frombuffer(x, dtype="<u4").tolist())) for x in ids], pa.binary())
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """The bytes that ids stand for: ``doc_id, ids, decoded``."""
+    """The bytes that ids stand for: ``doc_id, ids, decoded``. An id without bytes is an error; no ids are no bytes."""
 
     def run(batches):
-        piece = decoder_table(path).__getitem__
         for batch in batches:
-            decoded = [b"".join(map(piece, np.frombuffer(x, dtype="<u4").tolist())) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(batch.column(1).to_pylist(), path)], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
+def recode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, ids, decoded`` as ``encode_documents`` and ``decode_documents`` give them, in one Python worker for both."""
+
+    def run(batches):
+        encoder = byte_encoder(path, pattern)
+        for batch in batches:
+            for part, texts in slices(batch):
+                ids = encoder.encode_batch(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), _decoded(ids, path)], ["doc_id", "ids", "decoded"])
+
+    return docs.select(id_of(), text_of().alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
 # ---------------------------------------------------------------- 1: best-fit packing
 
 
@@ -364,14 +380,15 @@ def document_pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataF
                     rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_of(), text_of().alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to materialised pieces by best fit on the histogram of lengths.
 
-    The plan depends on at most ``size`` counts. A piece takes the slot of its rank within its length. Ranks are counted within
-    (length, bucket), and a small table of prefix sums over buckets makes them global, so that no length meets in one task.
+    The plan depends on at most ``size`` counts. A piece takes the slot of its rank within its length, by a join with the plan.
+    Ranks are counted within (length, bucket), and a small table of prefix sums over buckets makes them global, so that no
+    length meets in one task: the prefix sums of a length have as many rows as there are buckets.
     """
     spark = pieces.sparkSession
     buckets = max(16, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -383,28 +400,22 @@ def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
     before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     ranked = ranked.join(before.select("length", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before")), ["length", "_bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_before")).alias("rank"))
-    top = int(max(histogram.values(), default=0)) + 1
-    key = plan[:, 0] * top + plan[:, 1]
-    order = np.argsort(key)
-    key, plan = key[order], plan[order]
-
-    def place(batches):
-        for batch in batches:
-            length, rank = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("length", "rank"))
-            _, first, _, sequence, per, offset = plan[np.searchsorted(key, length * top + rank, side="right") - 1].T
-            nth = rank - first
-            columns = [batch.column(k) for k in range(5)] + [pa.array(sequence + nth // per), pa.array(offset + nth % per * length)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
+    columns = ["p_length", "first", "end", "sequence", "per", "base"]
+    slots = spark.createDataFrame(plan.tolist(), ", ".join(f"{c} long" for c in columns))
+    # the plan follows ``size`` and not the input (some thousand rows for 2,048); a length has a few rows, of which one has the rank
+    placed = ranked.join(bounded(slots), (F.col("length") == F.col("p_length")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("end")))
+    nth = F.col("_rank") - F.col("first")
+    sequence = F.col("sequence") + F.floor(nth / F.col("per")).cast("long")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), (F.col("base") + nth % F.col("per") * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """Best-fit packing of documents into sequences of at most ``size`` tokens.
 
     One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. A null or empty text is the end id alone.
-    Repeated rows are packed each; ties of rank are broken by id, piece and content, and equal rows are interchangeable.
+    Repeated rows are packed each; ties of rank are broken by id, piece and content, and equal rows are interchangeable. Ids of
+    any whole type come back as long (null stays), other columns play no part. An empty table gives no rows.
     """
     return pack_pieces(materialize(document_pieces(docs, path, size, end_id), "pieces"), size)
 
@@ -418,7 +429,8 @@ def write_token_files(docs: DataFrame, encode: Callable[[], object], path: str,
     Columns ``doc_id, n_tokens, ids_crc32`` and ``tokens`` (list of int). Dictionary encoding is on for tokens (with delta
     encoding where a dictionary grows too large) and off for the ids, row groups and pages are bounded, and page indexes and
     column statistics are written, so that a reader can take the numbers alone or the tokens of a range of documents alone.
-    Rows without an id come first. A null text has the end id alone.
+    Rows without an id come first, rows of one id lie together. A null or empty text has the end id alone. Ids of any whole
+    type are written as long, other columns are not. An empty table gives files without rows.
     """
 
     def run(batches):
@@ -432,7 +444,7 @@ def write_token_files(docs: DataFrame, encode: Callable[[], object], path: str,
                 tokens = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(crc, pa.int64()), tokens], ["doc_id", "n_tokens", "ids_crc32", "tokens"])
 
-    parts = docs.select("doc_id", text_of().alias("text")).repartitionByRange(F.col("doc_id"))
+    parts = docs.select(id_of(), text_of().alias("text")).repartitionByRange(F.col("doc_id"))
     encoded = parts.sortWithinPartitions("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, tokens array<int>")
     options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#ids_crc32": "false", "parquet.block.size": str(row_group_mb << 20), "parquet.page.size": str(page_kb << 10)}
     encoded.write.options(**options).parquet(path)
@@ -449,12 +461,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    files = rows.groupBy("_file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    # a row per file: their number follows the number of tasks, not of documents
-    files = files.withColumn("_base", F.coalesce(F.sum("n").over(Window.orderBy(F.col("low").asc_nulls_first(), "high", "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """Running sums in three levels: rows of a file, files of a group, groups. No level takes more than its own share to a task."""
     within = Window.partitionBy("_file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.select("doc_id", "n_tokens", "ids_crc32", "_file").withColumn("_in", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return starts.join(F.broadcast(files.select("_file", "_base")), "_file").select("doc_id", (F.col("_base") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
+    return starts.join(bounded(_file_starts(rows)), "_file").select("doc_id", (F.col("_base") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _file_starts(rows: DataFrame) -> DataFrame:
+    """``_file, _base``: the tokens of all files before each, in the order of their ids."""
+    files = materialize(rows.groupBy("_file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "files")
+    order = [F.col("low").asc_nulls_first(), F.col("high").asc_nulls_first(), F.col("_file")]
+    groups = max(1, int(files.count() ** 0.5))
+    dealt = materialize(files.repartitionByRange(groups, *order).withColumn("group", F.spark_partition_id()), "file-groups")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # as many rows as the square root of the number of files
+    totals = dealt.groupBy("group").agg(F.sum("n").alias("all")).withColumn("_before", F.coalesce(F.sum("all").over(before(Window.orderBy("group"))), F.lit(0)))
+    inside = dealt.withColumn("_in", F.coalesce(F.sum("n").over(before(Window.partitionBy("group").orderBy(*order))), F.lit(0)))
+    return materialize(inside.join(totals, "group").select("_file", (F.col("_before") + F.col("_in")).alias("_base")), "file-starts")
 
 
 def checked_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -578,7 +601,11 @@ def piece_counter(path: str) -> PieceCounter:
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` of whole texts; a null text counts as empty and has no tokens."""
+    """``doc_id, n_bytes, n_tokens, over_limit`` of whole texts; a null text counts as empty and has no tokens.
+
+    Rows are independent: repeated rows, ties and null ids pass through. Ids of any whole type come back as long, other columns
+    play no part. An empty table gives no rows.
+    """
 
     def run(batches):
         counter = piece_counter(path)
@@ -588,6 +615,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
                 size = pa.array(np.fromiter((len(t.encode()) for t in texts), dtype=np.int64, count=len(texts)))
                 yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_of(), text_of().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
