@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import shared_dir
+
 SOURCES = ("nation", "customer", "orders", "lineitem", "events")
 
 #: In order of dependence; ``{{name}}`` is a table of the driver, a plain name an earlier ledger table.
@@ -97,6 +100,32 @@ JOIN {customer} ON m.run_key = concat('run-', c_custkey) WHERE c_custkey % 10 =
 SELECT a.workflow_id, a.stage_execution_id % 5 <> 0 AS succeeded, CASE WHEN a.stage_execution_id % 19 = 0 THEN 'other' ELSE e.stage_key END AS expected_stage_key,
        CASE WHEN a.stage_execution_id % 5 <> 0 AND a.stage_execution_id % 23 <> 0 THEN concat('out:', a.stage_execution_id) END AS output_reference
 FROM stage_attempts AS a JOIN stage_executions AS e ON e.stage_execution_id = a.stage_execution_id WHERE e.state IN ('admitted', 'cancelled')""",
+    # the tables with all columns of the ledger; RANK_OF(campaign, work) is the rank in the words of each engine
+    "full_runs": """
+SELECT r.run_key, r.campaign_key, r.pipeline_key, r.pipeline_version, r.execution_config_reference, r.expected_member_count, r.manifest_reference,
+       CASE WHEN r.manifest_reference IS NOT NULL THEN concat('digest:', r.run_key) END AS membership_digest, r.run_completion_key, r.created_at, r.registration_closed_at, r.registered_member_count,
+       CASE WHEN r.registration_closed_at IS NOT NULL THEN CAST(coalesce(m.n, 0) AS INT) END AS created_work_count,
+       CASE WHEN r.registration_closed_at IS NOT NULL THEN CAST(r.registered_member_count - coalesce(m.n, 0) AS INT) END AS reused_work_count, r.released_at,
+       CASE WHEN r.released_at IS NOT NULL THEN 'frozen' END AS release_facts
+FROM pipeline_runs AS r LEFT JOIN (SELECT origin_run_key, count(*) AS n FROM work_items GROUP BY origin_run_key) AS m ON m.origin_run_key = r.run_key""",
+    "full_items": "SELECT w.*, RANK_OF(w.campaign_key, w.work_key) AS rank FROM work_items AS w",
+    "full_executions": """
+SELECT e.stage_execution_id, e.work_item_id, e.stage_key, e.stage_index, e.state, e.current_attempt, w.rank, w.priority, e.input_reference, e.output_reference, e.barrier,
+       CAST(CAST('2026-07-01' AS DATE) + e.stage_index AS TIMESTAMP) AS created_at, CAST(CAST('2026-07-02' AS DATE) + e.stage_index AS TIMESTAMP) AS updated_at
+FROM stage_executions AS e JOIN full_items AS w ON w.work_item_id = e.work_item_id""",
+    "full_attempts": """
+SELECT a.stage_attempt_id, a.stage_execution_id, a.attempt_number, a.workflow_id, a.terminal_summary, CASE WHEN e.state = 'succeeded' THEN e.output_reference END AS terminal_reference, a.evidence_reference,
+       e.created_at, e.created_at AS admitted_at, CASE WHEN a.terminal_summary IS NOT NULL THEN e.updated_at END AS terminal_at
+FROM stage_attempts AS a JOIN full_executions AS e ON e.stage_execution_id = a.stage_execution_id""",
+    "full_completions": """
+SELECT e.*, r.released_at AS enqueued_at, CASE WHEN e.state <> 'enqueued' THEN r.released_at END AS terminal_at FROM run_completion_executions AS e JOIN pipeline_runs AS r ON r.run_key = e.run_key""",
+    "full_completion_attempts": """
+SELECT a.run_completion_attempt_id, a.run_completion_execution_id, a.attempt_number, a.workflow_id, CASE WHEN a.terminal THEN '{{"outcome":"failed"}}' END AS terminal_summary,
+       e.enqueued_at AS created_at, e.enqueued_at, CASE WHEN a.terminal THEN e.enqueued_at END AS terminal_at
+FROM run_completion_attempts AS a JOIN full_completions AS e ON e.run_completion_execution_id = a.run_completion_execution_id""",
+    "declared_stages": """
+SELECT 'evaluation' AS pipeline_key, v AS pipeline_version, CAST(k AS INT) AS position, s AS stage_key, concat('queue-', s) AS queue_name, 'finalize' AS run_completion_key
+FROM (VALUES (0, 'optim_step'), (1, 'eval_row'), (2, 'eval_fanin')) AS t(k, s) CROSS JOIN (VALUES (1), (2)) AS u(v)""",
     "stage_controls": "SELECT * FROM (VALUES "
     + ", ".join(f"({i}, 'evaluation', {v}, '{s}', {k}, {w}, {c}, {p})" for i, v, s, k, w, c, p in (
         (1, 1, "optim_step", "NULL", "NULL", 100000, "false"), (2, 1, "eval_row", "NULL", "NULL", 1000000, "false"), (3, 1, "eval_row", "'segment'", "'BUILDING'", 100000, "false"),
@@ -107,13 +136,35 @@ FROM stage_attempts AS a JOIN stage_executions AS e ON e.stage_execution_id = a.
 }
 
 
+# The rank of an item, in the words of each engine.
+_RANK_JSON = """concat('{"campaign_key":"', \\1, '","work_key":"', \\2, '"}')"""
+_RANK = {
+    "spark": f"CAST(CAST(conv(substr(sha2({_RANK_JSON}, 256), 1, 16), 16, 10) AS DECIMAL(20,0)) % 9223372036854775807 + 1 AS BIGINT)",
+    "duckdb": f"CAST(CAST(concat('0x', substr(sha256({_RANK_JSON}), 1, 16)) AS UBIGINT) % 9223372036854775807 + 1 AS BIGINT)",
+}
+
+
+def _ranked(sql: str, engine: str, braces: bool = False) -> str:
+    """Put the engine's expression for RANK_OF; ``braces`` doubles its own braces for a later format()."""
+    rank = _RANK[engine].replace("{", "{{").replace("}", "}}") if braces else _RANK[engine]
+    return re.sub(r"RANK_OF\((\S+), (\S+)\)", rank, sql)
+
+
 def oracle_prefix() -> str:
     names = {s: s for s in SOURCES}
-    return "WITH " + ",\n".join(f"{name} AS ({sql.format(**names)})" for name, sql in TABLES.items())
+    # each table is worked out once, however often a query names it
+    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({_ranked(sql.format(**names), 'duckdb')})" for name, sql in TABLES.items())
+
+
+#: Where the tables of a session and folder were written.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 class Ledger:
-    """The ledger tables of a folder, each built when asked for; labels are maps as the operators want them."""
+    """The ledger tables of a folder; labels are maps as the operators want them.
+
+    A table is derived when it is first asked for and written to the shared folder; later queries of the session scan it there.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -124,12 +175,26 @@ class Ledger:
             return self.built[name]
         if name not in TABLES:
             raise AttributeError(name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        df = None
+        if key in _WRITTEN:
+            try:
+                df = self.spark.read.parquet(_WRITTEN[key])
+            except AnalysisException:  # the folder was cleared
+                pass
+        if df is None:
+            path = shared_dir(self.spark, f"ledger-{name}")
+            self._derive(name).write.parquet(path)
+            df, _WRITTEN[key] = self.spark.read.parquet(path), path
+        self.built[name] = df
+        return df
+
+    def _derive(self, name: str) -> DataFrame:
         earlier = "|".join(TABLES)
-        sql = re.sub(rf"\b(FROM|JOIN) ({earlier})\b", r"\1 {\2}", TABLES[name])
+        sql = re.sub(rf"\b(FROM|JOIN) ({earlier})\b", r"\1 {\2}", _ranked(TABLES[name], "spark", braces=True))
         df = self.spark.sql(sql, **{t: getattr(self, t) for t in set(re.findall(r"(?<!\{)\{(\w+)\}", sql))})
         if name in ("work_items", "members"):
             df = df.withColumn("labels", F.create_map(F.lit("segment"), "segment", F.lit("priority"), "urgency"))
         if name == "stage_controls":
             df = df.withColumn("selector", F.when(F.col("label_key").isNull(), F.create_map().cast("map<string,string>")).otherwise(F.create_map("label_key", "label_value")))
-        self.built[name] = df
         return df

@@ -8,6 +8,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=1)
@@ -28,3 +29,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = shared_dir(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A side of at most so many rows may be broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def narrow(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hint a broadcast of ``df`` (few narrow columns) if it is counted to be small; else leave the join to a shuffle."""
+    limit = BROADCAST_ROWS if limit is None else limit
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
