@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expressions import blank_as_absent, contains, may_move, stable_rank
+from ..sources.shared import narrow
 from .status import barrier_gate
 
 STAGE = ["pipeline_key", "pipeline_version", "stage_key"]
@@ -19,12 +20,14 @@ STAGE = ["pipeline_key", "pipeline_version", "stage_key"]
 def admission_rows(executions: DataFrame, items: DataFrame, runs: DataFrame) -> DataFrame:
     """Executions with labels, priority, rank and stage identity (of the item's origin run)."""
     origin = runs.select(F.col("run_key").alias("origin_run_key"), "pipeline_key", "pipeline_version")
-    return executions.join(items.select("work_item_id", "origin_run_key", "campaign_key", "work_key", "labels", "priority", F.col("input_reference").alias("item_input")), "work_item_id").join(origin, "origin_run_key")
+    facts = ["work_item_id", "origin_run_key", "campaign_key", "work_key", "labels", "priority", *(["rank"] if "rank" in items.columns else [])]
+    rows = executions.drop("rank", "priority").join(items.select(*facts, F.col("input_reference").alias("item_input")), "work_item_id")
+    return rows.join(origin, "origin_run_key")
 
 
 def control_occupancy(rows: DataFrame, controls: DataFrame) -> DataFrame:
-    """Admitted rows per control, zero included. Controls are few (operators set them by hand), so they are broadcast."""
-    wide = F.broadcast(controls.select("stage_control_id", *STAGE, "selector"))
+    """Admitted rows per control, zero included."""
+    wide = narrow(controls.select("stage_control_id", *STAGE, "selector"))
     counts = rows.where("state = 'admitted'").join(wide, STAGE).where(contains("labels", "selector")).groupBy("stage_control_id").agg(F.count("*").alias("occupied"))
     return controls.join(counts, "stage_control_id", "left").withColumn("occupied", F.coalesce("occupied", F.lit(0)))
 
@@ -32,26 +35,33 @@ def control_occupancy(rows: DataFrame, controls: DataFrame) -> DataFrame:
 def ready_candidates(executions: DataFrame, rows: DataFrame, controls: DataFrame) -> DataFrame:
     """Ready rows of configured stages that no lower stage and no pause holds back."""
     gate = barrier_gate(executions).where("state = 'ready' AND NOT (barrier AND blocked)").select("stage_execution_id")
-    configured = F.broadcast(controls.where(F.size("selector") == 0).select(*STAGE).distinct())
-    paused = F.broadcast(controls.where("paused").select(*STAGE, "selector"))
+    configured = narrow(controls.where(F.size("selector") == 0).select(*STAGE).distinct())
+    paused = narrow(controls.where("paused").select(*STAGE, "selector"))
     ready = rows.where("state = 'ready'").join(configured, STAGE, "left_semi").join(gate, "stage_execution_id", "left_semi")
     same = [F.col(f"r.{k}") == F.col(f"p.{k}") for k in STAGE]
     return ready.alias("r").join(paused.alias("p"), [*same, contains("r.labels", "p.selector")], "left_anti")
 
 
-def plan_admission(candidates: DataFrame, occupancy: DataFrame, batch: int = 10_000) -> DataFrame:
+def plan_admission(candidates: DataFrame, occupancy: DataFrame, batch: int = 10_000, salts: int = 64) -> DataFrame:
     """The candidates to admit, in order of priority, rank and id, under all matching controls.
 
     Rows with the same set of matching controls are admitted as a prefix of their order, so at most the smallest free
-    capacity of each set can matter: a window keeps those, and the sequential rule runs on what is left for each stage, whose
+    capacity of each set (and ``batch``) can matter. A window keeps so many first of each of ``salts`` parts of a set, so that
+    no task sorts a whole backlog, a second one of each set; the sequential rule runs on what is left for each stage, whose
     size depends on capacities and ``batch`` alone.
     """
-    controls = F.broadcast(occupancy.select("stage_control_id", *STAGE, "selector", (F.col("capacity") - F.col("occupied")).alias("free")))
-    matched = candidates.join(controls, STAGE).where(contains("labels", "selector"))
-    matched = matched.groupBy("stage_execution_id", *STAGE, "priority", "rank").agg(F.sort_array(F.collect_list(F.struct("stage_control_id", F.greatest("free", F.lit(0)).cast("long").alias("free")))).alias("controls"))
-    matched = matched.withColumn("room", F.array_min(F.transform("controls", lambda x: x["free"])))
-    order = Window.partitionBy(*STAGE, F.to_json("controls")).orderBy("priority", "rank", "stage_execution_id")
-    kept = matched.withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= batch) & (F.col("nth") <= F.col("room")))
+    some = F.struct("stage_control_id", F.greatest(F.col("capacity") - F.col("occupied"), F.lit(0)).cast("long").alias("free"), "selector")
+    controls = narrow(occupancy.groupBy(*STAGE).agg(F.sort_array(F.transform(F.collect_list(some), lambda x: F.struct(x["stage_control_id"], x["free"], F.to_json(x["selector"]).alias("text")))).alias("all")))
+    held = F.filter("all", lambda x: contains(F.col("labels"), F.from_json(x["text"], "map<string,string>")))
+    matched = candidates.join(controls, STAGE).withColumn("controls", F.transform(held, lambda x: F.struct(x["stage_control_id"], x["free"])))
+    # a row that no control matches has no room
+    room = F.least(F.array_min(F.transform("controls", lambda x: x["free"])), F.lit(batch).cast("long"))
+    matched = matched.select("stage_execution_id", *STAGE, "priority", "rank", "controls", room.alias("room"), F.to_json("controls").alias("signature"))
+    order = ["priority", "rank", "stage_execution_id"]
+    parts = Window.partitionBy(*STAGE, "signature", "salt").orderBy(*order)
+    salted = matched.withColumn("salt", F.pmod(F.xxhash64("stage_execution_id"), F.lit(salts)))
+    first = salted.withColumn("nth", F.row_number().over(parts)).where(F.col("nth") <= F.col("room")).drop("salt", "nth")
+    kept = first.withColumn("nth", F.row_number().over(Window.partitionBy(*STAGE, "signature").orderBy(*order))).where(F.col("nth") <= F.col("room"))
     flat = kept.select("stage_execution_id", *STAGE, "priority", "rank", F.transform("controls", lambda x: x["stage_control_id"]).alias("ids"), F.transform("controls", lambda x: x["free"]).alias("free"))
 
     def admit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -231,9 +241,9 @@ def sweep(admitted: DataFrame, workflow_status: DataFrame, live_version: str, li
     """What an external status feed says of current attempts: ``new_state`` and ``reason``, null where nothing is to be done.
 
     A pending workflow counts as abandoned only with evidence: both identity fields are there, and the version is not the live
-    one or the executor does not live. ``live_executors`` is a list of processes and is broadcast.
+    one or the executor does not live. ``live_executors`` is a list of processes.
     """
-    live = F.broadcast(live_executors.select(blank_as_absent("executor_id").alias("executor_id"), F.lit(True).alias("alive")).where("executor_id IS NOT NULL").distinct())
+    live = narrow(live_executors.select(blank_as_absent("executor_id").alias("executor_id"), F.lit(True).alias("alive")).where("executor_id IS NOT NULL").distinct())
     feed = workflow_status.select("workflow_id", "status", blank_as_absent("app_version").alias("version"), blank_as_absent("executor_id").alias("executor_id"))
     rows = admitted.join(feed, "workflow_id", "left").join(live, "executor_id", "left")
     known = F.col("version").isNotNull() & F.col("executor_id").isNotNull()

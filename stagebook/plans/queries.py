@@ -11,6 +11,7 @@ from ..functions import expressions as X
 from ..operators import changes as C
 from ..operators import status as S
 from ..sources.fixtures import Ledger, oracle_prefix
+from ..sources.shared import narrow
 from ..streaming import folds
 
 _QUERIES: dict[str, Callable] = {}
@@ -31,13 +32,13 @@ eligible AS (SELECT r.* FROM pipeline_runs r WHERE r.registration_closed_at IS N
 RANK_SQL = """(('0x' || substr(sha256('{{"campaign_key":"' || {c} || '","work_key":"' || {w} || '"}}'), 1, 16))::UBIGINT % 9223372036854775807 + 1)::BIGINT"""
 
 
-def query(sql: str | None = None):
-    """Register a query under its name; its SQL follows the ledger's common table expressions."""
+def query(sql: str | None = None, more: str = ""):
+    """Register a query under its name; its SQL follows the ledger's common table expressions, and ``more`` of its own."""
 
     def register(f: Callable[[Ledger], DataFrame]) -> Callable[[Ledger], DataFrame]:
         _QUERIES[f.__name__] = lambda spark, sf_dir: f(Ledger(spark, sf_dir))
         if sql is not None:
-            _SQL[f.__name__] = f"{oracle_prefix()},{STATUS_SQL} {sql}"
+            _SQL[f.__name__] = f"{oracle_prefix()},{STATUS_SQL}{',' if more else ''}{more} {sql}"
         return f
 
     return register
@@ -233,7 +234,8 @@ def _controls(t: Ledger) -> DataFrame:
 
 
 def _rows(t: Ledger) -> DataFrame:
-    return C.admission_rows(t.stage_executions, t.work_items, t.pipeline_runs).withColumn("rank", X.stable_rank("campaign_key", "work_key"))
+    items = t.full_items.withColumn("labels", F.create_map(F.lit("segment"), "segment", F.lit("priority"), "urgency"))
+    return C.admission_rows(t.stage_executions, items, t.pipeline_runs)
 
 
 _PAUSE_SQL = "EXISTS (SELECT 1 FROM stage_controls c WHERE c.paused AND c.pipeline_key = w.pipeline_key AND c.pipeline_version = w.pipeline_version AND c.stage_key = w.stage_key AND " + _LABEL_SQL + ")"
@@ -243,7 +245,7 @@ _CANDIDATES_SQL = f"(SELECT w.* FROM arows w JOIN gate g USING (stage_execution_
 
 @query(f"SELECT w.work_item_id, c.stage_control_id FROM work_items w CROSS JOIN stage_controls c WHERE {_LABEL_SQL} AND c.label_key IS NOT NULL")
 def label_controls(t):
-    some = F.broadcast(t.stage_controls.where(F.size("selector") > 0).select("stage_control_id", "selector"))
+    some = narrow(t.stage_controls.where(F.size("selector") > 0).select("stage_control_id", "selector"))
     return t.work_items.join(some, X.contains("labels", "selector")).select("work_item_id", "stage_control_id")
 
 
@@ -261,13 +263,13 @@ def control_occupancy(t):
 
 @query(f"SELECT pipeline_version, stage_key, count(*) AS n FROM arows w WHERE state = 'ready' AND NOT {_CONFIGURED_SQL} GROUP BY 1, 2")
 def unconfigured_stages(t):
-    plain = F.broadcast(t.stage_controls.where(F.size("selector") == 0).select(*C.STAGE).distinct())
+    plain = narrow(t.stage_controls.where(F.size("selector") == 0).select(*C.STAGE).distinct())
     return _rows(t).where("state = 'ready'").join(plain, C.STAGE, "left_anti").groupBy("pipeline_version", "stage_key").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT stage_execution_id FROM arows w WHERE state = 'ready' AND {_PAUSE_SQL}")
 def paused_candidates(t):
-    paused = F.broadcast(t.stage_controls.where("paused").select(*C.STAGE, "selector"))
+    paused = narrow(t.stage_controls.where("paused").select(*C.STAGE, "selector"))
     ready = _rows(t).where("state = 'ready'")
     return ready.alias("r").join(paused.alias("p"), [*[F.col(f"r.{k}") == F.col(f"p.{k}") for k in C.STAGE], X.contains("r.labels", "p.selector")], "left_semi").select("stage_execution_id")
 
@@ -278,17 +280,6 @@ def ready_order(t):
     return S.page(rows.select("stage_execution_id", "priority", "rank"), ["priority", "rank", "stage_execution_id"], None, 100)
 
 
-@query()
-def admission_plan(t):
-    controls = _controls(t)
-    return C.plan_admission(C.ready_candidates(t.stage_executions, _rows(t), controls), controls)
-
-
-@query()
-def admission_summary(t):
-    return admission_plan(t).groupBy(*C.STAGE).agg(F.count("*").alias("admitted"))
-
-
 def _attempts(t: Ledger) -> DataFrame:
     """The attempts with their times: all were admitted, and those with a summary are terminal."""
     at = F.to_timestamp(F.lit("2026-07-17 12:00:00"))
@@ -542,7 +533,7 @@ def apply_changes(t):
 
 @query("SELECT work_item_id, stage_key AS missing FROM (SELECT DISTINCT work_item_id, stage_key FROM stage_executions) WHERE stage_key NOT IN ('optim_step', 'eval_row', 'eval_fanin')")
 def registry_drift(t):
-    declared = F.broadcast(t.stage_controls.select("stage_key").distinct())
+    declared = narrow(t.stage_controls.select("stage_key").distinct())
     return t.stage_executions.select("work_item_id", F.col("stage_key").alias("missing")).distinct().join(declared.withColumnRenamed("stage_key", "missing"), "missing", "left_anti").select("work_item_id", "missing")
 
 

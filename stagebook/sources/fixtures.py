@@ -153,7 +153,7 @@ def _ranked(sql: str, engine: str, braces: bool = False) -> str:
 def oracle_prefix() -> str:
     names = {s: s for s in SOURCES}
     # each table is worked out once, however often a query names it
-    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({_ranked(sql.format(**names), 'duckdb')})" for name, sql in TABLES.items())
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS MATERIALIZED ({_ranked(sql.format(**names), 'duckdb')})" for name, sql in TABLES.items())
 
 
 #: Where the tables of a session and folder were written.
