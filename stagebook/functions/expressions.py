@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 PRECEDENCE = ("failed", "cancelled", "admitted", "ready")
 MOVES = (("ready", "admitted"), ("ready", "cancelled"), ("admitted", "succeeded"), ("admitted", "failed"), ("admitted", "cancelled"), ("failed", "ready"), ("failed", "cancelled"))
 STAGE_PREFIX, COMPLETION_PREFIX = "drp-", "drp-run-"
+PRIORITY_MAX = 2_147_483_647
 KEY_SYNTAX, KEY_LENGTH = r"^[A-Za-z0-9][A-Za-z0-9._:/-]*$", 128
 
 
@@ -61,6 +62,15 @@ def valid_key(key: str | Column) -> Column:
     return F.coalesce(c(key).rlike(KEY_SYNTAX) & (F.length(c(key)) <= KEY_LENGTH), F.lit(False))
 
 
+def valid_priority(priority: str | Column) -> Column:
+    return F.coalesce((c(priority) >= 0) & (c(priority) <= PRIORITY_MAX), F.lit(False))
+
+
+def not_before(time: Column, bound: str | Column) -> Column:
+    """A time of change, moved up to the bound where it lies before that."""
+    return F.greatest(time, c(bound))
+
+
 def blank_as_absent(x: str | Column) -> Column:
     return F.nullif(F.trim(c(x)), F.lit(""))
 

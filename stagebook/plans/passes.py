@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import admission as A
 from ..operators import changes as C
+from ..operators import completion as B
+from ..operators import outcomes as O
+from ..operators import registration as R
 from ..sources.fixtures import Ledger
 from ..sources.shared import materialize, narrow
 from .queries import _CANDIDATES_SQL, _CONFIGURED_SQL, _PAUSE_SQL, RANK_SQL, _controls, query
@@ -43,7 +46,7 @@ plan AS (SELECT q.stage_execution_id, q.pipeline_key, q.pipeline_version, q.stag
 """
 
 
-@query(f"SELECT * FROM plan", more=_PLAN_SQL)
+@query("SELECT * FROM plan", more=_PLAN_SQL)
 def admission_plan(t):
     controls = _controls(t)
     return C.plan_admission(C.ready_candidates(t.stage_executions, _items_rows(t), controls), controls)
@@ -55,11 +58,7 @@ def admission_summary(t):
 
 
 def _items_rows(t: Ledger) -> DataFrame:
-    return C.admission_rows(t.stage_executions, t.full_items.withColumn("labels", _labels()), t.pipeline_runs)
-
-
-def _labels():
-    return F.create_map(F.lit("segment"), "segment", F.lit("priority"), "urgency")
+    return C.admission_rows(t.stage_executions, t.full_items, t.pipeline_runs)
 
 
 #: Every third ready stage holds its next attempt already, prepared by an earlier retry.
@@ -78,7 +77,7 @@ def _pass(t: Ledger, batch: int = 10_000) -> A.Pass:
     attempts = t.full_attempts.select("stage_execution_id", "attempt_number", "workflow_id", "admitted_at", "terminal_at")
     attempts = attempts.unionByName(prepared.withColumn("admitted_at", none).withColumn("terminal_at", none))
     executions = t.stage_executions.withColumn("current_attempt", F.when((F.col("state") == "ready") & (F.col("stage_execution_id") % 3 == 0), 1).otherwise(F.col("current_attempt")))
-    rows = C.admission_rows(executions, t.full_items.withColumn("labels", _labels()), t.pipeline_runs)
+    rows = C.admission_rows(executions, t.full_items, t.pipeline_runs)
     return A.admission_pass(executions, rows, _controls(t), attempts, t.declared_stages, _now(), batch)
 
 
@@ -163,3 +162,193 @@ def control_upserts(t):
 def control_rejects(t):
     _, rejects = _control_changes(t)
     return rejects.select("pipeline_version", "stage_key", F.col("selector_key").alias("selector"), "action", "reason")
+
+
+# ---------------------------------------------------------------- registration
+
+_FACTS = ", ".join(R.PROVENANCE)
+
+
+@query(f"""SELECT run_key, campaign_key, kind, reason FROM (SELECT d.*, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN r.run_key IS NULL THEN 'new'
+  WHEN row({', '.join('d.' + f for f in R.PROVENANCE)}) IS DISTINCT FROM row({', '.join('r.' + f for f in R.PROVENANCE)}) THEN 'conflict' WHEN r.registration_closed_at IS NOT NULL THEN 'closed' ELSE 'replay' END AS kind
+  FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY run_key) > 1 THEN 'declared_once' WHEN run_completion_key = 'bad key' THEN 'valid_keys' WHEN pipeline_version <= 0 THEN 'version_positive' WHEN expected_member_count < 0 THEN 'members_not_negative'
+    WHEN (manifest_reference IS NULL) <> (membership_digest IS NULL) THEN 'manifest_with_digest' WHEN run_completion_key IS NOT NULL AND manifest_reference IS NULL THEN 'completion_has_manifest' END AS reason
+    FROM (SELECT DISTINCT run_key, {_FACTS} FROM run_declarations)) d LEFT JOIN full_runs r ON r.run_key = d.run_key)""")
+def run_registration(t):
+    return R.register_runs(t.run_declarations, t.full_runs).select("run_key", "campaign_key", "kind", "reason")
+
+
+@query("SELECT run_key, membership_digest, registered_member_count AS registered_count, created_work_count AS created_count, reused_work_count AS reused_count, CAST(registration_closed_at AS VARCHAR) AS registration_closed_at FROM full_runs WHERE registration_closed_at IS NOT NULL")
+def registration_receipts(t):
+    return R.receipts(t.full_runs).withColumn("registration_closed_at", F.col("registration_closed_at").cast("string"))
+
+
+_MEMBERS_JUDGED = """
+judged AS (SELECT m.*, w.work_item_id, CASE WHEN m.member_ordinal < 0 THEN 'ordinal_not_negative' WHEN m.work_key LIKE '%!%' THEN 'valid_work_key' WHEN m.input_reference = '' THEN 'input_given' WHEN m.priority < 0 THEN 'priority_in_range'
+    WHEN count(*) OVER (PARTITION BY m.run_key, m.work_key) > 1 THEN 'one_row_of_a_work_key' WHEN count(*) OVER (PARTITION BY m.run_key, m.member_ordinal) > 1 THEN 'one_row_of_an_ordinal' END AS wrong,
+  CASE WHEN w.work_item_id IS NULL THEN 'new' WHEN w.input_reference <> m.input_reference OR r.pipeline_version <> s.pipeline_version THEN 'conflict' WHEN w.priority <> m.priority THEN 'priority_change' ELSE 'same' END AS kind
+  FROM member_requests m LEFT JOIN work_items w ON w.campaign_key = m.campaign_key AND w.work_key = m.work_key LEFT JOIN pipeline_runs r ON r.run_key = w.origin_run_key LEFT JOIN pipeline_runs s ON s.run_key = m.run_key
+  WHERE m.run_key NOT IN (SELECT run_key FROM pipeline_runs WHERE registration_closed_at IS NOT NULL))
+"""
+
+
+@query("SELECT run_key, member_ordinal, work_key, wrong AS reason FROM judged WHERE wrong IS NOT NULL UNION ALL SELECT run_key, member_ordinal, work_key, 'conflict' FROM judged WHERE kind = 'conflict'", more=_MEMBERS_JUDGED)
+def registration_rejects(t):
+    return R.register_members(t.member_requests, t.full_items, t.full_runs)[1]
+
+
+@query("SELECT run_key, member_ordinal, work_key, kind FROM judged WHERE run_key NOT IN (SELECT run_key FROM judged WHERE wrong IS NOT NULL OR kind = 'conflict')", more=_MEMBERS_JUDGED)
+def registration_members(t):
+    return R.register_members(t.member_requests, t.full_items, t.full_runs)[0].select("run_key", "member_ordinal", "work_key", "kind")
+
+
+@query("""SELECT * FROM (SELECT run_key, member_ordinal, work_item_id, CASE WHEN coalesce(a.n, 0) > coalesce(b.n, 0) THEN 'missing' WHEN coalesce(a.n, 0) < coalesce(b.n, 0) THEN 'other' END AS difference
+FROM (SELECT run_key, member_ordinal, work_item_id, count(*) AS n FROM run_memberships GROUP BY ALL) a FULL JOIN (SELECT run_key, member_ordinal, work_item_id, count(*) AS n FROM stored_memberships GROUP BY ALL) b USING (run_key, member_ordinal, work_item_id)) WHERE difference IS NOT NULL""")
+def membership_differences(t):
+    return R.membership_differences(t.run_memberships, t.stored_memberships)
+
+
+_DIGEST_SQL = """
+digests AS (SELECT run_key, count(*) AS n, sha256('{"entries":[' || string_agg('{"input_reference":"' || input_reference || '","ordinal":' || member_ordinal || ',"work_key":"' || work_key || '"}', ',' ORDER BY member_ordinal)
+  || '],"expected_member_count":' || count(*) || ',"schema":"run-membership/v1"}') AS digest FROM run_memberships JOIN work_items USING (work_item_id) GROUP BY run_key)
+"""
+
+
+@query("SELECT run_key, digest AS membership_digest, n AS members FROM digests", more=_DIGEST_SQL)
+def ordered_digests(t):
+    return R.ordered_digests(t.run_memberships, t.work_items, "run-membership/v1")
+
+
+_CLOSURES_SQL = f"""{_DIGEST_SQL},
+closing AS (SELECT r.run_key, CASE WHEN r.expected_member_count % 3 = 0 THEN NULL WHEN r.expected_member_count % 3 = 1 THEN coalesce(d.digest, sha256('{{"entries":[],"expected_member_count":0,"schema":"run-membership/v1"}}')) ELSE 'digest:other' END AS membership_digest,
+    r.expected_member_count, coalesce(d.digest, sha256('{{"entries":[],"expected_member_count":0,"schema":"run-membership/v1"}}')) AS digest
+  FROM pipeline_runs r LEFT JOIN digests d USING (run_key)),
+counted AS (SELECT c.*, coalesce(m.n, 0) AS n, coalesce(m.created, 0) AS created, coalesce(m.ok, true) AS ok FROM closing c LEFT JOIN (SELECT x.run_key, count(*) AS n, count(*) FILTER (origin_run_key = x.run_key) AS created,
+    min(member_ordinal) = 0 AND max(member_ordinal) = count(*) - 1 AND count(DISTINCT member_ordinal) = count(*) AS ok FROM run_memberships x JOIN work_items USING (work_item_id) WHERE x.work_item_id % 97 <> 0 GROUP BY 1) m USING (run_key)),
+fulls AS (SELECT run_key, sha256('{{"entries":[' || string_agg('{{"input_reference":"' || input_reference || '","ordinal":' || member_ordinal || ',"work_key":"' || work_key || '"}}', ',' ORDER BY member_ordinal)
+  || '],"expected_member_count":' || count(*) || ',"schema":"run-membership/v1"}}') AS found FROM run_memberships JOIN work_items USING (work_item_id) WHERE work_item_id % 97 <> 0 GROUP BY run_key),
+closures AS (SELECT c.*, CASE WHEN NOT ok THEN 'gapless' WHEN n <> expected_member_count THEN 'complete'
+  WHEN membership_digest IS NOT NULL AND membership_digest <> coalesce(f.found, sha256('{{"entries":[],"expected_member_count":0,"schema":"run-membership/v1"}}')) THEN 'digest_equal' END AS reason FROM counted c LEFT JOIN fulls f USING (run_key))
+"""
+
+
+def _closures(t: Ledger) -> tuple[DataFrame, DataFrame]:
+    """All runs as if they were open, some members lost; a third declare no digest, a third their own (worked out in the other way) and a third another one."""
+    none = F.sha2(F.lit('{"entries":[],"expected_member_count":0,"schema":"run-membership/v1"}'), 256)
+    own = C.membership_digests(t.run_memberships, t.work_items, "run-membership/v1").withColumnRenamed("membership_digest", "own")
+    share = F.col("expected_member_count") % 3
+    runs = t.pipeline_runs.join(own, "run_key", "left").withColumn("registration_closed_at", F.lit(None).cast("timestamp"))
+    runs = runs.withColumn("membership_digest", F.when(share == 1, F.coalesce("own", none)).when(share == 2, F.lit("digest:other")))
+    return R.close_runs(runs, t.run_memberships.where("work_item_id % 97 <> 0"), t.work_items, "run-membership/v1", _now())
+
+
+@query(f"SELECT run_key, membership_digest, n::INT AS registered_count, created::INT AS created_count, (n - created)::INT AS reused_count, '{_AT}' AS registration_closed_at FROM closures WHERE reason IS NULL", more=_CLOSURES_SQL)
+def registration_closures(t):
+    return _closures(t)[0].withColumn("registration_closed_at", F.col("registration_closed_at").cast("string"))
+
+
+@query("SELECT run_key, reason FROM closures WHERE reason IS NOT NULL", more=_CLOSURES_SQL)
+def registration_left_open(t):
+    return _closures(t)[1]
+
+
+# ---------------------------------------------------------------- outcomes
+
+_APPLIED_SQL = """
+located AS (SELECT o.*, e.stage_execution_id AS sid, e.work_item_id, e.stage_key, e.stage_index, e.state, e.current_attempt, e.updated_at, a.attempt_number, r.pipeline_version, w.rank, w.priority,
+    CASE WHEN e.stage_execution_id % 67 = 0 THEN e.updated_at ELSE a.terminal_at END AS ended_at
+  FROM outcome_batch o LEFT JOIN full_attempts a USING (workflow_id) LEFT JOIN full_executions e ON e.stage_execution_id = a.stage_execution_id LEFT JOIN full_items w ON w.work_item_id = e.work_item_id LEFT JOIN pipeline_runs r ON r.run_key = w.origin_run_key),
+following AS (SELECT workflow_id, stage_key, stage_index, input_reference, barrier FROM successor_requests WHERE workflow_id IN (SELECT workflow_id FROM outcome_batch)
+  UNION ALL SELECT l.workflow_id, n.stage_key, l.stage_index + 1, l.output_reference, false FROM located l JOIN declared_stages d ON d.pipeline_version = l.pipeline_version AND d.stage_key = l.stage_key
+    JOIN declared_stages n ON n.pipeline_version = d.pipeline_version AND n.position = d.position + 1 WHERE l.linear AND l.succeeded),
+judged_next AS (SELECT f.*, l.work_item_id, l.rank, l.priority, l.completed_at, x.stage_execution_id AS old_id, x.priority AS old_priority, CASE WHEN f.stage_index <= l.stage_index THEN 1
+    WHEN count(*) OVER (PARTITION BY f.workflow_id, f.stage_index) > 1 THEN 2 WHEN f.stage_key NOT IN ('optim_step', 'eval_row', 'eval_fanin') THEN 3
+    WHEN x.stage_execution_id IS NOT NULL AND (x.stage_key <> f.stage_key OR x.barrier <> f.barrier OR (f.input_reference IS NOT NULL AND f.input_reference IS DISTINCT FROM x.input_reference)) THEN 4 END AS wrong
+  FROM following f JOIN located l USING (workflow_id) LEFT JOIN full_executions x ON x.work_item_id = l.work_item_id AND x.stage_index = f.stage_index),
+reasons AS (SELECT l.*, CASE WHEN l.sid IS NULL THEN 'unknown' WHEN expected_pipeline_version <> pipeline_version OR expected_stage_key <> stage_key OR expected_stage_index <> stage_index THEN 'identity'
+    WHEN attempt_number = current_attempt AND state = 'cancelled' THEN 'cancelled' WHEN attempt_number <> current_attempt OR state <> 'admitted' THEN 'not_current' WHEN succeeded AND coalesce(output_reference, '') = '' THEN 'no_output'
+    WHEN succeeded AND evidence_reference IS NOT NULL THEN 'evidence_of_success' WHEN NOT succeeded AND output_reference IS NOT NULL THEN 'output_of_failure' WHEN NOT succeeded AND n > 0 THEN 'successors_of_failure' WHEN ended_at IS NOT NULL THEN 'ended_before'
+    WHEN completed_at < updated_at THEN 'time_goes_back' WHEN j.wrong = 4 THEN 'successor_conflict' WHEN j.wrong = 1 THEN 'successor_index' WHEN j.wrong = 2 THEN 'successor_twice' WHEN j.wrong = 3 THEN 'successor_not_declared' END AS reason
+  FROM located l LEFT JOIN (SELECT workflow_id, min(wrong) AS wrong, count(*) AS n FROM judged_next GROUP BY 1) j USING (workflow_id))
+"""
+
+
+def _applied(t: Ledger) -> O.Applied:
+    following = t.successor_requests.groupBy("workflow_id").agg(F.collect_list(F.struct("stage_key", "stage_index", "input_reference", "barrier")).alias("successors"))
+    outcomes = t.outcome_batch.join(following, "workflow_id", "left")
+    attempts = t.full_attempts.join(t.full_executions.select("stage_execution_id", "updated_at"), "stage_execution_id")
+    attempts = attempts.withColumn("terminal_at", F.when(F.col("stage_execution_id") % 67 == 0, F.col("updated_at")).otherwise(F.col("terminal_at")))
+    return O.apply_outcomes(outcomes, attempts.drop("updated_at"), t.full_executions, t.full_items, t.full_runs, t.declared_stages)
+
+
+@query("""SELECT workflow_id, sid AS stage_execution_id, reason, CASE WHEN reason IS NULL THEN 'apply' WHEN reason = 'unknown' THEN 'unknown' WHEN reason IN ('identity', 'not_current') THEN 'mismatch' WHEN reason = 'cancelled' THEN 'ignored'
+  WHEN reason = 'successor_conflict' THEN 'conflict' ELSE 'rejected' END AS kind FROM reasons""", more=_APPLIED_SQL)
+def outcome_kinds(t):
+    return _applied(t).kinds
+
+
+@query("SELECT sid AS stage_execution_id, CASE WHEN succeeded THEN 'succeeded' ELSE 'failed' END AS state, CASE WHEN succeeded THEN output_reference END AS output_reference, CAST(completed_at AS VARCHAR) AS updated_at, 'admitted' AS expected FROM reasons WHERE reason IS NULL", more=_APPLIED_SQL)
+def outcome_changes(t):
+    return _applied(t).executions.withColumn("updated_at", F.col("updated_at").cast("string"))
+
+
+@query("""SELECT sid AS stage_execution_id, attempt_number, CAST(completed_at AS VARCHAR) AS terminal_at, CASE WHEN succeeded THEN '{"outcome":"succeeded"}'
+  ELSE '{"outcome":"failed","producer":"application_failure","error_type":"' || error_type || '","message":"' || message || '"}' END AS terminal_summary, evidence_reference FROM reasons WHERE reason IS NULL""", more=_APPLIED_SQL)
+def outcome_attempts(t):
+    return _applied(t).attempts.withColumn("terminal_at", F.col("terminal_at").cast("string"))
+
+
+@query("SELECT j.work_item_id, j.stage_key, j.stage_index, 'ready' AS state, 0 AS current_attempt, j.rank, j.priority, j.input_reference, j.barrier, CAST(j.completed_at AS VARCHAR) AS created_at FROM judged_next j JOIN reasons r USING (workflow_id) WHERE r.reason IS NULL AND j.old_id IS NULL", more=_APPLIED_SQL)
+def outcome_successors(t):
+    return _applied(t).successors.withColumn("created_at", F.col("created_at").cast("string"))
+
+
+# ---------------------------------------------------------------- completion
+
+_BARRIER_SQL = f"""
+page AS (SELECT e.run_key, e.run_key <= 'run-5' AS turn FROM eligible e ORDER BY turn, e.run_key LIMIT 120),
+counts AS (SELECT run_key, count(*) FILTER (state = 'succeeded') AS succeeded, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'cancelled') AS cancelled FROM run_memberships JOIN status USING (work_item_id) GROUP BY 1),
+looked AS (SELECT r.*, p.turn, coalesce(c.succeeded, 0) AS succeeded, coalesce(c.failed, 0) AS failed, coalesce(c.cancelled, 0) AS cancelled,
+    CASE WHEN coalesce(c.succeeded + c.failed + c.cancelled, 0) <> r.expected_member_count THEN 'not_covered' WHEN r.pipeline_version = 2 THEN 'completion_differs' END AS reason
+  FROM page p JOIN full_runs r USING (run_key) LEFT JOIN counts c USING (run_key)),
+seen AS (SELECT * FROM (SELECT *, coalesce(count(*) FILTER (reason IS NULL) OVER (ORDER BY turn, run_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM looked) WHERE before < 40)
+"""
+
+
+def _barrier(t: Ledger) -> B.Barrier:
+    declared = t.declared_stages.withColumn("run_completion_key", F.when(F.col("pipeline_version") == 2, "other").otherwise(F.col("run_completion_key")))
+    return B.barrier_pass(t.full_runs, t.run_memberships, t.stage_executions, declared, "run-5", _now(), batch=40, budget=120)
+
+
+_WFR_SQL = """'drp-run-' || sha256('{"pipeline_key":"' || pipeline_key || '","pipeline_version":' || pipeline_version || ',"run_completion_key":"' || run_completion_key || '","run_key":"' || run_key || '"}')"""
+_FROZEN_SQL = """'[{"state":"succeeded","count":' || succeeded || '},{"state":"failed","count":' || failed || '},{"state":"cancelled","count":' || cancelled || '}]'"""
+
+
+@query(f"SELECT run_key, '{_AT}' AS released_at, {_FROZEN_SQL} AS release_terminal_state_counts FROM seen WHERE reason IS NULL", more=_BARRIER_SQL)
+def barrier_releases(t):
+    return _barrier(t).runs.select("run_key", F.col("released_at").cast("string").alias("released_at"), F.to_json("release_terminal_state_counts").alias("release_terminal_state_counts"))
+
+
+@query(f"""SELECT run_key, {_WFR_SQL} || '-a1' AS workflow_id, '{{"campaign_key":"' || campaign_key || '","run_key":"' || run_key || '","pipeline_key":"evaluation","pipeline_version":' || pipeline_version || ',"execution_config_reference":"' || execution_config_reference
+  || '","manifest_reference":"' || manifest_reference || '","membership_digest":"' || membership_digest || '","member_count":' || expected_member_count || ',"released_at":"2026-07-17T12:00:00Z","release_terminal_state_counts":' || {_FROZEN_SQL} || '}}' AS payload
+FROM seen WHERE reason IS NULL""", more=_BARRIER_SQL)
+def barrier_outbox(t):
+    return _barrier(t).outbox
+
+
+@query("SELECT run_key, reason FROM seen WHERE reason IS NOT NULL", more=_BARRIER_SQL)
+def barrier_failures(t):
+    return _barrier(t).failures
+
+
+@query("SELECT count(*) AS examined, count(*) FILTER (reason IS NULL) AS released, count(*) FILTER (reason IS NOT NULL) AS failed, (SELECT run_key FROM seen ORDER BY turn DESC, run_key DESC LIMIT 1) AS last_run_key FROM seen", more=_BARRIER_SQL)
+def barrier_summary(t):
+    return _barrier(t).summary
+
+
+@query(f"""SELECT k.run_key, CASE WHEN e.state IS NULL THEN 'unknown' WHEN e.state <> 'failed' THEN 'not_failed' WHEN e.run_completion_execution_id % 5 = 2 THEN 'time_goes_back' ELSE 'retry' END AS disposition,
+  CASE WHEN e.state = 'failed' AND e.run_completion_execution_id % 5 <> 2 THEN e.current_attempt + 1 END AS attempt_number, CASE WHEN e.state = 'failed' AND e.run_completion_execution_id % 5 <> 2 THEN k.wf || '-a' || (e.current_attempt + 1) END AS workflow_id
+FROM (SELECT run_key, {_WFR_SQL} AS wf FROM pipeline_runs) k LEFT JOIN run_completion_executions e USING (run_key)""")
+def retry_completions_all(t):
+    ends = F.when(F.col("run_completion_execution_id") % 5 == 2, F.to_timestamp(F.lit("2026-08-01"))).otherwise(F.col("terminal_at"))
+    return B.retry_completions(t.pipeline_runs, t.pipeline_runs, t.full_completions, t.full_completion_attempts.withColumn("terminal_at", ends), _now())

@@ -126,6 +126,41 @@ FROM run_completion_attempts AS a JOIN full_completions AS e ON e.run_completion
     "declared_stages": """
 SELECT 'evaluation' AS pipeline_key, v AS pipeline_version, CAST(k AS INT) AS position, s AS stage_key, concat('queue-', s) AS queue_name, 'finalize' AS run_completion_key
 FROM (VALUES (0, 'optim_step'), (1, 'eval_row'), (2, 'eval_fanin')) AS t(k, s) CROSS JOIN (VALUES (1), (2)) AS u(v)""",
+    # inputs of whole passes, with some rows of every fault
+    "run_declarations": """
+SELECT CASE WHEN c_custkey % 4 = 0 THEN concat(r.run_key, '-new') ELSE r.run_key END AS run_key, r.campaign_key, r.pipeline_key,
+       CASE WHEN c_custkey % 23 = 5 THEN 0 WHEN c_custkey % 7 = 3 THEN 3 - r.pipeline_version ELSE r.pipeline_version END AS pipeline_version, r.execution_config_reference,
+       CASE WHEN c_custkey % 11 = 5 THEN -1 ELSE r.expected_member_count END AS expected_member_count, CASE WHEN c_custkey % 13 = 6 THEN NULL ELSE r.manifest_reference END AS manifest_reference,
+       r.membership_digest, CASE WHEN c_custkey % 10 = 7 THEN 'finalize' WHEN c_custkey % 29 = 3 THEN 'bad key' ELSE r.run_completion_key END AS run_completion_key
+FROM full_runs AS r JOIN {customer} ON r.run_key = concat('run-', c_custkey)
+UNION ALL
+SELECT r.run_key, 'campaign-twice', r.pipeline_key, r.pipeline_version, r.execution_config_reference, r.expected_member_count, r.manifest_reference, r.membership_digest, r.run_completion_key
+FROM full_runs AS r JOIN {customer} ON r.run_key = concat('run-', c_custkey) WHERE c_custkey % 31 = 1""",
+    "member_requests": """
+SELECT m.run_key, m.campaign_key, CASE WHEN o % 53 = 1 THEN -1 ELSE m.member_ordinal END AS member_ordinal, CASE WHEN o % 53 = 2 THEN concat(m.work_key, '!') ELSE m.work_key END AS work_key,
+       CASE WHEN o % 53 = 3 THEN '' ELSE m.input_reference END AS input_reference, CASE WHEN o % 53 = 4 THEN -5 ELSE m.priority END AS priority, m.segment, m.urgency
+FROM (SELECT *, CAST(substr(known_input, 7) AS BIGINT) AS o FROM members) AS m
+UNION ALL
+SELECT m.run_key, m.campaign_key, m.member_ordinal + 100000, m.work_key, m.input_reference, m.priority, m.segment, m.urgency FROM (SELECT *, CAST(substr(known_input, 7) AS BIGINT) AS o FROM members) AS m WHERE o % 53 = 5
+UNION ALL
+SELECT m.run_key, m.campaign_key, m.member_ordinal, concat(m.work_key, '-again'), m.input_reference, m.priority, m.segment, m.urgency FROM (SELECT *, CAST(substr(known_input, 7) AS BIGINT) AS o FROM members) AS m WHERE o % 53 = 6""",
+    "stored_memberships": """
+SELECT run_key, CASE WHEN work_item_id % 41 = 0 THEN member_ordinal + 1 ELSE member_ordinal END AS member_ordinal, work_item_id FROM run_memberships WHERE work_item_id % 37 <> 0
+UNION ALL SELECT run_key, member_ordinal, work_item_id FROM run_memberships WHERE work_item_id % 43 = 0""",
+    "outcome_batch": """
+SELECT o.workflow_id, o.succeeded, o.output_reference, CASE WHEN id % 47 = 0 OR (NOT o.succeeded AND id % 2 = 0) THEN concat('evidence:', id) END AS evidence_reference,
+       CASE WHEN NOT o.succeeded THEN 'builtins.ValueError' END AS error_type, CASE WHEN NOT o.succeeded THEN 'broken' END AS message, id % 4 = 1 AS linear,
+       CAST(CASE WHEN id % 43 = 0 THEN '2026-06-01' ELSE '2026-07-17' END AS TIMESTAMP) AS completed_at, 'evaluation' AS expected_pipeline_key,
+       CASE WHEN id % 53 = 0 THEN 9 ELSE v END AS expected_pipeline_version, o.expected_stage_key, CASE WHEN id % 59 = 0 THEN i + 1 ELSE i END AS expected_stage_index
+FROM (SELECT o.*, e.stage_execution_id AS id, e.stage_index AS i, r.pipeline_version AS v FROM stage_outcomes AS o JOIN stage_attempts AS a ON a.workflow_id = o.workflow_id
+      JOIN stage_executions AS e ON e.stage_execution_id = a.stage_execution_id JOIN work_items AS w ON w.work_item_id = e.work_item_id JOIN pipeline_runs AS r ON r.run_key = w.origin_run_key) AS o
+UNION ALL
+SELECT concat(workflow_id, '-lost'), true, 'out:lost', NULL, NULL, NULL, false, CAST('2026-07-17' AS TIMESTAMP), 'evaluation', 1, 'eval_row', 1 FROM stage_attempts WHERE stage_execution_id % 61 = 0""",
+    "successor_requests": """
+SELECT a.workflow_id, CASE WHEN id % 29 = 0 THEN 'other' ELSE 'eval_row' END AS stage_key, CAST(CASE WHEN id % 31 = 0 THEN i WHEN id % 37 = 0 THEN i + 50 WHEN id % 41 = 0 THEN i + k ELSE i + 100 + k END AS INT) AS stage_index,
+       CASE WHEN id % 3 = 0 THEN NULL ELSE concat('next:', id) END AS input_reference, k = 2 AS barrier
+FROM (SELECT a.workflow_id, e.stage_execution_id AS id, e.stage_index AS i FROM stage_attempts AS a JOIN stage_executions AS e ON e.stage_execution_id = a.stage_execution_id
+      WHERE e.state = 'admitted' AND e.stage_execution_id % 4 = 0) AS a CROSS JOIN (VALUES (1), (2)) AS t(k)""",
     "stage_controls": "SELECT * FROM (VALUES "
     + ", ".join(f"({i}, 'evaluation', {v}, '{s}', {k}, {w}, {c}, {p})" for i, v, s, k, w, c, p in (
         (1, 1, "optim_step", "NULL", "NULL", 100000, "false"), (2, 1, "eval_row", "NULL", "NULL", 1000000, "false"), (3, 1, "eval_row", "'segment'", "'BUILDING'", 100000, "false"),
@@ -193,7 +228,7 @@ class Ledger:
         earlier = "|".join(TABLES)
         sql = re.sub(rf"\b(FROM|JOIN) ({earlier})\b", r"\1 {\2}", _ranked(TABLES[name], "spark", braces=True))
         df = self.spark.sql(sql, **{t: getattr(self, t) for t in set(re.findall(r"(?<!\{)\{(\w+)\}", sql))})
-        if name in ("work_items", "members"):
+        if name in ("work_items", "members", "full_items", "member_requests"):
             df = df.withColumn("labels", F.create_map(F.lit("segment"), "segment", F.lit("priority"), "urgency"))
         if name == "stage_controls":
             df = df.withColumn("selector", F.when(F.col("label_key").isNull(), F.create_map().cast("map<string,string>")).otherwise(F.create_map("label_key", "label_value")))
