@@ -237,17 +237,18 @@ def rotate(runs: DataFrame, cursor: str, budget: int) -> DataFrame:
 # ---------------------------------------------------------------- recovery
 
 
-def sweep(admitted: DataFrame, workflow_status: DataFrame, live_version: str, live_executors: DataFrame, cancellable: bool = True) -> DataFrame:
+def sweep(admitted: DataFrame, workflow_status: DataFrame, live_version: str, live_executors: DataFrame, cancellable: bool = True, suppress_version: bool = False, suppress_executor: bool = False) -> DataFrame:
     """What an external status feed says of current attempts: ``new_state`` and ``reason``, null where nothing is to be done.
 
     A pending workflow counts as abandoned only with evidence: both identity fields are there, and the version is not the live
-    one or the executor does not live. ``live_executors`` is a list of processes.
+    one or the executor does not live; a suppressed kind of evidence is not used. ``live_executors`` is a list of processes.
     """
     live = narrow(live_executors.select(blank_as_absent("executor_id").alias("executor_id"), F.lit(True).alias("alive")).where("executor_id IS NOT NULL").distinct())
     feed = workflow_status.select("workflow_id", "status", blank_as_absent("app_version").alias("version"), blank_as_absent("executor_id").alias("executor_id"))
     rows = admitted.join(feed, "workflow_id", "left").join(live, "executor_id", "left")
     known = F.col("version").isNotNull() & F.col("executor_id").isNotNull()
-    evidence = F.when(known & (F.col("version") != live_version), "stale_app_version").when(known & F.col("alive").isNull(), "dead_executor")
+    stale = F.lit(not suppress_version) & (F.col("version") != live_version)
+    evidence = F.when(known & stale, "stale_app_version").when(known & F.lit(not suppress_executor) & F.col("alive").isNull(), "dead_executor")
     broken = F.col("status").isin("ERROR", "MAX_RECOVERY_ATTEMPTS_EXCEEDED")
     reason = F.when(F.lit(cancellable) & (F.col("status") == "CANCELLED"), "workflow_cancelled").when(broken, "workflow_error").when(F.col("status") == "PENDING", evidence)
     state = F.when(reason == "workflow_cancelled", "cancelled").when(reason.isNotNull(), "failed")
@@ -296,17 +297,29 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
 
 
-def apply_changes(table: DataFrame, key: str, updates: DataFrame, inserts: DataFrame | None = None, guard: str | None = None) -> DataFrame:
-    """The next snapshot: updates replace named columns of rows by key, unless the guard column has moved on; inserts of known keys are ignored.
+def apply_changes(table: DataFrame, key: str, updates: DataFrame, inserts: DataFrame | None = None, guard: str | list[str] | None = None) -> DataFrame:
+    """The next snapshot: updates replace named columns of rows by key, unless a guard column has moved on; inserts of known keys are ignored.
 
-    ``updates`` has the key, new values under the table's names, and for a guard its expected value as ``expected``.
+    ``updates`` has the key, new values under the table's names, and for a guard its expected value as ``expected``; for several
+    guards as ``expected_`` with the column's name.
     """
-    changed = [c for c in updates.columns if c not in (key, "expected")]
-    new = updates.select(key, *[F.col(c).alias(f"new_{c}") for c in changed], F.lit(True).alias("hit"), *([F.col("expected")] if guard else []))
+    guards = {guard: "expected"} if isinstance(guard, str) else {g: f"expected_{g}" for g in guard or []}
+    changed = [c for c in updates.columns if c not in (key, "expected", *guards.values())]
+    new = updates.select(key, *[F.col(c).alias(f"new_{c}") for c in changed], F.lit(True).alias("hit"), *guards.values())
     rows = table.join(new, key, "left")
-    ok = F.col("hit") & (F.col(guard).eqNullSafe(F.col("expected")) if guard else F.lit(True))
+    ok = F.col("hit")
+    for column, expected in guards.items():
+        ok = ok & F.col(column).eqNullSafe(F.col(expected))
     out = rows.select(*[F.when(F.coalesce(ok, F.lit(False)), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in table.columns])
     if inserts is not None:
         out = out.unionByName(inserts.dropDuplicates([key]).join(table.select(key), key, "left_anti").select(*table.columns))
     return out
 
+
+
+def write_snapshot(tables: dict[str, DataFrame], base: str, tag: str) -> str:
+    """Write the next snapshot of the named tables to a new folder below ``base`` and return it; the caller moves its pointer there."""
+    folder = f"{base}/snapshot-{tag}"
+    for name, rows in tables.items():
+        rows.write.mode("errorifexists").parquet(f"{folder}/{name}")
+    return folder

@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 from ..functions.expressions import index_order, precedence
 
 
-def work_item_status(executions: DataFrame) -> DataFrame:
-    """The execution that stands for each item: one row per item, by partial aggregation without a sort."""
-    row = F.struct("stage_execution_id", "stage_key", "stage_index", "state")
+def work_item_status(executions: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The execution that stands for each item, with the columns to ``carry``: one row per item. Partial aggregates are shuffled, not rows."""
+    row = F.struct("stage_execution_id", "stage_key", "stage_index", "state", *carry)
     order = F.struct(precedence("state"), index_order("state", "stage_index"), F.col("stage_execution_id"))
     return executions.groupBy("work_item_id").agg(F.min_by(row, order).alias("s")).select("work_item_id", "s.*")
 
@@ -46,9 +46,11 @@ def bulk_work_statuses(keys: DataFrame, items: DataFrame, executions: DataFrame)
 
 
 def with_current_attempt(rows: DataFrame, executions: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Add the current attempt's summary and evidence to rows with a stage_execution_id (left join)."""
-    current = executions.select("stage_execution_id", "current_attempt").join(attempts.select("stage_execution_id", F.col("attempt_number").alias("current_attempt"), "terminal_summary", "evidence_reference"), ["stage_execution_id", "current_attempt"])
-    return rows.join(current.drop("current_attempt"), "stage_execution_id", "left")
+    """Add the current attempt's summary and evidence to rows with a stage_execution_id (left join); rows may carry its number."""
+    if "current_attempt" not in rows.columns:
+        rows = rows.join(executions.select("stage_execution_id", "current_attempt"), "stage_execution_id", "left")
+    current = attempts.select("stage_execution_id", F.col("attempt_number").alias("current_attempt"), "terminal_summary", "evidence_reference")
+    return rows.join(current, ["stage_execution_id", "current_attempt"], "left").drop("current_attempt")
 
 
 def bulk_terminal_statuses(keys: DataFrame, items: DataFrame, executions: DataFrame, attempts: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -56,7 +58,7 @@ def bulk_terminal_statuses(keys: DataFrame, items: DataFrame, executions: DataFr
     wanted = keys.select("campaign_key", "work_key").dropDuplicates()
     known = items.select("campaign_key", "work_key", "work_item_id").join(wanted, ["campaign_key", "work_key"], "left_semi")
     scoped = executions.join(known.select("work_item_id"), "work_item_id", "left_semi")
-    found = known.join(with_current_attempt(work_item_status(scoped), scoped, attempts), "work_item_id")
+    found = known.join(with_current_attempt(work_item_status(scoped, ("current_attempt",)), scoped, attempts), "work_item_id")
     out = wanted.join(found, ["campaign_key", "work_key"], "left").withColumn("present", F.col("work_item_id").isNotNull())
     out = out if condition is None else out.where(~F.col("present") | condition)
     return out.select("campaign_key", "work_key", "present", "work_item_id", "stage_execution_id", "stage_key", "stage_index", "state", "terminal_summary", "evidence_reference")
@@ -128,17 +130,65 @@ def barrier_gate(executions: DataFrame) -> DataFrame:
 
 
 def barrier_clusters(executions: DataFrame, optim: str = "optim_step", evaluated: str = "eval_row") -> DataFrame:
-    """Every barrier stage with the latest ``optim`` stage below it and the stages between; ``problem`` says what is wrong.
+    """Every barrier stage with the latest ``optim`` stage below it and how many lie between; ``problem`` says what is wrong.
 
-    Problems in this order: no_optim, foreign_key (another stage key between), gap (indexes are not contiguous).
+    Problems in this order: no_optim, foreign_key (another stage key between), gap (indexes are not contiguous). Running counts
+    over one ordering of each item give all of it, in one shuffle.
     """
     w = Window.partitionBy("work_item_id").orderBy("stage_index")
     below = w.rowsBetween(Window.unboundedPreceding, -1)
-    marked = executions.withColumn("optim_index", F.last(F.when(F.col("stage_key") == optim, F.col("stage_index")), ignorenulls=True).over(below))
-    fanins = marked.where("barrier").select("work_item_id", F.col("stage_execution_id").alias("fanin_id"), F.col("stage_index").alias("fanin_index"), "optim_index")
-    inside = executions.select("work_item_id", "stage_index", "stage_key")
-    rows = fanins.join(inside, "work_item_id", "left").where(F.col("optim_index").isNull() | ((F.col("stage_index") > F.col("optim_index")) & (F.col("stage_index") < F.col("fanin_index"))) | (F.col("stage_index") == F.col("fanin_index")))
-    between = (F.col("stage_index") < F.col("fanin_index")) & F.col("optim_index").isNotNull()
-    found = rows.groupBy("work_item_id", "fanin_id", "fanin_index", "optim_index").agg(F.count(F.when(between, 1)).alias("eval_count"), F.count(F.when(between & (F.col("stage_key") != evaluated), 1)).alias("foreign_count"))
-    problem = F.when(F.col("optim_index").isNull(), "no_optim").when(F.col("foreign_count") > 0, "foreign_key").when(F.col("eval_count") != F.col("fanin_index") - F.col("optim_index") - 1, "gap")
-    return found.withColumn("problem", problem).drop("foreign_count")
+    is_optim = F.col("stage_key") == optim
+    counted = executions.select("work_item_id", "stage_execution_id", "stage_index", "stage_key", "barrier").withColumn("place", F.row_number().over(w)).withColumn("evaluated", F.count_if(F.col("stage_key") == evaluated).over(below))
+    last = lambda c: F.last(F.when(is_optim, F.col(c)), ignorenulls=True).over(below)
+    marked = counted.withColumn("optim_index", last("stage_index")).withColumn("optim_place", last("place")).withColumn("optim_evaluated", last("evaluated"))
+    between = F.when(F.col("optim_index").isNull(), F.lit(0)).otherwise(F.col("place") - F.col("optim_place") - 1).cast("long")
+    found = marked.where("barrier").withColumn("eval_count", between).withColumn("foreign_count", F.col("eval_count") - (F.col("evaluated") - F.col("optim_evaluated")))
+    problem = F.when(F.col("optim_index").isNull(), "no_optim").when(F.col("foreign_count") > 0, "foreign_key").when(F.col("eval_count") != F.col("stage_index") - F.col("optim_index") - 1, "gap")
+    return found.select("work_item_id", F.col("stage_execution_id").alias("fanin_id"), F.col("stage_index").alias("fanin_index"), "optim_index", "eval_count", problem.alias("problem"))
+
+
+def resolve_clusters(wanted: DataFrame, executions: DataFrame, optim: str = "optim_step", evaluated: str = "eval_row") -> DataFrame:
+    """For rows (work_item_id, fanin_index): the ``optim`` stage, the stages to evaluate in order (``eval_rows``) and the fan-in, or the ``problem``.
+
+    Problems in this order: no_row (nothing at the index), not_barrier, no_optim, foreign_key, gap. The two keys must differ.
+    """
+    if optim == evaluated:
+        raise ValueError("the optimisation step and the rows to evaluate need different stage keys")
+    stages = executions.select("work_item_id", "stage_index", "stage_execution_id", "stage_key", "barrier")
+    rows = wanted.select("work_item_id", "fanin_index").dropDuplicates().join(stages, "work_item_id", "left").where("stage_index IS NULL OR stage_index <= fanin_index")
+    at = F.col("stage_index") == F.col("fanin_index")
+    lower = F.col("stage_index") < F.col("fanin_index")
+    found = rows.groupBy("work_item_id", "fanin_index").agg(
+        F.max(F.when(at, F.col("stage_execution_id"))).alias("fanin_id"), F.max(F.when(at, F.col("barrier"))).alias("waits"), F.max(F.when(lower & (F.col("stage_key") == optim), F.col("stage_index"))).alias("optim_index"),
+        F.collect_list(F.when(lower, F.struct("stage_index", "stage_execution_id", "stage_key"))).alias("lower"),
+    )
+    asked = wanted.select("work_item_id", "fanin_index").dropDuplicates().join(found, ["work_item_id", "fanin_index"], "left")
+    inside = F.array_sort(F.filter("lower", lambda r: r["stage_index"] > F.col("optim_index")))
+    asked = asked.withColumn("inside", inside)
+    size = F.size(F.array_distinct(F.transform("inside", lambda r: r["stage_index"])))
+    problem = (
+        F.when(F.col("fanin_id").isNull(), "no_row").when(~F.col("waits"), "not_barrier").when(F.col("optim_index").isNull(), "no_optim")
+        .when(F.exists("inside", lambda r: r["stage_key"] != evaluated), "foreign_key").when(size != F.col("fanin_index") - F.col("optim_index") - 1, "gap")
+    )
+    ids = F.transform("inside", lambda r: r["stage_execution_id"])
+    return asked.select("work_item_id", "fanin_index", "fanin_id", "optim_index", F.when(problem.isNull(), ids).alias("eval_rows"), problem.alias("problem"))
+
+
+def inspect_campaigns(wanted: DataFrame, runs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Summaries of the requested campaigns, and the unknown ones."""
+    keys = wanted.select("campaign_key").dropDuplicates()
+    found = campaign_summaries(runs.join(keys, "campaign_key", "left_semi"), items.join(keys, "campaign_key", "left_semi"))
+    return found, keys.join(runs.select("campaign_key"), "campaign_key", "left_anti")
+
+
+def unknown_keys(wanted: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
+    """Requested keys (of campaigns, runs, cursors or items) that are not there: the rejects of a reader."""
+    return wanted.select(*keys).dropDuplicates().join(known.select(*keys), list(keys), "left_anti")
+
+
+def stages_in_ranges(wanted: DataFrame, executions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For rows (work_item_id, above, below; null is open, bounds are exclusive): executions by index and id, and the rows whose range is empty."""
+    empty = F.coalesce(F.col("above") >= F.col("below"), F.lit(False))
+    inside = (F.col("above").isNull() | (F.col("stage_index") > F.col("above"))) & (F.col("below").isNull() | (F.col("stage_index") < F.col("below")))
+    rows = wanted.where(~empty).join(executions, "work_item_id").where(inside)
+    return rows.orderBy("work_item_id", "stage_index", "stage_execution_id"), wanted.where(empty)

@@ -9,10 +9,14 @@ from ..functions import expressions as X
 from ..operators import admission as A
 from ..operators import changes as C
 from ..operators import completion as B
+from ..operators import integrity as I
 from ..operators import outcomes as O
+from ..operators import recovery as V
 from ..operators import registration as R
+from ..operators import status as S
+from ..sources import schemas, seeders
 from ..sources.fixtures import Ledger
-from ..sources.shared import materialize, narrow
+from ..streaming import folds
 from .queries import _CANDIDATES_SQL, _CONFIGURED_SQL, _PAUSE_SQL, RANK_SQL, _controls, query
 
 _AT = "2026-07-17 12:00:00"
@@ -116,6 +120,22 @@ def admission_fates(t):
     return A.candidates_by_fate(t.stage_executions, rows, t.stage_controls, declared, excluded).select("stage_execution_id", "fate")
 
 
+#: Routes of a stage of every campaign, after the labels of its items: by segment, by both labels, or by priority.
+_ROUTES_SQL = """
+routes AS (SELECT campaign_key, CAST(row_number() OVER (PARTITION BY campaign_key ORDER BY segment, urgency) AS INT) AS ordinal, CASE WHEN kind < 2 THEN segment END AS segment, CASE WHEN kind > 0 THEN urgency END AS urgency
+  FROM (SELECT DISTINCT campaign_key, segment, urgency, priority % 3 AS kind FROM work_items) AS labels)
+"""
+
+
+@query("""SELECT a.campaign_key, a.ordinal, b.ordinal AS other FROM routes a JOIN routes b ON a.campaign_key = b.campaign_key AND a.ordinal < b.ordinal
+WHERE (a.segment = b.segment OR a.urgency = b.urgency) AND coalesce(a.segment = b.segment, true) AND coalesce(a.urgency = b.urgency, true)""", more=_ROUTES_SQL)
+def route_overlaps(t):
+    rows = t.spark.sql(f"WITH {_ROUTES_SQL.replace('FROM work_items', 'FROM {items}')} SELECT * FROM routes", items=t.work_items)
+    entries = F.filter(F.array(F.struct(F.lit("segment").alias("key"), F.col("segment").alias("value")), F.struct(F.lit("priority").alias("key"), F.col("urgency").alias("value"))), lambda e: e["value"].isNotNull())
+    routes = rows.select(F.col("campaign_key").alias("pipeline_key"), F.lit(1).alias("pipeline_version"), F.lit("eval_row").alias("stage_key"), "ordinal", F.map_from_entries(entries).alias("selector"), F.concat(F.lit("q"), F.col("ordinal").cast("string")).alias("queue_name"))
+    return C.route_problems(routes).where("problem = 'overlap'").select(F.col("pipeline_key").alias("campaign_key"), "ordinal", "other")
+
+
 # ---------------------------------------------------------------- controls
 
 
@@ -352,3 +372,268 @@ FROM (SELECT run_key, {_WFR_SQL} AS wf FROM pipeline_runs) k LEFT JOIN run_compl
 def retry_completions_all(t):
     ends = F.when(F.col("run_completion_execution_id") % 5 == 2, F.to_timestamp(F.lit("2026-08-01"))).otherwise(F.col("terminal_at"))
     return B.retry_completions(t.pipeline_runs, t.pipeline_runs, t.full_completions, t.full_completion_attempts.withColumn("terminal_at", ends), _now())
+
+
+# ---------------------------------------------------------------- recovery
+
+#: Of the feed's executors those that are live by three lists; the resolver is silent in the second query.
+_LIVE_SQL = """
+live AS (SELECT DISTINCT trim(executor_id) AS executor_id FROM workflow_status WHERE trim(executor_id) IN ('worker-0', 'worker-1', 'worker-2')),
+admitted AS (SELECT e.stage_execution_id, c.workflow_id FROM stage_executions e JOIN current c USING (stage_execution_id) WHERE e.state = 'admitted'),
+swept AS (SELECT a.*, f.status, CASE WHEN f.status = 'CANCELLED' THEN 'workflow_cancelled' WHEN f.status IN ('ERROR', 'MAX_RECOVERY_ATTEMPTS_EXCEEDED') THEN 'workflow_error'
+    WHEN f.status = 'PENDING' AND nullif(trim(f.app_version), '') IS NOT NULL AND f.executor_id IS NOT NULL THEN CASE WHEN trim(f.app_version) <> 'v2' THEN 'stale_app_version'
+      WHEN f.executor_id NOT IN (SELECT executor_id FROM live) THEN 'dead_executor' END END AS reason
+  FROM admitted a LEFT JOIN workflow_status f ON f.workflow_id = a.workflow_id)
+"""
+
+
+def _admitted(t: Ledger) -> DataFrame:
+    current = t.stage_attempts.select("stage_execution_id", F.col("attempt_number").alias("current_attempt"), "workflow_id")
+    return t.stage_executions.where("state = 'admitted'").join(current, ["stage_execution_id", "current_attempt"])
+
+
+def _live(t: Ledger, failed: bool = False, version: str | None = "v2") -> V.Live:
+    seen = t.workflow_status.select("executor_id").distinct()
+    only = lambda *names: seen.where(F.col("executor_id").isin(*names)).select(F.concat(F.lit(" "), "executor_id").alias("executor_id"))
+    return V.live_identity(version, only("worker-1"), only("worker-2"), only("worker-0").unionByName(t.spark.sql("SELECT '  ' AS executor_id")), failed)
+
+
+@query("SELECT executor_id FROM live", more=_LIVE_SQL)
+def live_executors(t):
+    return _live(t).executors
+
+
+@query("""SELECT count(*) AS inspected, count(reason) AS projected, count(*) FILTER (reason = 'workflow_cancelled') AS workflow_cancelled, count(*) FILTER (reason = 'workflow_error') AS workflow_error,
+  count(*) FILTER (reason = 'stale_app_version') AS stale_app_version, count(*) FILTER (reason = 'dead_executor') AS dead_executor, false AS identity_unavailable FROM swept""", more=_LIVE_SQL)
+def sweep_summary(t):
+    live = _live(t)
+    return V.sweep_summary(V.sweep_live(_admitted(t), t.workflow_status, live), live)
+
+
+@query("SELECT stage_execution_id, reason FROM swept WHERE reason IN ('workflow_cancelled', 'workflow_error')", more=_LIVE_SQL)
+def sweep_without_identity(t):
+    """No version and a resolver that failed: nothing pending is taken for abandoned."""
+    live = _live(t, failed=True, version=" ")
+    return V.sweep_live(_admitted(t), t.workflow_status, live).where("reason IS NOT NULL").select("stage_execution_id", "reason")
+
+
+@query("""SELECT stage_execution_id, CASE WHEN state = 'admitted' AND r.reason IS NOT NULL AND stage_execution_id % 2 = 0 THEN CASE WHEN r.reason = 'workflow_cancelled' THEN 'cancelled' ELSE 'failed' END ELSE state END AS state
+FROM stage_executions LEFT JOIN (SELECT stage_execution_id, reason FROM swept) r USING (stage_execution_id)""", more=_LIVE_SQL)
+def sweep_applied(t):
+    """The sweep's changes on a snapshot in which the attempt of every odd execution has moved on."""
+    swept = V.sweep_live(_admitted(t), t.workflow_status, _live(t)).where("reason IS NOT NULL")
+    stale = F.col("current_attempt") - F.col("stage_execution_id") % 2
+    updates = swept.select("stage_execution_id", F.col("new_state").alias("state"), F.lit("admitted").alias("expected_state"), stale.alias("expected_current_attempt"))
+    return C.apply_changes(t.stage_executions, "stage_execution_id", updates, guard=["state", "current_attempt"]).select("stage_execution_id", "state")
+
+
+@query("SELECT e.stage_execution_id, CASE WHEN e.state <> 'failed' THEN 'not_failed' WHEN e.stage_execution_id % 3 = 0 THEN 'open_attempt' ELSE 'retry' END AS disposition, CASE WHEN e.state = 'failed' AND e.stage_execution_id % 3 <> 0 THEN e.current_attempt + 1 END AS attempt_number FROM stage_executions e UNION ALL SELECT -stage_execution_id, 'unknown', NULL FROM stage_executions")
+def retry_ended_stages(t):
+    known = t.stage_executions.select("stage_execution_id")
+    ends = F.when(F.col("stage_execution_id") % 3 != 0, F.col("terminal_at"))
+    return V.retry_stages(known.unionByName(known.select((-F.col("stage_execution_id")).alias("stage_execution_id"))), t.stage_executions, t.full_attempts.withColumn("terminal_at", ends))
+
+
+_PRIORITY_SQL = """
+asked AS (SELECT campaign_key, CASE WHEN work_item_id % 13 = 0 THEN concat(work_key, '-none') ELSE work_key END AS work_key, CASE WHEN work_item_id % 17 = 0 THEN -1 ELSE CAST(work_item_id % 10 AS INT) END AS priority FROM work_items
+  UNION ALL SELECT campaign_key, work_key, 77 FROM work_items WHERE work_item_id % 19 = 0),
+told AS (SELECT a.*, w.work_item_id, CASE WHEN w.work_item_id IS NULL THEN 'unknown' WHEN count(*) OVER (PARTITION BY a.campaign_key, a.work_key) > 1 THEN 'repeated' WHEN a.priority < 0 THEN 'out_of_range' END AS reason
+  FROM asked a LEFT JOIN work_items w ON w.campaign_key = a.campaign_key AND w.work_key = a.work_key)
+"""
+
+
+def _priorities(t: Ledger) -> V.Priorities:
+    wanted = t.work_items.select("campaign_key", F.when(F.col("work_item_id") % 13 == 0, F.concat("work_key", F.lit("-none"))).otherwise(F.col("work_key")).alias("work_key"), F.when(F.col("work_item_id") % 17 == 0, -1).otherwise((F.col("work_item_id") % 10).cast("int")).alias("priority"))
+    wanted = wanted.unionByName(t.work_items.where("work_item_id % 19 = 0").select("campaign_key", "work_key", F.lit(77).alias("priority")))
+    return V.set_priorities(wanted, t.work_items, t.full_executions, t.stage_attempts, F.to_timestamp(F.lit("2026-07-03")))
+
+
+@query("SELECT e.stage_execution_id, p.priority, CAST(greatest(TIMESTAMP '2026-07-03', e.created_at) AS VARCHAR) AS updated_at, e.state AS expected FROM full_executions e JOIN told p USING (work_item_id) WHERE p.reason IS NULL AND e.state IN ('ready', 'admitted', 'failed')", more=_PRIORITY_SQL)
+def priority_changes(t):
+    return _priorities(t).executions.withColumn("updated_at", F.col("updated_at").cast("string"))
+
+
+@query("SELECT c.workflow_id, p.priority FROM stage_executions e JOIN told p USING (work_item_id) JOIN current c USING (stage_execution_id) WHERE p.reason IS NULL AND e.state = 'admitted'", more=_PRIORITY_SQL)
+def priority_workflows(t):
+    return _priorities(t).workflows
+
+
+@query("SELECT campaign_key, work_key, priority, reason FROM told WHERE reason IS NOT NULL", more=_PRIORITY_SQL)
+def priority_rejects(t):
+    return _priorities(t).rejects
+
+
+# ---------------------------------------------------------------- integrity of all tables
+
+#: The ledger with some rows of every table spoiled, some repeated and some lost; both engines read the same text.
+SPOILED = {
+    "pipeline_runs": """SELECT run_key, campaign_key, pipeline_key, CASE WHEN expected_member_count % 11 = 3 THEN 0 ELSE pipeline_version END AS pipeline_version, execution_config_reference, CASE WHEN expected_member_count % 11 = 4 THEN -1 ELSE expected_member_count END AS expected_member_count,
+        CASE WHEN expected_member_count % 11 = 5 THEN NULL ELSE manifest_reference END AS manifest_reference, membership_digest, run_completion_key, created_at, CASE WHEN expected_member_count % 11 = 6 THEN CAST('2025-01-01' AS TIMESTAMP) ELSE registration_closed_at END AS registration_closed_at,
+        registered_member_count, created_work_count, CASE WHEN expected_member_count % 11 = 7 THEN NULL ELSE reused_work_count END AS reused_work_count, CASE WHEN expected_member_count % 11 = 8 THEN CAST('2025-06-01' AS TIMESTAMP) ELSE released_at END AS released_at, release_facts FROM full_runs WHERE expected_member_count % 11 <> 9""",
+    "work_items": "SELECT work_item_id, campaign_key, work_key, origin_run_key, CASE WHEN work_item_id % 101 = 0 THEN -rank ELSE rank END AS rank, CASE WHEN work_item_id % 103 = 0 THEN -1 ELSE priority END AS priority FROM full_items WHERE work_item_id % 107 <> 0 UNION ALL SELECT work_item_id + 1000000000, campaign_key, work_key, origin_run_key, rank, priority FROM full_items WHERE work_item_id % 109 = 0",
+    "run_memberships": "SELECT run_key, CASE WHEN work_item_id % 113 = 0 THEN -1 ELSE member_ordinal END AS member_ordinal, work_item_id FROM run_memberships UNION ALL SELECT run_key, member_ordinal, work_item_id FROM run_memberships WHERE work_item_id % 127 = 0",
+    "stage_executions": """SELECT stage_execution_id, work_item_id, stage_key, CASE WHEN stage_execution_id % 131 = 0 THEN -1 ELSE stage_index END AS stage_index, CASE WHEN stage_execution_id % 137 = 0 THEN 'lost' ELSE state END AS state, CASE WHEN stage_execution_id % 139 = 0 THEN -1 ELSE current_attempt END AS current_attempt,
+        rank, CASE WHEN stage_execution_id % 149 = 0 THEN -1 ELSE priority END AS priority, created_at, CASE WHEN stage_execution_id % 151 = 0 THEN CAST('2026-01-01' AS TIMESTAMP) ELSE updated_at END AS updated_at FROM full_executions WHERE stage_execution_id % 157 <> 0""",
+    "stage_attempts": """SELECT stage_attempt_id, stage_execution_id, CASE WHEN stage_attempt_id % 163 = 0 THEN 0 ELSE attempt_number END AS attempt_number, CASE WHEN stage_attempt_id % 167 = 0 THEN 'wf-same' ELSE workflow_id END AS workflow_id, CASE WHEN stage_attempt_id % 173 = 0 THEN 'text' ELSE terminal_summary END AS terminal_summary,
+        created_at, CASE WHEN stage_attempt_id % 179 = 0 THEN CAST('2026-01-01' AS TIMESTAMP) ELSE admitted_at END AS admitted_at, CASE WHEN stage_attempt_id % 181 = 0 THEN CAST('2026-01-01' AS TIMESTAMP) ELSE terminal_at END AS terminal_at FROM full_attempts""",
+    "stage_controls": """SELECT CAST(stage_control_id AS BIGINT) AS stage_control_id, pipeline_key, CASE WHEN stage_control_id = 9 THEN 0 ELSE pipeline_version END AS pipeline_version, stage_key, CASE WHEN stage_control_id IN (3, 4) THEN 'same' ELSE concat(coalesce(label_key, ''), '=', coalesce(label_value, '')) END AS selector_key,
+        CASE WHEN stage_control_id = 8 THEN -1 ELSE capacity END AS capacity FROM stage_controls""",
+    "run_completion_executions": "SELECT run_completion_execution_id, CASE WHEN run_completion_execution_id % 7 = 0 THEN 'run-1' ELSE run_key END AS run_key, CASE WHEN run_completion_execution_id % 5 = 0 THEN 0 ELSE current_attempt END AS current_attempt, CASE WHEN run_completion_execution_id % 11 = 0 THEN 'succeeded' ELSE state END AS state, output_reference, error_summary, enqueued_at, CASE WHEN run_completion_execution_id % 13 = 0 THEN CAST('2025-01-01' AS TIMESTAMP) ELSE terminal_at END AS terminal_at FROM full_completions WHERE run_completion_execution_id % 17 <> 0",
+    "run_completion_attempts": "SELECT run_completion_attempt_id, run_completion_execution_id, CASE WHEN run_completion_execution_id % 3 = 0 THEN 1 ELSE attempt_number END AS attempt_number, workflow_id, CASE WHEN run_completion_execution_id % 19 = 0 THEN 'text' ELSE terminal_summary END AS terminal_summary, created_at, CASE WHEN run_completion_execution_id % 23 = 0 THEN CAST('2025-01-01' AS TIMESTAMP) ELSE enqueued_at END AS enqueued_at, terminal_at FROM full_completion_attempts",
+}
+
+
+def _spoiled(t: Ledger) -> dict[str, DataFrame]:
+    import re
+
+    out = {}
+    for name, sql in SPOILED.items():
+        used = set(re.findall(r"FROM (\w+)", sql))
+        out[name] = t.spark.sql(re.sub(r"FROM (\w+)", r"FROM {\1}", sql), **{u: getattr(t, u) for u in used})
+    return out
+
+
+_SPOILED_SQL = ", ".join(f"spoiled_{name} AS MATERIALIZED ({sql})" for name, sql in SPOILED.items())
+_join = lambda keys: " || '#' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS \"table\", '{rule}' AS rule, CAST({I.KEYS[name]} AS VARCHAR) AS key FROM spoiled_{name} WHERE NOT coalesce({cond}, true)" for name in SPOILED for rule, cond in I.CHECKS[name].items()), more=_SPOILED_SQL)
+def check_violations_all(t):
+    return I.check_all(_spoiled(t))
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS \"table\", '{', '.join(keys)}' AS columns, {_join(keys)} AS key, count(*) AS n FROM spoiled_{name} GROUP BY {', '.join(keys)} HAVING count(*) > 1" for name, keys in I.UNIQUE), more=_SPOILED_SQL)
+def unique_violations_all(t):
+    return I.unique_all(_spoiled(t))
+
+
+@query(" UNION ALL ".join(f"SELECT '{child}' AS \"table\", '{', '.join(keys)}' AS columns, {_join('c.' + k for k in keys)} AS key, count(*) AS n FROM spoiled_{child} c WHERE NOT EXISTS (SELECT 1 FROM spoiled_{parent} p WHERE {' AND '.join(f'p.{a} = c.{b}' for a, b in zip(at, keys, strict=True))}) GROUP BY {', '.join('c.' + k for k in keys)}" for child, keys, parent, at in I.FOREIGN), more=_SPOILED_SQL)
+def fk_violations_all(t):
+    return I.foreign_all(_spoiled(t))
+
+
+@query("SELECT run_key, 'gone' AS fact FROM full_runs WHERE expected_member_count % 11 = 9 UNION ALL SELECT run_key, 'provenance' FROM full_runs WHERE expected_member_count % 11 IN (3, 4) OR (expected_member_count % 11 = 5 AND manifest_reference IS NOT NULL) UNION ALL SELECT run_key, 'closure' FROM full_runs WHERE registration_closed_at IS NOT NULL AND expected_member_count % 11 IN (6, 7) UNION ALL SELECT run_key, 'release' FROM full_runs WHERE released_at IS NOT NULL AND expected_member_count % 11 = 8")
+def immutable_facts(t):
+    return I.changed_facts(t.full_runs, _spoiled(t)["pipeline_runs"])
+
+
+# ---------------------------------------------------------------- readers with rejects, clusters, seeded ledgers
+
+
+@query("SELECT campaign_key, CAST(min(r.created_at) AS VARCHAR) AS created_at, count(*) AS run_count, (SELECT count(*) FROM work_items w WHERE w.campaign_key = r.campaign_key) AS work_item_count FROM pipeline_runs r WHERE campaign_key IN (SELECT concat('campaign-', n_nationkey) FROM nation WHERE n_nationkey < 20) GROUP BY campaign_key")
+def inspect_campaigns(t):
+    wanted = t.nation.where("n_nationkey < 20").select(F.concat(F.lit("campaign-"), F.col("n_nationkey").cast("string")).alias("campaign_key"))
+    rows, _ = S.inspect_campaigns(wanted, t.pipeline_runs, t.work_items)
+    return schemas.conform(rows, schemas.READERS["campaign_summary"]).withColumn("created_at", F.col("created_at").cast("string"))
+
+
+@query("SELECT concat(run_key, '-none') AS run_key FROM pipeline_runs")
+def unknown_runs(t):
+    runs = t.pipeline_runs.select("run_key")
+    return S.unknown_keys(runs.unionByName(runs.select(F.concat("run_key", F.lit("-none")).alias("run_key"))), t.pipeline_runs, "run_key")
+
+
+_RANGES_SQL = "ranges AS (SELECT work_item_id, CASE WHEN work_item_id % 4 = 0 THEN NULL ELSE CAST(work_item_id % 3 AS INT) END AS above, CASE WHEN work_item_id % 5 = 0 THEN NULL ELSE CAST(work_item_id % 7 AS INT) END AS below FROM work_items)"
+
+
+def _ranges(t: Ledger) -> DataFrame:
+    return t.spark.sql(f"WITH {_RANGES_SQL.replace('FROM work_items', 'FROM {items}')} SELECT * FROM ranges", items=t.work_items)
+
+
+@query("SELECT e.stage_execution_id, e.work_item_id, e.stage_index FROM ranges r JOIN stage_executions e USING (work_item_id) WHERE coalesce(above < below, true) AND (above IS NULL OR e.stage_index > above) AND (below IS NULL OR e.stage_index < below)", more=_RANGES_SQL)
+def stages_in_ranges(t):
+    return S.stages_in_ranges(_ranges(t), t.stage_executions)[0].select("stage_execution_id", "work_item_id", "stage_index")
+
+
+@query("SELECT work_item_id, above, below FROM ranges WHERE above >= below", more=_RANGES_SQL)
+def empty_ranges(t):
+    return S.stages_in_ranges(_ranges(t), t.stage_executions)[1]
+
+
+@query("""SELECT work_item_id, fanin_index, fanin_id, optim_index, CASE WHEN problem IS NULL THEN coalesce(ids, '') END AS eval_ids, problem FROM (SELECT *, CASE WHEN fanin_id IS NULL THEN 'no_row' WHEN NOT waits THEN 'not_barrier' WHEN optim_index IS NULL THEN 'no_optim' WHEN alien > 0 THEN 'foreign_key' WHEN n <> fanin_index - optim_index - 1 THEN 'gap' END AS problem
+FROM (SELECT q.work_item_id, q.fanin_index, any_value(f.stage_execution_id) AS fanin_id, any_value(f.barrier) AS waits, any_value(q.optim_index) AS optim_index, count(b.stage_index) AS n, count(*) FILTER (b.stage_key <> 'eval_row') AS alien, string_agg(b.stage_execution_id, ',' ORDER BY b.stage_index) AS ids
+  FROM (SELECT w.work_item_id, w.fanin_index, (SELECT max(o.stage_index) FROM kept o WHERE o.work_item_id = w.work_item_id AND o.stage_key = 'optim_step' AND o.stage_index < w.fanin_index) AS optim_index
+        FROM (SELECT work_item_id, stage_index AS fanin_index FROM stage_executions UNION SELECT work_item_id, 99 FROM work_items) w) q
+  LEFT JOIN kept f ON f.work_item_id = q.work_item_id AND f.stage_index = q.fanin_index LEFT JOIN kept b ON b.work_item_id = q.work_item_id AND b.stage_index > q.optim_index AND b.stage_index < q.fanin_index GROUP BY 1, 2))""",
+    more="kept AS (SELECT work_item_id, stage_index, stage_execution_id, barrier, CASE WHEN stage_execution_id % 23 = 0 AND stage_key = 'eval_row' THEN 'alien' ELSE stage_key END AS stage_key FROM stage_executions WHERE stage_execution_id % 11 <> 0)")
+def cluster_resolution(t):
+    """Every index of every item as a fan-in, and one that is not there; some stages are lost, some have another key."""
+    kept = t.stage_executions.where("stage_execution_id % 11 <> 0").withColumn("stage_key", F.when((F.col("stage_execution_id") % 23 == 0) & (F.col("stage_key") == "eval_row"), "alien").otherwise(F.col("stage_key")))
+    wanted = t.stage_executions.select("work_item_id", F.col("stage_index").alias("fanin_index")).unionByName(t.work_items.select("work_item_id", F.lit(99).alias("fanin_index")))
+    found = S.resolve_clusters(wanted, kept)
+    return found.withColumn("eval_ids", F.array_join(F.transform("eval_rows", lambda x: x.cast("string")), ",")).drop("eval_rows")
+
+
+@query("""SELECT work_item_id, fanin_index, optim_index, n AS eval_count, CAST(NULL AS VARCHAR) AS problem FROM (SELECT w.work_item_id, w.work_item_id % 4 + 1 AS n, ((k + 1) * (w.work_item_id % 4 + 3) - 1)::INT AS fanin_index, (k * (w.work_item_id % 4 + 3))::INT AS optim_index
+FROM work_items w, (VALUES (0), (1)) t(k) WHERE k <= w.work_item_id % 2)""")
+def seeded_episodes(t):
+    """Clusters of one or two seeded episodes for every item."""
+    seeded = seeders.episodes(t.full_items, F.col("work_item_id") % 4 + 1, F.col("work_item_id") % 2 + 1)
+    return S.barrier_clusters(seeded).drop("fanin_id")
+
+
+@query("SELECT work_item_id AS origin_id, work_item_id % 5 + 1 AS rows, CAST(NULL AS VARCHAR) AS problem FROM work_items")
+def seeded_fanouts(t):
+    origins = t.work_items.select(F.col("work_item_id").alias("origin_id"), F.lit(3).alias("origin_index"))
+    return C.fanout_problems(seeders.fanouts(origins, F.col("origin_id") % 5 + 1), seeders.EVALUATED, seeders.FANIN)
+
+
+# ---------------------------------------------------------------- streams
+
+_MOVES_SQL = """
+moves_in AS (SELECT user_id + 1 AS work_item_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'ready' WHEN 'view' THEN 'admitted' WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS new_state,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
+folded AS (
+  SELECT DISTINCT work_item_id, 0::BIGINT AS seq, 0::BIGINT AS nth, '' AS old_state, '' AS new_state, true AS accepted, 'ready' AS now FROM moves_in
+  UNION ALL
+  SELECT f.work_item_id, m.seq, m.nth, f.now, m.new_state, ok, CASE WHEN ok THEN m.new_state ELSE f.now END
+  FROM folded f, LATERAL (SELECT x.*, (f.now, x.new_state) IN (('ready', 'admitted'), ('ready', 'cancelled'), ('admitted', 'succeeded'), ('admitted', 'failed'), ('admitted', 'cancelled'), ('failed', 'ready'), ('failed', 'cancelled')) AS ok
+    FROM moves_in x WHERE x.work_item_id = f.work_item_id AND x.nth = f.nth + 1) m),
+moves AS (SELECT * FROM folded WHERE nth > 0),
+states AS (SELECT work_item_id, arg_max(now, nth) AS state FROM folded GROUP BY 1)
+"""
+
+
+def _moves(t: Ledger) -> DataFrame:
+    return folds.run_once(t.spark, folds.folded_moves(folds.read_events(t.spark, t.sf_dir)))
+
+
+@query("SELECT work_item_id, arg_max(now, nth) AS state, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS rejected FROM moves GROUP BY 1", more=_MOVES_SQL)
+def stream_current_state(t):
+    return folds.current_states(_moves(t))
+
+
+@query("SELECT work_item_id, seq, old_state, new_state FROM moves WHERE NOT accepted", more=_MOVES_SQL)
+def stream_rejected_moves(t):
+    return _moves(t).where("NOT accepted").drop("accepted")
+
+
+@query("SELECT campaign_key, coalesce(s.state, 'ready') AS state, count(*) AS n FROM work_items LEFT JOIN states s USING (work_item_id) GROUP BY ALL", more=_MOVES_SQL)
+def stream_state_counts(t):
+    counts = folds.LiveCounts(t.spark, t.work_items)
+    folds.run_once(t.spark, folds.folded_moves(folds.read_events(t.spark, t.sf_dir)), each=counts)
+    return counts.now()
+
+
+@query("""SELECT r.run_key FROM pipeline_runs r WHERE r.registration_closed_at IS NOT NULL AND NOT EXISTS (SELECT 1 FROM run_memberships m LEFT JOIN states s USING (work_item_id) LEFT JOIN status d USING (work_item_id)
+  WHERE m.run_key = r.run_key AND CASE WHEN s.state IS NOT NULL AND EXISTS (SELECT 1 FROM moves x WHERE x.work_item_id = m.work_item_id AND x.accepted) THEN s.state ELSE d.state END NOT IN ('succeeded', 'failed', 'cancelled') AND d.state IS NOT NULL)""", more=_MOVES_SQL)
+def stream_run_settled(t):
+    """Runs released by the stream of moves; items without an accepted move are as the ledger has them."""
+    settling = folds.Settling(t.spark, t.pipeline_runs, t.run_memberships, S.work_item_status(t.stage_executions))
+    folds.run_once(t.spark, folds.folded_moves(folds.read_events(t.spark, t.sf_dir)), each=settling)
+    return settling.released().select("run_key")
+
+
+@query("""SELECT run_key, member_ordinal, work_key, kind FROM (SELECT m.*, CASE WHEN w.work_item_id IS NULL THEN 'new' WHEN w.input_reference <> m.input_reference THEN 'conflict' WHEN w.priority <> m.priority THEN 'priority_change' ELSE 'same' END AS kind
+  FROM members m LEFT JOIN work_items w ON w.campaign_key = m.campaign_key AND w.work_key = m.work_key) WHERE run_key NOT IN (SELECT m.run_key FROM members m JOIN work_items w ON w.campaign_key = m.campaign_key AND w.work_key = m.work_key WHERE w.input_reference <> m.input_reference)""")
+def stream_registration(t):
+    """The members of open runs as a stream of one batch."""
+    stream = t.spark.readStream.schema(t.members.schema).parquet(t.path("members"))
+    registration = folds.Registration(t.spark, t.full_items, t.full_runs)
+    folds.run_once(t.spark, stream, each=registration)
+    return registration.read("members").select("run_key", "member_ordinal", "work_key", "kind")
+
+
+@query("SELECT CASE event_type WHEN 'signup' THEN 'ready' WHEN 'view' THEN 'admitted' WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS state, count(*) AS n FROM events GROUP BY 1")
+def stream_event_counts(t):
+    return folds.run_once(t.spark, folds.event_counts(folds.read_events(t.spark, t.sf_dir)), "complete")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import changes as C
 from ..operators import status as S
+from ..operators.admission import queue_of
 from ..sources.fixtures import Ledger, oracle_prefix
 from ..sources.shared import narrow
-from ..streaming import folds
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -251,9 +251,11 @@ def label_controls(t):
 
 @query("SELECT work_item_id, CASE WHEN segment = 'BUILDING' AND urgency = '1-URGENT' THEN 'fast' WHEN urgency = '1-URGENT' THEN 'urgent' ELSE 'default' END AS queue_name FROM work_items")
 def queue_routes(t):
-    routes = [({"segment": "BUILDING", "priority": "1-URGENT"}, "fast"), ({"priority": "1-URGENT"}, "urgent")]
-    first = F.coalesce(*[F.when(X.contains("labels", F.create_map(*[F.lit(x) for kv in sel.items() for x in kv])), name) for sel, name in routes], F.lit("default"))
-    return t.work_items.select("work_item_id", first.alias("queue_name"))
+    some = lambda **labels: F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    route = lambda k, selector, queue: F.struct(F.lit(k).alias("ordinal"), selector.alias("selector"), F.lit(queue).alias("queue_name"))
+    routes = F.array(route(0, some(segment="BUILDING", priority="1-URGENT"), "fast"), route(1, some(priority="1-URGENT"), "urgent"))
+    rows = t.work_items.withColumn("routes", routes)
+    return rows.select("work_item_id", queue_of(F.col("labels"), F.col("routes"), F.lit("default")).alias("queue_name"))
 
 
 @query("SELECT stage_control_id, occupied FROM occupancy")
@@ -533,7 +535,7 @@ def apply_changes(t):
 
 @query("SELECT work_item_id, stage_key AS missing FROM (SELECT DISTINCT work_item_id, stage_key FROM stage_executions) WHERE stage_key NOT IN ('optim_step', 'eval_row', 'eval_fanin')")
 def registry_drift(t):
-    declared = narrow(t.stage_controls.select("stage_key").distinct())
+    declared = narrow(t.declared_stages.select("stage_key").distinct())
     return t.stage_executions.select("work_item_id", F.col("stage_key").alias("missing")).distinct().join(declared.withColumnRenamed("stage_key", "missing"), "missing", "left_anti").select("work_item_id", "missing")
 
 
@@ -612,16 +614,3 @@ def cancel_redelegate_all(t):
 def set_priority_all(t):
     rows = C.cancellations(t.stage_executions, _absent(t.work_items), t.stage_attempts)
     return rows.select("stage_execution_id", F.lit(7).alias("priority"), F.col("delegated_workflow_id").alias("workflow_id"))
-
-
-# ---------------------------------------------------------------- streams
-
-
-@query()
-def stream_current_state(t):
-    return folds.run_once(t.spark, folds.current_states(folds.read_events(t.spark, t.sf_dir)), "append").groupBy("work_item_id").agg(F.max_by(F.struct("state", "accepted", "rejected"), "accepted").alias("s")).select("work_item_id", "s.*")
-
-
-@query("""SELECT CASE event_type WHEN 'signup' THEN 'ready' WHEN 'view' THEN 'admitted' WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS state, count(*) AS n FROM events GROUP BY 1""")
-def stream_event_counts(t):
-    return folds.run_once(t.spark, folds.event_counts(folds.read_events(t.spark, t.sf_dir)), "complete")

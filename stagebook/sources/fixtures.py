@@ -224,6 +224,11 @@ class Ledger:
         self.built[name] = df
         return df
 
+    def path(self, name: str) -> str:
+        """The folder of a table that was written."""
+        getattr(self, name)
+        return _WRITTEN[self.spark.sparkContext.applicationId, self.sf_dir, name]
+
     def _derive(self, name: str) -> DataFrame:
         earlier = "|".join(TABLES)
         sql = re.sub(rf"\b(FROM|JOIN) ({earlier})\b", r"\1 {\2}", _ranked(TABLES[name], "spark", braces=True))

@@ -1,16 +1,20 @@
-"""Streams of stage states: a fold that keeps legal moves and counts the others, and live counts."""
+"""Streams of the ledger: moves of stages folded to states, live counts, registration, runs that settle, and periodic passes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.expressions import MOVES
+from ..operators.completion import FINAL
+from ..operators.registration import register_members
 from ..sources.shared import shared_dir
 
 _LEGAL = frozenset(MOVES)
@@ -23,38 +27,166 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select((F.col("user_id") + 1).alias("work_item_id"), F.col("event_id").alias("seq"), state.alias("new_state"))
 
 
-def current_states(events: DataFrame) -> DataFrame:
-    """Per item and batch: the state after all legal moves so far, and how many moves were accepted and rejected.
+def folded_moves(events: DataFrame) -> DataFrame:
+    """Every move with the state it met: ``work_item_id, seq, old_state, new_state, accepted``; moves that are not legal are rejected.
 
-    An item starts as ready. Within a batch, events of an item are taken in the order of ``seq``.
+    An item starts as ready, and its state outlives the batches. Within a batch an item's events are taken in the order of
+    ``seq``; they meet in one task, bounded by what a trigger takes up (``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` of the source).
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, accepted, rejected = held.get if held.exists else ("ready", 0, 0)
-        for new in pd.concat(list(frames)).sort_values("seq")["new_state"]:
-            if (state, new) in _LEGAL:
-                state, accepted = new, accepted + 1
-            else:
-                rejected += 1
-        held.update((state, accepted, rejected))
-        yield pd.DataFrame({"work_item_id": [key[0]], "state": [state], "accepted": [accepted], "rejected": [rejected]})
+        (state,) = held.get if held.exists else ("ready",)
+        moves = pd.concat([f[["seq", "new_state"]] for f in frames]).sort_values("seq", kind="stable")
+        old, accepted = [], []
+        for new in moves["new_state"]:
+            old.append(state)
+            accepted.append((state, new) in _LEGAL)
+            state = new if accepted[-1] else state
+        held.update((state,))
+        yield pd.DataFrame({"work_item_id": key[0], "seq": moves["seq"], "old_state": old, "new_state": moves["new_state"], "accepted": accepted})
+
+    schema = "work_item_id long, seq long, old_state string, new_state string, accepted boolean"
+    return events.groupBy("work_item_id").applyInPandasWithState(fold, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
-    return events.groupBy("work_item_id").applyInPandasWithState(fold, "work_item_id long, state string, accepted long, rejected long", "state string, accepted long, rejected long", "append", GroupStateTimeout.NoTimeout)
+
+def current_states(moves: DataFrame) -> DataFrame:
+    """Of moves that were written: each item's state now, and how many moves were accepted and rejected."""
+    state = F.coalesce(F.max_by(F.when(F.col("accepted"), F.col("new_state")), F.when(F.col("accepted"), F.col("seq"))), F.lit("ready"))
+    return moves.groupBy("work_item_id").agg(state.alias("state"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
 def event_counts(events: DataFrame) -> DataFrame:
+    """Events by the state they ask for, whether or not it is taken."""
     return events.groupBy(F.col("new_state").alias("state")).agg(F.count("*").alias("n"))
 
 
-def run_once(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote; state and output lie in the shared folder."""
+def state_deltas(moves: DataFrame, items: DataFrame) -> DataFrame:
+    """``campaign_key, state, delta``: each accepted move leaves a state and enters another, and an item's first event enters ready."""
+    known = items.select("work_item_id", "campaign_key")
+    changes = F.array(F.struct(F.col("old_state").alias("state"), F.lit(-1).alias("delta")), F.struct(F.col("new_state").alias("state"), F.lit(1).alias("delta")))
+    moved = moves.where("accepted").join(known, "work_item_id").select("campaign_key", F.explode(changes).alias("c")).select("campaign_key", "c.*")
+    return moved.groupBy("campaign_key", "state").agg(F.sum("delta").alias("delta"))
+
+
+class LiveCounts:
+    """Live items by campaign and state, for ``foreachBatch``: every batch writes the counts after it, from those before it and its moves.
+
+    A batch that is run again replaces what it wrote, so that nothing counts twice.
+    """
+
+    def __init__(self, spark: SparkSession, items: DataFrame) -> None:
+        self.spark, self.items, self.base = spark, items, shared_dir(spark, "live-counts")
+
+    def before(self, k: int) -> DataFrame:
+        if k == 0:
+            return self.items.groupBy("campaign_key").agg(F.count("*").alias("n")).select("campaign_key", F.lit("ready").alias("state"), "n")
+        return self.spark.read.parquet(f"{self.base}/batch={k - 1}")
+
+    def __call__(self, moves: DataFrame, k: int) -> None:
+        both = self.before(k).unionByName(state_deltas(moves, self.items).withColumnRenamed("delta", "n"))
+        both.groupBy("campaign_key", "state").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{self.base}/batch={k}")
+        self.last = k
+
+    def now(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/batch={self.last}").where("n <> 0")
+
+
+class Registration:
+    """Registration of a stream of members, for ``foreachBatch``: new items of earlier batches are known to later ones; a batch that is run again replaces its rows."""
+
+    def __init__(self, spark: SparkSession, items: DataFrame, runs: DataFrame) -> None:
+        self.spark, self.items, self.runs, self.base = spark, items, runs, shared_dir(spark, "registration")
+
+    def _known(self, k: int) -> DataFrame:
+        own = ["campaign_key", "work_key", "work_item_id", "origin_run_key", "input_reference", "labels", "rank", "priority"]
+        known = self.items.select(*own)
+        for j in range(k):
+            known = known.unionByName(self.spark.read.parquet(f"{self.base}/items/batch={j}").select(*own))
+        return known
+
+    def __call__(self, members: DataFrame, k: int) -> None:
+        from ..functions.expressions import stable_rank
+
+        good, rejects = register_members(members, self._known(k), self.runs)
+        out = good.select("run_key", "campaign_key", "member_ordinal", "work_key", "input_reference", "labels", "priority", "kind")
+        out.write.mode("overwrite").parquet(f"{self.base}/members/batch={k}")
+        rejects.write.mode("overwrite").parquet(f"{self.base}/rejects/batch={k}")
+        written = self.spark.read.schema(out.schema).parquet(f"{self.base}/members/batch={k}")
+        new = written.where("kind = 'new'").dropDuplicates(["campaign_key", "work_key"])
+        made = new.select("campaign_key", "work_key", F.xxhash64("campaign_key", "work_key").alias("work_item_id"), F.col("run_key").alias("origin_run_key"), "input_reference", "labels", stable_rank("campaign_key", "work_key").alias("rank"), "priority")
+        made.write.mode("overwrite").parquet(f"{self.base}/items/batch={k}")
+
+    def read(self, what: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/{what}").drop("batch")
+
+
+class Settling:
+    """Runs that settle, each released once, for ``foreachBatch`` over accepted moves of stages.
+
+    After each batch, closed runs of which no member is open any more are released, unless an earlier batch did so: what happens to
+    their members later (a retry, a second run of a member) releases nothing again. Items without any event are as in ``states``.
+    """
+
+    def __init__(self, spark: SparkSession, runs: DataFrame, memberships: DataFrame, states: DataFrame) -> None:
+        self.spark, self.runs, self.memberships, self.states, self.base = spark, runs, memberships, states, shared_dir(spark, "settling")
+
+    def _earlier(self, what: str, schema: str, k: int) -> DataFrame:
+        try:
+            return self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.base}/{what}").where(F.col("batch") < k).drop("batch")
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+
+    def __call__(self, moves: DataFrame, k: int) -> None:
+        last = moves.where("accepted").groupBy("work_item_id").agg(F.max_by("new_state", "seq").alias("state"), F.max("seq").alias("seq"))
+        last.write.mode("overwrite").parquet(f"{self.base}/states/batch={k}")
+        seen = self._earlier("states", "work_item_id long, state string, seq long", k + 1).groupBy("work_item_id").agg(F.max_by("state", "seq").alias("new"))
+        now = self.states.select("work_item_id", "state").join(seen, "work_item_id", "left").select("work_item_id", F.coalesce("new", "state").alias("state"))
+        open_runs = self.memberships.join(now.where(~F.col("state").isin(*FINAL)).select("work_item_id"), "work_item_id", "left_semi").select("run_key").distinct()
+        done = self._earlier("released", "run_key string, at_batch long", k)
+        ready = self.runs.where("registration_closed_at IS NOT NULL").select("run_key").join(open_runs, "run_key", "left_anti").join(done, "run_key", "left_anti")
+        ready.withColumn("at_batch", F.lit(k).cast("long")).write.mode("overwrite").parquet(f"{self.base}/released/batch={k}")
+
+    def released(self) -> DataFrame:
+        return self.spark.read.schema("run_key string, at_batch long").parquet(f"{self.base}/released")
+
+
+def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+    """Run a stream over all that is there now. Without ``each`` (a step for foreachBatch), its rows are written and returned.
+
+    State and output lie in the shared folder.
+    """
     base = shared_dir(spark, "stream")
 
     def write(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(each or write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    if each:
+        return None
     out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/out")
     if mode == "complete":  # the last batch has all
         out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
     return out.drop("batch")
+
+
+def periodically(spark: SparkSession, pass_: Callable[[int], None], seconds: float, times: int | None = None) -> int:
+    """Run a pass over the ledger on every tick of a processing-time trigger, ``times`` at most; returns how often it ran.
+
+    A tick that is late runs once, and a pass that fails ends the stream with its error.
+    """
+    base, done = shared_dir(spark, "ticks"), []
+
+    def tick(_: DataFrame, k: int) -> None:
+        if times is None or len(done) < times:
+            pass_(k)
+            done.append(k)
+
+    query = spark.readStream.format("rate").load().writeStream.foreachBatch(tick).option("checkpointLocation", f"{base}/state").trigger(processingTime=f"{seconds} seconds").start()
+    try:
+        while query.isActive and (times is None or len(done) < times):
+            time.sleep(min(seconds, 0.2))
+    finally:
+        query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+    return len(done)

@@ -1,3 +1,4 @@
+import json
 import random
 
 import duckdb
@@ -5,9 +6,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from stagebook.functions import expressions as X
+from stagebook.operators import admission as A
 from stagebook.operators import changes as C
+from stagebook.operators import completion as B
+from stagebook.operators import outcomes as O
+from stagebook.operators import recovery as V
+from stagebook.operators import registration as R
 from stagebook.operators import status as S
+from stagebook.plans import passes  # noqa: F401
 from stagebook.plans import queries as plans
+from stagebook.sources import fixtures, schemas, seeders
+from stagebook.streaming import folds
 
 SF = "/root/testdata/sf0.001"
 EXECUTIONS = "work_item_id long, stage_execution_id long, stage_key string, stage_index int, state string"
@@ -62,9 +71,23 @@ def test_fold_keeps_legal_moves(spark):
     assert sum(r["accepted"] + r["rejected"] for r in got) == total
 
 
-def test_status_needs_no_sort(spark):
-    plan = plans.queries()["campaign_state_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Window" in plan and "Cartesian" not in plan
+def test_status_is_aggregated_before_its_one_shuffle(spark):
+    table = spark.createDataFrame([(1, 1, "a", 1, "failed")], EXECUTIONS)
+    plan = S.work_item_status(table)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_clusters_take_one_shuffle(spark):
+    table = seeders.episodes(spark.createDataFrame([(1, 5), (2, 6)], "work_item_id long, rank long"), F.lit(2), F.col("work_item_id"))
+    plan = S.barrier_clusters(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = sorted((r["work_item_id"], r["optim_index"], r["eval_count"], r["fanin_index"], r["problem"]) for r in S.barrier_clusters(table).collect())
+    assert got == [(1, 0, 2, 3, None), (2, 0, 2, 3, None), (2, 4, 2, 7, None)]
+    wanted = spark.createDataFrame([(1, 3), (1, 2), (1, 9), (2, 7), (7, 1)], "work_item_id long, fanin_index int")
+    found = {(r["work_item_id"], r["fanin_index"]): (r["optim_index"], None if r["eval_rows"] is None else len(r["eval_rows"]), r["problem"]) for r in S.resolve_clusters(wanted, table).collect()}
+    assert found[1, 3] == (0, 2, None) and found[2, 7] == (4, 2, None) and found[1, 2][2] == "not_barrier" and found[1, 9][2] == found[7, 1][2] == "no_row"
+    with pytest.raises(ValueError):
+        S.resolve_clusters(wanted, table, "a", "a")
 
 
 def test_fanout_needs_rows_in_place_and_one_waiting_fanin(spark):
@@ -126,3 +149,140 @@ def test_whole_request_sets_leave_nothing_out(spark):
     assert known["retry_stages_all"](spark, SF).count() == 2 * stages
     order = [tuple(r) for r in known["ready_order_all"](spark, SF).select("priority", "rank", "stage_execution_id").collect()]
     assert len(order) == known["attempts_to_admit"](spark, SF).count() and order == sorted(order)
+
+
+# ---------------------------------------------------------------- seeded cases
+
+
+
+def now():
+    return F.to_timestamp(F.lit("2026-07-17 12:00:00"))
+
+
+CONTROLS = "stage_control_id long, pipeline_key string, pipeline_version int, stage_key string, selector map<string,string>, capacity int, paused boolean, occupied long"
+
+
+def admit(spark, rows, controls, batch=10_000, held=(), declared=("x",)):
+    """rows: (id, pipeline, labels, priority); all stages are x of version 1."""
+    table = spark.createDataFrame([(i, i, p, 1, "x", 0, "ready", 1 if i in held else 0, False, sel, pr, i, "c", f"w{i}", "r", None, "in") for i, p, sel, pr in rows],
+        "stage_execution_id long, work_item_id long, pipeline_key string, pipeline_version int, stage_key string, stage_index int, state string, current_attempt int, barrier boolean, labels map<string,string>, priority int, rank long, campaign_key string, work_key string, origin_run_key string, input_reference string, item_input string")
+    attempts = spark.createDataFrame([(i, 1, f"old-{i}", None, None) for i in held], "stage_execution_id long, attempt_number int, workflow_id string, admitted_at timestamp, terminal_at timestamp")
+    stages = spark.createDataFrame([(p, 1, s, "queue", [(0, {"c": "red"}, "red-queue")]) for p in {r[1] for r in rows} for s in declared], "pipeline_key string, pipeline_version int, stage_key string, queue_name string, routes array<struct<ordinal:int,selector:map<string,string>,queue_name:string>>")
+    done = A.admission_pass(table, table, spark.createDataFrame(controls, CONTROLS), attempts, stages, now(), batch)
+    return done, {(r["pipeline_key"], r["reason"]): r["n"] for r in done.summary.collect()}
+
+
+def test_stage_capacity_and_prepared_attempts(spark):
+    done, summary = admit(spark, [(i, "p", {}, 0) for i in range(1, 5)], [(1, "p", 1, "x", {}, 2, False, 0)], held=(2,))
+    assert summary == {("p", "admitted"): 2, ("p", "capacity"): 2}
+    sent = {r["stage_execution_id"]: r for r in done.outbox.collect()}
+    assert set(sent) == {1, 2} and sent[2]["workflow_id"] == "old-2" and sent[1]["workflow_id"].startswith("drp-") and sent[1]["priority"] is None
+    assert {r["stage_execution_id"]: r["appended"] for r in done.attempts.collect()} == {1: True, 2: False}
+    assert len(json.loads(sent[1]["payload"])) == 11
+
+
+def test_selector_capacity_and_queues(spark):
+    colours = ["blue", "blue", "red", "red"]
+    done, summary = admit(spark, [(i, "p", {"c": c}, i) for i, c in enumerate(colours)], [(1, "p", 1, "x", {}, 4, False, 0), (2, "p", 1, "x", {"c": "blue"}, 1, False, 0)])
+    assert summary == {("p", "admitted"): 3, ("p", "capacity"): 1}
+    assert {r["stage_execution_id"]: r["queue_name"] for r in done.outbox.collect()} == {0: "queue", 2: "red-queue", 3: "red-queue"}
+
+
+def test_a_paused_stage_does_not_starve_others(spark):
+    rows = [(i, "a", {}, 0) for i in range(5)] + [(9, "b", {}, 5)]
+    _, summary = admit(spark, rows, [(1, "a", 1, "x", {}, 9, True, 0), (2, "b", 1, "x", {}, 1, False, 0)], batch=1)
+    assert summary == {("a", "paused"): 5, ("b", "admitted"): 1}
+    _, summary = admit(spark, rows, [(2, "b", 1, "x", {}, 9, False, 0)], declared=("y",))
+    assert summary == {("a", "unconfigured"): 5, ("b", "mismatched"): 1}
+
+
+def test_overlapping_runs_and_absent_or_empty_runs(spark):
+    members = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("b", 0, 1), ("b", 1, 2)], "run_key string, member_ordinal int, work_item_id long")
+    executions = spark.createDataFrame([(0, 10, "s", 0, "ready"), (1, 11, "s", 0, "succeeded"), (2, 12, "s", 0, "ready")], EXECUTIONS)
+    assert {(r["run_key"], r["state"]): r["n"] for r in S.run_state_counts(members, executions).collect()} == {("a", "ready"): 1, ("a", "succeeded"): 1, ("b", "ready"): 1, ("b", "succeeded"): 1}
+    runs = spark.createDataFrame([("a",), ("b",), ("empty",)], "run_key string")
+    keys = spark.createDataFrame([("a",), ("empty",), ("missing",), ("a",)], "run_key string")
+    got = sorted((r["run_key"], r["present"], r["state"], r["n"]) for r in S.bulk_run_state_counts(keys, runs, members, executions).collect() if r["run_key"] != "a")
+    assert got == [("empty", True, None, 0), ("missing", False, None, 0)]
+
+
+def test_digests_pinned_and_alike(spark):
+    pinned = [("work-0", "input:0"), ("work-1", "input:1")]
+    items = spark.createDataFrame([(i, w, r) for i, (w, r) in enumerate(pinned)] + [(9, "z", "y")], "work_item_id long, work_key string, input_reference string")
+    members = spark.createDataFrame([("r", 1, 1), ("r", 0, 0), ("s", 0, 9)], "run_key string, member_ordinal int, work_item_id long")
+    both = [f(members, items, "run-membership/v1").select("run_key", "membership_digest").collect() for f in (C.membership_digests, R.ordered_digests)]
+    got = [{r["run_key"]: r["membership_digest"] for r in rows} for rows in both]
+    assert got[0] == got[1] and len(got[0]) == 2
+    assert R.ordered_digests(members.limit(0), items, "v").count() == 0
+
+
+def test_barrier_pass_stops_at_the_batch_and_goes_round(spark):
+    keys = [f"r{k}" for k in range(6)]
+    runs = spark.createDataFrame([(k, "c", "p", 1, "cfg", 2 if k == "r4" else 1, "m", "d", "fin", "2026-01-01", None) for k in keys], "run_key string, campaign_key string, pipeline_key string, pipeline_version int, execution_config_reference string, expected_member_count int, manifest_reference string, membership_digest string, run_completion_key string, closed string, released string")
+    runs = runs.withColumn("registration_closed_at", F.to_timestamp("closed")).withColumn("released_at", F.to_timestamp("released")).drop("closed", "released")
+    members = spark.createDataFrame([(k, 0, i) for i, k in enumerate(keys)], "run_key string, member_ordinal int, work_item_id long")
+    executions = spark.createDataFrame([(i, i, "s", 0, "ready" if i == 5 else "failed") for i in range(6)], EXECUTIONS)
+    declared = spark.createDataFrame([("p", 1, "fin")], "pipeline_key string, pipeline_version int, run_completion_key string")
+    done = B.barrier_pass(runs, members, executions, declared, "r2", now(), batch=2, budget=10)
+    assert [r["run_key"] for r in done.runs.orderBy("run_key").collect()] == ["r0", "r3"]
+    assert [tuple(r) for r in done.failures.collect()] == [("r4", "not_covered")]
+    assert done.summary.first().asDict() == {"examined": 3, "released": 2, "failed": 1, "last_run_key": "r0"}
+    assert B.barrier_pass(runs, members, executions, declared, None, now(), batch=10, budget=2).summary.first()["examined"] == 2
+    good = [("a", 1, "c", "m", "d", 3, [("succeeded", 1), ("failed", 2), ("cancelled", 0)])]
+    odd = [("b", 1, "c", "m", "d", 3, [("failed", 1), ("succeeded", 2), ("cancelled", 0)]), ("c", 1, "c", "m", "d", 4, good[0][6]), ("d", 1, "c", "", "d", 3, good[0][6]), ("e", 0, "c", "m", "d", 3, good[0][6])]
+    table = spark.createDataFrame(good + odd, "run_key string, pipeline_version int, execution_config_reference string, manifest_reference string, membership_digest string, member_count int, release_terminal_state_counts array<struct<state:string,count:int>>")
+    assert {r["run_key"]: r["reason"] for r in B.payload_problems(table).collect()} == {"b": "order_of_states", "c": "sum_of_counts", "d": "missing_reference", "e": "version"}
+
+
+def test_live_identity(spark):
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "executor_id string")
+    live = V.live_identity("v2", ids(" a ", ""), ids("b"), ids("local"))
+    assert {r[0] for r in live.executors.collect()} == {"a", "b", "local"} and not live.unavailable
+    silent = V.live_identity("v2", ids(" "), ids(), ids("local"))
+    assert silent.suppress_executor and not silent.suppress_version
+    assert V.live_identity(" ", None, ids("b"), ids()).suppress_version
+    assert V.live_identity("v2", None, ids(), ids()).suppress_executor
+    admitted = spark.createDataFrame([("w1",), ("w2",), ("w3",)], "workflow_id string")
+    feed = spark.createDataFrame([("w1", "CANCELLED", "v2", "a"), ("w2", "MAX_RECOVERY_ATTEMPTS_EXCEEDED", None, None), ("w3", "PENDING", "v2", "a")], "workflow_id string, status string, app_version string, executor_id string")
+    summary = V.sweep_summary(V.sweep_live(admitted, feed, live), live).first()
+    assert (summary["inspected"], summary["projected"]) == (3, 2)
+
+
+def test_terminal_summaries_leave_nulls_out(spark):
+    row = spark.range(1).select(O.terminal_summary(F.lit("failed"), F.lit("abandonment"), reason=F.lit("dead_executor"), message=F.lit(None).cast("string")).alias("a"), O.terminal_summary(F.lit("succeeded")).alias("b")).first()
+    assert row["a"] == '{"outcome":"failed","producer":"abandonment","reason":"dead_executor"}' and row["b"] == '{"outcome":"succeeded"}'
+
+
+def test_tables_are_read_under_their_schemas(spark, tmp_path):
+    ledger = fixtures.Ledger(spark, SF)
+    for full, name in (("full_items", "work_items"), ("full_executions", "stage_executions"), ("full_attempts", "stage_attempts"), ("run_memberships", "run_memberships")):
+        path = str(tmp_path / name)
+        schemas.conform(getattr(ledger, full), schemas.TABLES[name]).write.parquet(path)
+        table = schemas.read_table(spark, name, path)
+        assert table.schema == schemas.schema_of(schemas.TABLES[name]) and table.count() == getattr(ledger, full).count()
+
+
+def test_a_pass_runs_on_every_tick(spark):
+    seen = []
+    assert folds.periodically(spark, seen.append, 0.2, times=2) == 2 and len(seen) == 2
+
+
+def test_a_run_is_released_once(spark):
+    """A member of two runs that fails, is retried and succeeds: each run is released once, and a batch that is run again changes nothing."""
+    runs = spark.createDataFrame([("a",), ("b",), ("open",)], "run_key string").withColumn("registration_closed_at", F.when(F.col("run_key") != "open", now()))
+    members = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("open", 2)], "run_key string, work_item_id long")
+    states = spark.createDataFrame([(1, "admitted"), (2, "admitted")], "work_item_id long, state string")
+    settling = folds.Settling(spark, runs, members, states)
+    batch = lambda *moves: spark.createDataFrame([(i, s, n, True) for i, s, n in moves], "work_item_id long, seq long, new_state string, accepted boolean")
+    for k, moves in enumerate([[(1, 1, "failed")], [(1, 2, "ready")], [(1, 3, "succeeded"), (2, 4, "cancelled")], [(2, 5, "ready")]]):
+        settling(batch(*moves), k)
+        settling(batch(*moves), k)
+    assert sorted((r["run_key"], r["at_batch"]) for r in settling.released().collect()) == [("a", 0), ("b", 2)]
+
+
+def test_snapshots_keep_guards_and_ignore_known_rows(spark, tmp_path):
+    table = spark.createDataFrame([(1, "ready", 0), (2, "ready", 1), (3, "failed", 1)], "id long, state string, attempt int")
+    updates = spark.createDataFrame([(1, "admitted", "ready", 0), (2, "admitted", "ready", 0), (3, "ready", "admitted", 1)], "id long, state string, expected_state string, expected_attempt int")
+    inserts = spark.createDataFrame([(3, "new", 9), (4, "new", 0), (4, "new", 0)], "id long, state string, attempt int")
+    folder = C.write_snapshot({"stages": C.apply_changes(table, "id", updates, inserts, guard=["state", "attempt"])}, str(tmp_path), "1")
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{folder}/stages").collect()) == [(1, "admitted", 0), (2, "ready", 1), (3, "failed", 1), (4, "new", 0)]
