@@ -22,7 +22,7 @@ WIDEST = 64
 #: Words whose matrices are held at once.
 ROWS = 8_000
 #: Entries of a generation of the cache of encoded units; two generations are kept (some 200 bytes an entry).
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 100_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "bounded", "fresh", "held_out", "id_of", "marked", "materialize", "shared_dir", "text_of"]
+__all__ = ["BROADCAST_ROWS", "bounded", "fresh", "held_out", "id_of", "lean", "marked", "materialize", "shared_dir", "text_of"]
 
 #: A side of at most so many narrow rows (keys and numbers, under 100 bytes each) may be broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
@@ -42,6 +45,16 @@ def marked(rows: DataFrame, key: Column, keys: DataFrame, mark: str) -> DataFram
     return out.withColumn(mark, F.coalesce(F.col(bits).bitwiseAND(bit(key)) != 0, F.lit(False))).drop(at, bits)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that gives freed Arrow memory back at its end, as Python workers live on after a task."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names, made from ``names``, which ``df`` does not have in any case."""
     taken, out = {c.lower() for c in df.columns}, []
