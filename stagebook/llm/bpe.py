@@ -281,6 +281,10 @@ class ByteBPE:
         self.first.rotate()
         return out
 
+    def forget(self) -> None:
+        """Drop the remembered units: a worker that waits for its next task keeps the vocabulary alone."""
+        self.spaced, self.first = UnitCache(self.spaced.entries), UnitCache(self.first.entries)
+
     def _learn(self, cache: UnitCache, units: set[str], before: str) -> None:
         todo = cache.missing(units)
         if not todo:

@@ -379,6 +379,7 @@ def document_pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataF
                     cuts = [0, *range(n % size or size, n + 1, size)]
                     rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget()
 
     return docs.select(id_of(), text_of().alias("text")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
