@@ -8,15 +8,18 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.shared import materialize, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "bounded", "fresh", "held_out", "id_of", "lean", "marked", "materialize", "shared_dir", "text_of"]
+__all__ = ["BROADCAST_ROWS", "bounded", "fresh", "held_out", "id_of", "in_arrow", "lean", "marked", "materialize", "shared_dir", "text_of"]
 
 #: A side of at most so many narrow rows (keys and numbers, under 100 bytes each) may be broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
 #: Words of 64 bits in the largest table of marks: some 40 MB when broadcast, whatever the number of keys.
 MARK_WORDS = 1 << 19
+#: A session setting, Spark's own value of it, and ours: a task holds a batch of texts several times over, in the JVM and in Python.
+ARROW_LIMIT, ARROW_DEFAULT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
 
 
 def bounded(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -58,6 +61,17 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: StructType | str) -> DataFrame:
+    """``run`` over Arrow batches of about ARROW_BYTES (one row at least), each seen once and in order.
+
+    Spark reads the limit when a job starts, so it is set in the session and stays; a session with a limit of its own keeps it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_LIMIT) == f"{ARROW_DEFAULT}b":
+        conf.set(ARROW_LIMIT, f"{ARROW_BYTES}b")
+    return df.mapInArrow(lean(run), schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names, made from ``names``, which ``df`` does not have in any case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fresh, held_out, lean, text_of
+from .common import fresh, held_out, in_arrow, text_of
 from .scan import parts, sums
 
 #: Families of language codes; a code that is not listed is a family of its own.
@@ -130,7 +130,7 @@ def fit_languages(docs: DataFrame, sample: int = 800, features: int = 2048) -> L
                     lists.append((key, n / max(1, n.sum())))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("lang")), pa.array([k for k, _ in lists], pa.list_(pa.int32())), pa.array([v for _, v in lists], pa.list_(pa.float32()))], ["lang", "pair", "share"])
 
-    got = taken.select("text", "lang").mapInArrow(lean(run), "lang string, pair array<int>, share array<float>").toArrow()
+    got = taken.select("text", "lang").transform(in_arrow, run, "lang string, pair array<int>, share array<float>").toArrow()
     langs = np.array(got.column("lang").to_pylist(), dtype=object)
     size = np.array(pc.list_value_length(got.column("pair")).to_pylist(), dtype=np.int64)
     pair = np.concatenate([np.zeros(0, dtype=np.int32), *[np.asarray(c.flatten()) for c in got.column("pair").chunks]])
@@ -195,7 +195,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], pr
             rest = [c for i, c in enumerate(batch.columns) if i != k]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(np.where(known, scores, 0.0))], schema=pa.schema([*[f for i, f in enumerate(batch.schema) if i != k], pa.field(pred, pa.string()), pa.field(score, pa.float64())]))
 
-    return kept.mapInArrow(lean(run), schema)
+    return kept.transform(in_arrow, run, schema)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fresh, held_out, id_of, lean, materialize, text_of
+from .common import fresh, held_out, id_of, in_arrow, materialize, text_of
 from .scan import parts, sums, word_hashes, words
 
 STATISTICS = ("n_words", "word_length", "upper", "symbols", "marks", "digits", "beyond_ascii", "line_words", "stops", "commas", "bare_symbols", "distinct", "twice", "odd_ends", "long_words", "repeats")
@@ -89,7 +89,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "x"])
 
-    return docs.select(id_of(), text_of().alias("text")).mapInArrow(lean(run), "doc_id long, x array<double>")
+    return docs.select(id_of(), text_of().alias("text")).transform(in_arrow, run, "doc_id long, x array<double>")
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, shrink: float = 0.2, ridge: float = 1e-3, temper: float = 0.25) -> QualityModel:
@@ -111,7 +111,7 @@ def fit_quality(stats: DataFrame, labels: DataFrame, shrink: float = 0.2, ridge:
                 acc[k] += np.concatenate([[len(of)], of.sum(axis=0), (of.T @ of).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(acc.tolist(), pa.list_(pa.float64())), pa.array([0, 1], pa.int32())], ["sums", "y"])
 
-    moments = stats.join(known, "doc_id").select("x", "y").mapInArrow(lean(run), "sums array<double>, y int")
+    moments = stats.join(known, "doc_id").select("x", "y").transform(in_arrow, run, "sums array<double>, y int")
     # a row per class and statistic pair leaves the tasks; a few hundred numbers in all reach the driver
     added = moments.select("y", F.posexplode("sums").alias("k", "v")).groupBy("y", "k").agg(F.sum("v").alias("v")).collect()
     acc = np.zeros((2, 1 + d + d * d))
@@ -138,7 +138,7 @@ def _scored(stats: DataFrame, model: QualityModel) -> DataFrame:
             x = np.asarray(batch.column(1).flatten()).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], ["doc_id", "score"])
 
-    return stats.select("doc_id", "x").mapInArrow(lean(run), "doc_id long, score double")
+    return stats.select("doc_id", "x").transform(in_arrow, run, "doc_id long, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
@@ -166,5 +166,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFra
                 fields = [f for i, f in enumerate(part.schema) if i != k]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(model.value.score(statistics(data, at)))], schema=pa.schema([*fields, pa.field(score, pa.float64())]))
 
-    out = docs.withColumn(text, text_of()).mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(score, DoubleType())]))
+    out = docs.withColumn(text, text_of()).transform(in_arrow, run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
     return out.where(F.col(score) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

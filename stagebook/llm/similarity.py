@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, bounded, fresh, id_of, lean, marked, materialize, text_of
+from .common import BROADCAST_ROWS, bounded, fresh, id_of, in_arrow, marked, materialize, text_of
 from .scan import mix, parts, shingle_sets
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), _long(s1), _long(s2), prefix], ["doc_id", "row", "n", "s1", "s2", "prefix"])
 
     rows = docs.select(id_of(), row_key().alias("row"), text_of().alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, row long, n long, s1 long, s2 long, prefix binary")
+    return rows.transform(in_arrow, run, "doc_id long, row long, n long, s1 long, s2 long, prefix binary")
 
 
 def _pieces(h: np.ndarray, sid: np.ndarray, lengths: np.ndarray, bucket: np.ndarray, meet: bool, split: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def _spread(rows: DataFrame, blob: str, buckets: int, numbers: list[str], step:
             cut = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in cut], pa.int64()), *[_blobs([c[a:b] for a, b in cut]) for c in (h, *columns)]], ["bucket", "hashes", *numbers])
 
-    out = rows.mapInArrow(lean(run), ", ".join(["bucket long, hashes binary", *[f"{c} binary" for c in numbers]]))
+    out = rows.transform(in_arrow, run, ", ".join(["bucket long, hashes binary", *[f"{c} binary" for c in numbers]]))
     return _dealt(out, "bucket", buckets)
 
 
@@ -228,7 +228,7 @@ def survivor_sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), _long(s1), n, _blobs([bitmap(s) for s in sets]), _blobs(sets)], ["rep", "s1", "n", "bits", "hashes"])
 
     seen = marked(docs.select(row_key().alias("rep"), text_of().alias("text")), F.col("rep"), alive.select("rep"), "wanted").where("wanted")
-    found = seen.select("rep", "text").mapInArrow(lean(run), "rep long, s1 long, n long, bits binary, hashes binary")
+    found = seen.select("rep", "text").transform(in_arrow, run, "rep long, s1 long, n long, bits binary, hashes binary")
     return found.join(bounded(alive.select("rep", "s1", "n")), ["rep", "s1", "n"]).select("s1", "n", "bits", "hashes")
 
 
@@ -283,7 +283,7 @@ def long_lists(rows: DataFrame, split: int) -> DataFrame:
             last = np.concatenate([begin[1:], [len(order)]])[: len(begin)] - 1
             yield pa.RecordBatch.from_arrays([pa.array(h[order][begin]), pa.array(comp[order][begin]), pa.array(comp[order][last])], ["list", "low", "high"])
 
-    found = rows.select("prefix", "lengths", "comp").mapInArrow(lean(run), "list long, low long, high long")
+    found = rows.select("prefix", "lengths", "comp").transform(in_arrow, run, "list long, low long, high long")
     return found.groupBy("list").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 

@@ -6,7 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import CACHE_ENTRIES, ByteBPE, UnitCache, byte_letters, ranks_of_tiktoken
-from .common import bounded, id_of, lean, materialize, text_of
+from .common import bounded, id_of, in_arrow, materialize, text_of
 
 #: Characters of text that are taken up at once within a task.
 BATCH_CHARS = 2_000_000
@@ -72,7 +72,6 @@ class _LibraryBytes(ByteBPE):
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -85,7 +84,7 @@ class _LibraryBytes(ByteBPE):
         made = [model["vocab"]["".join(m)] for m in merges]
         # ids in the order of the merges, after those of the bytes: then ranks and merges say the same
         self.direct = plain and made == list(range(256, 256 + len(made))) and not any(model.get(k) for k in ("dropout", "ignore_merges", "end_of_word_suffix", "continuing_subword_prefix"))
-        self.whole, self.special = Tokenizer.from_file(path), special
+        self.path, self.special = path, special
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
         self.core = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ids, special_tokens={}) if self.direct else None
         self.lengths = np.zeros(max(ids.values()) + 1, dtype=np.int64)
@@ -93,6 +92,13 @@ class _LibraryBytes(ByteBPE):
             self.lengths[n] = len(raw)
         self.spaced, self.first = UnitCache(), UnitCache()
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         odd = [k for k, t in enumerate(texts) if not self.direct or any(s in t for s in self.special)]
         if not odd:
@@ -294,7 +300,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for part, texts in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.encode_batch(texts), pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(id_of(), text_of().alias("text")).mapInArrow(lean(run), "doc_id long, ids binary")
+    return docs.select(id_of(), text_of().alias("text")).transform(in_arrow, run, "doc_id long, ids binary")
 
 
 def _decoded(ids: list[bytes], path: str) -> pa.Array:
@@ -309,7 +315,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(batch.column(1).to_pylist(), path)], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").transform(in_arrow, run, "doc_id long, ids binary, decoded binary")
 
 
 def recode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -322,7 +328,7 @@ def recode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = encoder.encode_batch(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), _decoded(ids, path)], ["doc_id", "ids", "decoded"])
 
-    return docs.select(id_of(), text_of().alias("text")).mapInArrow(lean(run), "doc_id long, ids binary, decoded binary")
+    return docs.select(id_of(), text_of().alias("text")).transform(in_arrow, run, "doc_id long, ids binary, decoded binary")
 
 
 # ---------------------------------------------------------------- 1: best-fit packing
@@ -381,7 +387,7 @@ def document_pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
         encoder.forget()
 
-    return docs.select(id_of(), text_of().alias("text")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_of(), text_of().alias("text")).transform(in_arrow, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
@@ -446,7 +452,7 @@ def write_token_files(docs: DataFrame, encode: Callable[[], object], path: str,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(crc, pa.int64()), tokens], ["doc_id", "n_tokens", "ids_crc32", "tokens"])
 
     parts = docs.select(id_of(), text_of().alias("text")).repartitionByRange(F.col("doc_id"))
-    encoded = parts.sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long, tokens array<int>")
+    encoded = parts.sortWithinPartitions("doc_id", "text").transform(in_arrow, run, "doc_id long, n_tokens long, ids_crc32 long, tokens array<int>")
     options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#ids_crc32": "false", "parquet.block.size": str(row_group_mb << 20), "parquet.page.size": str(page_kb << 10)}
     encoded.write.options(**options).parquet(path)
 
@@ -496,7 +502,7 @@ def checked_token_files(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "ids_crc32", "_file"])
 
     rows = spark.read.schema("doc_id long, n_tokens long, ids_crc32 long, tokens array<int>").parquet(path)
-    seen = rows.select("doc_id", "tokens", F.input_file_name().alias("_file")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long, _file string")
+    seen = rows.select("doc_id", "tokens", F.input_file_name().alias("_file")).transform(in_arrow, run, "doc_id long, n_tokens long, ids_crc32 long, _file string")
     return _starts(materialize(seen, "token-counts"))
 
 
@@ -616,6 +622,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
                 size = pa.array(np.fromiter((len(t.encode()) for t in texts), dtype=np.int64, count=len(texts)))
                 yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(id_of(), text_of().alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_of(), text_of().alias("text")).transform(in_arrow, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
