@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, language, neighbours, quality, similarity, tokens
+from . import chat, dedup, language, manifest, neighbours, quality, similarity, simhash, tokens, variants
 from .common import shared_dir
 
 
@@ -81,6 +81,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"), shortest=7, least=2, ratio=10, every=31)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), most=2)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # deletes line feeds in the texts of every second document, by the checksum of its id
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = manifest.document_manifest(_table(spark, sf_dir, "documents"), F.when(chosen, F.translate("text", "\n", "")))
+    folded = rows.withColumn("folded_root", manifest.fold(F.col("shown"), F.col("proof")))
+    proof = F.sha2(manifest.siblings(F.col("proof")).cast("binary"), 256)
+    return folded.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
