@@ -1,4 +1,4 @@
-"""Integrity of the whole ledger: checks, unique keys and foreign keys of its nine tables, and facts that may not change."""
+"""Integrity of the whole ledger: checks, unique keys and foreign keys of its tables, and facts that may not change."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import Version, changed_buckets
 from .changes import violations
 
 # Keys of tables, rules that must not be false, unique keys and foreign keys.
@@ -97,3 +98,23 @@ def changed_facts(old: DataFrame, new: DataFrame) -> DataFrame:
         F.when(~gone & F.col("old_released_at").isNotNull() & differs("release"), "release"),
     )
     return both.select("run_key", F.explode(F.filter(facts, lambda f: f.isNotNull())).alias("fact"))
+
+
+def changed_facts_between(old: Version, new: Version, name: str = "pipeline_runs") -> DataFrame:
+    """``changed_facts`` between two versions of the runs; only buckets whose digests differ are read."""
+    differ = changed_buckets(old, new, name)
+    return changed_facts(old.read(name, differ), new.read(name, differ))
+
+
+def frozen_members_between(old: Version, new: Version, memberships: str = "run_memberships", runs: str = "pipeline_runs") -> DataFrame:
+    """``run_key, member_ordinal, work_item_id, change`` (removed or added) of runs that were closed in the old version.
+
+    Only membership buckets whose digests differ are read, and one join compares them; repeated rows count.
+    """
+    key, differ = ["run_key", "member_ordinal", "work_item_id"], changed_buckets(old, new, memberships)
+    tally = lambda v, name: v.read(memberships, differ).groupBy(*key).agg(F.count("*").alias(name))
+    both = tally(old, "before").join(tally(new, "after"), key, "full")
+    before, after = F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0))
+    moved = both.where(before != after).select(*key, F.when(before > after, "removed").otherwise("added").alias("change"))
+    closed = old.read(runs).where("registration_closed_at IS NOT NULL").select("run_key")
+    return moved.join(closed, "run_key", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -16,7 +16,9 @@ from ..operators import registration as R
 from ..operators import status as S
 from ..sources import schemas, seeders
 from ..sources.fixtures import Ledger
-from ..streaming import folds
+from ..sources.shared import shared_dir
+from ..sources.snapshots import Conflict, Snapshots
+from ..streaming import folds, state
 from .queries import _CANDIDATES_SQL, _CONFIGURED_SQL, _PAUSE_SQL, RANK_SQL, _controls, query
 
 _AT = "2026-07-17 12:00:00"
@@ -517,6 +519,58 @@ def immutable_facts(t):
     return I.changed_facts(t.full_runs, _spoiled(t)["pipeline_runs"])
 
 
+#: Buckets of the tables of the snapshot queries.
+_BUCKETS = 64
+
+
+def _store(t: Ledger, **tables: tuple[DataFrame, list[str]]) -> Snapshots:
+    store = Snapshots(t.spark, shared_dir(t.spark, "store"))
+    change = store.begin()
+    for name, (rows, keys) in tables.items():
+        change.create(name, rows, keys, _BUCKETS)
+    change.commit()
+    return store
+
+
+@query("SELECT stage_execution_id, CASE WHEN work_item_id % 100 = 0 AND state = 'ready' THEN 'cancelled' ELSE state END AS state, current_attempt FROM stage_executions UNION ALL SELECT -stage_execution_id, 'ready', 0 FROM stage_executions WHERE work_item_id % 100 = 0")
+def snapshot_update(t):
+    """Cancels what is ready of every hundredth item, by copy-on-write under a guard, and adds rows; of two writers that begin together the second is rejected."""
+    rows = t.stage_executions.select("stage_execution_id", "state", "current_attempt")
+    store = _store(t, stages=(rows, ["stage_execution_id"]))
+    chosen = t.stage_executions.where("work_item_id % 100 = 0")
+    first, second = store.begin(), store.begin()
+    updates = chosen.select("stage_execution_id", F.lit("cancelled").alias("state"), F.lit("ready").alias("expected"))
+    added = chosen.select((-F.col("stage_execution_id")).alias("stage_execution_id"), F.lit("ready").alias("state"), F.lit(0).alias("current_attempt"))
+    first.update("stages", updates, added, guard="state")
+    first.commit()
+    second.update("stages", updates.withColumn("state", F.lit("failed")), guard="state")
+    try:
+        second.commit()
+    except Conflict:
+        return store.head().read("stages")
+    raise RuntimeError("two writers committed one version")
+
+
+@query("SELECT run_key, 'gone' AS fact FROM full_runs WHERE expected_member_count % 11 = 9 UNION ALL SELECT run_key, 'provenance' FROM full_runs WHERE expected_member_count % 11 IN (3, 4) OR (expected_member_count % 11 = 5 AND manifest_reference IS NOT NULL) UNION ALL SELECT run_key, 'closure' FROM full_runs WHERE registration_closed_at IS NOT NULL AND expected_member_count % 11 IN (6, 7) UNION ALL SELECT run_key, 'release' FROM full_runs WHERE released_at IS NOT NULL AND expected_member_count % 11 = 8")
+def snapshot_immutable_facts(t):
+    """As ``immutable_facts``, between two versions: buckets with equal digests are not read."""
+    store = _store(t, pipeline_runs=(t.full_runs, ["run_key"]))
+    change = store.begin()
+    change.create("pipeline_runs", _spoiled(t)["pipeline_runs"].select(*t.full_runs.columns), ["run_key"], _BUCKETS)
+    return I.changed_facts_between(store.head(), change.commit())
+
+
+@query("SELECT m.run_key, m.member_ordinal, m.work_item_id, 'removed' AS change FROM run_memberships m JOIN pipeline_runs USING (run_key) WHERE registration_closed_at IS NOT NULL AND work_item_id % 3700 = 37 UNION ALL SELECT m.run_key, m.member_ordinal + 1000000, m.work_item_id, 'added' FROM run_memberships m JOIN pipeline_runs USING (run_key) WHERE registration_closed_at IS NOT NULL AND work_item_id % 3700 = 74")
+def snapshot_frozen_memberships(t):
+    """Members that a closed run lost or gained between two versions."""
+    own = t.run_memberships.select("run_key", "member_ordinal", "work_item_id")
+    store = _store(t, run_memberships=(own, ["run_key", "member_ordinal"]), pipeline_runs=(t.pipeline_runs, ["run_key"]))
+    change = store.begin()
+    more = own.where("work_item_id % 3700 = 74").withColumn("member_ordinal", (F.col("member_ordinal") + 1_000_000).cast("int"))
+    change.create("run_memberships", own.where("work_item_id % 3700 <> 37").unionByName(more), ["run_key", "member_ordinal"], _BUCKETS)
+    return I.frozen_members_between(store.head(), change.commit())
+
+
 # ---------------------------------------------------------------- readers with rejects, clusters, seeded ledgers
 
 
@@ -608,29 +662,114 @@ def stream_rejected_moves(t):
     return _moves(t).where("NOT accepted").drop("accepted")
 
 
+#: Events of a file of a stream at most; and files at least.
+_FILE_ROWS, _FILES = 250_000, 8
+_FILE_SQL = "((event_id - low) * files // (high - low + 1))"
+_SPAN_SQL = f"""
+span AS (SELECT min(event_id) AS low, max(event_id) AS high, greatest({_FILES}, count(*) // {_FILE_ROWS}) AS files, epoch_ms(min(ts)) AS first, epoch_ms(max(ts)) AS last FROM events)
+"""
+
+
+def _files(t: Ledger) -> tuple[int, Column]:
+    """How many files the events fill, and each one's file in the order of ids."""
+    low, high, n = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()
+    files = max(_FILES, n // _FILE_ROWS)
+    return files, F.floor((F.col("seq") - (low or 0)) * files / F.lit((high or 0) - (low or 0) + 1)).cast("int")
+
+
+def _moves_of_files(t: Ledger) -> DataFrame:
+    """Moves with the ``batch`` that took them, a file of events each."""
+    files, file = _files(t)
+    events = folds.event_moves(t.spark.read.parquet(f"{t.sf_dir}/events.parquet")).drop("ts")
+    stream = folds.read_files(t.spark, folds.in_files(events, file, files, "events"), events.schema)
+    return folds.run_once(t.spark, folds.folded_moves(stream), numbered=True)
+
+
 @query("SELECT campaign_key, coalesce(s.state, 'ready') AS state, count(*) AS n FROM work_items LEFT JOIN states s USING (work_item_id) GROUP BY ALL", more=_MOVES_SQL)
 def stream_state_counts(t):
+    """A file of events a batch; after some files another process takes over the stream and the log of counts."""
+    files, file = _files(t)
+    events = folds.event_moves(t.spark.read.parquet(f"{t.sf_dir}/events.parquet")).drop("ts")
+    path, held = folds.in_files(events.where(file < files // 2), file, files // 2, "events"), shared_dir(t.spark, "counted")
     counts = folds.LiveCounts(t.spark, t.work_items)
-    folds.run_once(t.spark, folds.folded_moves(folds.read_events(t.spark, t.sf_dir)), each=counts)
-    return counts.now()
+    stream = folds.folded_moves(folds.read_files(t.spark, path, events.schema))
+    folds.run_once(t.spark, stream, each=counts, state=held)
+    for k in range(files // 2, files):
+        events.where(file == k).coalesce(1).write.mode("append").parquet(path)
+    folds.run_once(t.spark, stream, each=folds.LiveCounts(t.spark, base=counts.store.base), state=held)
+    return folds.LiveCounts(t.spark, base=counts.store.base).now()
+
+
+def _settled(t: Ledger, moves: DataFrame, file: Column, files: int) -> DataFrame:
+    """Runs that are released at the start, and those that the stream of accepted moves releases."""
+    members, runs = state.open_at_start(t.pipeline_runs, t.run_memberships, S.work_item_status(t.stage_executions))
+    rows = moves.where("accepted").select("work_item_id", "seq", "new_state", F.lit(None).cast("string").alias("run_key"), F.lit(False).alias("closes"), file.alias("at"))
+    stream = folds.read_files(t.spark, folds.in_files(rows, F.col("at"), files, "moves"), rows.schema)
+    released = folds.run_once(t.spark, state.settled_runs(stream, members, runs.where("NOT released")))
+    return runs.where("released").select("run_key").unionByName(released)
 
 
 @query("""SELECT r.run_key FROM pipeline_runs r WHERE r.registration_closed_at IS NOT NULL AND NOT EXISTS (SELECT 1 FROM run_memberships m LEFT JOIN states s USING (work_item_id) LEFT JOIN status d USING (work_item_id)
-  WHERE m.run_key = r.run_key AND CASE WHEN s.state IS NOT NULL AND EXISTS (SELECT 1 FROM moves x WHERE x.work_item_id = m.work_item_id AND x.accepted) THEN s.state ELSE d.state END NOT IN ('succeeded', 'failed', 'cancelled') AND d.state IS NOT NULL)""", more=_MOVES_SQL)
+  WHERE m.run_key = r.run_key AND CASE WHEN s.state IS NOT NULL AND EXISTS (SELECT 1 FROM moves x WHERE x.work_item_id = m.work_item_id AND x.accepted) THEN s.state ELSE d.state END NOT IN ('succeeded', 'failed', 'cancelled') AND d.state IS NOT NULL)
+UNION SELECT r.run_key FROM pipeline_runs r WHERE r.registration_closed_at IS NOT NULL AND NOT EXISTS (SELECT 1 FROM run_memberships m JOIN status d USING (work_item_id) WHERE m.run_key = r.run_key AND d.state NOT IN ('succeeded', 'failed', 'cancelled'))""", more=_MOVES_SQL)
 def stream_run_settled(t):
-    """Runs released by the stream of moves; items without an accepted move are as the ledger has them."""
-    settling = folds.Settling(t.spark, t.pipeline_runs, t.run_memberships, S.work_item_status(t.stage_executions))
-    folds.run_once(t.spark, folds.folded_moves(folds.read_events(t.spark, t.sf_dir)), each=settling)
-    return settling.released().select("run_key")
+    """Runs released at the start or by all moves in one batch; items without an accepted move are as the ledger has them."""
+    return _settled(t, _moves(t), F.lit(0), 1)
+
+
+@query("""SELECT run_key FROM (SELECT r.run_key, b.k, count(*) FILTER (o.open) AS n
+  FROM pipeline_runs r CROSS JOIN (SELECT unnest(range(-1, files)) AS k FROM span) b LEFT JOIN run_memberships m ON m.run_key = r.run_key LEFT JOIN openness o ON o.work_item_id = m.work_item_id AND o.k = b.k
+  WHERE r.registration_closed_at IS NOT NULL GROUP BY 1, 2) GROUP BY run_key HAVING min(n) = 0""", more=f"""{_MOVES_SQL}, {_SPAN_SQL},
+taken AS (SELECT m.*, (m.seq - low) * files // (high - low + 1) AS k FROM moves m, span WHERE accepted),
+members_of AS (SELECT DISTINCT work_item_id FROM run_memberships),
+ends AS (SELECT work_item_id, k, arg_max(new_state, seq) AS state FROM taken GROUP BY 1, 2),
+openness AS (SELECT i.work_item_id, b.k, coalesce(coalesce(last_value(e.state IGNORE NULLS) OVER (PARTITION BY i.work_item_id ORDER BY b.k), d.state) NOT IN ('succeeded', 'failed', 'cancelled'), false) AS open
+  FROM members_of i CROSS JOIN (SELECT unnest(range(-1, files)) AS k FROM span) b LEFT JOIN ends e ON e.work_item_id = i.work_item_id AND e.k = b.k LEFT JOIN status d ON d.work_item_id = i.work_item_id)""")
+def stream_runs_settled_by_batch(t):
+    """Runs released at the end of any batch, each once, whatever becomes of their members afterwards."""
+    moves = _moves_of_files(t)
+    return _settled(t, moves, F.col("batch").cast("int"), _files(t)[0])
+
+
+#: Every tenth event comes a file later than it should, and every tenth three files later, mostly beyond the delay of one and a half files.
+_ORDERED_SQL = f"""{_SPAN_SQL},
+arrived AS (SELECT user_id + 1 AS work_item_id, event_id AS seq, epoch_ms(ts) AS ms, 3 * (last - first) // (2 * files) AS delay,
+  CASE event_type WHEN 'signup' THEN 'ready' WHEN 'view' THEN 'admitted' WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS new_state,
+  least(files - 1, {_FILE_SQL} + CASE event_id % 10 WHEN 3 THEN 1 WHEN 7 THEN 3 ELSE 0 END) AS file FROM events, span),
+clock AS (SELECT file, max(max(ms)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM arrived GROUP BY file),
+timed AS (SELECT a.*, coalesce(a.ms < c.seen - a.delay, false) AS late FROM arrived a JOIN clock c USING (file)),
+intime AS (SELECT *, row_number() OVER (PARTITION BY work_item_id ORDER BY ms, seq) AS nth FROM timed WHERE NOT late),
+folded_in_time AS (
+  SELECT DISTINCT work_item_id, 0::BIGINT AS seq, 0::BIGINT AS nth, '' AS old_state, '' AS new_state, true AS accepted, 'ready' AS now FROM intime
+  UNION ALL
+  SELECT f.work_item_id, m.seq, m.nth, f.now, m.new_state, ok, CASE WHEN ok THEN m.new_state ELSE f.now END
+  FROM folded_in_time f, LATERAL (SELECT x.*, (f.now, x.new_state) IN (('ready', 'admitted'), ('ready', 'cancelled'), ('admitted', 'succeeded'), ('admitted', 'failed'), ('admitted', 'cancelled'), ('failed', 'ready'), ('failed', 'cancelled')) AS ok
+    FROM intime x WHERE x.work_item_id = f.work_item_id AND x.nth = f.nth + 1) m)
+"""
+
+
+@query("""SELECT work_item_id, seq, old_state, new_state, CASE WHEN accepted THEN 'accepted' ELSE 'illegal' END AS fate FROM folded_in_time WHERE nth > 0
+UNION ALL SELECT work_item_id, seq, NULL, new_state, 'late' FROM timed WHERE late""", more=_ORDERED_SQL)
+def stream_ordered_moves(t):
+    """Events that come out of order, a file a batch: taken in the order of their time up to a delay, and rejected as late beyond it."""
+    files, file = _files(t)
+    events = folds.event_moves(t.spark.read.parquet(f"{t.sf_dir}/events.parquet"))
+    first, last = events.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    delay = 3 * ((last or 0) - (first or 0)) // (2 * files)
+    shift = F.when(F.col("seq") % 10 == 3, 1).when(F.col("seq") % 10 == 7, 3).otherwise(0)
+    path = folds.in_files(events, F.least(F.lit(files - 1), file + shift), files, "late-events")
+    beat = t.spark.range(1).select(F.lit(None).cast("long").alias("work_item_id"), F.lit(-1).cast("long").alias("seq"), F.lit("").alias("new_state"), F.timestamp_millis(F.lit((last or 0) + 2 * delay + 1000)).alias("ts"))
+    beat.coalesce(1).write.mode("append").parquet(path)
+    return folds.run_once(t.spark, state.ordered_moves(folds.read_files(t.spark, path, events.schema), f"{delay} milliseconds"))
 
 
 @query("""SELECT run_key, member_ordinal, work_key, kind FROM (SELECT m.*, CASE WHEN w.work_item_id IS NULL THEN 'new' WHEN w.input_reference <> m.input_reference THEN 'conflict' WHEN w.priority <> m.priority THEN 'priority_change' ELSE 'same' END AS kind
   FROM members m LEFT JOIN work_items w ON w.campaign_key = m.campaign_key AND w.work_key = m.work_key) WHERE run_key NOT IN (SELECT m.run_key FROM members m JOIN work_items w ON w.campaign_key = m.campaign_key AND w.work_key = m.work_key WHERE w.input_reference <> m.input_reference)""")
 def stream_registration(t):
-    """The members of open runs as a stream of one batch."""
-    stream = t.spark.readStream.schema(t.members.schema).parquet(t.path("members"))
+    """The members of open runs as a stream of several batches, whole runs each."""
+    path = folds.in_files(t.members, F.pmod(F.xxhash64("run_key"), F.lit(_FILES)).cast("int"), _FILES, "members")
     registration = folds.Registration(t.spark, t.full_items, t.full_runs)
-    folds.run_once(t.spark, stream, each=registration)
+    folds.run_once(t.spark, folds.read_files(t.spark, path, t.members.schema), each=registration)
     return registration.read("members").select("run_key", "member_ordinal", "work_key", "kind")
 
 

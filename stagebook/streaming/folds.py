@@ -6,25 +6,33 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.expressions import MOVES
-from ..operators.completion import FINAL
+from ..functions.expressions import MOVES, stable_rank
 from ..operators.registration import register_members
-from ..sources.shared import shared_dir
+from ..sources.shared import materialize, shared_dir
+from ..sources.snapshots import Change, Snapshots
+from .state import rocksdb
 
 _LEGAL = frozenset(MOVES)
+#: Level of what a log begins with: appended batches are not merged into it until there are a great many of them.
+BASE = 12
+
+
+def event_moves(raw: DataFrame) -> DataFrame:
+    """``work_item_id, seq, new_state, ts`` of the event table."""
+    asks = (("signup", "ready"), ("view", "admitted"), ("click", "succeeded"), ("error", "failed"))
+    state = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in asks], F.lit("cancelled"))
+    return raw.select((F.col("user_id") + 1).alias("work_item_id"), F.col("event_id").alias("seq"), state.alias("new_state"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream of (work_item_id, seq, new_state)."""
-    state = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in (("signup", "ready"), ("view", "admitted"), ("click", "succeeded"), ("error", "failed"))], F.lit("cancelled"))
     raw = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.select((F.col("user_id") + 1).alias("work_item_id"), F.col("event_id").alias("seq"), state.alias("new_state"))
+    return event_moves(raw).drop("ts")
 
 
 def folded_moves(events: DataFrame) -> DataFrame:
@@ -61,7 +69,7 @@ def event_counts(events: DataFrame) -> DataFrame:
 
 
 def state_deltas(moves: DataFrame, items: DataFrame) -> DataFrame:
-    """``campaign_key, state, delta``: each accepted move leaves a state and enters another, and an item's first event enters ready."""
+    """``campaign_key, state, delta``: each accepted move leaves a state and enters another. All items count as ready before their first move."""
     known = items.select("work_item_id", "campaign_key")
     changes = F.array(F.struct(F.col("old_state").alias("state"), F.lit(-1).alias("delta")), F.struct(F.col("new_state").alias("state"), F.lit(1).alias("delta")))
     moved = moves.where("accepted").join(known, "work_item_id").select("campaign_key", F.explode(changes).alias("c")).select("campaign_key", "c.*")
@@ -69,104 +77,140 @@ def state_deltas(moves: DataFrame, items: DataFrame) -> DataFrame:
 
 
 class LiveCounts:
-    """Live items by campaign and state, for ``foreachBatch``: every batch writes the counts after it, from those before it and its moves.
+    """Live items by campaign and state, for ``foreachBatch``: a log of changes by campaign, summed up as it is compacted.
 
-    A batch that is run again replaces what it wrote, so that nothing counts twice.
+    The number of the last batch lies in the log's own versions, so another process goes on from there, and a batch that comes
+    again counts nothing twice. A batch reads the items of its own moves alone. With ``base``, a folder of an earlier process,
+    ``items`` is not needed.
     """
 
-    def __init__(self, spark: SparkSession, items: DataFrame) -> None:
-        self.spark, self.items, self.base = spark, items, shared_dir(spark, "live-counts")
-
-    def before(self, k: int) -> DataFrame:
-        if k == 0:
-            return self.items.groupBy("campaign_key").agg(F.count("*").alias("n")).select("campaign_key", F.lit("ready").alias("state"), "n")
-        return self.spark.read.parquet(f"{self.base}/batch={k - 1}")
+    def __init__(self, spark: SparkSession, items: DataFrame | None = None, base: str | None = None, buckets: int = 32) -> None:
+        self.store, self.buckets = Snapshots(spark, base or shared_dir(spark, "live-counts")), buckets
+        if not self.store.numbers():
+            change = self.store.begin()
+            change.create("items", items.select("work_item_id", "campaign_key"), ["work_item_id"], buckets)
+            start = items.groupBy("campaign_key").agg(F.count("*").alias("n")).select("campaign_key", F.lit("ready").alias("state"), "n")
+            change.append("counts", start, ["campaign_key"], buckets, _summed_counts, level=BASE)
+            change.commit()
 
     def __call__(self, moves: DataFrame, k: int) -> None:
-        both = self.before(k).unionByName(state_deltas(moves, self.items).withColumnRenamed("delta", "n"))
-        both.groupBy("campaign_key", "state").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{self.base}/batch={k}")
-        self.last = k
+        at = self.store.head()
+        if k <= at.batch:
+            return
+        moves = materialize(moves, "moves")
+        items = at.read("items", at.buckets_of("items", moves))
+        change = self.store.begin(at)
+        change.append("counts", state_deltas(moves, items).withColumnRenamed("delta", "n"), ["campaign_key"], self.buckets, _summed_counts)
+        change.commit(k)
 
     def now(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/batch={self.last}").where("n <> 0")
+        return _summed_counts(self.store.head().read("counts")).where("n <> 0")
+
+
+def _summed_counts(log: DataFrame) -> DataFrame:
+    return log.groupBy("campaign_key", "state").agg(F.sum("n").alias("n"))
 
 
 class Registration:
-    """Registration of a stream of members, for ``foreachBatch``: new items of earlier batches are known to later ones; a batch that is run again replaces its rows."""
+    """Registration of a stream of members, for ``foreachBatch``: items that are new in a batch are known to later ones.
 
-    def __init__(self, spark: SparkSession, items: DataFrame, runs: DataFrame) -> None:
-        self.spark, self.items, self.runs, self.base = spark, items, runs, shared_dir(spark, "registration")
+    Known items are a log in levels, bucketed by campaign and work key and compacted as it grows; a batch looks its members up in
+    their buckets alone, in one scan, however many batches there were. A run's members come in one batch. A batch that comes again changes
+    nothing, and another process goes on from ``base``.
+    """
 
-    def _known(self, k: int) -> DataFrame:
-        own = ["campaign_key", "work_key", "work_item_id", "origin_run_key", "input_reference", "labels", "rank", "priority"]
-        known = self.items.select(*own)
-        for j in range(k):
-            known = known.unionByName(self.spark.read.parquet(f"{self.base}/items/batch={j}").select(*own))
-        return known
+    ITEM = ("campaign_key", "work_key", "work_item_id", "origin_run_key", "input_reference", "labels", "rank", "priority")
 
-    def __call__(self, members: DataFrame, k: int) -> None:
-        from ..functions.expressions import stable_rank
+    def __init__(self, spark: SparkSession, items: DataFrame, runs: DataFrame, base: str | None = None, buckets: int = 32) -> None:
+        self.store, self.runs, self.buckets = Snapshots(spark, base or shared_dir(spark, "registration")), runs, buckets
+        if not self.store.numbers():
+            change = self.store.begin()
+            change.append("items", items.select(*self.ITEM), ["campaign_key", "work_key"], buckets, level=BASE)
+            change.commit()
 
-        good, rejects = register_members(members, self._known(k), self.runs)
-        out = good.select("run_key", "campaign_key", "member_ordinal", "work_key", "input_reference", "labels", "priority", "kind")
-        out.write.mode("overwrite").parquet(f"{self.base}/members/batch={k}")
-        rejects.write.mode("overwrite").parquet(f"{self.base}/rejects/batch={k}")
-        written = self.spark.read.schema(out.schema).parquet(f"{self.base}/members/batch={k}")
-        new = written.where("kind = 'new'").dropDuplicates(["campaign_key", "work_key"])
-        made = new.select("campaign_key", "work_key", F.xxhash64("campaign_key", "work_key").alias("work_item_id"), F.col("run_key").alias("origin_run_key"), "input_reference", "labels", stable_rank("campaign_key", "work_key").alias("rank"), "priority")
-        made.write.mode("overwrite").parquet(f"{self.base}/items/batch={k}")
+    def known(self, members: DataFrame) -> DataFrame:
+        """Items that may be among the members."""
+        at = self.store.head()
+        return at.read("items", at.buckets_of("items", members))
+
+    def __call__(self, members: DataFrame, k: int) -> None:
+        at = self.store.head()
+        if k <= at.batch:
+            return
+        members = materialize(members, "members")
+        good, rejects = register_members(members, self.known(members), self.runs)
+        good = materialize(good.select("run_key", "campaign_key", "member_ordinal", "work_key", "input_reference", "labels", "priority", "kind"), "registered")
+        new = good.where("kind = 'new'").dropDuplicates(["campaign_key", "work_key"])
+        made = new.select(
+            "campaign_key", "work_key", F.xxhash64("campaign_key", "work_key").alias("work_item_id"), F.col("run_key").alias("origin_run_key"), "input_reference", "labels",
+            stable_rank("campaign_key", "work_key").alias("rank"), "priority",
+        )
+        change = self.store.begin(at)
+        change.append("items", made, ["campaign_key", "work_key"], self.buckets)
+        change.append("members", good, ["run_key", "member_ordinal"], self.buckets)
+        change.append("rejects", rejects, ["run_key", "member_ordinal"], self.buckets)
+        change.commit(k)
 
     def read(self, what: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{what}").drop("batch")
+        return self.store.head().read(what)
 
 
-class Settling:
-    """Runs that settle, each released once, for ``foreachBatch`` over accepted moves of stages.
+def in_files(rows: DataFrame, file: Column, n: int, tag: str) -> str:
+    """Write rows as ``n`` files, one after the other by their number from 0, for a stream that takes one file a trigger; returns the folder.
 
-    After each batch, closed runs of which no member is open any more are released, unless an earlier batch did so: what happens to
-    their members later (a retry, a second run of a member) releases nothing again. Items without any event are as in ``states``.
+    A file is written by one task: ``n`` has to grow with the rows.
     """
+    numbered, path = materialize(rows.withColumn("_file", file), tag), shared_dir(rows.sparkSession, f"{tag}-files")
+    for k in range(n):
+        numbered.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return path
 
-    def __init__(self, spark: SparkSession, runs: DataFrame, memberships: DataFrame, states: DataFrame) -> None:
-        self.spark, self.runs, self.memberships, self.states, self.base = spark, runs, memberships, states, shared_dir(spark, "settling")
 
-    def _earlier(self, what: str, schema: str, k: int) -> DataFrame:
-        try:
-            return self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.base}/{what}").where(F.col("batch") < k).drop("batch")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+def read_files(spark: SparkSession, path: str, schema: StructType, files: int | None = 1) -> DataFrame:
+    """A stream over a folder's files in the order in which they were written, ``files`` a trigger (None: all)."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
-    def __call__(self, moves: DataFrame, k: int) -> None:
-        last = moves.where("accepted").groupBy("work_item_id").agg(F.max_by("new_state", "seq").alias("state"), F.max("seq").alias("seq"))
-        last.write.mode("overwrite").parquet(f"{self.base}/states/batch={k}")
-        seen = self._earlier("states", "work_item_id long, state string, seq long", k + 1).groupBy("work_item_id").agg(F.max_by("state", "seq").alias("new"))
-        now = self.states.select("work_item_id", "state").join(seen, "work_item_id", "left").select("work_item_id", F.coalesce("new", "state").alias("state"))
-        open_runs = self.memberships.join(now.where(~F.col("state").isin(*FINAL)).select("work_item_id"), "work_item_id", "left_semi").select("run_key").distinct()
-        done = self._earlier("released", "run_key string, at_batch long", k)
-        ready = self.runs.where("registration_closed_at IS NOT NULL").select("run_key").join(open_runs, "run_key", "left_anti").join(done, "run_key", "left_anti")
-        ready.withColumn("at_batch", F.lit(k).cast("long")).write.mode("overwrite").parquet(f"{self.base}/released/batch={k}")
-
-    def released(self) -> DataFrame:
-        return self.spark.read.schema("run_key string, at_batch long").parquet(f"{self.base}/released")
 
+def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, state: str | None = None, numbered: bool = False) -> DataFrame | None:
+    """Run a stream over all that is there now. Without ``each`` (a step for foreachBatch), its rows are written and returned, ``numbered`` with their ``batch``.
 
-def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Run a stream over all that is there now. Without ``each`` (a step for foreachBatch), its rows are written and returned.
-
-    State and output lie in the shared folder.
+    State and output lie in the shared folder; a stream that is run again with the ``state`` folder of an earlier one goes on from there.
     """
     base = shared_dir(spark, "stream")
 
     def write(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(each or write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    with rocksdb(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(each or write).option("checkpointLocation", f"{state or base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
     if each:
         return None
     out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/out")
     if mode == "complete":  # the last batch has all
         out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
-    return out.drop("batch")
+    return out if numbered else out.drop("batch")
+
+
+def committed(store: Snapshots, *passes: Callable[[Change], None]) -> Callable[[int], bool]:
+    """A tick of passes for ``periodically``: all of them change one version, which is committed under the tick's number.
+
+    A tick that was committed is not done again; one that fails on its way leaves nothing behind, so it can be repeated.
+    Says whether the tick was done now.
+    """
+
+    def tick(k: int) -> bool:
+        at = store.head()
+        if k <= at.batch:
+            return False
+        change = store.begin(at)
+        for pass_ in passes:
+            pass_(change)
+        change.commit(k)
+        return True
+
+    return tick
 
 
 def periodically(spark: SparkSession, pass_: Callable[[int], None], seconds: float, times: int | None = None) -> int:

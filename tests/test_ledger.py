@@ -267,19 +267,6 @@ def test_a_pass_runs_on_every_tick(spark):
     assert folds.periodically(spark, seen.append, 0.2, times=2) == 2 and len(seen) == 2
 
 
-def test_a_run_is_released_once(spark):
-    """A member of two runs that fails, is retried and succeeds: each run is released once, and a batch that is run again changes nothing."""
-    runs = spark.createDataFrame([("a",), ("b",), ("open",)], "run_key string").withColumn("registration_closed_at", F.when(F.col("run_key") != "open", now()))
-    members = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("open", 2)], "run_key string, work_item_id long")
-    states = spark.createDataFrame([(1, "admitted"), (2, "admitted")], "work_item_id long, state string")
-    settling = folds.Settling(spark, runs, members, states)
-    batch = lambda *moves: spark.createDataFrame([(i, s, n, True) for i, s, n in moves], "work_item_id long, seq long, new_state string, accepted boolean")
-    for k, moves in enumerate([[(1, 1, "failed")], [(1, 2, "ready")], [(1, 3, "succeeded"), (2, 4, "cancelled")], [(2, 5, "ready")]]):
-        settling(batch(*moves), k)
-        settling(batch(*moves), k)
-    assert sorted((r["run_key"], r["at_batch"]) for r in settling.released().collect()) == [("a", 0), ("b", 2)]
-
-
 def test_snapshots_keep_guards_and_ignore_known_rows(spark, tmp_path):
     table = spark.createDataFrame([(1, "ready", 0), (2, "ready", 1), (3, "failed", 1)], "id long, state string, attempt int")
     updates = spark.createDataFrame([(1, "admitted", "ready", 0), (2, "admitted", "ready", 0), (3, "ready", "admitted", 1)], "id long, state string, expected_state string, expected_attempt int")
