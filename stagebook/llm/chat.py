@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 OPEN, HEAD, PART, CLOSE = "### ", ":\n", "</part>", "</turn>\n"
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("#", "\\h"))
 TRAINED = "assistant"
-#: Turns whose positions are summed up together.
-BLOCK = 256
+#: Turns whose positions are summed up together, and code points of the pieces in which spans are looked up.
+BLOCK, CUT = 256, 1024
 
 
 def escape(text: Column, more: tuple = ()) -> Column:
@@ -72,7 +72,11 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:
-    """Read turns and loss texts back from ``format_conversations``' output: ``conv_id, turns, loss_texts, formatted``."""
+    """Read turns and loss texts back from ``format_conversations``' output: ``conv_id, turns, loss_texts, formatted``.
+
+    Repeated rows are read each, an empty table gives no rows. Text that the formatter did not write has no defined turns: a
+    block without a head becomes a turn without a role, a span beyond the text an empty one; null stays null.
+    """
     blocks = F.filter(F.split("formatted", CLOSE), lambda b: b != "")
 
     def turns_of(block: Column) -> Column:
@@ -81,5 +85,15 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         role = unescape(F.substring(block, len(OPEN) + 1, at - len(OPEN) - 1), _COLON)
         return F.transform(F.split(F.substring(block, at + len(HEAD), F.char_length(block)), PART), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    # the text is cut once, so that a span costs its own length and not all that is before it; as a lambda's variable the
+    # pieces are made once for a conversation
+    pieces = F.array(F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)))
+
+    def said(cut: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / F.lit(CUT)).cast("int")
+        last = F.floor((F.greatest(s["end"], s["start"] + 1) - 1) / F.lit(CUT)).cast("int")
+        near = F.array_join(F.slice(cut, first + 1, last - first + 1), "")
+        return unescape(F.substring(near, (s["start"] - first * CUT + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+    loss = F.flatten(F.transform(pieces, lambda cut: F.transform(F.col("loss_spans"), lambda s: said(cut, s))))
     return formatted.select("conv_id", F.flatten(F.transform(blocks, turns_of)).alias("turns"), loss.alias("loss_texts"), "formatted")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.shared import materialize, shared_dir
 
@@ -65,11 +65,18 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: StructT
     """``run`` over Arrow batches of about ARROW_BYTES (one row at least), each seen once and in order.
 
     Spark reads the limit when a job starts, so it is set in the session and stays; a session with a limit of its own keeps it.
+    Columns with dots or backticks in their names, which mapInArrow does not resolve, have other names on the way.
     """
     conf = df.sparkSession.conf
     if conf.get(ARROW_LIMIT) == f"{ARROW_DEFAULT}b":
         conf.set(ARROW_LIMIT, f"{ARROW_BYTES}b")
-    return df.mapInArrow(lean(run), schema)
+    odd = [c for c in df.columns if "." in c or "`" in c]
+    if not odd:
+        return df.mapInArrow(lean(run), schema)
+    plain = dict(zip(odd, fresh(df, *(f"_odd_{k}" for k in range(len(odd)))), strict=True))
+    out = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    renamed = StructType([StructField(plain.get(f.name, f.name), f.dataType, f.nullable) for f in out.fields])
+    return df.toDF(*(plain.get(c, c) for c in df.columns)).mapInArrow(lean(run), renamed).toDF(*out.names)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -23,7 +23,8 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows, their scales, and the L1 norms of the rows that they stand for."""
     scale = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127
-    return np.rint(x / scale[:, None]).astype(np.int8), scale, np.abs(x).sum(axis=1)
+    with np.errstate(over="ignore"):
+        return np.rint(x / scale[:, None]).astype(np.int8), scale, np.abs(x).sum(axis=1)
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -53,12 +54,32 @@ class _Best:
             self.least[query] = heap[0][0]
 
 
+#: Pairs whose products are computed at once.
+EXACT = 65_536
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision; what only its parts overflow is summed anew on a smaller scale, and what is too large in all is infinite."""
+    out = np.empty(len(q))
+    for a in range(0, len(q), EXACT):
+        one, other = q[a : a + EXACT], x[a : a + EXACT]
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = np.einsum("ij,ij->i", one, other)
+            if len(bad := np.nonzero(~np.isfinite(s))[0]):
+                up, over = (np.frexp(np.abs(v[bad]).max(axis=1))[1] for v in (one, other))
+                small = np.einsum("ij,ij->i", np.ldexp(one[bad], -up[:, None]), np.ldexp(other[bad], -over[:, None]))
+                s[bad] = np.ldexp(small, up + over)
+        out[a : a + EXACT] = s
+    return out
+
+
 def _tile(best: _Best, q: tuple, ids: np.ndarray, x: np.ndarray) -> None:
     """Offer one tile of candidates to all queries of the cell.
 
     With q = a*Q + r and x = b*X + s, where no component of r or s is over half of a or b, the product differs from
     a*b*(Q.X) by at most |q|_1 * b/2 + |x|_1 * a/2 + d*a*b/4. Pairs whose upper bound misses the query's k-th best lower
-    bound (of the tile, or the k-th best score so far) are dropped; the rest are computed from the original vectors.
+    bound (of the tile, or the k-th best score so far) are dropped; the rest are computed from the original vectors. A pair
+    whose estimate or bound overflows has no bound and is always computed.
     """
     qid, qx, q8, qs, q1 = q
     x8, xs, x1 = _quantised(x)
@@ -68,18 +89,23 @@ def _tile(best: _Best, q: tuple, ids: np.ndarray, x: np.ndarray) -> None:
     x8 = x8.astype(kind)
     for lo in range(0, len(qid), 512):
         part = slice(lo, lo + 512)
-        near = (q8[part].astype(kind) @ x8.T).astype(np.float64) * qs[part, None] * xs
-        error = (q1[part, None] * xs / 2 + x1 * (qs[part, None] / 2) + d / 4 * qs[part, None] * xs) * (1 + 1e-9) + 1e-12
-        lower = near - error
-        lower[qid[part, None] == ids] = -np.inf
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = (q8[part].astype(kind) @ x8.T).astype(np.float64) * qs[part, None] * xs
+            error = (q1[part, None] * xs / 2 + x1 * (qs[part, None] / 2) + d / 4 * qs[part, None] * xs) * (1 + 1e-9) + 1e-12
+            lower, upper = near - error, near + error
+        open_ = ~(np.isfinite(lower) & np.isfinite(upper))
+        upper[open_] = np.inf
+        lower[open_ | (qid[part, None] == ids)] = -np.inf
         floor = best.least[part].copy()
         if lower.shape[1] > best.k:
             floor = np.maximum(floor, np.partition(lower, lower.shape[1] - best.k, axis=1)[:, -best.k])
-        row, col = np.nonzero((near + error >= floor[:, None]) & (qid[part, None] != ids))
-        score = np.einsum("ij,ij->i", qx[part][row], x[col])
-        for r, s, v in zip((row + lo).tolist(), score.tolist(), ids[col].tolist(), strict=True):
-            if s >= best.least[r]:
-                best.add(r, s, v)
+        row, col = np.nonzero((upper >= floor[:, None]) & (qid[part, None] != ids))
+        for a in range(0, len(row), EXACT):
+            of, at = row[a : a + EXACT], col[a : a + EXACT]
+            score = products(qx[part][of], x[at])
+            for r, s, v in zip((of + lo).tolist(), score.tolist(), ids[at].tolist(), strict=True):
+                if s >= best.least[r]:
+                    best.add(r, s, v)
 
 
 def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
@@ -88,7 +114,8 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     Queries and candidates are dealt into blocks of bounded size, and each block of queries meets each block of candidates in
     a cell of its own; vectors go there by a shuffle and never through the driver. A cell gives k for each of its queries, and
     heaps merge the cells' lists. A row whose vector takes no part is neither query nor candidate. With a repeated id, each
-    row is a candidate for other ids' queries, and its queries are answered once for each row. Ids of any whole type come
+    row is a candidate for other ids' queries, and its queries are answered once for each row. Products beyond the range of
+    doubles are infinite and tie. Ids of any whole type come
     back as long, other columns play no part. An empty table gives no rows.
     """
     spark = vectors.sparkSession

@@ -6,12 +6,13 @@
    prefix hashes occur in other classes.
 3. ``rare_prefixes``: of survivors, the n - T + 1 shingles rarest among survivors (T: the least overlap of a linked set). Two
    linked sets have one of them in common, so these short inverted lists say which sets have to meet in a block of the search.
-4. Blocks. In each short list, sets of about one size first meet the list's smallest alone. After components of these links
-   are known, only lists that still hold several components go on: each set meets the nearest of another component, then all
-   that are left. Sets that cannot link by their sizes or by their bitmaps (``may_link``, a bound without false negatives)
-   need not meet. Lists over SPLIT sets are dealt into pieces, so that a task compares at most 2 * SPLIT sets of a list.
-5. Search. A block is a query and up to some hundred sets. The sets' inverted lists are built, and DivideSkip finds the sets
-   that link from these lists alone: a heap merges the short ones, binary search probes the long ones (``divide_skip``).
+4. First search. Each set stands at the one of its rare shingles that most sets have, at most some thousand at a place. A block's
+   inverted lists are built over whole sets, and DivideSkip finds what links from these lists alone: a heap merges the short
+   lists, binary search probes the long ones (``divide_skip``). The smallest set that none has found is the next query
+   (``stars``), so a group of near copies costs a search or a few.
+5. What that left. Only short lists that hold several components go on: each set meets the nearest of another component, then
+   all that are left, if sizes and bitmaps (``may_link``, a bound without false negatives) allow a link, and is searched in the
+   lists of those it meets. Lists over SPLIT sets are dealt into pieces, so a task compares at most 2 * SPLIT sets of a list.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .scan import mix, parts, shingle_sets
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT, WIDTH = 80, 5
-#: Sets of a block of the search, and of a piece of a long list.
-CHUNK, SPLIT = 256, 4096
+#: Sets that a query meets at once in the later searches, sets of a block of the first, and of a piece of a long list.
+CHUNK, BLOCK, SPLIT = 256, 1024, 4096
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -213,10 +214,11 @@ def survivors(signed: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.join(counts, "s1").where(F.col("shared") >= least).select("s1", "s2", "n", "rep", "first")
 
 
-def survivor_sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
-    """``s1, n, bits, hashes``: whole sets of surviving classes, each from the text of one of its rows (``rep``: that row's key).
+def survivor_sets(docs: DataFrame, alive: DataFrame, signed: DataFrame) -> DataFrame:
+    """``s1, n, bits, hashes``: whole sets of surviving classes, one each, from the text of one of its rows (``rep``: that row's key).
 
-    Texts stay where they are: marked rows are read as sets there, and the sets of other rows drop out by an exact join.
+    Texts stay where they are: marked rows are read as sets there, and the sets of other rows drop out by an exact join. Of rows
+    that repeat id and text one set is left; only these are shuffled for that.
     """
 
     def run(batches):
@@ -229,7 +231,14 @@ def survivor_sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
 
     seen = marked(docs.select(row_key().alias("rep"), text_of().alias("text")), F.col("rep"), alive.select("rep"), "wanted").where("wanted")
     found = seen.select("rep", "text").transform(in_arrow, run, "rep long, s1 long, n long, bits binary, hashes binary")
-    return found.join(bounded(alive.select("rep", "s1", "n")), ["rep", "s1", "n"]).select("s1", "n", "bits", "hashes")
+    own = found.join(bounded(alive.select("rep", "s1", "n")), ["rep", "s1", "n"])
+    times = signed.groupBy(F.col("row").alias("rep")).agg(F.count("*").alias("times")).where("times > 1")
+    repeated = materialize(times.join(alive.select("rep"), "rep", "left_semi"), "repeated-rows")
+    if repeated.isEmpty():
+        return own.select("s1", "n", "bits", "hashes")
+    marked_own = own.join(bounded(repeated), "rep", "left")
+    several = marked_own.where("times IS NOT NULL").groupBy("rep", "s1", "n").agg(F.first("bits").alias("bits"), F.first("hashes").alias("hashes"))
+    return marked_own.where("times IS NULL").select("s1", "n", "bits", "hashes").unionByName(several.select("s1", "n", "bits", "hashes"))
 
 
 def rare_prefixes(sets: DataFrame) -> DataFrame:
@@ -290,19 +299,18 @@ def long_lists(rows: DataFrame, split: int) -> DataFrame:
 def _pairs(rows: DataFrame, step: str, closed: frozenset = frozenset(), split: int = SPLIT) -> DataFrame:
     """Sets that have to meet, as pairs ``a, b``, each once: they share a short list and may link by sizes and bitmaps.
 
-    ``lead``: each set with the smallest of its list that it may link with by size. ``heads``: of each component in a list one
-    set, with the nearest of these. ``near``: in lists of several components, each set with the nearest of another component.
-    ``rest``: in such lists, all pairs across components. Of long lists, ``lead`` and ``heads`` look at pieces alone; ``near``
-    and ``rest`` look at every two pieces together, so nothing is lost. ``heads`` and ``near`` only save work for ``rest``.
+    ``heads``: of each component in a list one set, with the nearest of these. ``near``: in lists of several components, each
+    set with the nearest of another component. ``rest``: in such lists, all pairs across components. Of long lists, ``heads``
+    looks at pieces alone; ``near`` and ``rest`` look at every two pieces together, so nothing is lost. ``heads`` and ``near`` only save work for ``rest``.
     """
-    numbers = {"lead": ["s1", "n", "bits"], "heads": ["comp", "s1", "n", "bits"]}.get(step, ["s1", "n", "bits", "comp"])
+    numbers = {"heads": ["comp", "s1", "n", "bits"]}.get(step, ["s1", "n", "bits", "comp"])
 
     def find(table: pa.Table) -> pa.Table:
         h, columns = _entries(table, numbers)
         at = dict(zip(numbers, columns, strict=True))
         order = np.lexsort((at["s1"], at["n"], h))
         h, (sid, n, bits) = h[order], (at[c][order] for c in ("s1", "n", "bits"))
-        comp = at["comp"][order] if "comp" in at else None
+        comp = at["comp"][order]
         begin, _ = _runs(h)
         pairs = set()
 
@@ -315,14 +323,7 @@ def _pairs(rows: DataFrame, step: str, closed: frozenset = frozenset(), split: i
                 pairs.update((int(min(sid[k], sid[o])), int(max(sid[k], sid[o]))) for o in others)
 
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(h)], strict=False):
-            if step == "lead":
-                lead = a
-                while lead < b - 1:
-                    far = np.nonzero(n[lead] < least_overlap(n[lead + 1 : b]))[0]
-                    end = lead + 1 + int(far[0]) if len(far) else b
-                    add(lead, np.arange(lead + 1, end), False)
-                    lead = end
-            elif step == "heads":  # by windows of like sizes, so that the work stays linear
+            if step == "heads":  # by windows of like sizes, so that the work stays linear
                 for low in range(a, b, split):
                     high = min(b, low + split)
                     for k in range(low, high):
@@ -349,30 +350,31 @@ class Lists:
         self.begin, _ = _runs(h)
         self.shingles, self.end = h[self.begin], np.concatenate([self.begin[1:], [len(h)]])[: len(self.begin)]
 
-    def of(self, query: np.ndarray) -> list[list[int]]:
+    def of(self, query: np.ndarray) -> list[np.ndarray]:
         """The lists of a query's shingles, shortest first."""
         if not len(self.shingles):
             return []
         at = np.minimum(np.searchsorted(self.shingles, query), len(self.shingles) - 1)
         at = at[self.shingles[at] == query]
-        return sorted((self.places[a:b].tolist() for a, b in zip(self.begin[at].tolist(), self.end[at].tolist(), strict=True)), key=len)
+        at = at[np.argsort(self.end[at] - self.begin[at], kind="stable")]
+        return [self.places[a:b] for a, b in zip(self.begin[at].tolist(), self.end[at].tolist(), strict=True)]
 
 
-def divide_skip(query: np.ndarray, lists: Lists, weight: float = 0.0085) -> list[int]:
+def divide_skip(query: np.ndarray, lists: Lists, weight: float = 0.0085, seen: dict | None = None) -> list[int]:
     """T-occurrence search over inverted lists: the places of the sets that link with the query's.
 
     Any such set is in at least T of the query's lists. The lists are divided: of the longest, L < T are left out (as many as
     ``weight`` makes worthwhile for their length). What links is in T - L or more of the short ones, which a heap merges in
     order of place; only for such sets are the long lists probed, by binary search, until a set has the overlap that its size
-    needs or can no longer reach it.
+    needs or can no longer reach it. ``seen`` counts entries merged, lists skipped and probes.
     """
     found = lists.of(query)
     least = int(least_overlap(len(query)))
     if not len(query) or len(found) < least:
         return []
     skip = min(least - 1, int(least / (weight * log2(max(2, len(found[-1]))) + 1)))
-    short, long = found[: len(found) - skip], found[len(found) - skip :]
-    out = []
+    short, long = [x.tolist() for x in found[: len(found) - skip]], found[len(found) - skip :]
+    out, probes = [], 0
     heap = [(places[0], k, 0) for k, places in enumerate(short)]
     heapq.heapify(heap)
     while heap:
@@ -391,13 +393,72 @@ def divide_skip(query: np.ndarray, lists: Lists, weight: float = 0.0085) -> list
             if count >= need or count + left < need:
                 break
             k = bisect_left(probe, place)
-            count += k < len(probe) and probe[k] == place
+            count += int(k < len(probe) and probe[k] == place)
             left -= 1
+            probes += 1
         if count >= need:
             out.append(place)
+    if seen is not None:
+        for name, n in (("merged", sum(map(len, short))), ("skipped", len(long)), ("probes", probes), ("longest", len(found[-1]))):
+            seen[name] = max(seen.get(name, 0), n) if name == "longest" else seen.get(name, 0) + n
     return out
 
 
+def stars(sets: list[np.ndarray], seen: dict | None = None) -> list[tuple[int, int]]:
+    """Links of a block, found from its inverted lists: the smallest set that no other has found yet is the next query.
+
+    Sets that a query finds are not queries themselves, so a group of near copies costs one search. What they alone would have
+    found is left to later steps, which look at lists of several components.
+    """
+    lists, out = Lists(sets), []
+    free = np.ones(len(sets), dtype=bool)
+    for k in np.argsort(lists.sizes, kind="stable").tolist():
+        if free[k]:
+            free[k] = False
+            for place in divide_skip(sets[k], lists, seen=seen):
+                if place != k:
+                    free[place] = False
+                    out.append((k, place))
+    return out
+
+
+def _meeting_places(lists: DataFrame, most: int) -> DataFrame:
+    """``s1, place``: where a set stands in the first search: at the one of its rare shingles that most sets have (ties: the smallest
+    hash), or at a piece of it if over ``most`` have it."""
+
+    def run(batches):
+        for batch in batches:
+            read = lambda c, kind: [np.frombuffer(b, dtype=kind) for b in batch.column(batch.schema.get_field_index(c)).to_pylist()]
+            sid, places = np.asarray(batch.column(0)), []
+            for s, h, length in zip(sid.tolist(), read("prefix", np.uint64), read("lengths", np.int64), strict=True):
+                k = np.lexsort((h, -length))[0]
+                pieces = -(-int(length[k]) // most)
+                piece = int(mix(np.array([s], dtype=np.int64).view(np.uint64))[0] % np.uint64(pieces))
+                places.append(int(mix(h[k : k + 1] ^ mix(np.array([piece], dtype=np.uint64))).view(np.int64)[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.int64())], ["s1", "place"])
+
+    return lists.where(F.octet_length("prefix") > 0).select("s1", "prefix", "lengths").transform(in_arrow, run, "s1 long, place long")
+
+
+def first_links(lists: DataFrame, sets: DataFrame, most: int = BLOCK) -> DataFrame:
+    """``a, b``: links found by T-occurrence search within the blocks of sets that stand at one place (some may be found later only)."""
+
+    def search(table: pa.Table) -> pa.Table:
+        blocks: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for place, s, h in zip(*(table.column(x).to_pylist() for x in ("place", "s1", "hashes")), strict=True):
+            blocks.setdefault(place, []).append((s, np.frombuffer(h, dtype=np.uint64)))
+        found = [(b[i][0], b[j][0]) for b in blocks.values() if len(b) > 1 for i, j in stars([h for _, h in b])]
+        return pa.table([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+
+    at = materialize(_meeting_places(lists, most), "places")
+    several = at.groupBy("place").agg(F.count("*").alias("sets")).where("sets > 1").select("place")
+    met = at.join(bounded(materialize(several, "shared-places")), "place").join(sets.select("s1", "hashes"), "s1")
+    size = sets.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    groups = max(2 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size) // 16_000_000)
+    dealt = _dealt(met.select("place", "s1", "hashes").withColumn("group", F.pmod("place", F.lit(groups))), "group", groups)
+    return dealt.groupBy("group").applyInArrow(search, "a long, b long").distinct()
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that link, found by ``divide_skip`` in blocks: a query and up to about CHUNK of the sets it has to meet."""
     # sets of a query fall into as many blocks as their number asks for
@@ -449,7 +510,7 @@ def components(links: DataFrame, label: str = "comp") -> DataFrame:
 def all_links(sets: DataFrame, split: int = SPLIT) -> DataFrame:
     """``s1, comp``: the components of all links between sets, for those that have any."""
     lists = materialize(rare_prefixes(sets), "lists")
-    links = materialize(_links(materialize(_pairs(lists, "lead", split=split), "pairs"), sets), "links")
+    links = materialize(first_links(lists, sets, min(BLOCK, split)), "links")
     comps = components(links)
     for step in ("heads", "near", "rest"):
         labelled = materialize(lists.join(bounded(comps), "s1", "left").withColumn("comp", F.coalesce("comp", "s1")), "lists")
@@ -474,7 +535,7 @@ def grouped_documents(docs: DataFrame, split: int = SPLIT) -> tuple[DataFrame, D
     classes = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first"), F.count("*").alias("docs"))
     classes = materialize(classes, "classes")
     alive = materialize(survivors(signed, classes), "survivors")
-    comps = all_links(materialize(survivor_sets(docs, alive), "sets"), split)
+    comps = all_links(materialize(survivor_sets(docs, alive, signed), "sets"), split)
     linked = comps.join(alive.select("s1", "s2", "n", "first"), "s1")
     smallest = linked.groupBy("comp").agg(F.min("first").alias("smallest"))
     linked = linked.join(smallest, "comp").select("s1", "s2", "n", "comp", "smallest")

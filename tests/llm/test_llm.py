@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -326,6 +327,29 @@ def test_divide_skip_against_counting():
     assert similarity.divide_skip(query, similarity.Lists([])) == [] and similarity.divide_skip(query[:0], similarity.Lists(sets)) == []
 
 
+def test_a_group_of_near_copies_is_found_from_long_lists():
+    """One search finds a group from its lists: some entries are merged, the long lists are probed."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    group = [np.unique(np.concatenate([np.delete(base, rng.choice(200, 8, replace=False)), rng.integers(0, 2**63, 5, dtype=np.uint64)])) for _ in range(80)]
+    others = [np.unique(np.concatenate([base[:60], rng.integers(0, 2**63, 140, dtype=np.uint64)])) for _ in range(40)]
+    seen = {}
+    links = similarity.stars([*group, *others], seen)
+    assert len({x for link in links for x in link}) == 80 and all(max(link) < 80 for link in links)
+    assert seen["longest"] >= 100 and seen["merged"] > 1000 and seen["skipped"] > 100 and seen["probes"] > 1000
+
+
+def test_equal_rows_give_one_set(spark):
+    a, b, *_ = chain(2, 2, random.Random(6))
+    rows = [(5, a, "x.y")] * 60 + [(6, b, "z"), (7, a, "z"), (None, b, "z"), (None, b, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    signed = common.materialize(similarity.signatures(docs), "signed")
+    classes = signed.groupBy("s1", "s2", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first"))
+    assert similarity.survivor_sets(docs, similarity.survivors(signed, classes), signed).count() == 2
+    assert same(found_components(docs), jaccard_components(rows))
+    assert similarity.drop_similar(docs).count() == 1
+
+
 def vectors_and_answers(k=20):
     rng = np.random.default_rng(2)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 16)))]
@@ -354,6 +378,43 @@ def test_neighbours(spark, monkeypatch, block):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_of_very_large_and_tiny_vectors(spark):
+    """Products that overflow are infinite and tie, those that only their parts overflow are found, tiny ones too."""
+    rng = np.random.default_rng(8)
+    rows = [(k, (rng.standard_normal(8) * 1e160).tolist()) for k in range(60)] + [(60 + k, (rng.standard_normal(8) * 1e-170).tolist()) for k in range(20)]
+    rows += [(80, [1e200, 1e200, 1.0] + [0.0] * 5), (81, [1e200, -1e200, 1.0] + [0.0] * 5), (82, [1.7e308] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(table, every=20, k=10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    vec = {k: [Fraction(x) for x in v] for k, v in rows}
+    for q in range(0, 83, 20):
+        exact = {v: sum(x * y for x, y in zip(vec[q], vec[v], strict=True)) for v in vec if v != q}
+        double = lambda x: float("inf") * (1 if x > 0 else -1) if abs(x) >= 2**1024 else float(x)
+        want = sorted(exact, key=lambda v: (-double(exact[v]), v))[:10]
+        mine = sorted(got[q])
+        assert len(mine) == 10
+        for (_, v, s), w in zip(mine, want, strict=True):
+            assert s == pytest.approx(double(exact[w]), rel=1e-12, abs=1e-320)
+            assert double(exact[v]) == pytest.approx(double(exact[w]), rel=1e-12, abs=1e-320)
+
+
+def test_stages_take_columns_with_dots_and_empty_tables(spark):
+    rows = [(k, f"the quick brown fox number {k} jumps over that lazy dog again" if k % 2 else f"el rapido zorro marron numero {k} salta sobre aquel perro", "en" if k % 2 else "es", "v", "w") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` string, `Lang_Score` string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    for stage in (language.keep_identified, lambda d: quality.keep_good(d, labels), dedup.drop_duplicates, similarity.drop_similar):
+        out = stage(docs)
+        assert out.columns == docs.columns and {r["a.b"] for r in out.collect()} == {"v"}
+        assert stage(docs.limit(0)).count() == 0
+
+
+def test_long_conversations_read_back(spark):
+    turns = [(1, k, "assistant" if k % 2 else "user", f"# turn {k} " + "é漢😀<" * (k % 40)) for k in range(6000)]
+    back = chat.read_conversations(chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).first()
+    assert back["loss_texts"] == [t for _, k, _, t in turns if k % 2] and [t["text"] for t in back["turns"]] == [t for *_, t in turns]
+
+
 def kept_out(doc_id):
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 == 0
 
