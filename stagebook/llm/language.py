@@ -50,13 +50,15 @@ def _lower(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 @dataclass
 class LanguageModel:
-    """``languages`` by family; each machine separates two names with weights over the 65,536 pairs and a bias."""
+    """``languages`` by family; each machine separates two names with a weight for every frequent pair, a last one of 0 for all
+    others, and a bias. ``place`` says which weight each of the 65,536 pairs has, the same for all machines."""
 
     languages: dict[str, list[str]]
     machines: dict[tuple[str, str], tuple[np.ndarray, float]]
+    place: np.ndarray
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
-        index, n = _pairs(data), len(at) - 1
+        index, n = self.place[_pairs(data)], len(at) - 1
         total = np.maximum(at[1:] - at[:-1] - 1, 0)
         begin = np.minimum(at[:-1], len(index))
         margin = {}
@@ -116,7 +118,7 @@ def fit_languages(docs: DataFrame, sample: int = 800, features: int = 2048) -> L
     rows = docs.select("doc_id", text_of().alias("text"), "lang").where(F.col("lang").isNotNull() & ~held_out() & (F.col("lang") != UNKNOWN))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return LanguageModel({}, {})
+        return LanguageModel({}, {}, np.zeros(65536, dtype=np.int32))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample / n))])
     chance = F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 200)), F.lit(1 << 30)) / float(1 << 30)
     taken = rows.where(chance < F.element_at(share, F.col("lang")))
@@ -160,9 +162,7 @@ def fit_languages(docs: DataFrame, sample: int = 800, features: int = 2048) -> L
     def learn(names: np.ndarray, one: str, other: str) -> None:
         rows = np.nonzero((names == one) | (names == other))[0]
         w, bias = _machine(dense(rows), np.where(names[rows] == one, 1.0, -1.0))
-        full = np.zeros(65536)
-        full[frequent] = w * scale
-        machines[one, other] = (full, bias)
+        machines[one, other] = (np.append(w * scale, 0.0), bias)
 
     families = np.array([family(x) for x in langs], dtype=object)
     for one, other in combinations(sorted(languages), 2):
@@ -170,13 +170,13 @@ def fit_languages(docs: DataFrame, sample: int = 800, features: int = 2048) -> L
     for inside in languages.values():
         for one, other in combinations(inside, 2):
             learn(langs, one, other)
-    return LanguageModel(languages, machines)
+    return LanguageModel(languages, machines, np.where(place < 0, len(frequent), place).astype(np.int32))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``pred`` and ``score`` beside the columns to keep. Null text, text without a letter, or a model that learned nothing: und, 0."""
     (text,) = fresh(docs, "_whole_text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 65,536 weights for each pair of languages, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 16 kB for each pair of families, and of languages of a family, whatever the input
     kept = docs.select(*[F.col(f"`{c}`") for c in keep], text_of().alias(text))
     schema = StructType([*kept.schema.fields[:-1], StructField(pred, StringType()), StructField(score, DoubleType())])
 
@@ -211,7 +211,10 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents whose language is predicted with a score of ``least`` or more; und goes."""
+    """Documents whose language is predicted with a score of ``least`` or more, with all their columns; und goes.
+
+    Null and empty texts are und. Repeated rows are judged alike and each stays or goes; an empty table gives no rows.
+    """
     pred, score = fresh(docs, "lang_pred", "lang_score")
     out = predict_languages(docs, fit_languages(docs), docs.columns, pred, score)
     return out.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

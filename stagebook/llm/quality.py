@@ -153,7 +153,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """Documents whose score is ``least`` or more, with all their columns. Texts are read twice and never shuffled."""
+    """Documents whose score is ``least`` or more, with all their columns. Texts are read twice and never shuffled.
+
+    Null and empty texts are scored as texts without words. Repeated rows are judged alike and each stays or goes; an empty table
+    gives no rows.
+    """
     stats = materialize(document_statistics(docs), "statistics")
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(stats, labels))
     text, score = fresh(docs, "_whole_text", "quality_score")

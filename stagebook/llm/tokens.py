@@ -430,13 +430,13 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0
 # ---------------------------------------------------------------- 7: token files
 
 
-def write_token_files(docs: DataFrame, encode: Callable[[], object], path: str, end_id: int, row_group_mb: int = 32, page_kb: int = 256) -> None:
+def write_token_files(docs: DataFrame, encode: Callable[[], object], path: str, end_id: int, row_group_mb: int = 32, page_kb: int = 256, rows_per_file: int = 20_000) -> None:
     """Token files: Parquet in ascending order of ``doc_id`` over files and rows.
 
     Columns ``doc_id, n_tokens, ids_crc32`` and ``tokens`` (list of int). Dictionary encoding is on for tokens (with delta
     encoding where a dictionary grows too large) and off for the ids, row groups and pages are bounded, and page indexes and
     column statistics are written, so that a reader can take the numbers alone or the tokens of a range of documents alone.
-    Rows without an id come first, rows of one id lie together. A null or empty text has the end id alone. Ids of any whole
+    Rows without an id come first, rows of one id follow each other, in several files if they are many. A null or empty text has the end id alone. Ids of any whole
     type are written as long, other columns are not. An empty table gives files without rows.
     """
 
@@ -451,7 +451,10 @@ def write_token_files(docs: DataFrame, encode: Callable[[], object], path: str,
                 tokens = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(crc, pa.int64()), tokens], ["doc_id", "n_tokens", "ids_crc32", "tokens"])
 
-    parts = docs.select(id_of(), text_of().alias("text")).repartitionByRange(F.col("doc_id"))
+    # files follow the number of rows (which Parquet's footers give), and rows of one id, or of none, may fill several
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // rows_per_file)
+    numbered = docs.select(id_of(), text_of().alias("text"), F.monotonically_increasing_id().alias("_row"))
+    parts = numbered.repartitionByRange(files, "doc_id", "_row").select("doc_id", "text")
     encoded = parts.sortWithinPartitions("doc_id", "text").transform(in_arrow, run, "doc_id long, n_tokens long, ids_crc32 long, tokens array<int>")
     options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#ids_crc32": "false", "parquet.block.size": str(row_group_mb << 20), "parquet.page.size": str(page_kb << 10)}
     encoded.write.options(**options).parquet(path)
@@ -507,7 +510,8 @@ def checked_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
-    """``doc_id, tokens`` of a range of ids; row groups and pages outside it are skipped."""
+    """``doc_id, tokens`` of a range of ids; row groups and pages outside it are skipped. Rows without an id are in no bounded range,
+    repeated rows come each; files without rows give none."""
     rows = spark.read.schema("doc_id long, n_tokens long, ids_crc32 long, tokens array<int>").parquet(path)
     for bound, keep in ((low, F.col("doc_id") >= F.lit(low)), (high, F.col("doc_id") <= F.lit(high))):
         rows = rows.where(keep) if bound is not None else rows

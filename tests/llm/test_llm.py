@@ -119,6 +119,19 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokens.checked_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_rows_of_one_id_fill_several_token_files(spark, tmp_path):
+    path = P.path("word_bpe_49k.json")
+    rows = [(7, f"row {k}") for k in range(300)] + [(None, f"none {k}") for k in range(200)] + [(3, "before"), (9, "after")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    tokens.write_token_files(table, lambda: tokens.library_words(path), str(tmp_path / "t"), 1, rows_per_file=40)
+    assert len(list((tmp_path / "t").glob("*.parquet"))) >= 8
+    got = tokens.checked_token_files(spark, str(tmp_path / "t")).collect()
+    spans = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in got)
+    assert [s for s, _, _ in spans] == np.cumsum([0, *[n for _, n, _ in spans[:-1]]]).tolist()
+    ids = [-1 if d is None else d for _, _, d in spans]
+    assert ids == sorted(ids) and len(ids) == len(rows)
+
+
 def test_token_file_format(spark, tmp_path):
     """Encodings, row groups and page indexes of the files, and that a range of ids reads a part of the tokens' pages."""
     import pyarrow.parquet as pq
@@ -469,7 +482,7 @@ def test_language_against_plain_votes(spark, docs, none):
         won = dict.fromkeys(names, 0.0)
         for (one, other), (weights, bias) in model.machines.items():
             if one in won and other in won:
-                p = 1 / (1 + np.exp(-np.clip(4 * (sum(weights[k] * v for k, v in share.items()) + bias), -60, 60)))
+                p = 1 / (1 + np.exp(-np.clip(4 * (sum(weights[model.place[k]] * v for k, v in share.items()) + bias), -60, 60)))
                 won[one] += p
                 won[other] += 1 - p
         return max(names, key=won.get)
@@ -485,6 +498,9 @@ def test_language_against_plain_votes(spark, docs, none):
         if got["held_out"] and r["lang"]:
             right, total = right + (got["lang_pred"] == r["lang"]), total + 1
     assert total > 10 and right >= 0.95 * total
+    close = [r for r in table.collect() if r["lang"] in ("en", "de") and kept_out(r["doc_id"]) and r["doc_id"] is not None]
+    assert language.family("en") == language.family("de") and {r["lang"] for r in close} == {"en", "de"}
+    assert sum(out[r["doc_id"]]["lang_pred"] == r["lang"] for r in close) >= 0.95 * len(close)
     odd = {r["doc_id"]: r for r in language.identify_languages(docs).collect()}
     assert odd[0]["lang_pred"] == odd[1]["lang_pred"] == "und" and odd[0]["score"] == 0
     assert language.identify_languages(none).count() == 0 and language.keep_identified(docs).columns == docs.columns
