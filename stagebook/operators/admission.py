@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,6 +79,107 @@ def admission_pass(executions: DataFrame, rows: DataFrame, occupancy: DataFrame,
     return Pass(changes, written, outbox, summary)
 
 
+#: Candidates that a paged pass may look at beyond those it admits.
+WATCHDOG = 1_000_000
+
+
+class _Walk:
+    """The rule of the paged pass over candidates in their order: a page holds as many as may still be admitted; controls that are
+    full and stages that are not configured drop out of the pages after the one in which they were met."""
+
+    def __init__(self, batch: int, skips: int) -> None:
+        self.batch, self.most = batch, batch + skips
+        self.admitted = self.considered = self.left = 0
+        self.room: dict[int, int] = {}
+        self.full: set[int] = set()
+        self.unconfigured: set[tuple] = set()
+        self.dropped: tuple[frozenset, frozenset] = (frozenset(), frozenset())
+
+    def over(self) -> bool:
+        return self.left == 0 and (self.admitted >= self.batch or self.considered >= self.most)
+
+    def see(self, stage: tuple, configured: bool, declared: bool, blocked: bool, ids: list[int], free: list[int]) -> str | None:
+        """What becomes of the next candidate; None: no page holds it."""
+        if self.left == 0:  # a new page
+            self.left = min(self.batch - self.admitted, self.most - self.considered)
+            self.dropped = (frozenset(self.full), frozenset(self.unconfigured))
+        full, gone = self.dropped
+        if stage in gone or not full.isdisjoint(ids):
+            return None
+        self.left -= 1
+        self.considered += 1
+        if not configured:
+            self.unconfigured.add(stage)
+            return "unconfigured"
+        if blocked:
+            return "barrier"
+        for k, n in zip(ids, free, strict=True):
+            self.room.setdefault(k, n)
+        if short := [k for k in ids if self.room[k] <= 0]:
+            self.full.update(short)
+            return "capacity"
+        if not declared:
+            return "mismatched"
+        self.admitted += 1
+        for k in ids:
+            self.room[k] -= 1
+            if self.room[k] <= 0:
+                self.full.add(k)
+        if self.admitted >= self.batch:
+            self.left = 0
+        return "admitted"
+
+
+def paged_pass(executions: DataFrame, rows: DataFrame, occupancy: DataFrame, declared: DataFrame, batch: int = 10_000, skips: int = WATCHDOG, salts: int = 64) -> DataFrame:
+    """Every candidate that a pass in pages looks at, with its fate: ``stage_execution_id``, stage identity, ``reason`` (admitted,
+    capacity, barrier, mismatched or unconfigured).
+
+    Candidates are ready rows that no pause holds, by priority, rank and id. A page holds as many as may still be admitted;
+    within it a row is looked at in this order: its stage has a control for all, no lower stage holds it back, every matching
+    control has room, its stage is declared. Rows of full controls and unconfigured stages are left out of later pages and not
+    counted. The pass ends when ``batch`` are admitted or ``batch`` + ``skips`` were looked at. As no more than that can be looked
+    at of any stage and set of controls, a window keeps so many of each, of ``salts`` parts first; the rule, which is one
+    sequence over all stages, then passes over what is left in order, one row at a time and in one task, as the limit bounds it.
+    """
+    flag = lambda df, name: narrow(df.select(*STAGE).distinct()).withColumn(name, F.lit(True))
+    wide = F.struct("stage_control_id", F.greatest(F.col("capacity") - F.col("occupied"), F.lit(0)).cast("long").alias("free"), "paused", F.to_json("selector").alias("text"))
+    controls = narrow(occupancy.groupBy(*STAGE).agg(F.sort_array(F.collect_list(wide)).alias("all")))
+    gate = barrier_gate(executions).where("state = 'ready' AND barrier AND blocked").select("stage_execution_id", F.lit(True).alias("blocked"))
+    out = rows.where("state = 'ready'").join(controls, STAGE, "left").join(gate, "stage_execution_id", "left")
+    held = F.filter("all", lambda x: contains(F.col("labels"), F.from_json(x["text"], "map<string,string>")))
+    out = out.withColumn("held", F.coalesce(held, F.array().cast("array<struct<stage_control_id:bigint,free:bigint,paused:boolean,text:string>>")))
+    out = out.where(~F.exists("held", lambda x: x["paused"]))
+    out = out.join(flag(occupancy.where(F.size("selector") == 0), "configured"), STAGE, "left").join(flag(declared, "declared"), STAGE, "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    ids = F.transform("held", lambda x: x["stage_control_id"].cast("long")).alias("ids")
+    free = F.transform("held", lambda x: x["free"].cast("long")).alias("free")
+    flat = out.select("stage_execution_id", *STAGE, "priority", "rank", yes("configured"), yes("declared"), yes("blocked"), ids, free)
+    order, most = ["priority", "rank", "stage_execution_id"], batch + skips
+    for part in ([F.pmod(F.xxhash64("stage_execution_id"), F.lit(salts))], []):
+        w = Window.partitionBy(*STAGE, "ids", "blocked", *part).orderBy(*order)
+        flat = flat.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth")
+
+    def walk(batches):
+        pass_ = _Walk(batch, skips)
+        for table in batches:
+            if pass_.over():
+                return
+            keep, reasons = [], []
+            columns = [table.column(table.schema.get_field_index(c)).to_pylist() for c in (*STAGE, "configured", "declared", "blocked", "ids", "free")]
+            for k, (a, b, c, *facts) in enumerate(zip(*columns, strict=True)):
+                if pass_.over():
+                    break
+                reason = pass_.see((a, b, c), *facts)
+                if reason:
+                    keep.append(k)
+                    reasons.append(reason)
+            seen = table.select(["stage_execution_id", *STAGE]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*seen.columns, pa.array(reasons, pa.string())], names=["stage_execution_id", *STAGE, "reason"])
+
+    ordered = flat.repartition(1).sortWithinPartitions(*order)
+    return ordered.mapInArrow(walk, "stage_execution_id long, pipeline_key string, pipeline_version int, stage_key string, reason string")
+
+
 def admission_payload() -> Column:
     """The eleven facts that a stage's workflow is started with, as JSON."""
     return F.to_json(F.struct(

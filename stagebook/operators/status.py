@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expressions import index_order, precedence
+from ..sources.pages import Ordered
 
 
 def work_item_status(executions: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -95,6 +96,45 @@ def list_work_items(items: DataFrame, executions: DataFrame, campaign: str, stat
     return rows.orderBy("work_item_id").limit(limit)
 
 
+def runs_page(runs: Ordered, memberships: Ordered, campaign: str, cursor: list | None, limit: int) -> DataFrame:
+    """``list_runs`` over tables in key order: runs by (campaign_key, created_at, run_key), memberships by (run_key, member_ordinal).
+
+    Files of runs behind the cursor are opened, and those of memberships that hold open runs of the page.
+    """
+    rows = runs.page([campaign], cursor, limit)
+    found = rows.collect()  # a page
+    live = [r["run_key"] for r in found if r["registration_closed_at"] is None]
+    counts = memberships.of_keys(live).groupBy("run_key").agg(F.count("*").alias("live"))
+    count = F.when(F.col("registration_closed_at").isNotNull(), F.col("registered_member_count")).otherwise(F.coalesce("live", F.lit(0))).cast("long")
+    page = runs.spark.createDataFrame(found, runs.schema)
+    return page.join(F.broadcast(counts), "run_key", "left").withColumn("member_count", count).drop("live")
+
+
+def work_items_page(items: Ordered, executions: Ordered, campaign: str, cursor: list | None, limit: int) -> DataFrame:
+    """Items of a campaign in order of id with their status: items lie by (campaign_key, work_item_id), stages by work_item_id.
+
+    Only items that have a stage are shown, so the page is filled from as many further pages of items as that takes.
+    """
+    shown = None
+    while True:
+        found = items.page([campaign], cursor, limit).collect()
+        ids = [r["work_item_id"] for r in found]
+        page = items.spark.createDataFrame(found, items.schema).join(work_item_status(executions.of_keys(ids)), "work_item_id")
+        shown = page if shown is None else shown.unionByName(page)
+        if len(found) < limit or shown.count() >= limit:
+            return shown.orderBy("work_item_id").limit(limit)
+        cursor = [ids[-1]]
+
+
+def run_members_page(memberships: Ordered, items: Ordered, executions: Ordered, run: str, cursor: list | None, limit: int) -> DataFrame:
+    """Members of a run by ordinal, after the cursor: memberships lie by (run_key, member_ordinal), items and stages by work_item_id."""
+    found = memberships.page([run], cursor, limit).collect()  # a page
+    ids = [r["work_item_id"] for r in found]
+    page = memberships.spark.createDataFrame(found, memberships.schema)
+    named = page.join(items.of_keys(ids).select("work_item_id", "work_key", "input_reference"), "work_item_id")
+    return named.join(work_item_status(executions.of_keys(ids)), "work_item_id", "left").orderBy("member_ordinal")
+
+
 def run_members(memberships: DataFrame, items: DataFrame, executions: DataFrame, run: str) -> DataFrame:
     members = memberships.where(F.col("run_key") == run)
     scoped = executions.join(members.select("work_item_id"), "work_item_id", "left_semi")

@@ -14,7 +14,8 @@ from ..operators import outcomes as O
 from ..operators import recovery as V
 from ..operators import registration as R
 from ..operators import status as S
-from ..sources import schemas, seeders
+from ..operators import views as W
+from ..sources import pages, schemas, seeders
 from ..sources.fixtures import Ledger
 from ..sources.shared import shared_dir
 from ..sources.snapshots import Conflict, Snapshots
@@ -122,6 +123,73 @@ def admission_fates(t):
     return A.candidates_by_fate(t.stage_executions, rows, t.stage_controls, declared, excluded).select("stage_execution_id", "fate")
 
 
+@query(f"""SELECT w.pipeline_key, w.pipeline_version, w.stage_key, CASE WHEN NOT {_CONFIGURED_SQL} THEN 'unconfigured' WHEN w.barrier AND g.blocked THEN 'barrier' WHEN p.stage_execution_id IS NOT NULL THEN 'admitted' ELSE 'capacity' END AS reason, count(*) AS n
+FROM arows w JOIN gate g USING (stage_execution_id) LEFT JOIN plan p USING (stage_execution_id) WHERE w.state = 'ready' AND NOT {_PAUSE_SQL} GROUP BY ALL""", more=_PLAN_SQL.replace(" LIMIT 10000", ""))
+def admission_pass_paged(t):
+    """The paged pass, with pages that hold all that is ready: every candidate has its fate."""
+    rows = _items_rows(t)
+    ready = max(1, t.stage_executions.where("state = 'ready'").count())
+    seen = A.paged_pass(t.stage_executions, rows, _controls(t), t.declared_stages, batch=ready)
+    return seen.groupBy(*C.STAGE, "reason").agg(F.count("*").alias("n"))
+
+
+#: The stages after two rounds of changes: ready stages of every fifth item admitted, then admitted ones of every third item ended.
+_AFTER_SQL = """
+once AS (SELECT * REPLACE (CASE WHEN state = 'ready' AND work_item_id % 5 = 0 THEN 'admitted' ELSE state END AS state) FROM stage_executions),
+later AS (SELECT * REPLACE (CASE WHEN state = 'admitted' AND work_item_id % 3 = 0 THEN CASE WHEN stage_index % 2 = 0 THEN 'succeeded' ELSE 'failed' END ELSE state END AS state) FROM once),
+shown AS (SELECT work_item_id, state FROM (SELECT *, row_number() OVER (PARTITION BY work_item_id ORDER BY CASE state WHEN 'failed' THEN 0 WHEN 'cancelled' THEN 1 WHEN 'admitted' THEN 2 WHEN 'ready' THEN 3 ELSE 4 END,
+    CASE WHEN state = 'succeeded' THEN -stage_index ELSE stage_index END, stage_execution_id) AS nth FROM later) WHERE nth = 1)
+"""
+
+
+def _viewed(t: Ledger):
+    """The version of the status view after both rounds."""
+    store = Snapshots(t.spark, shared_dir(t.spark, "views"))
+    change = store.begin()
+    W.build(change, t.stage_executions, t.work_items, t.run_memberships)
+    change.commit()
+    for state_, condition, new in (("ready", "work_item_id % 5 = 0", F.lit("admitted")), ("admitted", "work_item_id % 3 = 0", F.when(F.col("stage_index") % 2 == 0, "succeeded").otherwise("failed"))):
+        change = store.begin()
+        rows = change.now().read("stages").where(condition).where(F.col("state") == state_)
+        W.update_stages(change, rows.select("stage_execution_id", "work_item_id", new.alias("state"), F.lit(state_).alias("expected")), guard="state")
+        change.commit()
+    return store.head()
+
+
+@query("SELECT campaign_key, state, count(*) AS n FROM work_items JOIN shown USING (work_item_id) GROUP BY ALL", more=_AFTER_SQL)
+def view_campaign_counts(t):
+    """Counts kept up to date over two rounds of changes, without working out the status of items that did not change."""
+    return W.campaign_counts(_viewed(t))
+
+
+@query("SELECT run_key, state, count(*) AS n FROM run_memberships JOIN shown USING (work_item_id) GROUP BY ALL", more=_AFTER_SQL)
+def view_run_counts(t):
+    return W.run_counts(_viewed(t))
+
+
+@query("""SELECT run_key, member_ordinal, work_item_id, work_key, input_reference, state FROM run_memberships JOIN work_items USING (work_item_id) LEFT JOIN status USING (work_item_id)
+WHERE run_key = (SELECT max(run_key) FROM pipeline_runs WHERE run_key LIKE 'run-all-%') AND member_ordinal > 5 ORDER BY member_ordinal LIMIT 50""")
+def keyset_run_members(t):
+    """A page of the last nation's run, read from tables in key order by the bounds of their files."""
+    folder = shared_dir(t.spark, "ordered")
+    members = pages.write_ordered(t.run_memberships.select("run_key", "member_ordinal", "work_item_id"), ["run_key", "member_ordinal"], f"{folder}/members", 5_000)
+    items = pages.write_ordered(t.work_items.select("work_item_id", "work_key", "input_reference"), ["work_item_id"], f"{folder}/items", 5_000)
+    stages = pages.write_ordered(t.stage_executions, ["work_item_id"], f"{folder}/stages", 20_000)
+    run = t.pipeline_runs.where("run_key LIKE 'run-all-%'").agg(F.max("run_key")).first()[0]
+    rows = S.run_members_page(members, items, stages, run, [5], 50)
+    return rows.select("run_key", "member_ordinal", "work_item_id", "work_key", "input_reference", "state")
+
+
+@query("""SELECT campaign_key, work_item_id, work_key, state FROM work_items JOIN status USING (work_item_id)
+WHERE campaign_key = (SELECT min(campaign_key) FROM work_items) AND work_item_id > 1000 ORDER BY work_item_id LIMIT 40""")
+def keyset_work_items(t):
+    folder = shared_dir(t.spark, "ordered")
+    items = pages.write_ordered(t.work_items.select("campaign_key", "work_item_id", "work_key"), ["campaign_key", "work_item_id"], f"{folder}/items", 5_000)
+    stages = pages.write_ordered(t.stage_executions, ["work_item_id"], f"{folder}/stages", 20_000)
+    campaign = t.work_items.agg(F.min("campaign_key")).first()[0]
+    return S.work_items_page(items, stages, campaign, [1000], 40).select("campaign_key", "work_item_id", "work_key", "state")
+
+
 #: Routes of a stage of every campaign, after the labels of its items: by segment, by both labels, or by priority.
 _ROUTES_SQL = """
 routes AS (SELECT campaign_key, CAST(row_number() OVER (PARTITION BY campaign_key ORDER BY segment, urgency) AS INT) AS ordinal, CASE WHEN kind < 2 THEN segment END AS segment, CASE WHEN kind > 0 THEN urgency END AS urgency

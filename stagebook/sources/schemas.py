@@ -48,8 +48,15 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def read_table_jdbc(spark: SparkSession, name: str, url: str, table: str, key: str | None = None, bounds: tuple[int, int, int] | None = None, **options: str) -> DataFrame:
-    """A ledger table from a database, read in ranges of ``key`` (low, high, number of ranges) by as many tasks."""
+    """A ledger table from a database, read in ranges of ``key`` (low, high, number of ranges) by as many tasks.
+
+    Texts are read as strings whatever the database calls them, so that filters on them are pushed to it; columns that it does
+    not have are null.
+    """
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    there = set(reader.load().columns)
+    texts = [f"`{f.name}` STRING" for f in schema_of(TABLES[name]).fields if f.name in there and f.dataType.typeName() == "string"]
+    reader = reader.options(customSchema=", ".join(texts)) if texts else reader
     if key and bounds:
         low, high, n = bounds
         reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(n))

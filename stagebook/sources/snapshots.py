@@ -190,14 +190,16 @@ class Change:
         digests = self._digests(folder, rows.schema)
         self.tables[name] = replace(empty, entries={b: [[folder, 0]] for b in digests}, digests=digests)
 
-    def update(self, name: str, updates: DataFrame, inserts: DataFrame | None = None, guard: str | list[str] | None = None) -> list[int]:
+    def update(self, name: str, updates: DataFrame, inserts: DataFrame | None = None, guard: str | list[str] | None = None, key: str | None = None) -> list[int]:
         """``apply_changes`` on the buckets that hold a changed key; the others stay the files they are. Returns the buckets.
 
-        The table has one key column. A key that updates name several times is an error of the caller, as it is for ``apply_changes``.
+        ``key`` identifies a row where the table is bucketed by something else, which updates and inserts then carry too (stages
+        that lie with their item). A key that updates name several times is an error of the caller, as it is for ``apply_changes``.
         """
         from ..operators.changes import apply_changes
 
-        table, (key,) = self.tables[name], self.tables[name].keys
+        table = self.tables[name]
+        key = key or table.keys[0]
         updates = materialize(updates, "updates")
         inserts = None if inserts is None else materialize(inserts, "inserts")
         touched = self.now().buckets_of(name, updates, *([] if inserts is None else [inserts]))
