@@ -50,13 +50,9 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
 def read_table_jdbc(spark: SparkSession, name: str, url: str, table: str, key: str | None = None, bounds: tuple[int, int, int] | None = None, **options: str) -> DataFrame:
     """A ledger table from a database, read in ranges of ``key`` (low, high, number of ranges) by as many tasks.
 
-    Texts are read as strings whatever the database calls them, so that filters on them are pushed to it; columns that it does
-    not have are null.
+    Filters on its columns are pushed to the database; columns that it does not have are null.
     """
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    there = set(reader.load().columns)
-    texts = [f"`{f.name}` STRING" for f in schema_of(TABLES[name]).fields if f.name in there and f.dataType.typeName() == "string"]
-    reader = reader.options(customSchema=", ".join(texts)) if texts else reader
     if key and bounds:
         low, high, n = bounds
         reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(n))
@@ -64,6 +60,11 @@ def read_table_jdbc(spark: SparkSession, name: str, url: str, table: str, key: s
 
 
 def conform(rows: DataFrame, columns: str) -> DataFrame:
-    """The named columns in order and type; columns that are not there are null."""
-    have = set(rows.columns)
-    return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_of(columns).fields])
+    """The named columns in order and type; columns that are not there are null.
+
+    A column that has its type is left as it is: even a cast of text to text, which a database's VARCHAR gets, keeps filters
+    from being pushed to the source.
+    """
+    have = {f.name: f.dataType for f in rows.schema.fields}
+    typed = lambda f: F.col(f.name) if have.get(f.name) == f.dataType else (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType)
+    return rows.select(*[typed(f).alias(f.name) for f in schema_of(columns).fields])
