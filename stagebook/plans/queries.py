@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..functions import expressions as X
 from ..operators import changes as C
 from ..operators import status as S
 from ..operators.admission import queue_of
-from ..sources.fixtures import Ledger, oracle_prefix
+from ..sources.fixtures import Ledger, oracle_tables
 from ..sources.shared import narrow
 
 _QUERIES: dict[str, Callable] = {}
@@ -32,13 +33,27 @@ eligible AS (SELECT r.* FROM pipeline_runs r WHERE r.registration_closed_at IS N
 RANK_SQL = """(('0x' || substr(sha256('{{"campaign_key":"' || {c} || '","work_key":"' || {w} || '"}}'), 1, 16))::UBIGINT % 9223372036854775807 + 1)::BIGINT"""
 
 
+_COMMON = oracle_tables() | {part.split(" ", 1)[0]: part.strip().rstrip(",") for part in re.split(r"(?m)^(?=\w+ AS \()", STATUS_SQL.strip()) if part}
+
+
+def _with_tables(sql: str, more: str) -> str:
+    """The SQL after the common table expressions that it names, and those that they name, in their order."""
+    text, found = f"{more} {sql}", set()
+    for name in reversed(_COMMON):  # each names earlier ones alone
+        if re.search(rf"\b{name}\b", text):
+            found.add(name)
+            text += _COMMON[name]
+    parts = [*(part for name, part in _COMMON.items() if name in found), *([more.strip()] if more else [])]
+    return f"WITH RECURSIVE {',\n'.join(parts)}\n{sql}" if parts else sql
+
+
 def query(sql: str | None = None, more: str = ""):
     """Register a query under its name; its SQL follows the ledger's common table expressions, and ``more`` of its own."""
 
     def register(f: Callable[[Ledger], DataFrame]) -> Callable[[Ledger], DataFrame]:
         _QUERIES[f.__name__] = lambda spark, sf_dir: f(Ledger(spark, sf_dir))
         if sql is not None:
-            _SQL[f.__name__] = f"{oracle_prefix()},{STATUS_SQL}{',' if more else ''}{more} {sql}"
+            _SQL[f.__name__] = _with_tables(sql, more)
         return f
 
     return register

@@ -185,10 +185,10 @@ def _ranked(sql: str, engine: str, braces: bool = False) -> str:
     return re.sub(r"RANK_OF\((\S+), (\S+)\)", rank, sql)
 
 
-def oracle_prefix() -> str:
+def oracle_tables() -> dict[str, str]:
+    """Each ledger table's SQL for the oracle, worked out once however often a query names it."""
     names = {s: s for s in SOURCES}
-    # each table is worked out once, however often a query names it
-    return "WITH RECURSIVE " + ",\n".join(f"{name} AS MATERIALIZED ({_ranked(sql.format(**names), 'duckdb')})" for name, sql in TABLES.items())
+    return {name: f"{name} AS MATERIALIZED ({_ranked(sql.format(**names), 'duckdb')})" for name, sql in TABLES.items()}
 
 
 #: Where the tables of a session and folder were written.
