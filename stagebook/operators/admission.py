@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expressions import canonical, contains, stage_workflow_id
-from ..sources.shared import narrow
+from ..sources.shared import materialize, narrow
 from .changes import STAGE, attempts_to_admit, plan_admission
 from .status import barrier_gate
 
@@ -56,9 +56,10 @@ def admission_pass(executions: DataFrame, rows: DataFrame, occupancy: DataFrame,
     ``declared`` has the stages with ``queue_name`` and maybe ``routes``. A prepared attempt is admitted itself, else the next
     one. Rows skipped for pause, barrier or capacity are counted up to the last admitted row if the batch is full, else all.
     """
-    fates = candidates_by_fate(executions, rows, occupancy, declared, excluded)
+    # what several results follow from is worked out once
+    fates = materialize(candidates_by_fate(executions, rows, occupancy, declared, excluded), "fates")
     able = fates.where("fate = 'candidate'").drop("fate")
-    planned = plan_admission(able, occupancy, batch)
+    planned = materialize(plan_admission(able, occupancy, batch), "planned")
     order = F.struct("priority", "rank", "stage_execution_id")
     numbered = attempts_to_admit(planned, executions, attempts)
     kept = attempts.select("stage_execution_id", "attempt_number", F.col("workflow_id").alias("old_id"))
@@ -192,10 +193,13 @@ def admission_payload() -> Column:
 
 
 def list_controls(controls: DataFrame, stages: DataFrame, labels: bool = False) -> DataFrame:
-    """Controls of the wanted stages, in order of id; with ``labels`` (a column of ``stages``) those whose selector the labels hold."""
-    found = controls.join(narrow(stages.distinct() if not labels else stages), STAGE)
-    found = found.where(contains("labels", "selector")) if labels else found
-    return found.orderBy("stage_control_id")
+    """Controls of the wanted stages; with ``labels`` (a column of ``stages``, which may be every item) those whose selector the labels hold.
+
+    Controls are few, as people set them, so they go to the stages; callers that show them sort by id.
+    """
+    wanted = stages if labels else stages.distinct()
+    found = wanted.join(narrow(controls), STAGE)
+    return found.where(contains("labels", "selector")) if labels else found
 
 
 def control_changes(controls: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expressions import completion_workflow_id
-from ..sources.shared import narrow
+from ..sources.shared import materialize, narrow
 from .changes import eligible_runs, terminal_counts
 from .status import work_item_status
 
@@ -43,7 +43,7 @@ def barrier_pass(runs: DataFrame, memberships: DataFrame, executions: DataFrame,
     """
     eligible = eligible_runs(runs, memberships, executions)
     turn = F.lit(False) if cursor is None else F.col("run_key") <= F.lit(cursor)
-    page = eligible.withColumn("turn", turn).orderBy("turn", "run_key").limit(budget)
+    page = materialize(eligible.withColumn("turn", turn).orderBy("turn", "run_key").limit(budget), "barrier-page")
     keys = narrow(page.select("run_key"))
     own = memberships.join(keys, "run_key", "left_semi")
     status = work_item_status(executions.join(own.select("work_item_id"), "work_item_id", "left_semi"))
@@ -54,6 +54,7 @@ def barrier_pass(runs: DataFrame, memberships: DataFrame, executions: DataFrame,
     judged = judged.withColumn("reason", F.when(~covered, "not_covered").when(~F.col("declared_key").eqNullSafe(F.col("run_completion_key")), "completion_differs"))
     before = Window.orderBy("turn", "run_key").rowsBetween(Window.unboundedPreceding, -1)
     seen = judged.withColumn("released_before", F.coalesce(F.count_if(F.col("reason").isNull()).over(before), F.lit(0))).where(F.col("released_before") < batch)
+    seen = materialize(seen, "barrier-seen")
     good = seen.where("reason IS NULL").withColumn("counts", frozen_counts()).withColumn("workflow_id", completion_workflow_id("run_key", "pipeline_key", "pipeline_version", "run_completion_key", F.lit(1)))
     payload = F.to_json(F.struct(
         "campaign_key", "run_key", "pipeline_key", "pipeline_version", "execution_config_reference", "manifest_reference", "membership_digest",

@@ -14,6 +14,7 @@ from .changes import violations
 KEYS = {
     "pipeline_runs": "run_key", "work_items": "work_item_id", "run_memberships": "concat(run_key, '#', member_ordinal)", "stage_executions": "stage_execution_id", "stage_attempts": "stage_attempt_id",
     "stage_controls": "stage_control_id", "run_completion_executions": "run_completion_execution_id", "run_completion_attempts": "run_completion_attempt_id",
+    "run_barrier_cursor": "singleton",
 }
 _TIMES = lambda begin: {f"{begin}_in_time": f"{begin}_at IS NULL OR {begin}_at >= created_at", "terminal_in_time": "terminal_at IS NULL OR terminal_at >= created_at", "times_in_order": f"{begin}_at IS NULL OR terminal_at IS NULL OR terminal_at >= {begin}_at"}
 CHECKS = {
@@ -38,12 +39,13 @@ CHECKS = {
         "outcome": "(state = 'enqueued' AND terminal_at IS NULL AND output_reference IS NULL AND error_summary IS NULL) OR (state = 'succeeded' AND terminal_at IS NOT NULL AND output_reference IS NOT NULL AND error_summary IS NULL) OR (state = 'failed' AND terminal_at IS NOT NULL AND output_reference IS NULL AND error_summary IS NOT NULL)",
     },
     "run_completion_attempts": {"number": "attempt_number > 0", "summary_object": "terminal_summary IS NULL OR terminal_summary LIKE '{%}'", **_TIMES("enqueued")},
+    "run_barrier_cursor": {"singleton": "singleton"},
 }
 UNIQUE = (
     ("pipeline_runs", ("run_key",)), ("work_items", ("work_item_id",)), ("work_items", ("campaign_key", "work_key")), ("run_memberships", ("run_key", "member_ordinal")), ("run_memberships", ("run_key", "work_item_id")),
     ("stage_executions", ("stage_execution_id",)), ("stage_executions", ("work_item_id", "stage_index")), ("stage_attempts", ("stage_attempt_id",)), ("stage_attempts", ("stage_execution_id", "attempt_number")),
     ("stage_attempts", ("workflow_id",)), ("stage_controls", ("pipeline_key", "pipeline_version", "stage_key", "selector_key")), ("run_completion_executions", ("run_key",)),
-    ("run_completion_attempts", ("run_completion_execution_id", "attempt_number")), ("run_completion_attempts", ("workflow_id",)),
+    ("run_completion_attempts", ("run_completion_execution_id", "attempt_number")), ("run_completion_attempts", ("workflow_id",)), ("run_barrier_cursor", ("singleton",)),
 )
 FOREIGN = (
     ("work_items", ("origin_run_key",), "pipeline_runs", ("run_key",)), ("run_memberships", ("run_key",), "pipeline_runs", ("run_key",)), ("run_memberships", ("work_item_id",), "work_items", ("work_item_id",)),

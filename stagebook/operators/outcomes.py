@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import narrow
+from ..sources.shared import materialize, narrow
 from .changes import STAGE
 
 
@@ -64,7 +64,7 @@ def apply_outcomes(outcomes: DataFrame, attempts: DataFrame, executions: DataFra
     wanted = wanted.withColumn("times", F.count("*").over(Window.partitionBy("workflow_id", "stage_index")))
     same = F.col("old").eqNullSafe(F.struct(F.col("stage_key"), F.col("item_rank").alias("rank"), F.col("barrier"))) & (F.col("input_reference").isNull() | F.col("old_input").eqNullSafe(F.col("input_reference")))
     wrong = F.when(F.col("stage_index") <= F.col("own_index"), 1).when(F.col("times") > 1, 2).when(F.col("declared").isNull(), 3).when(F.col("old_id").isNotNull() & ~same, 4)
-    judged = wanted.withColumn("wrong", wrong)
+    judged = materialize(wanted.withColumn("wrong", wrong), "judged-successors")
     by_outcome = judged.groupBy("workflow_id").agg(F.min("wrong").alias("wrong"), F.count("*").alias("n_successors"))
     rows = located.join(by_outcome, "workflow_id", "left")
     identity = [("expected_pipeline_key", "pipeline_key"), ("expected_pipeline_version", "pipeline_version"), ("expected_stage_key", "stage_key"), ("expected_stage_index", "stage_index")]
@@ -85,7 +85,7 @@ def apply_outcomes(outcomes: DataFrame, attempts: DataFrame, executions: DataFra
         F.when(why == "unknown", "unknown").when(why.isin("identity", "not_current"), "mismatch").when(why == "cancelled", "ignored").when(why == "successor_conflict", "conflict")
         .when(why.isNotNull(), "rejected").otherwise("apply")
     )
-    kinds = rows.withColumn("reason", why).withColumn("kind", kind)
+    kinds = materialize(rows.withColumn("reason", why).withColumn("kind", kind), "outcome-kinds")
     done = kinds.where("kind = 'apply'")
     state = F.when(F.col("succeeded"), "succeeded").otherwise("failed")
     changes = done.select("stage_execution_id", state.alias("state"), F.when(F.col("succeeded"), F.col("output_reference")).alias("output_reference"), F.col("completed_at").alias("updated_at"), F.lit("admitted").alias("expected"))

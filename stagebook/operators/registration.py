@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import valid_key, valid_priority
+from ..functions.expressions import stable_rank, valid_key, valid_priority
+from ..sources.shared import materialize
 from .changes import classify_members, closure_check
 
 # What a run key is bound to for good.
@@ -140,3 +142,69 @@ def close_runs(runs: DataFrame, memberships: DataFrame, items: DataFrame, schema
     good = judged.where("reason IS NULL")
     receipt = good.select("run_key", "membership_digest", F.col("members").cast("int").alias("registered_count"), F.col("created").cast("int").alias("created_count"), F.col("reused").cast("int").alias("reused_count"), at.alias("registration_closed_at"))
     return receipt, judged.where("reason IS NOT NULL").select("run_key", "reason")
+
+
+@dataclass
+class Submission:
+    """Rows to add: ``runs``, ``items``, ``memberships``, ``executions``. ``receipts`` of closed runs, stored ones included. ``rejects``: a row per run, or member, with a reason."""
+
+    runs: DataFrame
+    items: DataFrame
+    memberships: DataFrame
+    executions: DataFrame
+    receipts: DataFrame
+    rejects: DataFrame
+
+
+def submit(declarations: DataFrame, members: DataFrame, runs: DataFrame, items: DataFrame, memberships: DataFrame, declared: DataFrame, schema: str, at: Column) -> Submission:
+    """Register declared runs with their members and close them, as one job over any number of runs.
+
+    Runs are new, replays, or turned away (``register_runs``); of a closed run the stored receipt comes back and its members are
+    not looked at. A run with a rejected member registers nothing; runs of one call that bring different facts for one new item
+    are rejected all. A new item belongs to the smallest of the runs that bring it; its first declared stage is seeded as
+    ready. Memberships that are there already are kept, and a run of which they differ from what is submitted is rejected. Runs
+    that are gapless, complete and have the declared digest are closed; the others stay open and are among the rejects.
+    """
+    facts = lambda df: df.select("run_key", *PROVENANCE)
+    judged = materialize(register_runs(declarations, runs), "judged-runs")
+    opened = judged.where("kind IN ('new', 'replay')")
+    new_runs = judged.where("kind = 'new'")
+    open_at = F.lit(None).cast("timestamp")
+    all_runs = materialize(facts(opened).withColumn("registration_closed_at", open_at), "open-runs")
+    known_runs = facts(runs).withColumn("registration_closed_at", open_at).unionByName(facts(new_runs).withColumn("registration_closed_at", open_at))
+    todo = members.join(all_runs.select("run_key", "campaign_key"), ["run_key", "campaign_key"], "left_semi")
+    good, wrong = register_members(todo, items, known_runs)
+    good = materialize(good.select("run_key", "campaign_key", "member_ordinal", "work_key", "input_reference", "labels", "priority", "kind", "work_item_id"), "good-members")
+    said = F.struct("input_reference", F.array_sort(F.map_entries("labels")).alias("labels"), "priority")
+    disputed = good.where("kind = 'new'").groupBy("campaign_key", "work_key").agg(F.count_distinct(said).alias("n")).where("n > 1").select("campaign_key", "work_key")
+    other = good.join(disputed, ["campaign_key", "work_key"], "left_semi").select("run_key", "member_ordinal", "work_key", F.lit("disputed").alias("reason"))
+    member_rejects = materialize(wrong.unionByName(other), "member-rejects")
+    good = good.join(member_rejects.select("run_key").distinct(), "run_key", "left_anti")
+    # ids follow the greatest one; they are fixed when the items are written
+    top = items.agg(F.max("work_item_id")).first()[0] or 0
+    first = good.where("kind = 'new'").groupBy("campaign_key", "work_key").agg(F.min_by(F.struct("run_key", "input_reference", "labels", "priority"), "run_key").alias("m"))
+    made = materialize(first.select(
+        (F.monotonically_increasing_id() + top + 1).alias("work_item_id"), "campaign_key", "work_key", F.col("m.run_key").alias("origin_run_key"), F.col("m.input_reference").alias("input_reference"), F.col("m.labels").alias("labels"),
+        stable_rank("campaign_key", "work_key").alias("rank"), F.col("m.priority").alias("priority"),
+    ), "new-items")
+    fresh = made.select("campaign_key", "work_key", F.col("work_item_id").alias("made"))
+    wanted = good.join(fresh, ["campaign_key", "work_key"], "left").select("run_key", "member_ordinal", F.coalesce("work_item_id", "made").alias("work_item_id"))
+    wanted = materialize(wanted, "wanted-members")
+    key = ["run_key", "member_ordinal", "work_item_id"]
+    stored = memberships.select(*key).join(all_runs.select("run_key"), "run_key", "left_semi")
+    differ = materialize(membership_differences(wanted, stored).where("difference = 'other'").select("run_key").distinct(), "other-members")
+    wanted = wanted.join(differ, "run_key", "left_anti")
+    made = made.join(differ.withColumnRenamed("run_key", "origin_run_key"), "origin_run_key", "left_anti")
+    settled = all_runs.join(member_rejects.select("run_key").distinct(), "run_key", "left_anti").join(differ, "run_key", "left_anti")
+    both = items.select("work_item_id", "work_key", "input_reference", "origin_run_key").unionByName(made.select("work_item_id", "work_key", "input_reference", "origin_run_key"))
+    closed, left = close_runs(settled, wanted, both, schema, at)
+    start = declared.groupBy("pipeline_key", "pipeline_version").agg(F.min_by("stage_key", "position").alias("stage_key"))
+    owner = known_runs.select(F.col("run_key").alias("origin_run_key"), "pipeline_key", "pipeline_version")
+    seeds = made.join(owner, "origin_run_key").join(F.broadcast(start), ["pipeline_key", "pipeline_version"]).select(
+        "work_item_id", "stage_key", F.lit(0).alias("stage_index"), F.lit("ready").alias("state"), F.lit(0).alias("current_attempt"), "rank", "priority", "input_reference", F.lit(False).alias("barrier"), at.alias("created_at"),
+    )
+    no_member = [F.lit(None).cast("int").alias("member_ordinal"), F.lit(None).cast("string").alias("work_key")]
+    turned = judged.where("kind IN ('rejected', 'conflict')").select("run_key", *no_member, F.coalesce("reason", "kind").alias("reason"))
+    rejects = turned.unionByName(member_rejects).unionByName(differ.select("run_key", *no_member, F.lit("other_members").alias("reason"))).unionByName(left.select("run_key", *no_member, "reason"))
+    replayed = receipts(runs).join(judged.where("kind = 'closed'").select("run_key"), "run_key", "left_semi")
+    return Submission(facts(new_runs), made, wanted.join(stored, key, "left_anti"), seeds, closed.unionByName(replayed), rejects)

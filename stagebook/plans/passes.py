@@ -19,7 +19,7 @@ from ..sources import pages, schemas, seeders
 from ..sources.fixtures import Ledger
 from ..sources.shared import shared_dir
 from ..sources.snapshots import Conflict, Snapshots
-from ..streaming import folds, state
+from ..streaming import folds, state, ticks
 from .queries import _CANDIDATES_SQL, _CONFIGURED_SQL, _PAUSE_SQL, RANK_SQL, _controls, query
 
 _AT = "2026-07-17 12:00:00"
@@ -146,7 +146,7 @@ def _viewed(t: Ledger):
     """The version of the status view after both rounds."""
     store = Snapshots(t.spark, shared_dir(t.spark, "views"))
     change = store.begin()
-    W.build(change, t.stage_executions, t.work_items, t.run_memberships)
+    W.build(change, t.stage_executions, t.work_items, t.run_memberships, _BUCKETS)
     change.commit()
     for state_, condition, new in (("ready", "work_item_id % 5 = 0", F.lit("admitted")), ("admitted", "work_item_id % 3 = 0", F.when(F.col("stage_index") % 2 == 0, "succeeded").otherwise("failed"))):
         change = store.begin()
@@ -190,6 +190,33 @@ def keyset_work_items(t):
     return S.work_items_page(items, stages, campaign, [1000], 40).select("campaign_key", "work_item_id", "work_key", "state")
 
 
+@query("SELECT e.stage_execution_id, CASE WHEN p.stage_execution_id IS NOT NULL THEN 'admitted' ELSE e.state END AS state FROM stage_executions e LEFT JOIN plan p USING (stage_execution_id)", more=_PLAN_SQL)
+def tick_admission(t):
+    """Stages after a tick of admission on a store; the first try fails on its way, and the tick is given again after it was done."""
+    controls = _controls(t).select("stage_control_id", *C.STAGE, "selector", "capacity", "paused")
+    attempts = t.full_attempts.select(F.concat_ws("#", "stage_execution_id", "attempt_number").alias("attempt"), "stage_execution_id", "attempt_number", "workflow_id", "admitted_at", "terminal_at")
+    store = Snapshots(t.spark, shared_dir(t.spark, "ticks"))
+    change = store.begin()
+    ticks.put(change, {"stage_executions": t.stage_executions, "stage_attempts": attempts, "pipeline_runs": t.full_runs, "work_items": t.full_items, "stage_controls": controls}, _BUCKETS)
+    change.commit()
+    admit, tries = ticks.admission_tick(t.declared_stages, _now()), []
+
+    def fails_once(_) -> None:
+        tries.append(1)
+        if len(tries) == 1:
+            raise ConnectionError("lost")
+
+    tick = folds.committed(store, admit, fails_once)
+    for _ in range(3):
+        try:
+            tick(0)
+        except ConnectionError:
+            pass
+    if store.numbers() != [1, 2]:
+        raise RuntimeError("a tick was committed more than once")
+    return store.head().read("stage_executions").select("stage_execution_id", "state")
+
+
 #: Routes of a stage of every campaign, after the labels of its items: by segment, by both labels, or by priority.
 _ROUTES_SQL = """
 routes AS (SELECT campaign_key, CAST(row_number() OVER (PARTITION BY campaign_key ORDER BY segment, urgency) AS INT) AS ordinal, CASE WHEN kind < 2 THEN segment END AS segment, CASE WHEN kind > 0 THEN urgency END AS urgency
@@ -393,6 +420,24 @@ def outcome_successors(t):
     return _applied(t).successors.withColumn("created_at", F.col("created_at").cast("string"))
 
 
+#: Every run once more, under another name and campaign: items of several runs belong to the smallest.
+_AGAIN_SQL = """
+again AS (SELECT concat(m.run_key, '-again') AS run_key, concat(w.campaign_key, '-again') AS campaign_key, m.member_ordinal, w.work_key FROM run_memberships m JOIN work_items w USING (work_item_id)),
+brought AS (SELECT campaign_key, work_key, min(run_key) AS origin FROM again GROUP BY 1, 2)
+"""
+
+
+@query("""SELECT concat(r.run_key, '-again') AS run_key, count(a.work_key) AS registered_count, count(*) FILTER (b.origin = a.run_key) AS created_count, count(*) FILTER (b.origin <> a.run_key) AS reused_count
+FROM pipeline_runs r LEFT JOIN again a ON a.run_key = concat(r.run_key, '-again') LEFT JOIN brought b ON b.campaign_key = a.campaign_key AND b.work_key = a.work_key GROUP BY r.run_key, r.expected_member_count HAVING count(a.work_key) = r.expected_member_count""", more=_AGAIN_SQL)
+def submit_receipts(t):
+    """Runs registered with all their members and closed by one job; those whose members are not as many as expected stay open."""
+    renamed = lambda c: F.concat(c, F.lit("-again"))
+    declarations = t.full_runs.withColumn("run_key", renamed("run_key")).withColumn("campaign_key", renamed("campaign_key")).withColumn("membership_digest", F.lit(None).cast("string")).withColumn("manifest_reference", F.lit(None).cast("string")).withColumn("run_completion_key", F.lit(None).cast("string"))
+    members = t.run_memberships.join(t.full_items, "work_item_id").select(renamed("run_key").alias("run_key"), renamed("campaign_key").alias("campaign_key"), "member_ordinal", "work_key", "input_reference", "labels", "priority")
+    done = R.submit(declarations, members, t.full_runs, t.full_items, t.run_memberships, t.declared_stages, "run-membership/v1", _now())
+    return done.receipts.select("run_key", F.col("registered_count").cast("long"), F.col("created_count").cast("long"), F.col("reused_count").cast("long"))
+
+
 # ---------------------------------------------------------------- completion
 
 _BARRIER_SQL = f"""
@@ -548,6 +593,7 @@ SPOILED = {
         created_at, CASE WHEN stage_attempt_id % 179 = 0 THEN CAST('2026-01-01' AS TIMESTAMP) ELSE admitted_at END AS admitted_at, CASE WHEN stage_attempt_id % 181 = 0 THEN CAST('2026-01-01' AS TIMESTAMP) ELSE terminal_at END AS terminal_at FROM full_attempts""",
     "stage_controls": """SELECT CAST(stage_control_id AS BIGINT) AS stage_control_id, pipeline_key, CASE WHEN stage_control_id = 9 THEN 0 ELSE pipeline_version END AS pipeline_version, stage_key, CASE WHEN stage_control_id IN (3, 4) THEN 'same' ELSE concat(coalesce(label_key, ''), '=', coalesce(label_value, '')) END AS selector_key,
         CASE WHEN stage_control_id = 8 THEN -1 ELSE capacity END AS capacity FROM stage_controls""",
+    "run_barrier_cursor": "SELECT run_key <> 'run-1' AS singleton, run_key AS last_run_key FROM full_runs",
     "run_completion_executions": "SELECT run_completion_execution_id, CASE WHEN run_completion_execution_id % 7 = 0 THEN 'run-1' ELSE run_key END AS run_key, CASE WHEN run_completion_execution_id % 5 = 0 THEN 0 ELSE current_attempt END AS current_attempt, CASE WHEN run_completion_execution_id % 11 = 0 THEN 'succeeded' ELSE state END AS state, output_reference, error_summary, enqueued_at, CASE WHEN run_completion_execution_id % 13 = 0 THEN CAST('2025-01-01' AS TIMESTAMP) ELSE terminal_at END AS terminal_at FROM full_completions WHERE run_completion_execution_id % 17 <> 0",
     "run_completion_attempts": "SELECT run_completion_attempt_id, run_completion_execution_id, CASE WHEN run_completion_execution_id % 3 = 0 THEN 1 ELSE attempt_number END AS attempt_number, workflow_id, CASE WHEN run_completion_execution_id % 19 = 0 THEN 'text' ELSE terminal_summary END AS terminal_summary, created_at, CASE WHEN run_completion_execution_id % 23 = 0 THEN CAST('2025-01-01' AS TIMESTAMP) ELSE enqueued_at END AS enqueued_at, terminal_at FROM full_completion_attempts",
 }
@@ -588,7 +634,7 @@ def immutable_facts(t):
 
 
 #: Buckets of the tables of the snapshot queries.
-_BUCKETS = 64
+_BUCKETS = 16
 
 
 def _store(t: Ledger, **tables: tuple[DataFrame, list[str]]) -> Snapshots:

@@ -13,7 +13,7 @@ from ..operators import changes as C
 from ..operators import status as S
 from ..operators.admission import queue_of
 from ..sources.fixtures import Ledger, oracle_tables
-from ..sources.shared import narrow
+from ..sources.shared import materialize, narrow
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -245,7 +245,9 @@ def _controls(t: Ledger) -> DataFrame:
     """The controls, with those that have placeholder capacities set a little above what is admitted now."""
     occupied = C.control_occupancy(_rows(t), t.stage_controls)
     spare = F.create_map(F.lit(2), F.lit(40), F.lit(3), F.lit(15), F.lit(4), F.lit(15))
-    return occupied.withColumn("capacity", F.coalesce(F.col("occupied") + F.element_at(spare, F.col("stage_control_id")), F.col("capacity").cast("long")))
+    capacity = F.coalesce(F.col("occupied") + F.element_at(spare, F.col("stage_control_id")), F.col("capacity").cast("long"))
+    # a row for each control: counted once, then looked at often
+    return materialize(occupied.withColumn("capacity", capacity), "occupancy")
 
 
 def _rows(t: Ledger) -> DataFrame:

@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import stable_rank
+
 # Stage keys and the forms of references.
 OPTIM, EVALUATED, FANIN = "optim_step", "eval_row", "eval_fanin"
 
 
+def work_items(work: DataFrame, stage_key: str, priority: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Items for rows (campaign_key, work_key), and a ready first stage for each."""
+    items = work.select(
+        F.xxhash64("campaign_key", "work_key").alias("work_item_id"), "campaign_key", "work_key", F.concat(F.lit("run-"), F.col("campaign_key")).alias("origin_run_key"), F.concat(F.lit("input:"), F.col("work_key")).alias("input_reference"),
+        F.create_map(F.lit("kind"), F.lit("sample")).alias("labels"), stable_rank("campaign_key", "work_key").alias("rank"), F.lit(priority).alias("priority"),
+    )
+    stages = items.select(
+        F.xxhash64("work_item_id", F.lit(0)).alias("stage_execution_id"), "work_item_id", F.lit(stage_key).alias("stage_key"), F.lit(0).alias("stage_index"), F.lit("ready").alias("state"), F.lit(0).alias("current_attempt"),
+        "rank", "priority", "input_reference", F.lit(None).cast("string").alias("output_reference"), F.lit(False).alias("barrier"),
+    )
+    return items, stages
+
+
+def succeeded(stages: DataFrame, output: Column, at: Column) -> DataFrame:
+    """The stages as they are after an attempt of each has succeeded with ``output``."""
+    attempt = F.greatest(F.col("current_attempt"), F.lit(1))
+    return stages.withColumn("output_reference", output).withColumn("state", F.lit("succeeded")).withColumn("current_attempt", attempt).withColumn("updated_at", at)
+
+
 def episodes(items: DataFrame, rows: Column, count: Column | None = None) -> DataFrame:
     """Stages of ``count`` (one) deferral episodes for each item: an optimisation step, ``rows`` rows to evaluate, then a fan-in that waits.
 
