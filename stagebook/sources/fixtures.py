@@ -7,6 +7,7 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import shared_dir
 
@@ -191,8 +192,17 @@ def oracle_tables() -> dict[str, str]:
     return {name: f"{name} AS MATERIALIZED ({_ranked(sql.format(**names), 'duckdb')})" for name, sql in TABLES.items()}
 
 
-#: Where the tables of a session and folder were written.
+#: Where the tables of a session and folder were written, and the schemas of all that was read: each is looked up once.
 _WRITTEN: dict[tuple[str, str, str], str] = {}
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
+def _read(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """A Parquet table under the schema that it is known to have; only what is read for the first time is asked for it."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = schema or spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 class Ledger:
@@ -203,7 +213,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
-        self.built: dict[str, DataFrame] = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in SOURCES}
+        self.built: dict[str, DataFrame] = {s: _read(spark, f"{sf_dir}/{s}.parquet") for s in SOURCES}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in self.built:
@@ -214,13 +224,14 @@ class Ledger:
         df = None
         if key in _WRITTEN:
             try:
-                df = self.spark.read.parquet(_WRITTEN[key])
+                df = _read(self.spark, _WRITTEN[key])
             except AnalysisException:  # the folder was cleared
                 pass
         if df is None:
             path = shared_dir(self.spark, f"ledger-{name}")
-            self._derive(name).write.parquet(path)
-            df, _WRITTEN[key] = self.spark.read.parquet(path), path
+            derived = self._derive(name)
+            derived.write.parquet(path)
+            df, _WRITTEN[key] = _read(self.spark, path, derived.schema), path
         self.built[name] = df
         return df
 
