@@ -84,7 +84,7 @@ class LiveCounts:
     ``items`` is not needed.
     """
 
-    def __init__(self, spark: SparkSession, items: DataFrame | None = None, base: str | None = None, buckets: int = 32) -> None:
+    def __init__(self, spark: SparkSession, items: DataFrame | None = None, base: str | None = None, buckets: int = 16) -> None:
         self.store, self.buckets = Snapshots(spark, base or shared_dir(spark, "live-counts")), buckets
         if not self.store.numbers():
             change = self.store.begin()
@@ -121,7 +121,7 @@ class Registration:
 
     ITEM = ("campaign_key", "work_key", "work_item_id", "origin_run_key", "input_reference", "labels", "rank", "priority")
 
-    def __init__(self, spark: SparkSession, items: DataFrame, runs: DataFrame, base: str | None = None, buckets: int = 32) -> None:
+    def __init__(self, spark: SparkSession, items: DataFrame, runs: DataFrame, base: str | None = None, buckets: int = 16) -> None:
         self.store, self.runs, self.buckets = Snapshots(spark, base or shared_dir(spark, "registration")), runs, buckets
         if not self.store.numbers():
             change = self.store.begin()
