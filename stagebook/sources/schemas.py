@@ -31,6 +31,12 @@ READERS = {
     "campaign_summary": "campaign_key string, created_at timestamp, run_count bigint, work_item_count bigint",
     "work_item": """work_item_id bigint, campaign_key string, work_key string, origin_run_key string, labels map<string,string>, current_stage_execution_id bigint,
         current_stage_key string, current_stage_index int, state string""",
+    "run": """run_key string, campaign_key string, pipeline_key string, pipeline_version int, execution_config_reference string, expected_member_count int,
+        manifest_reference string, membership_digest string, created_at timestamp, registration_closed_at timestamp, registered_member_count int, released_at timestamp""",
+    "run_member": """member_ordinal int, work_key string, work_item_id bigint, input_reference string, current_stage_key string, current_stage_index int, state string,
+        stage_execution_id bigint, terminal_summary string, evidence_reference string""",
+    "stage_execution": TABLES["stage_executions"],
+    "stage_attempt": TABLES["stage_attempts"],
     "predecessor_output": "stage_index int, stage_key string, input_reference string, output_reference string",
     "bulk_status": "work_key string, present boolean, work_item_id bigint, current_stage_key string, current_stage_index int, state string",
     "control": "stage_control_id bigint, pipeline_key string, pipeline_version int, stage_key string, selector map<string,string>, capacity int, paused boolean, updated_at timestamp",
