@@ -119,33 +119,9 @@ def closure_check(runs: DataFrame, memberships: DataFrame, items: DataFrame) ->
     return rows.select("run_key", members.alias("members"), gapless.alias("contiguous"), (members == F.col("expected_member_count")).alias("complete"), F.coalesce("created", F.lit(0)).alias("created"), (members - F.coalesce("created", F.lit(0))).alias("reused"))
 
 
-def membership_digests(memberships: DataFrame, items: DataFrame, schema: str) -> DataFrame:
-    """sha256 over the ordered JSON of a run's members, their number and the name of the format (``schema``)."""
-    entry = F.struct("member_ordinal", F.to_json(F.struct("input_reference", F.col("member_ordinal").alias("ordinal"), "work_key")).alias("json"))
-    rows = memberships.join(items.select("work_item_id", "work_key", "input_reference"), "work_item_id").groupBy("run_key").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    text = F.concat(F.lit('{"entries":['), F.array_join(F.transform("entries", lambda e: e["json"]), ","), F.lit('],"expected_member_count":'), F.size("entries").cast("string"), F.lit(',"schema":"' + schema + '"}'))
-    return rows.select("run_key", F.sha2(text, 256).alias("membership_digest"))
-
-
 # ---------------------------------------------------------------- outcomes
 
 
-def classify_outcomes(outcomes: DataFrame, attempts: DataFrame, executions: DataFrame) -> DataFrame:
-    """Each outcome as apply, ignored (cancelled meanwhile), mismatch (identity, attempt or state) or rejected (its own facts)."""
-    at = attempts.select("workflow_id", "stage_execution_id", "attempt_number")
-    stage = executions.select("stage_execution_id", "work_item_id", "stage_key", "stage_index", "state", "current_attempt")
-    rows = outcomes.join(at, "workflow_id", "left").join(stage, "stage_execution_id", "left")
-    current = F.col("attempt_number") == F.col("current_attempt")
-    kind = (
-        F.when(F.col("stage_key").isNull() | (F.col("stage_key") != F.col("expected_stage_key")), "mismatch")
-        .when(current & (F.col("state") == "cancelled"), "ignored")
-        .when(~current | (F.col("state") != "admitted"), "mismatch")
-        .when(F.col("succeeded") != F.col("output_reference").isNotNull(), "rejected")
-        .otherwise("apply")
-    )
-    return rows.withColumn("kind", kind)
-
-
 def fanout_problems(successors: DataFrame, eval_key: str, fanin_key: str) -> DataFrame:
     """Per origin (``origin_id, origin_index``) the first thing wrong with its successors as rows to evaluate plus one fan-in; null if all is well."""
     if eval_key == fanin_key:
@@ -255,13 +231,6 @@ def sweep(admitted: DataFrame, workflow_status: DataFrame, live_version: str, li
     return rows.withColumn("new_state", state).withColumn("reason", reason).drop("alive", "version")
 
 
-def retries(executions: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Requested executions: failed ones get the next attempt and become ready, others are rejected."""
-    rows = wanted.select("stage_execution_id").dropDuplicates().join(executions.select("stage_execution_id", "state", "current_attempt"), "stage_execution_id", "left")
-    ok = F.coalesce(F.col("state") == "failed", F.lit(False))
-    return rows.select("stage_execution_id", F.when(ok, "retry").when(F.col("state").isNull(), "unknown").otherwise("not_failed").alias("disposition"), F.when(ok, F.col("current_attempt") + 1).alias("attempt_number"))
-
-
 def cancellations(executions: DataFrame, wanted: DataFrame, attempts: DataFrame) -> DataFrame:
     """Open executions of requested items: all become cancelled; admitted ones also name the workflow to cancel."""
     rows = executions.where("state IN ('ready', 'admitted', 'failed')").join(wanted.select("work_item_id").dropDuplicates(), "work_item_id", "left_semi")
@@ -314,12 +283,3 @@ def apply_changes(table: DataFrame, key: str, updates: DataFrame, inserts: DataF
     if inserts is not None:
         out = out.unionByName(inserts.dropDuplicates([key]).join(table.select(key), key, "left_anti").select(*table.columns))
     return out
-
-
-
-def write_snapshot(tables: dict[str, DataFrame], base: str, tag: str) -> str:
-    """Write the next snapshot of the named tables to a new folder below ``base`` and return it; the caller moves its pointer there."""
-    folder = f"{base}/snapshot-{tag}"
-    for name, rows in tables.items():
-        rows.write.mode("errorifexists").parquet(f"{folder}/{name}")
-    return folder

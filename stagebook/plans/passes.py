@@ -350,9 +350,9 @@ closures AS (SELECT c.*, CASE WHEN NOT ok THEN 'gapless' WHEN n <> expected_memb
 
 
 def _closures(t: Ledger) -> tuple[DataFrame, DataFrame]:
-    """All runs as if they were open, some members lost; a third declare no digest, a third their own (worked out in the other way) and a third another one."""
+    """All runs as if they were open, some members lost; a third declare no digest, a third their own and a third another one."""
     none = F.sha2(F.lit('{"entries":[],"expected_member_count":0,"schema":"run-membership/v1"}'), 256)
-    own = C.membership_digests(t.run_memberships, t.work_items, "run-membership/v1").withColumnRenamed("membership_digest", "own")
+    own = R.ordered_digests(t.run_memberships, t.work_items, "run-membership/v1").select("run_key", F.col("membership_digest").alias("own"))
     share = F.col("expected_member_count") % 3
     runs = t.pipeline_runs.join(own, "run_key", "left").withColumn("registration_closed_at", F.lit(None).cast("timestamp"))
     runs = runs.withColumn("membership_digest", F.when(share == 1, F.coalesce("own", none)).when(share == 2, F.lit("digest:other")))

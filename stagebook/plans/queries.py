@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import changes as C
+from ..operators import outcomes as O
+from ..operators import recovery as V
+from ..operators import registration as R
 from ..operators import status as S
 from ..operators.admission import queue_of
 from ..sources.fixtures import Ledger, oracle_tables
@@ -233,7 +236,7 @@ def completion_workflow_ids(t):
 
 @query("""SELECT run_key, sha256('{"entries":[' || string_agg('{"input_reference":"' || input_reference || '","ordinal":' || member_ordinal || ',"work_key":"' || work_key || '"}', ',' ORDER BY member_ordinal) || '],"expected_member_count":' || count(*) || ',"schema":"run-membership/v1"}') AS membership_digest FROM run_memberships JOIN work_items USING (work_item_id) GROUP BY run_key""")
 def membership_digest(t):
-    return C.membership_digests(t.run_memberships, t.work_items, "run-membership/v1")
+    return R.ordered_digests(t.run_memberships, t.work_items, "run-membership/v1").select("run_key", "membership_digest")
 
 
 # ---------------------------------------------------------------- admission
@@ -313,7 +316,7 @@ def attempts_to_admit(t):
 @query("SELECT stage_execution_id, current_attempt + 1 AS attempt_number FROM stage_executions WHERE state IN ('ready', 'failed')")
 def attempts_to_admit_retried(t):
     """All ready rows after every failed stage was retried: those hold their next attempt already."""
-    retried = C.retries(t.stage_executions, t.stage_executions.where("state = 'failed'")).where("disposition = 'retry'")
+    retried = V.retry_stages(t.stage_executions.where("state = 'failed'"), t.stage_executions, _attempts(t)).where("disposition = 'retry'")
     updates = retried.select("stage_execution_id", F.lit("ready").alias("state"), F.col("attempt_number").alias("current_attempt"))
     executions = C.apply_changes(t.stage_executions, "stage_execution_id", updates)
     prepared = retried.select("stage_execution_id", "attempt_number", F.lit(None).cast("timestamp").alias("admitted_at"), F.lit(None).cast("timestamp").alias("terminal_at"))
@@ -366,15 +369,26 @@ _OUTCOME_SQL = """(SELECT o.workflow_id, e.stage_execution_id, e.work_item_id, e
 FROM stage_outcomes o JOIN stage_attempts a USING (workflow_id) JOIN stage_executions e USING (stage_execution_id))"""
 
 
+def _judged_outcomes(t: Ledger) -> DataFrame:
+    """Outcomes that say nothing beyond success and output, with the kind that each is given."""
+    none = F.lit(None).cast("string")
+    said = t.stage_outcomes.select(
+        "*", none.alias("evidence_reference"), none.alias("error_type"), none.alias("message"), F.lit(False).alias("linear"), F.to_timestamp(F.lit("2026-07-17")).alias("completed_at"),
+        F.array().cast("array<struct<stage_key:string,stage_index:int,input_reference:string,barrier:boolean>>").alias("successors"),
+    )
+    return O.apply_outcomes(said, t.full_attempts, t.full_executions, t.full_items, t.full_runs, t.declared_stages).kinds.select("workflow_id", "kind")
+
+
 @query(f"SELECT workflow_id, kind FROM {_OUTCOME_SQL}")
 def outcome_classify(t):
-    return C.classify_outcomes(t.stage_outcomes, t.stage_attempts, t.stage_executions).select("workflow_id", "kind")
+    return _judged_outcomes(t)
 
 
 @query(f"SELECT c.work_item_id, c.stage_index + 1 AS stage_index, 'ready' AS state, e.output_reference AS input_reference FROM {_OUTCOME_SQL} c JOIN stage_outcomes e USING (workflow_id) WHERE c.kind = 'apply' AND c.succeeded AND NOT EXISTS (SELECT 1 FROM stage_executions x WHERE x.work_item_id = c.work_item_id AND x.stage_index = c.stage_index + 1)")
 def successor_rows(t):
-    done = C.classify_outcomes(t.stage_outcomes, t.stage_attempts, t.stage_executions.drop("output_reference")).where("kind = 'apply' AND succeeded")
-    new = done.select("work_item_id", (F.col("stage_index") + 1).alias("stage_index"), F.lit("ready").alias("state"), F.col("output_reference").alias("input_reference"))
+    done = _judged_outcomes(t).where("kind = 'apply'").join(t.stage_outcomes.where("succeeded").select("workflow_id", "output_reference"), "workflow_id")
+    placed = t.stage_attempts.select("workflow_id", "stage_execution_id").join(t.stage_executions.select("stage_execution_id", "work_item_id", "stage_index"), "stage_execution_id")
+    new = done.join(placed, "workflow_id").select("work_item_id", (F.col("stage_index") + 1).alias("stage_index"), F.lit("ready").alias("state"), F.col("output_reference").alias("input_reference"))
     return new.join(t.stage_executions.select("work_item_id", "stage_index"), ["work_item_id", "stage_index"], "left_anti")
 
 
@@ -478,7 +492,7 @@ def sweep_completions(t):
 @query("SELECT k.id AS stage_execution_id, CASE WHEN e.state = 'failed' THEN 'retry' WHEN e.state IS NULL THEN 'unknown' ELSE 'not_failed' END AS disposition, CASE WHEN e.state = 'failed' THEN e.current_attempt + 1 END AS attempt_number FROM (SELECT DISTINCT stage_execution_id + CASE WHEN stage_index = 0 THEN 50 ELSE 0 END AS id FROM stage_executions WHERE work_item_id % 4 = 0) k LEFT JOIN stage_executions e ON e.stage_execution_id = k.id")
 def retry_stages(t):
     wanted = t.stage_executions.where("work_item_id % 4 = 0").selectExpr("stage_execution_id + CASE WHEN stage_index = 0 THEN 50 ELSE 0 END AS stage_execution_id")
-    return C.retries(t.stage_executions, wanted)
+    return V.retry_stages(wanted, t.stage_executions, _attempts(t))
 
 
 @query("SELECT run_key, current_attempt + 1 AS attempt_number, 'enqueued' AS state FROM run_completion_executions WHERE state = 'failed'")
@@ -496,10 +510,17 @@ def cancel_redelegate(t):
     return C.redelegations(t.stage_executions, t.work_items.where("work_item_id % 2 = 0"), t.stage_attempts)
 
 
+def _set_to_seven(t: Ledger, items: DataFrame) -> DataFrame:
+    """The stages that a new priority of items reaches, with the workflow of admitted ones."""
+    wanted = items.select("campaign_key", "work_key", F.lit(7).alias("priority"))
+    told = V.set_priorities(wanted, t.work_items, t.full_executions, t.stage_attempts, F.to_timestamp(F.lit("2026-07-03")))
+    running = told.workflows.select("workflow_id").join(t.stage_attempts.select("workflow_id", "stage_execution_id"), "workflow_id")
+    return told.executions.select("stage_execution_id", "priority").join(running, "stage_execution_id", "left")
+
+
 @query("SELECT e.stage_execution_id, 7 AS priority, CASE WHEN e.state = 'admitted' THEN c.workflow_id END AS workflow_id FROM stage_executions e LEFT JOIN current c USING (stage_execution_id) WHERE e.work_item_id % 9 = 0 AND e.state IN ('ready', 'admitted', 'failed')")
 def set_priority(t):
-    rows = C.cancellations(t.stage_executions, t.work_items.where("work_item_id % 9 = 0"), t.stage_attempts)
-    return rows.select("stage_execution_id", F.lit(7).alias("priority"), F.col("delegated_workflow_id").alias("workflow_id"))
+    return _set_to_seven(t, t.work_items.where("work_item_id % 9 = 0"))
 
 
 # ---------------------------------------------------------------- integrity and merge
@@ -614,7 +635,7 @@ def ready_order_all(t):
 @query("SELECT k.id AS stage_execution_id, CASE WHEN e.state = 'failed' THEN 'retry' WHEN e.state IS NULL THEN 'unknown' ELSE 'not_failed' END AS disposition, CASE WHEN e.state = 'failed' THEN e.current_attempt + 1 END AS attempt_number FROM (SELECT stage_execution_id AS id FROM stage_executions UNION ALL SELECT -stage_execution_id FROM stage_executions) k LEFT JOIN stage_executions e ON e.stage_execution_id = k.id")
 def retry_stages_all(t):
     known = t.stage_executions.select("stage_execution_id")
-    return C.retries(t.stage_executions, known.unionByName(known.select((-F.col("stage_execution_id")).alias("stage_execution_id"))))
+    return V.retry_stages(known.unionByName(known.select((-F.col("stage_execution_id")).alias("stage_execution_id"))), t.stage_executions, _attempts(t))
 
 
 @query("SELECT e.work_item_id, e.stage_execution_id, CASE WHEN e.state = 'admitted' THEN 'delegated' ELSE 'cancelled' END AS disposition, CASE WHEN e.state = 'admitted' THEN c.workflow_id END AS delegated_workflow_id FROM stage_executions e LEFT JOIN current c USING (stage_execution_id) WHERE e.state IN ('ready', 'admitted', 'failed')")
@@ -629,5 +650,5 @@ def cancel_redelegate_all(t):
 
 @query("SELECT e.stage_execution_id, 7 AS priority, CASE WHEN e.state = 'admitted' THEN c.workflow_id END AS workflow_id FROM stage_executions e LEFT JOIN current c USING (stage_execution_id) WHERE e.state IN ('ready', 'admitted', 'failed')")
 def set_priority_all(t):
-    rows = C.cancellations(t.stage_executions, _absent(t.work_items), t.stage_attempts)
-    return rows.select("stage_execution_id", F.lit(7).alias("priority"), F.col("delegated_workflow_id").alias("workflow_id"))
+    keys = t.work_items.select("campaign_key", "work_key")
+    return _set_to_seven(t, keys.unionByName(keys.select("campaign_key", F.concat("work_key", F.lit("-none")).alias("work_key"))))

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -206,13 +207,13 @@ def test_overlapping_runs_and_absent_or_empty_runs(spark):
     assert got == [("empty", True, None, 0), ("missing", False, None, 0)]
 
 
-def test_digests_pinned_and_alike(spark):
+def test_digests_pinned(spark):
     pinned = [("work-0", "input:0"), ("work-1", "input:1")]
     items = spark.createDataFrame([(i, w, r) for i, (w, r) in enumerate(pinned)] + [(9, "z", "y")], "work_item_id long, work_key string, input_reference string")
     members = spark.createDataFrame([("r", 1, 1), ("r", 0, 0), ("s", 0, 9)], "run_key string, member_ordinal int, work_item_id long")
-    both = [f(members, items, "run-membership/v1").select("run_key", "membership_digest").collect() for f in (C.membership_digests, R.ordered_digests)]
-    got = [{r["run_key"]: r["membership_digest"] for r in rows} for rows in both]
-    assert got[0] == got[1] and len(got[0]) == 2
+    got = {r["run_key"]: r["membership_digest"] for r in R.ordered_digests(members, items, "run-membership/v1").collect()}
+    text = lambda *rows: json.dumps({"entries": [{"input_reference": r, "ordinal": k, "work_key": w} for k, (w, r) in enumerate(rows)], "expected_member_count": len(rows), "schema": "run-membership/v1"}, separators=(",", ":"))
+    assert got == {"r": hashlib.sha256(text(*pinned).encode()).hexdigest(), "s": hashlib.sha256(text(("z", "y")).encode()).hexdigest()}
     assert R.ordered_digests(members.limit(0), items, "v").count() == 0
 
 
@@ -267,9 +268,8 @@ def test_a_pass_runs_on_every_tick(spark):
     assert folds.periodically(spark, seen.append, 0.2, times=2) == 2 and len(seen) == 2
 
 
-def test_snapshots_keep_guards_and_ignore_known_rows(spark, tmp_path):
+def test_changes_keep_guards_and_ignore_known_rows(spark):
     table = spark.createDataFrame([(1, "ready", 0), (2, "ready", 1), (3, "failed", 1)], "id long, state string, attempt int")
     updates = spark.createDataFrame([(1, "admitted", "ready", 0), (2, "admitted", "ready", 0), (3, "ready", "admitted", 1)], "id long, state string, expected_state string, expected_attempt int")
     inserts = spark.createDataFrame([(3, "new", 9), (4, "new", 0), (4, "new", 0)], "id long, state string, attempt int")
-    folder = C.write_snapshot({"stages": C.apply_changes(table, "id", updates, inserts, guard=["state", "attempt"])}, str(tmp_path), "1")
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{folder}/stages").collect()) == [(1, "admitted", 0), (2, "ready", 1), (3, "failed", 1), (4, "new", 0)]
+    assert sorted(tuple(r) for r in C.apply_changes(table, "id", updates, inserts, guard=["state", "attempt"]).collect()) == [(1, "admitted", 0), (2, "ready", 1), (3, "failed", 1), (4, "new", 0)]

@@ -141,7 +141,7 @@ def test_pages_of_members_with_and_without_a_condition(spark, small_blocks):
 
 
 def test_records_of_stages_and_outputs(spark):
-    _, items, stages = ledger(spark, 8, 12)
+    _, items, stages = ledger(spark, 8, 40)
     attempts = [{"stage_attempt_id": s["stage_execution_id"] * 3 + a, "stage_execution_id": s["stage_execution_id"], "attempt_number": a, "workflow_id": f"w{a}"} for s in stages for a in (2, 1) if s["stage_index"]]
     executions = table(spark, "stage_executions", stages)
     ids = [i["work_item_id"] for i in items]
