@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.expressions import MOVES, stable_rank
 from ..operators.registration import register_members
-from ..sources.shared import materialize, shared_dir
+from ..sources.shared import materialize, narrow, shared_dir
 from ..sources.snapshots import Change, Snapshots
-from .state import rocksdb
+from .state import for_streams
 
 _LEGAL = frozenset(MOVES)
 #: Level of what a log begins with: appended batches are not merged into it until there are a great many of them.
@@ -97,8 +97,10 @@ class LiveCounts:
         at = self.store.head()
         if k <= at.batch:
             return
-        moves = materialize(moves, "moves")
-        items = at.read("items", at.buckets_of("items", moves))
+        moves = materialize(moves.where("accepted"), "moves")
+        # the items of a batch go to the table, which is not shuffled
+        moved = narrow(moves.select("work_item_id").distinct())
+        items = at.read("items", at.buckets_of("items", moves)).join(moved, "work_item_id", "left_semi")
         change = self.store.begin(at)
         change.append("counts", state_deltas(moves, items).withColumnRenamed("delta", "n"), ["campaign_key"], self.buckets, _summed_counts)
         change.commit(k)
@@ -155,13 +157,16 @@ class Registration:
         return self.store.head().read(what)
 
 
-def in_files(rows: DataFrame, file: Column, n: int, tag: str) -> str:
-    """Write rows as ``n`` files, one after the other by their number from 0, for a stream that takes one file a trigger; returns the folder.
+def in_files(rows: DataFrame, file: Column, n: int, tag: str, path: str | None = None, first: int = 0) -> str:
+    """Write rows as ``n`` files from number ``first`` on, one after the other, for a stream that takes one file a trigger; returns the folder.
 
-    A file is written by one task: ``n`` has to grow with the rows.
+    The rows are dealt out by their number in one job; each file is then written from its own rows alone, by one task: ``n`` has
+    to grow with the rows. With ``path`` the files follow those that are there.
     """
-    numbered, path = materialize(rows.withColumn("_file", file), tag), shared_dir(rows.sparkSession, f"{tag}-files")
-    for k in range(n):
+    spark, dealt, path = rows.sparkSession, shared_dir(rows.sparkSession, tag), path or shared_dir(rows.sparkSession, f"{tag}-files")
+    rows.withColumn("_file", file.cast("int")).repartition(n, "_file").write.partitionBy("_file").parquet(dealt)
+    numbered = spark.read.schema(StructType([*rows.schema.fields, StructField("_file", IntegerType())])).parquet(dealt)
+    for k in range(first, first + n):
         numbered.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
     return path
 
@@ -182,7 +187,7 @@ def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append", each:
     def write(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
 
-    with rocksdb(spark):
+    with for_streams(spark):
         query = stream.writeStream.outputMode(mode).foreachBatch(each or write).option("checkpointLocation", f"{state or base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     if each:

@@ -219,3 +219,24 @@ def test_a_failed_and_repeated_tick_leaves_one_version(spark, store):
     assert [tick(0), tick(0), folds.committed(store, admit, release)(0)] == [True, False, False]
     assert store.numbers() == [1, 2] and done == [3, 3] and store.head().read("outbox").count() == 3
     assert folds.periodically(spark, folds.committed(store, release), 0.2, times=2) == 2 and store.head().batch >= 1
+
+
+def test_files_of_a_stream_follow_each_other_and_keep_their_rows(spark, tmp_path):
+    """Files from a number on are added behind those that are there, an empty one too, and each row is dealt out once."""
+    rows = spark.range(60).withColumn("seq", F.col("id"))
+    file = F.when(F.col("id") < 20, 0).when(F.col("id") < 40, 1).otherwise(3)  # nothing for 2
+    path = folds.in_files(rows.where("id < 40"), file, 2, "dealt")
+    assert folds.in_files(rows.where("id >= 40"), file, 2, "dealt", path, 2) == path
+    out = folds.run_once(spark, folds.read_files(spark, path, rows.schema), numbered=True)
+    assert sorted((r["id"], r["batch"]) for r in out.collect()) == [(k, (0, 1, 3)[k // 20]) for k in range(60)]
+
+
+def test_streams_keep_a_bounded_number_of_parts(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "999")
+    try:
+        with state.for_streams(spark):
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) <= max(4, spark.sparkContext.defaultParallelism)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "999"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
