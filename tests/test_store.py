@@ -240,3 +240,11 @@ def test_streams_keep_a_bounded_number_of_parts(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "999"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_memberships_at_the_start_are_looked_up_and_not_put_into_the_state(spark):
+    stream = spark.readStream.format("rate").load().selectExpr("value AS work_item_id", "value AS seq", "'failed' AS new_state", "CAST(NULL AS STRING) AS run_key", "false AS closes")
+    members = spark.createDataFrame([(1, "a", True)], "work_item_id long, run_key string, open boolean")
+    runs = spark.createDataFrame([("a", 1, True, False)], "run_key string, open long, closed boolean, released boolean")
+    plan = state.settled_runs(stream, members, runs)._jdf.queryExecution().logical().toString()
+    assert plan.count("TransformWithStateIn") == 2 and plan.count("LocalRelation <empty>") >= 2
