@@ -108,8 +108,11 @@ def admission_outbox(t):
 
 @query(f"""SELECT w.pipeline_key, w.pipeline_version, w.stage_key, CASE WHEN p.stage_execution_id IS NOT NULL THEN 'admitted' WHEN NOT {_CONFIGURED_SQL} THEN 'unconfigured' WHEN {_PAUSE_SQL} THEN 'paused'
   WHEN w.barrier AND g.blocked THEN 'barrier' ELSE 'capacity' END AS reason, count(*) AS n
-FROM arows w JOIN gate g USING (stage_execution_id) LEFT JOIN plan p USING (stage_execution_id) WHERE w.state = 'ready' GROUP BY ALL""", more=_PLAN_SQL)
+FROM arows w JOIN gate g USING (stage_execution_id) LEFT JOIN plan p USING (stage_execution_id), reach
+WHERE w.state = 'ready' AND (reach.n < 10000 OR row(w.priority, {RANK_SQL.format(c='w.campaign_key', w='w.work_key')}, w.stage_execution_id) <= reach.last) GROUP BY ALL""",
+    more=f"{_PLAN_SQL}, reach AS (SELECT count(*) AS n, max(row(priority, rank, stage_execution_id)) AS last FROM plan)")
 def admission_pass_summary(t):
+    """Rows by what became of them, up to the last admitted one if the batch of 10,000 is full."""
     return _pass(t).summary
 
 
