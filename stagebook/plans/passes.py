@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ..operators import views as W
 from ..sources import pages, schemas, seeders
 from ..sources.fixtures import Ledger
 from ..sources.shared import shared_dir
-from ..sources.snapshots import Conflict, Snapshots
+from ..sources.snapshots import Conflict, Snapshots, buckets_for
 from ..streaming import folds, state, ticks
 from .queries import _CANDIDATES_SQL, _CONFIGURED_SQL, _PAUSE_SQL, RANK_SQL, _controls, query
 
@@ -84,8 +86,8 @@ def _pass(t: Ledger, batch: int = 10_000) -> A.Pass:
     attempts = t.full_attempts.select("stage_execution_id", "attempt_number", "workflow_id", "admitted_at", "terminal_at")
     attempts = attempts.unionByName(prepared.withColumn("admitted_at", none).withColumn("terminal_at", none))
     executions = t.stage_executions.withColumn("current_attempt", F.when((F.col("state") == "ready") & (F.col("stage_execution_id") % 3 == 0), 1).otherwise(F.col("current_attempt")))
-    rows = C.admission_rows(executions, t.full_items, t.pipeline_runs)
-    return A.admission_pass(executions, rows, _controls(t), attempts, t.declared_stages, _now(), batch)
+    facts = partial(C.admission_rows, executions, t.full_items, t.pipeline_runs)
+    return A.admission_pass(executions, facts(), _controls(t), attempts, t.declared_stages, _now(), batch, facts=facts)
 
 
 @query(f"SELECT stage_execution_id, 'admitted' AS state, 1 AS current_attempt, '{_AT}' AS updated_at, 'ready' AS expected FROM pass", more=f"{_PLAN_SQL}, {_PREPARED_SQL}")
@@ -149,7 +151,7 @@ def _viewed(t: Ledger):
     """The version of the status view after both rounds."""
     store = Snapshots(t.spark, shared_dir(t.spark, "views"))
     change = store.begin()
-    W.build(change, t.stage_executions, t.work_items, t.run_memberships, _BUCKETS)
+    W.build(change, t.stage_executions, t.work_items, t.run_memberships, buckets_for(t.stage_executions, _BUCKETS))
     change.commit()
     for state_, condition, new in (("ready", "work_item_id % 5 = 0", F.lit("admitted")), ("admitted", "work_item_id % 3 = 0", F.when(F.col("stage_index") % 2 == 0, "succeeded").otherwise("failed"))):
         change = store.begin()
@@ -638,7 +640,7 @@ def immutable_facts(t):
     return I.changed_facts(t.full_runs, _spoiled(t, "pipeline_runs")["pipeline_runs"])
 
 
-#: Buckets of the tables of the snapshot queries.
+#: Buckets of the tables of the snapshot queries at least.
 _BUCKETS = 16
 
 
@@ -646,7 +648,7 @@ def _store(t: Ledger, **tables: tuple[DataFrame, list[str]]) -> Snapshots:
     store = Snapshots(t.spark, shared_dir(t.spark, "store"))
     change = store.begin()
     for name, (rows, keys) in tables.items():
-        change.create(name, rows, keys, _BUCKETS)
+        change.create(name, rows, keys, buckets_for(rows, _BUCKETS))
     change.commit()
     return store
 
@@ -675,7 +677,7 @@ def snapshot_immutable_facts(t):
     """As ``immutable_facts``, between two versions: buckets with equal digests are not read."""
     store = _store(t, pipeline_runs=(t.full_runs, ["run_key"]))
     change = store.begin()
-    change.create("pipeline_runs", _spoiled(t, "pipeline_runs")["pipeline_runs"].select(*t.full_runs.columns), ["run_key"], _BUCKETS)
+    change.create("pipeline_runs", _spoiled(t, "pipeline_runs")["pipeline_runs"].select(*t.full_runs.columns), ["run_key"], store.head().tables["pipeline_runs"].buckets)
     return I.changed_facts_between(store.head(), change.commit())
 
 
@@ -686,7 +688,7 @@ def snapshot_frozen_memberships(t):
     store = _store(t, run_memberships=(own, ["run_key", "member_ordinal"]), pipeline_runs=(t.pipeline_runs, ["run_key"]))
     change = store.begin()
     more = own.where("work_item_id % 3700 = 74").withColumn("member_ordinal", (F.col("member_ordinal") + 1_000_000).cast("int"))
-    change.create("run_memberships", own.where("work_item_id % 3700 <> 37").unionByName(more), ["run_key", "member_ordinal"], _BUCKETS)
+    change.create("run_memberships", own.where("work_item_id % 3700 <> 37").unionByName(more), ["run_key", "member_ordinal"], store.head().tables["run_memberships"].buckets)
     return I.frozen_members_between(store.head(), change.commit())
 
 

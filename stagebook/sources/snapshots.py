@@ -22,11 +22,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StructField, StructType
 
-from .shared import materialize
+from .shared import BROADCAST_ROWS, materialize
 
 #: Subtrees of a node of the hash tree, and folders of one level in a bucket before they are merged into one of the next.
 FANOUT, MERGE = 16, 4
 
+#: Rows of a bucket, about.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(rows: DataFrame, least: int) -> int:
+    """How many buckets a table needs that begins with these rows, as a bucket is one task and file."""
+    return max(least, -(-rows.count() // BUCKET_ROWS))
+
 
 class Conflict(Exception):
     """Another writer has committed the version first."""
@@ -165,10 +173,11 @@ class Change:
         """The state after what was done so far."""
         return replace(self.start, tables=self.tables)
 
-    def _write(self, table: Table, rows: DataFrame) -> str:
-        folder = uuid.uuid4().hex
-        # a bucket's rows meet in one task and file: the number of buckets has to grow with the table
-        rows.withColumn("bucket", table.bucket()).repartition(table.buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.store.base}/data/{folder}")
+    def _write(self, table: Table, rows: DataFrame, placed: bool = False) -> str:
+        """A new folder of rows, a file a bucket; rows that are ``placed`` are written from where they are, as tasks read whole files of buckets."""
+        folder, rows = uuid.uuid4().hex, rows.withColumn("bucket", table.bucket())
+        rows = rows if placed else rows.repartitionById(table.buckets, "bucket")
+        rows.write.partitionBy("bucket").parquet(f"{self.store.base}/data/{folder}", compression="zstd")
         return folder
 
     def _seen(self, folder: str, schema: StructType) -> DataFrame:
@@ -204,12 +213,15 @@ class Change:
         inserts = None if inserts is None else materialize(inserts, "inserts")
         touched = self.now().buckets_of(name, updates, *([] if inserts is None else [inserts]))
         if touched:
-            new = apply_changes(self.now().read(name, touched), key, updates, inserts, guard)
+            # few changes go to the rows, which stay in the tasks that read their buckets; each time inserts add a file to a bucket, until it is dealt out again
+            worn = max([level for b in touched for _, level in table.entries.get(str(b), [])], default=0) + (inserts is not None)
+            placed = worn < MERGE and updates.count() <= BROADCAST_ROWS
+            new = apply_changes(self.now().read(name, touched), key, F.broadcast(updates) if placed else updates, inserts, guard)
             schema = StructType.fromJson(json.loads(table.schema))
-            folder = self._write(table, new)
+            folder = self._write(table, new, placed)
             fresh = self._digests(folder, schema)
             kept = lambda d: {b: x for b, x in d.items() if int(b) not in set(touched)}
-            self.tables[name] = replace(table, entries=kept(table.entries) | {b: [[folder, 0]] for b in fresh}, digests=kept(table.digests) | fresh)
+            self.tables[name] = replace(table, entries=kept(table.entries) | {b: [[folder, worn if placed else 0]] for b in fresh}, digests=kept(table.digests) | fresh)
         return touched
 
     def append(self, name: str, rows: DataFrame, keys: list[str], buckets: int = 64, merge: Callable[[DataFrame], DataFrame] | None = None, level: int = 0) -> None:

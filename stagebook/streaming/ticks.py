@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import admission, changes, completion, recovery
 from ..sources.shared import materialize
-from ..sources.snapshots import Change
+from ..sources.snapshots import Change, buckets_for
 
 #: Tables and how they lie: stages and attempts by their stage, runs by key, the outbox as a log.
 STAGES, ATTEMPTS, RUNS, ITEMS, MEMBERS, CONTROLS, OUTBOX = "stage_executions", "stage_attempts", "pipeline_runs", "work_items", "run_memberships", "stage_controls", "outbox"
 
 
 def put(change: Change, tables: dict[str, DataFrame], buckets: int = 64) -> None:
-    """Begin a store with the ledger's tables."""
+    """Begin a store with the ledger's tables, in ``buckets`` or more, as their rows ask for."""
     keys = {STAGES: ["stage_execution_id"], ATTEMPTS: ["stage_execution_id"], RUNS: ["run_key"], ITEMS: ["work_item_id"], MEMBERS: ["run_key", "member_ordinal"], CONTROLS: ["stage_control_id"]}
     for name, rows in tables.items():
-        change.create(name, rows, keys[name], buckets)
+        change.create(name, rows, keys[name], buckets_for(rows, buckets))
 
 
 def _send(change: Change, tick: str, rows: DataFrame) -> None:
@@ -32,9 +33,10 @@ def admission_tick(declared: DataFrame, at: Column, batch: int = 10_000) -> Call
     def run(change: Change) -> None:
         now = change.now()
         stages, attempts = now.read(STAGES), now.read(ATTEMPTS)
-        rows = changes.admission_rows(stages, now.read(ITEMS), now.read(RUNS))
+        facts = partial(changes.admission_rows, stages, now.read(ITEMS), now.read(RUNS))
+        rows = facts()
         occupancy = materialize(changes.control_occupancy(rows, now.read(CONTROLS)), "occupancy")
-        done = admission.admission_pass(stages, rows, occupancy, attempts, declared, at, batch)
+        done = admission.admission_pass(stages, rows, occupancy, attempts, declared, at, batch, facts=facts)
         change.update(STAGES, done.executions.select("stage_execution_id", "state", "current_attempt", "expected"), guard="state")
         written = materialize(done.attempts, "admitted-attempts")
         prepared = written.where("NOT appended").select(F.concat_ws("#", "stage_execution_id", "attempt_number").alias("attempt"), "stage_execution_id", "admitted_at")
