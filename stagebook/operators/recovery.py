@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.expressions import blank_as_absent, not_before, valid_priority
+from ..sources.shared import materialize, parts
 from .changes import sweep
 
 # Fixed value: the name of a process that runs alone.
@@ -83,14 +85,18 @@ def set_priorities(wanted: DataFrame, items: DataFrame, executions: DataFrame, a
     several times with other priorities are rejected.
     """
     key = ["campaign_key", "work_key"]
-    asked = wanted.select(*key, "priority").distinct()
-    times = asked.groupBy(*key).agg(F.count("*").alias("times"))
-    rows = asked.join(times, key).join(items.select(*key, "work_item_id"), key, "left")
+    # one deal by key serves repeats, counts and the join
+    n = parts(wanted.sparkSession, wanted, items)
+    asked = wanted.select(*key, "priority").repartition(n, *key).distinct().withColumn("times", F.count("*").over(Window.partitionBy(*key)))
+    rows = asked.join(items.select(*key, "work_item_id").repartition(n, *key), key, "left")
     reason = F.when(F.col("work_item_id").isNull(), "unknown").when(F.col("times") > 1, "repeated").when(~valid_priority("priority"), "out_of_range")
     judged = rows.withColumn("reason", reason)
-    good = judged.where("reason IS NULL").select("work_item_id", "priority")
-    open_ = executions.where("state IN ('ready', 'admitted', 'failed')").drop("priority").join(good, "work_item_id")
-    current = attempts.select("stage_execution_id", F.col("attempt_number").alias("current_attempt"), "workflow_id")
-    admitted = open_.where("state = 'admitted'").join(current, ["stage_execution_id", "current_attempt"])
+    good = materialize(judged.where("reason IS NULL").select("work_item_id", "priority"), "good-priorities")
+    n = parts(wanted.sparkSession, good, executions, attempts)
+    rows = executions.where("state IN ('ready', 'admitted', 'failed')").drop("priority").repartition(n, "work_item_id")
+    open_ = rows.join(good.repartition(n, "work_item_id"), "work_item_id")
+    running = ["stage_execution_id", "current_attempt"]
+    current = attempts.select("stage_execution_id", F.col("attempt_number").alias("current_attempt"), "workflow_id").repartition(n, *running)
+    admitted = open_.where("state = 'admitted'").repartition(n, *running).join(current, running)
     changes = open_.select("stage_execution_id", "priority", not_before(at, "created_at").alias("updated_at"), F.col("state").alias("expected"))
-    return Priorities(good, changes, admitted.select("workflow_id", "priority"), judged.where("reason IS NOT NULL").select(*key, "priority", "reason"))
+    return Priorities(good, changes, admitted.select("stage_execution_id", "workflow_id", "priority"), judged.where("reason IS NOT NULL").select(*key, "priority", "reason"))

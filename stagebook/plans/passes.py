@@ -575,7 +575,7 @@ def priority_changes(t):
 
 @query("SELECT c.workflow_id, p.priority FROM stage_executions e JOIN told p USING (work_item_id) JOIN current c USING (stage_execution_id) WHERE p.reason IS NULL AND e.state = 'admitted'", more=_PRIORITY_SQL)
 def priority_workflows(t):
-    return _priorities(t).workflows
+    return _priorities(t).workflows.drop("stage_execution_id")
 
 
 @query("SELECT campaign_key, work_key, priority, reason FROM told WHERE reason IS NOT NULL", more=_PRIORITY_SQL)
