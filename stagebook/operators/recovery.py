@@ -61,10 +61,15 @@ def sweep_summary(swept: DataFrame, live: Live) -> DataFrame:
 
 def retry_stages(wanted: DataFrame, executions: DataFrame, attempts: DataFrame) -> DataFrame:
     """Requested executions: ``disposition`` retry (with the next attempt), unknown, not_failed, or open_attempt (its current attempt has not ended)."""
-    ends = attempts.select("stage_execution_id", F.col("attempt_number").alias("current_attempt"), "terminal_at")
-    rows = wanted.select("stage_execution_id").dropDuplicates().join(executions.select("stage_execution_id", "state", "current_attempt"), "stage_execution_id", "left")
-    rows = rows.join(ends, ["stage_execution_id", "current_attempt"], "left")
-    disposition = F.when(F.col("state").isNull(), "unknown").when(F.col("state") != "failed", "not_failed").when(F.col("terminal_at").isNull(), "open_attempt").otherwise("retry")
+    key, current = "stage_execution_id", ["stage_execution_id", "current_attempt"]
+    n = parts(wanted.sparkSession, wanted, executions, attempts)
+    ends = attempts.where("terminal_at IS NOT NULL").select(key, F.col("attempt_number").alias("current_attempt"), F.lit(True).alias("ended"))
+    # only what has failed is asked for its attempt
+    failed = executions.where("state = 'failed'").select(*current)
+    ended = failed.repartition(n, *current).join(ends.repartition(n, *current), current).select(key, "ended")
+    rows = wanted.select(key).repartition(n, key).dropDuplicates().join(executions.select(key, "state", "current_attempt").repartition(n, key), key, "left")
+    rows = rows.join(ended.repartition(n, key), key, "left")
+    disposition = F.when(F.col("state").isNull(), "unknown").when(F.col("state") != "failed", "not_failed").when(F.col("ended").isNull(), "open_attempt").otherwise("retry")
     return rows.select("stage_execution_id", disposition.alias("disposition"), F.when(disposition == "retry", F.col("current_attempt") + 1).alias("attempt_number"))
 
 
