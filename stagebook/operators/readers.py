@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.schemas import READERS, conform
-from ..sources.shared import materialize
+from ..sources.shared import materialize, parts
 from .status import campaign_summaries, with_current_attempt, work_item_status
 
 #: The size of a page that names none, and the states of stages.
@@ -173,14 +173,18 @@ def stage_records(wanted: DataFrame, executions: DataFrame, attempts: DataFrame)
     """
     asked = wanted.select("work_item_id").distinct()
     attempt = [f.name for f in conform(attempts, READERS["stage_attempt"]).schema.fields]
-    scoped = conform(executions, READERS["stage_execution"]).join(asked.where("work_item_id > 0"), "work_item_id", "left_semi")
-    tries = conform(attempts, READERS["stage_attempt"]).join(scoped.select("stage_execution_id"), "stage_execution_id", "left_semi")
-    history = tries.groupBy("stage_execution_id").agg(F.sort_array(F.collect_list(F.struct("attempt_number", *[c for c in attempt if c != "attempt_number"]))).alias("attempts"))
-    nth = F.row_number().over(Window.partitionBy("work_item_id").orderBy("stage_index", "stage_execution_id")).cast("long")
-    rows = scoped.withColumn("nth", nth).join(history, "stage_execution_id", "left").withColumn("request_id", F.col("work_item_id"))
+    records, tries, key = conform(executions, READERS["stage_execution"]), conform(attempts, READERS["stage_attempt"]), "stage_execution_id"
+    n = parts(executions.sparkSession, executions, attempts)
+    # places are worked out on keys alone, so that a record is shuffled once, by its own key, as its attempts are
+    placed = records.select("work_item_id", "stage_index", key).repartition(n, "work_item_id").join(asked.where("work_item_id > 0").repartition(n, "work_item_id"), "work_item_id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("work_item_id").orderBy("stage_index", key)).cast("long")
+    placed = placed.select(key, nth.alias("nth")).repartition(n, key)
+    tries = tries.repartition(n, key).join(placed.select(key), key, "left_semi")
+    history = tries.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("attempt_number", *[c for c in attempt if c != "attempt_number"]))).alias("attempts"))
+    rows = placed.join(records.repartition(n, key), key).join(history, key, "left").withColumn("request_id", F.col("work_item_id"))
     bad = asked.where("work_item_id IS NULL OR work_item_id <= 0").withColumn("reason", F.lit("bad_item"))
     lost = asked.where("work_item_id > 0").join(executions.select("work_item_id"), "work_item_id", "left_anti").withColumn("reason", F.lit("unknown_item"))
-    columns = [c for c in scoped.columns if c != "work_item_id"]
+    columns = [c for c in records.columns if c != "work_item_id"]
     shown = rows.select("request_id", "nth", "work_item_id", *columns, F.coalesce("attempts", F.array().cast(history.schema["attempts"].dataType)).alias("attempts"))
     return Read(shown, bad.unionByName(lost).withColumnRenamed("work_item_id", "request_id"))
 
