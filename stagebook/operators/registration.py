@@ -8,9 +8,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.expressions import stable_rank, valid_key, valid_priority
-from ..sources.shared import materialize
+from ..sources.shared import materialize, narrow
 from .changes import classify_members, closure_check
 
 # What a run key is bound to for good.
@@ -52,14 +53,22 @@ def receipts(runs: DataFrame) -> DataFrame:
 
 def member_problems(members: DataFrame) -> DataFrame:
     """Members that may not be registered, with the first ``reason``: values out of range, or a work key or ordinal that a run has twice."""
-    row = members.select("run_key", "member_ordinal", "work_key", "input_reference", "labels", "priority")
-    twice = lambda key, name: row.groupBy("run_key", key).agg(F.count("*").alias(name)).where(F.col(name) > 1)
-    rows = row.join(twice("work_key", "same_work"), ["run_key", "work_key"], "left").join(twice("member_ordinal", "same_ordinal"), ["run_key", "member_ordinal"], "left")
+    rows = members.select("run_key", "member_ordinal", "work_key", "input_reference", "labels", "priority")
+    # keys meet as hashes; only rows whose hash is there twice, and faulty ones, are looked at by their keys
+    rows = rows.withColumns({"h_work": F.xxhash64(F.lit(0), "run_key", "work_key"), "h_ordinal": F.xxhash64(F.lit(1), "run_key", "member_ordinal")})
+    hashes = rows.select(F.explode(F.array("h_work", "h_ordinal")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    suspects = narrow(materialize(hashes, "repeated-hashes"))
+    for h in ("h_work", "h_ordinal"):
+        rows = rows.join(suspects.select(F.col("h").alias(h), F.lit(True).alias(f"{h}_again")), h, "left")
     named = F.coalesce(F.forall(F.map_values("labels"), lambda v: v.isNotNull()), F.lit(False))
-    reason = first_reason(
-        ordinal_not_negative=F.col("member_ordinal") >= 0, valid_work_key=valid_key("work_key"), input_given=F.col("input_reference") != "", labels_are_texts=named,
-        priority_in_range=valid_priority("priority"), one_row_of_a_work_key=F.col("same_work").isNull(), one_row_of_an_ordinal=F.col("same_ordinal").isNull(),
-    )
+    values = {
+        "ordinal_not_negative": F.col("member_ordinal") >= 0, "valid_work_key": valid_key("work_key"), "input_given": F.col("input_reference") != "", "labels_are_texts": named,
+        "priority_in_range": valid_priority("priority"),
+    }
+    rows = rows.where(first_reason(**values).isNotNull() | F.col("h_work_again") | F.col("h_ordinal_again"))
+    once = lambda key: F.col("run_key").isNull() | (F.count("*").over(Window.partitionBy("run_key", key)) == 1)
+    rows = rows.withColumns({"one_row_of_a_work_key": once("work_key"), "one_row_of_an_ordinal": once("member_ordinal")})
+    reason = first_reason(**values, one_row_of_a_work_key=F.col("one_row_of_a_work_key"), one_row_of_an_ordinal=F.col("one_row_of_an_ordinal"))
     return rows.withColumn("reason", reason).where("reason IS NOT NULL").select("run_key", "member_ordinal", "work_key", "reason")
 
 
@@ -73,12 +82,11 @@ def register_members(members: DataFrame, items: DataFrame, runs: DataFrame) -> t
 
     A run with a rejected member registers none of its members: a chunk is one transaction.
     """
-    todo = open_members(members, runs)
-    wrong = member_problems(todo)
-    classified = classify_members(todo, items, runs)
+    # both results and the rejects follow from what each member is, which is worked out once
+    classified = materialize(classify_members(open_members(members, runs), items, runs), "classified")
     conflicts = classified.where("kind = 'conflict'").select("run_key", "member_ordinal", "work_key", F.lit("conflict").alias("reason"))
-    rejects = wrong.unionByName(conflicts)
-    return classified.join(rejects.select("run_key").distinct(), "run_key", "left_anti"), rejects
+    rejects = materialize(member_problems(classified).unionByName(conflicts), "rejected-members")
+    return classified.join(narrow(rejects.select("run_key").distinct()), "run_key", "left_anti"), rejects
 
 
 def membership_differences(expected: DataFrame, stored: DataFrame) -> DataFrame:

@@ -14,12 +14,14 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from ..functions.expressions import MOVES, stable_rank
 from ..operators.registration import register_members
 from ..sources.shared import materialize, narrow, shared_dir
-from ..sources.snapshots import Change, Snapshots
+from ..sources.snapshots import Change, Snapshots, buckets_for
 from .state import for_streams
 
 _LEGAL = frozenset(MOVES)
 #: Level of what a log begins with: appended batches are not merged into it until there are a great many of them.
 BASE = 12
+#: Hashes of keys, 8 bytes each, that may be broadcast.
+HASHES = 1_000_000
 
 
 def event_moves(raw: DataFrame) -> DataFrame:
@@ -117,23 +119,27 @@ class Registration:
     """Registration of a stream of members, for ``foreachBatch``: items that are new in a batch are known to later ones.
 
     Known items are a log in levels, bucketed by campaign and work key and compacted as it grows; a batch looks its members up in
-    their buckets alone, in one scan, however many batches there were. A run's members come in one batch. A batch that comes again changes
-    nothing, and another process goes on from ``base``.
+    their buckets alone, in one scan, however many batches there were, and of these items only those that it names are shuffled. A run's
+    members come in one batch. A batch that comes again changes nothing, and another process goes on from ``base``. There are ``buckets``
+    or more, as many as the items need that are known at the start.
     """
 
     ITEM = ("campaign_key", "work_key", "work_item_id", "origin_run_key", "input_reference", "labels", "rank", "priority")
 
     def __init__(self, spark: SparkSession, items: DataFrame, runs: DataFrame, base: str | None = None, buckets: int = 16) -> None:
-        self.store, self.runs, self.buckets = Snapshots(spark, base or shared_dir(spark, "registration")), runs, buckets
+        self.store, self.runs = Snapshots(spark, base or shared_dir(spark, "registration")), runs
         if not self.store.numbers():
             change = self.store.begin()
-            change.append("items", items.select(*self.ITEM), ["campaign_key", "work_key"], buckets, level=BASE)
+            change.append("items", items.select(*self.ITEM), ["campaign_key", "work_key"], buckets_for(items, buckets), level=BASE)
             change.commit()
 
     def known(self, members: DataFrame) -> DataFrame:
-        """Items that may be among the members."""
-        at = self.store.head()
-        return at.read("items", at.buckets_of("items", members))
+        """Items that may be among the members: hashes of the members' keys go to the items, unless they are too many."""
+        at, key = self.store.head(), F.xxhash64("campaign_key", "work_key").alias("h")
+        items = at.read("items", at.buckets_of("items", members))
+        if members.limit(HASHES + 1).count() > HASHES:
+            return items
+        return items.withColumn("h", key).join(F.broadcast(members.select(key).distinct()), "h", "left_semi").drop("h")
 
     def __call__(self, members: DataFrame, k: int) -> None:
         at = self.store.head()
@@ -141,16 +147,16 @@ class Registration:
             return
         members = materialize(members, "members")
         good, rejects = register_members(members, self.known(members), self.runs)
-        good = materialize(good.select("run_key", "campaign_key", "member_ordinal", "work_key", "input_reference", "labels", "priority", "kind"), "registered")
+        good = good.select("run_key", "campaign_key", "member_ordinal", "work_key", "input_reference", "labels", "priority", "kind")
         new = good.where("kind = 'new'").dropDuplicates(["campaign_key", "work_key"])
         made = new.select(
             "campaign_key", "work_key", F.xxhash64("campaign_key", "work_key").alias("work_item_id"), F.col("run_key").alias("origin_run_key"), "input_reference", "labels",
             stable_rank("campaign_key", "work_key").alias("rank"), "priority",
         )
-        change = self.store.begin(at)
-        change.append("items", made, ["campaign_key", "work_key"], self.buckets)
-        change.append("members", good, ["run_key", "member_ordinal"], self.buckets)
-        change.append("rejects", rejects, ["run_key", "member_ordinal"], self.buckets)
+        change, buckets = self.store.begin(at), at.tables["items"].buckets
+        change.append("items", made, ["campaign_key", "work_key"], buckets)
+        change.append("members", good, ["run_key", "member_ordinal"], buckets)
+        change.append("rejects", rejects, ["run_key", "member_ordinal"], buckets)
         change.commit(k)
 
     def read(self, what: str) -> DataFrame:
