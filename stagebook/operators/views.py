@@ -19,21 +19,28 @@ def summed(scope: str):
     return lambda log: log.groupBy(scope, "state").agg(F.sum("n").alias("n"))
 
 
-def build(change: Change, executions: DataFrame, items: DataFrame, memberships: DataFrame, buckets: int = 64) -> None:
-    """Put stages, items and memberships into a store in buckets by item, with the status of every item and the counts over it."""
+def build(change: Change, executions: DataFrame, items: DataFrame | None = None, memberships: DataFrame | None = None, buckets: int = 64) -> None:
+    """Put stages, items and memberships into a store in buckets by item, with the status of every item and the counts over it.
+
+    Without items no counts by campaign are kept, without memberships none by run.
+    """
     change.create("stages", executions, ["work_item_id"], buckets)
-    change.create("items", items.select("work_item_id", "campaign_key"), ["work_item_id"], buckets)
-    change.create("members", memberships.select("work_item_id", "run_key"), ["work_item_id"], buckets)
+    if items is not None:
+        change.create("items", items.select("work_item_id", "campaign_key"), ["work_item_id"], buckets)
+    if memberships is not None:
+        change.create("members", memberships.select("work_item_id", "run_key"), ["work_item_id"], buckets)
     change.create(STATUS, work_item_status(change.now().read("stages")).select(*_SHOWN), ["work_item_id"], buckets)
     none = change.now().read(STATUS, []).select("work_item_id", "state")
     _count(change, none, change.now().read(STATUS).select("work_item_id", "state"), None, buckets, level=12)
 
 
 def _count(change: Change, old: DataFrame, new: DataFrame, touched: list[int] | None, buckets: int, level: int = 0) -> None:
-    """Add to both logs what items that changed from ``old`` to ``new`` state change in the counts."""
+    """Add to the logs what items that changed from ``old`` to ``new`` state change in the counts."""
     moved = old.withColumn("n", F.lit(-1).cast("long")).unionByName(new.withColumn("n", F.lit(1).cast("long")))
     moved = materialize(moved.groupBy("work_item_id", "state").agg(F.sum("n").alias("n")).where("n <> 0"), "moved-states")
     for scope, table, log in (("campaign_key", "items", BY_CAMPAIGN), ("run_key", "members", BY_RUN)):
+        if table not in change.tables:
+            continue
         known = change.now().read(table, touched).select("work_item_id", scope)
         rows = moved.join(known, "work_item_id").groupBy(scope, "state").agg(F.sum("n").alias("n")).where("n <> 0")
         change.append(log, rows, [scope, "state"], buckets, summed(scope), level=level)

@@ -147,11 +147,12 @@ shown AS (SELECT work_item_id, state FROM (SELECT *, row_number() OVER (PARTITIO
 """
 
 
-def _viewed(t: Ledger):
-    """The version of the status view after both rounds."""
+def _viewed(t: Ledger, **counted: DataFrame):
+    """The version of the status view after both rounds, with what status and the counts asked for follow from."""
     store = Snapshots(t.spark, shared_dir(t.spark, "views"))
     change = store.begin()
-    W.build(change, t.stage_executions, t.work_items, t.run_memberships, buckets_for(t.stage_executions, _BUCKETS))
+    stages = t.stage_executions.select("stage_execution_id", "work_item_id", "stage_key", "stage_index", "state")
+    W.build(change, stages, buckets=buckets_for(stages, _BUCKETS), **counted)
     change.commit()
     for state_, condition, new in (("ready", "work_item_id % 5 = 0", F.lit("admitted")), ("admitted", "work_item_id % 3 = 0", F.when(F.col("stage_index") % 2 == 0, "succeeded").otherwise("failed"))):
         change = store.begin()
@@ -164,12 +165,12 @@ def _viewed(t: Ledger):
 @query("SELECT campaign_key, state, count(*) AS n FROM work_items JOIN shown USING (work_item_id) GROUP BY ALL", more=_AFTER_SQL)
 def view_campaign_counts(t):
     """Counts kept up to date over two rounds of changes, without working out the status of items that did not change."""
-    return W.campaign_counts(_viewed(t))
+    return W.campaign_counts(_viewed(t, items=t.work_items))
 
 
 @query("SELECT run_key, state, count(*) AS n FROM run_memberships JOIN shown USING (work_item_id) GROUP BY ALL", more=_AFTER_SQL)
 def view_run_counts(t):
-    return W.run_counts(_viewed(t))
+    return W.run_counts(_viewed(t, memberships=t.run_memberships))
 
 
 @query("""SELECT run_key, member_ordinal, work_item_id, work_key, input_reference, state FROM run_memberships JOIN work_items USING (work_item_id) LEFT JOIN status USING (work_item_id)

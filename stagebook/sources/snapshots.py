@@ -216,9 +216,14 @@ class Change:
             # few changes go to the rows, which stay in the tasks that read their buckets; each time inserts add a file to a bucket, until it is dealt out again
             worn = max([level for b in touched for _, level in table.entries.get(str(b), [])], default=0) + (inserts is not None)
             placed = worn < MERGE and updates.count() <= BROADCAST_ROWS
-            new = apply_changes(self.now().read(name, touched), key, F.broadcast(updates) if placed else updates, inserts, guard)
-            schema = StructType.fromJson(json.loads(table.schema))
-            folder = self._write(table, new, placed)
+            rows, schema = self.now().read(name, touched), StructType.fromJson(json.loads(table.schema))
+            dealt = not placed and inserts is None
+            if dealt:  # many changes and the rows are dealt by bucket once: they meet and are written there
+                deal = lambda df: df.withColumn("bucket", table.bucket()).repartition(len(touched), "bucket")
+                new = apply_changes(deal(rows), ["bucket", key], deal(updates), None, guard).select(*[f.name for f in schema.fields])
+            else:
+                new = apply_changes(rows, key, F.broadcast(updates) if placed else updates, inserts, guard)
+            folder = self._write(table, new, placed or dealt)
             fresh = self._digests(folder, schema)
             kept = lambda d: {b: x for b, x in d.items() if int(b) not in set(touched)}
             self.tables[name] = replace(table, entries=kept(table.entries) | {b: [[folder, worn if placed else 0]] for b in fresh}, digests=kept(table.digests) | fresh)
