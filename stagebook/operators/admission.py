@@ -51,9 +51,10 @@ def candidates_by_fate(executions: DataFrame, rows: DataFrame, controls: DataFra
     return out.withColumn("fate", fate).drop("configured", "declared", "pauses", "waits")
 
 
-def admission_pass(executions: DataFrame, rows: DataFrame, occupancy: DataFrame, attempts: DataFrame, declared: DataFrame, at: Column, batch: int = 10_000, excluded: DataFrame | None = None, facts: Callable[[DataFrame], DataFrame] | None = None) -> Pass:
+def admission_pass(executions: DataFrame, rows: DataFrame, occupancy: DataFrame, attempts: DataFrame | Callable[[DataFrame], DataFrame], declared: DataFrame, at: Column, batch: int = 10_000, excluded: DataFrame | None = None, facts: Callable[[DataFrame], DataFrame] | None = None) -> Pass:
     """One pass over all ready rows. ``rows``: executions with labels, rank and stage identity; ``occupancy``: controls with ``occupied``.
     ``facts``: gives the rows of few ``stage_execution_id, work_item_id``, so that those that are not admitted are not shuffled with all that is sent.
+    ``attempts`` may likewise give those of few ``stage_execution_id``.
 
     ``declared`` has the stages with ``queue_name`` and maybe ``routes``. A prepared attempt is admitted itself, else the next
     one. Rows skipped for pause, barrier or capacity are counted up to the last admitted row if the batch is full, else all.
@@ -70,7 +71,8 @@ def admission_pass(executions: DataFrame, rows: DataFrame, occupancy: DataFrame,
         able = facts(few)
     order = F.struct("priority", "rank", "stage_execution_id")
     # of the attempts only those of planned rows are looked at
-    attempts = attempts.join(F.broadcast(planned.select("stage_execution_id")), "stage_execution_id", "left_semi")
+    ids = planned.select("stage_execution_id")
+    attempts = attempts(ids) if callable(attempts) else attempts.join(F.broadcast(ids), "stage_execution_id", "left_semi")
     numbered = attempts_to_admit(planned, executions, attempts)
     kept = attempts.select("stage_execution_id", "attempt_number", F.col("workflow_id").alias("old_id"))
     chosen = able.join(planned.select("stage_execution_id"), "stage_execution_id").join(numbered, "stage_execution_id").join(kept, ["stage_execution_id", "attempt_number"], "left")

@@ -80,11 +80,17 @@ pass AS (SELECT w.*, a.attempt_number IS NULL AS appended,
 
 
 def _pass(t: Ledger, batch: int = 10_000) -> A.Pass:
-    ready = t.stage_executions.where("state = 'ready' AND stage_execution_id % 3 = 0")
-    prepared = ready.select("stage_execution_id", F.lit(1).alias("attempt_number"), F.concat(F.lit("wf-"), F.col("stage_execution_id").cast("string"), F.lit("-prepared")).alias("workflow_id"))
     none = F.lit(None).cast("timestamp")
-    attempts = t.full_attempts.select("stage_execution_id", "attempt_number", "workflow_id", "admitted_at", "terminal_at")
-    attempts = attempts.unionByName(prepared.withColumn("admitted_at", none).withColumn("terminal_at", none))
+
+    def attempts(planned: DataFrame) -> DataFrame:
+        """Of planned stages alone, so that the full tables are not derived for them."""
+        of = lambda rows: rows.join(F.broadcast(planned), "stage_execution_id", "left_semi")
+        ready = of(t.stage_executions).where("state = 'ready' AND stage_execution_id % 3 = 0")
+        prepared = ready.select("stage_execution_id", F.lit(1).alias("attempt_number"), F.concat(F.lit("wf-"), F.col("stage_execution_id").cast("string"), F.lit("-prepared")).alias("workflow_id"))
+        kept = t.derived("full_attempts", stage_attempts=of(t.stage_attempts), full_executions=t.derived("full_executions", stage_executions=F.broadcast(of(t.stage_executions))))
+        kept = kept.select("stage_execution_id", "attempt_number", "workflow_id", "admitted_at", "terminal_at")
+        return kept.unionByName(prepared.withColumn("admitted_at", none).withColumn("terminal_at", none))
+
     executions = t.stage_executions.withColumn("current_attempt", F.when((F.col("state") == "ready") & (F.col("stage_execution_id") % 3 == 0), 1).otherwise(F.col("current_attempt")))
     facts = partial(C.admission_rows, executions, t.full_items, t.pipeline_runs)
     return A.admission_pass(executions, facts(), _controls(t), attempts, t.declared_stages, _now(), batch, facts=facts)
