@@ -69,7 +69,7 @@ judged AS (SELECT *, coalesce(up_to, below) AS top, CASE WHEN work_item_id <= 0
 
 
 def _item_pages(t: Ledger) -> P.Read:
-    return P.work_item_pages(t.spark.sql(_ITEMS, items=t.work_items), t.full_runs, t.full_items, t.stage_executions)
+    return P.work_item_pages(t.spark.sql(_ITEMS, items=t.work_items), t.pipeline_runs, t.full_items, t.stage_executions)
 
 
 @query("SELECT request_id, nth, work_item_id, campaign_key, work_key, origin_run_key, segment, stage_execution_id AS current_stage_execution_id, stage_key AS current_stage_key, stage_index AS current_stage_index, state FROM pages", more=_ITEMS_SQL)
@@ -96,7 +96,8 @@ def pages_of_campaigns(t):
 
 
 def _member_pages(t: Ledger, **more) -> P.Read:
-    return P.run_member_pages(t.spark.sql(_MEMBERS, members=t.run_memberships), t.full_runs, t.run_memberships, t.work_items, t.stage_executions, t.stage_attempts, **more)
+    attempts = lambda stages: t.derived("stage_attempts", stage_executions=stages)
+    return P.run_member_pages(t.spark.sql(_MEMBERS, members=t.run_memberships), t.pipeline_runs, t.run_memberships, t.work_items, t.stage_executions, attempts, **more)
 
 
 @query("SELECT request_id, nth, member_ordinal, work_key, work_item_id, input_reference, stage_key AS current_stage_key, stage_index AS current_stage_index, state FROM pages", more=_MEMBERS_SQL)
@@ -106,7 +107,7 @@ def pages_of_members(t):
 
 @query("SELECT request_id, nth, member_ordinal, work_key, work_item_id, input_reference, stage_key AS current_stage_key, stage_index AS current_stage_index, state, stage_execution_id, terminal_summary, evidence_reference FROM pages", more=_FAILED_SQL)
 def pages_of_failed_members(t):
-    return _member_pages(t, condition=X.terminal_filter(producer="application_failure", state="failed")).rows
+    return _member_pages(t, condition=X.terminal_filter(producer="application_failure", state="failed"), states=("failed",)).rows
 
 
 @query("""SELECT e.work_item_id AS request_id, row_number() OVER (PARTITION BY e.work_item_id ORDER BY stage_index, stage_execution_id) AS nth, e.stage_execution_id, stage_key, stage_index, state, current_attempt, rank, priority, input_reference, output_reference,
