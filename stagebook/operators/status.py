@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import index_order, precedence
 from ..sources.pages import Ordered
+from ..sources.shared import apart
 
 
 def work_item_status(executions: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -230,5 +231,5 @@ def stages_in_ranges(wanted: DataFrame, executions: DataFrame) -> tuple[DataFram
     """For rows (work_item_id, above, below; null is open, bounds are exclusive): executions by index and id, and the rows whose range is empty."""
     empty = F.coalesce(F.col("above") >= F.col("below"), F.lit(False))
     inside = (F.col("above").isNull() | (F.col("stage_index") > F.col("above"))) & (F.col("below").isNull() | (F.col("stage_index") < F.col("below")))
-    rows = wanted.where(~empty).join(executions, "work_item_id").where(inside)
+    rows = wanted.where(~empty).join(apart(executions), "work_item_id").where(inside)
     return rows.orderBy("work_item_id", "stage_index", "stage_execution_id"), wanted.where(empty)
