@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import index_order, precedence
 from ..sources.pages import Ordered
-from ..sources.shared import apart
+from ..sources.shared import apart, few
 
 
 def work_item_status(executions: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -38,13 +38,21 @@ def bulk_run_state_counts(keys: DataFrame, runs: DataFrame, memberships: DataFra
     return wanted.join(present, "run_key", "left").join(counts, "run_key", "left").select("run_key", F.coalesce("present", F.lit(False)).alias("present"), "state", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _requested(keys: DataFrame, items: DataFrame, executions: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The distinct requested (campaign, work), and the items among them with their status. Few keys go to the tables; many meet them
+    in shuffles, and the join by item leaves out the status of others."""
+    asked = ["campaign_key", "work_key"]
+    some, wanted = few(keys), keys.select(*asked).dropDuplicates()
+    known = items.select(*asked, "work_item_id").join(F.broadcast(wanted) if some else apart(wanted), asked, "left_semi")
+    if some and few(known):
+        executions = executions.join(F.broadcast(known.select("work_item_id")), "work_item_id", "left_semi")
+    return wanted, apart(known).join(work_item_status(executions, carry), "work_item_id")
+
+
 def bulk_work_statuses(keys: DataFrame, items: DataFrame, executions: DataFrame) -> DataFrame:
     """One row per requested (campaign, work); an item without executions counts as absent."""
-    wanted = keys.select("campaign_key", "work_key").dropDuplicates()
-    known = items.select("campaign_key", "work_key", "work_item_id").join(wanted, ["campaign_key", "work_key"], "left_semi")
-    status = work_item_status(executions.join(known.select("work_item_id"), "work_item_id", "left_semi"))
-    found = known.join(status, "work_item_id")
-    return wanted.join(found, ["campaign_key", "work_key"], "left").select("campaign_key", "work_key", F.col("work_item_id").isNotNull().alias("present"), "work_item_id", F.col("stage_key").alias("current_stage_key"), F.col("stage_index").alias("current_stage_index"), "state")
+    wanted, found = _requested(keys, items, executions)
+    return wanted.join(apart(found), ["campaign_key", "work_key"], "left").select("campaign_key", "work_key", F.col("work_item_id").isNotNull().alias("present"), "work_item_id", F.col("stage_key").alias("current_stage_key"), F.col("stage_index").alias("current_stage_index"), "state")
 
 
 def with_current_attempt(rows: DataFrame, executions: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -52,16 +60,14 @@ def with_current_attempt(rows: DataFrame, executions: DataFrame, attempts: DataF
     if "current_attempt" not in rows.columns:
         rows = rows.join(executions.select("stage_execution_id", "current_attempt"), "stage_execution_id", "left")
     current = attempts.select("stage_execution_id", F.col("attempt_number").alias("current_attempt"), "terminal_summary", "evidence_reference")
-    return rows.join(current, ["stage_execution_id", "current_attempt"], "left").drop("current_attempt")
+    return rows.join(apart(current), ["stage_execution_id", "current_attempt"], "left").drop("current_attempt")
 
 
 def bulk_terminal_statuses(keys: DataFrame, items: DataFrame, executions: DataFrame, attempts: DataFrame, condition: Column | None = None) -> DataFrame:
     """As ``bulk_work_statuses`` with the current attempt; with a condition, present rows that miss it are left out."""
-    wanted = keys.select("campaign_key", "work_key").dropDuplicates()
-    known = items.select("campaign_key", "work_key", "work_item_id").join(wanted, ["campaign_key", "work_key"], "left_semi")
-    scoped = executions.join(known.select("work_item_id"), "work_item_id", "left_semi")
-    found = known.join(with_current_attempt(work_item_status(scoped, ("current_attempt",)), scoped, attempts), "work_item_id")
-    out = wanted.join(found, ["campaign_key", "work_key"], "left").withColumn("present", F.col("work_item_id").isNotNull())
+    wanted, found = _requested(keys, items, executions, ("current_attempt",))
+    found = with_current_attempt(found, executions, attempts)
+    out = wanted.join(apart(found), ["campaign_key", "work_key"], "left").withColumn("present", F.col("work_item_id").isNotNull())
     out = out if condition is None else out.where(~F.col("present") | condition)
     return out.select("campaign_key", "work_key", "present", "work_item_id", "stage_execution_id", "stage_key", "stage_index", "state", "terminal_summary", "evidence_reference")
 
