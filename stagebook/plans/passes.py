@@ -19,7 +19,7 @@ from ..operators import status as S
 from ..operators import views as W
 from ..sources import pages, schemas, seeders
 from ..sources.fixtures import Ledger
-from ..sources.shared import shared_dir
+from ..sources.shared import apart, shared_dir
 from ..sources.snapshots import Conflict, Snapshots, buckets_for
 from ..streaming import folds, state, ticks
 from .queries import _CANDIDATES_SQL, _CONFIGURED_SQL, _PAUSE_SQL, RANK_SQL, _controls, query
@@ -404,8 +404,8 @@ reasons AS (SELECT l.*, CASE WHEN l.sid IS NULL THEN 'unknown' WHEN expected_pip
 
 def _applied(t: Ledger) -> O.Applied:
     following = t.successor_requests.groupBy("workflow_id").agg(F.collect_list(F.struct("stage_key", "stage_index", "input_reference", "barrier")).alias("successors"))
-    outcomes = t.outcome_batch.join(following, "workflow_id", "left")
-    attempts = t.full_attempts.join(t.full_executions.select("stage_execution_id", "updated_at"), "stage_execution_id")
+    outcomes = t.outcome_batch.join(apart(following), "workflow_id", "left")
+    attempts = t.full_attempts.join(apart(t.full_executions.select("stage_execution_id", "updated_at")), "stage_execution_id")
     attempts = attempts.withColumn("terminal_at", F.when(F.col("stage_execution_id") % 67 == 0, F.col("updated_at")).otherwise(F.col("terminal_at")))
     return O.apply_outcomes(outcomes, attempts.drop("updated_at"), t.full_executions, t.full_items, t.full_runs, t.declared_stages)
 
