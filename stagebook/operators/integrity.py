@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import parts
+from ..sources.shared import apart, parts
 from ..sources.snapshots import Version, changed_buckets
 from .changes import violations
 
@@ -87,7 +87,7 @@ def foreign_all(tables: dict[str, DataFrame]) -> DataFrame:
         rows = tables[child].dropna(subset=list(keys)).select(*keys).repartition(n, *keys)
         there = tables[parent].select(*[F.col(p).alias(k) for p, k in zip(at, keys, strict=True)]).repartition(n, *keys)
         # only what leads nowhere is counted
-        rows = rows.join(there, list(keys), "left_anti").groupBy(*keys).agg(F.count("*").alias("n"))
+        rows = rows.join(apart(there), list(keys), "left_anti").groupBy(*keys).agg(F.count("*").alias("n"))
         found.append(rows.select(F.lit(child).alias("table"), F.lit(", ".join(keys)).alias("columns"), _text(keys).alias("key"), "n"))
     return reduce(DataFrame.unionByName, found)
 
