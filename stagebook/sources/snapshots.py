@@ -173,10 +173,12 @@ class Change:
         """The state after what was done so far."""
         return replace(self.start, tables=self.tables)
 
-    def _write(self, table: Table, rows: DataFrame, placed: bool = False) -> str:
-        """A new folder of rows, a file a bucket; rows that are ``placed`` are written from where they are, as tasks read whole files of buckets."""
+    def _write(self, table: Table, rows: DataFrame, placed: bool = False, ordered: bool = False) -> str:
+        """A new folder of rows, a file a bucket; rows that are ``placed`` are written from where they are, as tasks read whole files of buckets.
+        Of ``ordered`` rows a file has those of near keys on the same pages."""
         folder, rows = uuid.uuid4().hex, rows.withColumn("bucket", table.bucket())
         rows = rows if placed else rows.repartitionById(table.buckets, "bucket")
+        rows = rows.sortWithinPartitions("bucket", *table.keys) if ordered else rows
         rows.write.partitionBy("bucket").parquet(f"{self.store.base}/data/{folder}", compression="zstd")
         return folder
 
@@ -192,10 +194,10 @@ class Change:
         sums = rows.withColumn("_text", text).groupBy("bucket").agg(F.count("*").alias("n"), big(F.col("_text")).alias("a"), big(F.concat("_text", F.lit("#"))).alias("b"))
         return {str(r["bucket"]): hashlib.sha256(f"{r['n']}|{r['a']}|{r['b']}".encode()).hexdigest() for r in sums.collect()}
 
-    def create(self, name: str, rows: DataFrame, keys: list[str], buckets: int = 64) -> None:
-        """A keyed table with all its rows, or with others than before."""
+    def create(self, name: str, rows: DataFrame, keys: list[str], buckets: int = 64, ordered: bool = False) -> None:
+        """A keyed table with all its rows, or with others than before; ``ordered`` by key within buckets until it is updated."""
         empty = Table(keys, buckets, rows.schema.json())
-        folder = self._write(empty, rows)
+        folder = self._write(empty, rows, ordered=True) if ordered else self._write(empty, rows)
         digests = self._digests(folder, rows.schema)
         self.tables[name] = replace(empty, entries={b: [[folder, 0]] for b in digests}, digests=digests)
 

@@ -15,7 +15,7 @@ from ..functions.expressions import MOVES, stable_rank
 from ..operators.registration import register_members
 from ..sources.shared import materialize, narrow, shared_dir
 from ..sources.snapshots import Change, Snapshots, buckets_for
-from .state import for_streams
+from .state import STATES, for_streams, packed, unpacked
 
 _LEGAL = frozenset(MOVES)
 #: Level of what a log begins with: appended batches are not merged into it until there are a great many of them.
@@ -37,26 +37,35 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_moves(raw).drop("ts")
 
 
-def folded_moves(events: DataFrame) -> DataFrame:
+def folded_moves(events: DataFrame, buckets: int = 256) -> DataFrame:
     """Every move with the state it met: ``work_item_id, seq, old_state, new_state, accepted``; moves that are not legal are rejected.
 
     An item starts as ready, and its state outlives the batches. Within a batch an item's events are taken in the order of
     ``seq``; they meet in one task, bounded by what a trigger takes up (``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` of the source).
+    Items lie in ``buckets``, as each call into Python takes milliseconds. A bucket's states are read and written by every batch that has a
+    move of it, so that their number has to grow with the items, and to stay as it is while a stream's state is kept.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        (state,) = held.get if held.exists else ("ready",)
-        moves = pd.concat([f[["seq", "new_state"]] for f in frames]).sort_values("seq", kind="stable")
+        known = unpacked(bytes(held.get[0])) if held.exists else {"work_item_id": [], "state": []}
+        states = dict(zip(known["work_item_id"], known["state"], strict=True))
+        moves = pd.concat(list(frames)).sort_values(["unnumbered", "seq"], kind="stable")
         old, accepted = [], []
-        for new in moves["new_state"]:
+        for item, lost, new in zip(moves["work_item_id"].tolist(), moves["lost"].tolist(), moves["new_state"], strict=True):
+            item = None if lost else item
+            state = states.get(item, "ready")
             old.append(state)
             accepted.append((state, new) in _LEGAL)
-            state = new if accepted[-1] else state
-        held.update((state,))
-        yield pd.DataFrame({"work_item_id": key[0], "seq": moves["seq"], "old_state": old, "new_state": moves["new_state"], "accepted": accepted})
+            states[item] = new if accepted[-1] else state
+        held.update((packed({"work_item_id": list(states), "state": list(states.values())}, STATES),))
+        yield pd.DataFrame({**{c: moves[c] for c in ("work_item_id", "lost", "seq", "unnumbered")}, "old_state": old, "new_state": moves["new_state"], "accepted": accepted})
 
-    schema = "work_item_id long, seq long, old_state string, new_state string, accepted boolean"
-    return events.groupBy("work_item_id").applyInPandasWithState(fold, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    # a null among numbers would make pandas take them all for floats
+    whole = lambda c, flag: (F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c), F.col(c).isNull().alias(flag))
+    rows = events.select(F.pmod(F.xxhash64("work_item_id"), F.lit(buckets)).alias("bucket"), *whole("work_item_id", "lost"), *whole("seq", "unnumbered"), "new_state")
+    schema = "work_item_id long, lost boolean, seq long, unnumbered boolean, old_state string, new_state string, accepted boolean"
+    moves = rows.groupBy("bucket").applyInPandasWithState(fold, schema, "items binary", "append", GroupStateTimeout.NoTimeout)
+    return moves.select(F.when(~F.col("lost"), F.col("work_item_id")).alias("work_item_id"), F.when(~F.col("unnumbered"), F.col("seq")).alias("seq"), "old_state", "new_state", "accepted")
 
 
 def current_states(moves: DataFrame) -> DataFrame:
@@ -82,15 +91,16 @@ class LiveCounts:
     """Live items by campaign and state, for ``foreachBatch``: a log of changes by campaign, summed up as it is compacted.
 
     The number of the last batch lies in the log's own versions, so another process goes on from there, and a batch that comes
-    again counts nothing twice. A batch reads the items of its own moves alone. With ``base``, a folder of an earlier process,
-    ``items`` is not needed.
+    again counts nothing twice. A batch reads the items of its own moves alone: a bucket's items lie in the order of their ids, and of
+    its file the pages between the least and the greatest id of the batch are read. There are ``buckets`` of items or more, as many as they
+    need. With ``base``, a folder of an earlier process, ``items`` is not needed.
     """
 
     def __init__(self, spark: SparkSession, items: DataFrame | None = None, base: str | None = None, buckets: int = 16) -> None:
         self.store, self.buckets = Snapshots(spark, base or shared_dir(spark, "live-counts")), buckets
         if not self.store.numbers():
             change = self.store.begin()
-            change.create("items", items.select("work_item_id", "campaign_key"), ["work_item_id"], buckets)
+            change.create("items", items.select("work_item_id", "campaign_key"), ["work_item_id"], buckets_for(items, buckets), ordered=True)
             start = items.groupBy("campaign_key").agg(F.count("*").alias("n")).select("campaign_key", F.lit("ready").alias("state"), "n")
             change.append("counts", start, ["campaign_key"], buckets, _summed_counts, level=BASE)
             change.commit()
@@ -102,7 +112,8 @@ class LiveCounts:
         moves = materialize(moves.where("accepted"), "moves")
         # the items of a batch go to the table, which is not shuffled
         moved = narrow(moves.select("work_item_id").distinct())
-        items = at.read("items", at.buckets_of("items", moves)).join(moved, "work_item_id", "left_semi")
+        low, high = moves.agg(F.min("work_item_id"), F.max("work_item_id")).first()
+        items = at.read("items", at.buckets_of("items", moves)).where(F.col("work_item_id").between(low, high)).join(moved, "work_item_id", "left_semi")
         change = self.store.begin(at)
         change.append("counts", state_deltas(moves, items).withColumnRenamed("delta", "n"), ["campaign_key"], self.buckets, _summed_counts)
         change.commit(k)
