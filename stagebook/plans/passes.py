@@ -19,7 +19,7 @@ from ..operators import status as S
 from ..operators import views as W
 from ..sources import pages, schemas, seeders
 from ..sources.fixtures import Ledger
-from ..sources.shared import apart, shared_dir
+from ..sources.shared import apart, narrow, shared_dir
 from ..sources.snapshots import Conflict, Snapshots, buckets_for
 from ..streaming import folds, state, ticks
 from .queries import _CANDIDATES_SQL, _CONFIGURED_SQL, _PAUSE_SQL, RANK_SQL, _controls, query
@@ -830,7 +830,10 @@ def stream_state_counts(t):
 def _settled(t: Ledger, moves: DataFrame, file: Column, files: int) -> DataFrame:
     """Runs that are released at the start, and those that the stream of accepted moves releases."""
     members, runs = state.open_at_start(t.pipeline_runs, t.run_memberships, S.work_item_status(t.stage_executions))
-    rows = moves.where("accepted").select("work_item_id", "seq", "new_state", F.lit(None).cast("string").alias("run_key"), F.lit(False).alias("closes"), file.alias("at"))
+    accepted = moves.where("accepted")
+    # an item that never moves tells its runs nothing, so batches need not look for theirs among such items
+    members = members.join(narrow(accepted.select("work_item_id").distinct()), "work_item_id", "left_semi")
+    rows = accepted.select("work_item_id", "seq", "new_state", F.lit(None).cast("string").alias("run_key"), F.lit(False).alias("closes"), file.alias("at"))
     stream = folds.read_files(t.spark, folds.in_files(rows, F.col("at"), files, "moves"), rows.schema)
     released = folds.run_once(t.spark, state.settled_runs(stream, members, runs.where("NOT released")))
     return runs.where("released").select("run_key").unionByName(released)
